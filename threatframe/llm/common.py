@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 4 << 20
 
 #: ASCII white space: the complement of the word class [^\x20\x09-\x0D].
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+SPACE = np.zeros(256, dtype=bool)
+SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 _own_dir: dict[str, str] = {}
 
@@ -87,7 +87,7 @@ class Words:
         n = len(raw)
         word = np.zeros(n + 2, dtype=np.int8)
         if n:
-            word[1:-1] = ~_SPACE[raw]
+            word[1:-1] = ~SPACE[raw]
         edge = np.diff(word)
         starts = edge[:-1] == 1
         ends = edge[1:] == -1

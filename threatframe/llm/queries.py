@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from threatframe.llm import exact_dedup, mixing, sharding
+from threatframe.llm import exact_dedup, langid, mixing, packing, quality_rules, sharding
 
 
 def queries() -> dict:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+        "op3_suffix_repetition": quality_rules.op3_suffix_repetition,
+        "op5_best_two_fit": packing.op5_best_two_fit,
         "op4_interleaved_shards": sharding.op4_interleaved_shards,
+        "op8_byte_convnet_langid": langid.op8_byte_convnet_langid,
         "op10_pivotal_mixing": mixing.op10_pivotal_mixing,
     }
 
