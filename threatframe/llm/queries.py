@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from threatframe.llm import exact_dedup, langid, mixing, packing, quality_rules, sharding
+from threatframe.llm import exact_dedup, langid, mixing, packing, quality_model, quality_rules, sharding, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+        "op2_boosted_toxicity": toxicity.op2_boosted_toxicity,
+        "op9_nbsvm_quality": quality_model.op9_nbsvm_quality,
         "op3_suffix_repetition": quality_rules.op3_suffix_repetition,
         "op5_best_two_fit": packing.op5_best_two_fit,
         "op4_interleaved_shards": sharding.op4_interleaved_shards,
