@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 #: Text bytes that a Python task handles at once; one longer text makes a slice of its own.
 SLICE_BYTES = 4 << 20
 
+#: Bytes of an Arrow batch between Spark and a Python worker.
+BATCH_BYTES = 16 << 20
+
 #: ASCII white space: the complement of the word class [^\x20\x09-\x0D].
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -49,6 +52,7 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     now = int(spark.conf.get(key, "10000"))
     if now <= 0 or now > rows:
         spark.conf.set(key, str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

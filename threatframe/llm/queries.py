@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from threatframe.llm import exact_dedup, langid, mixing, packing, quality_model, quality_rules, sharding, substring_dedup, toxicity
+from threatframe.llm import exact_dedup, langid, mixing, near_dedup, packing, quality_model, quality_rules, sharding, substring_dedup, toxicity
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op3_suffix_repetition": quality_rules.op3_suffix_repetition,
         "op5_best_two_fit": packing.op5_best_two_fit,
         "op4_interleaved_shards": sharding.op4_interleaved_shards,
+        "op6_dart_near_dedup": near_dedup.op6_dart_near_dedup,
         "op7_count_min_substrings": substring_dedup.op7_count_min_substrings,
         "op8_byte_convnet_langid": langid.op8_byte_convnet_langid,
         "op10_pivotal_mixing": mixing.op10_pivotal_mixing,
