@@ -48,6 +48,8 @@ def longest_repeats(code: np.ndarray, doc: np.ndarray, end: np.ndarray) -> np.nd
     levels = [rank.astype(np.int32)]
     active, h = order[np.repeat(size > 1, size)], 1
     suspects = np.sort(active)  # only their first word occurs twice
+    if not len(suspects):
+        return longest
     while len(active):
         after = active + h
         second = np.where(after < end[active], rank[np.minimum(after, n - 1)] + 1, 0)
