@@ -10,7 +10,9 @@ from threatframe.llm.common import staged
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """edges (u, v): link each node's neighbours (larger ones, or smaller ones) to its least neighbour."""
-    least = staged(edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+    least = edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    if large:  # only here a hot node has many rows; a fresh exchange on both sides lets its partition be split
+        least = staged(least, "least")
     linked = edges.join(least, "u")
     if large:
         return linked.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()

@@ -7,8 +7,10 @@ similarity. Runs of ROWS coordinates are band keys; texts that share one are can
 
 Texts of equal words are one class from the start. A bucket links its members to its least member (a star), not to each
 other. Links are verified exactly on the shingle sets. Where a bucket's members are still in different components,
-members outside the centre's component are compared with the rest of the bucket, a block at a time, until no pair of
-the bucket that could join two components is untested.
+members outside the centre's component become centres themselves, a block at a time (1, 4, 16, 64): each is compared with the
+bucket's members of other components, leaving out those that the triangle inequality of the Jaccard distance rules
+out. This ends when every member outside the centre's component has been a centre, so no pair of a bucket that could
+join two components is untested.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ SHINGLE = 5
 THRESHOLD = 0.8
 COORDINATES = 80
 ROWS = 4  #: of a band; 20 bands miss a pair of similarity 0.8 once in 38,000
-BLOCK = 16  #: outsiders of a bucket that one round compares
+BLOCK = 64  #: outsiders of a bucket that one round compares, at most
 _SHINGLE_BASE = np.uint64(0xA0761D6478BD642F)
 _FINE = np.array([0, 1 / 64, 1 / 16, 1 / 4, 1])  #: rank slabs below 1; from there on they are one wide
 
@@ -160,30 +162,41 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offs), pa.array(h[new].view(np.int64)))], ["node", "shingles"])
 
 
-def _similar(threshold: float):
-    """(a, b, shingles of a, shingles of b) -> the pairs whose Jaccard similarity reaches the threshold."""
+def _similarities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, shingles of a, shingles of b) -> (a, b, exact Jaccard similarity)."""
+    for batch in batches:
+        x, y = batch.column(2), batch.column(3)
+        nx, ny = (np.diff(np.asarray(c.offsets)) for c in (x, y))
+        of = np.concatenate([np.repeat(np.arange(batch.num_rows), m) for m in (nx, ny)])
+        h = np.concatenate([np.asarray(c.flatten()).view(np.uint64) for c in (x, y)])
+        key = h ^ mix(of.astype(np.uint64) + np.uint64(1))
+        order = np.argsort(key)
+        key = key[order]
+        same = np.bincount(of[order][1:][key[1:] == key[:-1]], minlength=batch.num_rows)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(same / np.maximum(nx + ny - same, 1))], ["a", "b", "sim"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = batch.column(2), batch.column(3)
-            nx, ny = (np.diff(np.asarray(c.offsets)) for c in (x, y))
-            of = np.concatenate([np.repeat(np.arange(batch.num_rows), m) for m in (nx, ny)])
-            h = np.concatenate([np.asarray(c.flatten()).view(np.uint64) for c in (x, y)])
-            key = h ^ mix(of.astype(np.uint64) + np.uint64(1))
-            order = np.argsort(key)
-            key = key[order]
-            same = np.bincount(of[order][1:][key[1:] == key[:-1]], minlength=batch.num_rows)
-            ok = same >= threshold * (nx + ny - same) - 1e-9
-            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(ok)) for k in (0, 1)], ["a", "b"])
 
-    return run
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
-    return staged(both.mapInArrow(_similar(threshold), "a long, b long"), "links")
+    return staged(both.mapInArrow(_similarities, "a long, b long, sim double"), "compared")
+
+
+def _labelled(df: DataFrame, labels: DataFrame, node: str, name: str) -> DataFrame:
+    """Adds a node's component; a node without links is its own."""
+    out = df.join(labels.select(F.col("node").alias(node), F.col("label").alias(name)), node, "left")
+    return out.withColumn(name, F.coalesce(name, node))
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after more links: components of the components that these links join."""
+    ends = _labelled(_labelled(links, labels, "a", "la"), labels, "b", "lb")
+    moved = components(ends.select(F.col("la").alias("a"), F.col("lb").alias("b"))).withColumnsRenamed({"node": "label", "label": "_new"})
+    moved = staged(moved, "moved")
+    lone = moved.join(labels.select(F.col("node").alias("label")), "label", "left_anti").select(F.col("label").alias("node"), "label")
+    out = labels.union(lone).join(moved, "label", "left")
+    return staged(out.select("node", F.coalesce("_new", "label").alias("label")), "labels")
 
 
 def _identity(df: DataFrame, column: str) -> DataFrame:
@@ -208,31 +221,34 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFra
     full = _identity(texts.mapInArrow(_digested, "doc_id long, text string, _digest binary"), "doc_id")
     sets = staged(full.join(wanted, ["_digest", "_id", "_none"]).select("node", "text").mapInArrow(_sets, "node long, shingles array<long>"), "sets")
 
-    pair = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-    tested = staged(members.filter("node <> centre").select(*pair("node", "centre")).distinct(), "pairs")
-    links = _verified(tested, sets, threshold)
-    labels = staged(components(links), "labels")
-
-    def labelled(df: DataFrame, node: str, name: str) -> DataFrame:
-        out = df.join(labels.select(F.col("node").alias(node), F.col("label").alias(name)), node, "left")
-        return out.withColumn(name, F.coalesce(name, node))
-
-    outside = labelled(labelled(members, "node", "own"), "centre", "main").filter("own <> main")
-    outside = outside.select("key", "node", F.row_number().over(Window.partitionBy("key").orderBy("node")).alias("nth"))
-    outside = staged(outside, "outside")
-    most = outside.agg(F.max("nth")).first()[0] or 0
-    for block in range(0, most, BLOCK):
-        now = labelled(outside.filter(F.col("nth").between(block + 1, block + BLOCK)), "node", "own").select("key", F.col("node").alias("x"), F.col("own").alias("own_x"))
-        rest = labelled(members, "node", "own").select("key", F.col("node").alias("y"), F.col("own").alias("own_y"))
-        fresh = now.join(rest, "key").filter("own_x <> own_y").select(*pair("x", "y")).distinct()
-        fresh = staged(fresh.join(tested, ["a", "b"], "left_anti"), "pairs")
-        more = _verified(fresh, sets, threshold)
-        tested = tested.union(fresh)
-        if not more.isEmpty():
-            links = staged(links.union(more), "links")
-            labels = staged(components(links), "labels")
+    far = 1 - threshold + 1e-9
+    stars = members.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    compared = _compared(stars, sets)
+    labels = staged(components(compared.filter(F.col("sim") >= threshold - 1e-9)), "labels")
+    known = compared.select(F.col("a").alias("centre"), F.col("b").alias("node"), (1 - F.col("sim")).alias("far"))
+    members = staged(members.join(known, ["centre", "node"], "left").withColumn("far", F.coalesce("far", F.lit(0.0))), "members")
+
+    # Jaccard distance is a metric: two members whose distances to their centre differ by more cannot be that close.
+    outside, block, tested = members, 0, compared.select("a", "b")
+    while True:
+        outside = _labelled(_labelled(outside, labels, "node", "own"), labels, "centre", "main").filter("own <> main")
+        outside = outside.select("key", "node", "centre", "far", F.row_number().over(Window.partitionBy("key").orderBy("node")).alias("nth"))
+        outside = staged(outside, "outside")
+        if outside.isEmpty():
+            break
+        block = min(BLOCK, max(1, 4 * block))
+        x = _labelled(outside.filter(F.col("nth") <= block), labels, "node", "own").select("key", F.col("node").alias("x"), F.col("far").alias("far_x"), F.col("own").alias("own_x"))
+        y = _labelled(members, labels, "node", "own").select("key", F.col("node").alias("y"), F.col("far").alias("far_y"), F.col("own").alias("own_y"))
+        pairs = x.join(y, "key").filter((F.col("own_x") != F.col("own_y")) & (F.abs(F.col("far_x") - F.col("far_y")) <= far))
+        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+        more = _compared(pairs, sets)
+        tested = tested.union(more.select("a", "b"))
+        links = more.filter(F.col("sim") >= threshold - 1e-9)
+        if not links.isEmpty():
+            labels = _merged(labels, links)
+        outside = outside.filter(F.col("nth") > block).drop("nth")
     first = F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "digest"))
-    named = labelled(classes.drop("keys"), "node", "label")
+    named = _labelled(classes.drop("keys"), labels, "node", "label")
     heads = named.groupBy("label").agg(first.alias("head"), F.sum("copies").alias("class_size"))
     facts = named.join(staged(heads, "heads"), "label").select(
         "digest", F.col("head.rep").alias("class_id"), F.col("head.digest").alias("keep_digest"), F.col("head.rep").alias("keep_id"), "class_size"
