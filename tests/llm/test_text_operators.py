@@ -91,6 +91,28 @@ def test_chain_of_near_copies_is_one_class(spark):
     assert Counter((r.doc_id, r.class_id, r.class_size) for r in got) == near_classes(rows_of(docs))
 
 
+def test_labels_merge_with_more_links(spark):
+    labels = spark.createDataFrame([(1, 1), (2, 1), (5, 5), (6, 5), (8, 8), (9, 8)], "node long, label long")
+    links = spark.createDataFrame([(2, 6), (9, 20), (30, 31)], "a long, b long")
+    got = {r.node: r.label for r in near_dedup._merged(labels, links).collect()}
+    assert got == {1: 1, 2: 1, 5: 1, 6: 1, 8: 8, 9: 8, 20: 8, 30: 30, 31: 30}
+
+
+def test_copies_around_a_lost_centre(spark):
+    """Copies of a text with random edits: many are too far from the least of them, but close to one another."""
+    r = np.random.default_rng(5)
+    base = [f"t{i}" for i in range(150)]
+    texts = []
+    for k in range(60):
+        now = list(base)
+        for p in r.integers(0, 150, 4 if k else 6):
+            now[p] = f"e{k}x{p}"
+        texts.append((k, " ".join(now), "en", "s", 1))
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string, source string, n_chars long")
+    got = near_dedup.near_dedup(docs).collect()
+    assert Counter((r.doc_id, r.class_id, r.class_size) for r in got) == near_classes(rows_of(docs))
+
+
 @pytest.mark.parametrize("kind", ["set", "weights"])
 def test_dart_minhash_estimates_weighted_jaccard(kind):
     r = np.random.default_rng(0)

@@ -192,8 +192,8 @@ def _labelled(df: DataFrame, labels: DataFrame, node: str, name: str) -> DataFra
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     """Labels after more links: components of the components that these links join."""
     ends = _labelled(_labelled(links, labels, "a", "la"), labels, "b", "lb")
-    moved = components(ends.select(F.col("la").alias("a"), F.col("lb").alias("b"))).withColumnsRenamed({"node": "label", "label": "_new"})
-    moved = staged(moved, "moved")
+    moved = components(ends.select(F.col("la").alias("a"), F.col("lb").alias("b")))
+    moved = staged(moved.select(F.col("node").alias("label"), F.col("label").alias("_new")), "moved")
     lone = moved.join(labels.select(F.col("node").alias("label")), "label", "left_anti").select(F.col("label").alias("node"), "label")
     out = labels.union(lone).join(moved, "label", "left")
     return staged(out.select("node", F.coalesce("_new", "label").alias("label")), "labels")
