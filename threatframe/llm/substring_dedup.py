@@ -30,6 +30,7 @@ WINDOW = 50
 GRAM = 10  #: words that an anchor's hash covers
 BLOCK = 4096  #: counters of a sketch block, in two rows
 PER_BLOCK = 256  #: anchors that a block is meant for
+UNIT = 4096  #: blocks that one merge takes, at most
 EMPTY = hashlib.sha256(b"").hexdigest()
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95))
 
@@ -95,33 +96,39 @@ def _cells(low: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
     return block, np.stack([g & half, ((g >> np.uint64(20)) & half) + np.uint64(BLOCK // 2)], axis=1).astype(np.int64)
 
 
-def _partial_sketch(blocks: int):
+def _partial_sketch(blocks: int, width: int):
+    """Anchors -> (unit, cells): the cells that this batch counts once, or twice (counters saturate at 2). A unit is
+    `width` neighbouring blocks, so that a batch makes few rows."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             low = np.asarray(batch.column(0).flatten()).view(np.uint64)
             block, cells = _cells(low, blocks)
             key, n = np.unique((block[:, None] * BLOCK + cells).ravel(), return_counts=True)
-            key = np.repeat(key, np.minimum(n, 2))  # counters saturate at 2
+            key = np.repeat(key, np.minimum(n, 2))
             if not len(key):
                 continue
-            of, begin = np.unique(key // BLOCK, return_index=True)
-            offs = (2 * np.append(begin, len(key))).astype(np.int32)
-            data = (key % BLOCK).astype("<u2").tobytes()
+            of, begin = np.unique(key // (width * BLOCK), return_index=True)
+            offs = (4 * np.append(begin, len(key))).astype(np.int32)
+            data = (key % (width * BLOCK)).astype("<u4").tobytes()
             cells_col = pa.Array.from_buffers(pa.binary(), len(of), [None, pa.py_buffer(offs.tobytes()), pa.py_buffer(data)])
-            yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), cells_col], ["block", "cells"])
+            yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), cells_col], ["unit", "cells"])
 
     return run
 
 
-def _merged_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, lists of cells) -> (block, a bit for each cell that was counted twice or more)."""
-    for batch in batches:
-        bits = []
-        for parts in batch.column(1).to_pylist():
-            count = np.bincount(np.frombuffer(b"".join(parts), "<u2"), minlength=BLOCK)
-            bits.append(np.packbits(count >= 2, bitorder="little").view(np.int64))
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(bits) + 1) * (BLOCK // 64), pa.int32()), pa.array(np.concatenate(bits) if bits else np.zeros(0, np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["block", "bits"])
+def _merged_sketch(width: int):
+    """(unit, lists of cells) -> (block, a bit for each cell that was counted twice or more)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for unit, parts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                count = np.bincount(np.frombuffer(b"".join(p.as_py() for p in parts.values), "<u4"), minlength=width * BLOCK)
+                bits = np.packbits(count >= 2, bitorder="little").view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(width + 1) * (BLOCK // 64), pa.int32()), pa.array(bits))
+                yield pa.RecordBatch.from_arrays([pa.array(unit * width + np.arange(width)), lists], ["block", "bits"])
+
+    return run
 
 
 def _placed(blocks: int):
@@ -142,8 +149,9 @@ def estimated_repeated(classes: DataFrame) -> DataFrame:
     """(digest, anchors) of one row per class -> (digest, anchors that the sketch counts twice or more)."""
     total = classes.agg(F.sum(F.size("anchors"))).first()[0] or 0
     blocks = max(64, -(-total // PER_BLOCK))
-    partial = classes.select("anchors").mapInArrow(_partial_sketch(blocks), "block long, cells binary")
-    sketch = partial.groupBy("block").agg(F.collect_list("cells").alias("cells")).mapInArrow(_merged_sketch, "block long, bits array<long>")
+    width = max(1, min(UNIT, blocks // 256))
+    partial = classes.select("anchors").mapInArrow(_partial_sketch(blocks, width), "unit long, cells binary")
+    sketch = partial.groupBy("unit").agg(F.collect_list("cells").alias("cells")).mapInArrow(_merged_sketch(width), "block long, bits array<long>")
     sketch = staged(sketch, "sketch")
     placed = classes.select("digest", "anchors").mapInArrow(_placed(blocks), "digest binary, anchor long, block long, c0 int, c1 int")
     bit = lambda c: F.expr(f"shiftrightunsigned(bits[shiftright({c}, 6)], {c} & 63) & 1") == 1
@@ -157,11 +165,12 @@ def _text_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.binary())], ["_id", "text", "digest"])
 
 
-SEGMENTS = "digest binary, text string, first_word array<int>, windows array<int>, upto array<int>, anchor array<long>, seg1 array<long>, seg2 array<long>, win1 array<long>, win2 array<long>"
+SEGMENTS = "digest binary, text string, first_word array<int>, windows array<int>, anchor array<long>, seg1 array<long>, seg2 array<long>"
+WINDOWS = "anchor long, seg1 long, seg2 long, first_id long, at int, win1 long, win2 long"
 
 
 def _segments(window: int):
-    """(digest, text, anchors) -> the text's segments with those anchors, and their windows' hashes in one list."""
+    """(digest, text, anchors) -> the text's segments with those anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -181,23 +190,32 @@ def _segments(window: int):
             h = w.hashes()
             a, b = start[begin], start[begin] + size + window - 1
             seg = [range_hash(h, a, b, base).view(np.int64) for base in _BASES]
-            win = [range_hash(h, start, start + window, base).view(np.int64) for base in _BASES]
-            per_doc = lambda d: pa.array(np.concatenate(([0], np.cumsum(np.bincount(d, minlength=batch.num_rows)))).astype(np.int32))
-            s_offs, w_offs = per_doc(doc[begin]), per_doc(doc)
+            offs = pa.array(np.concatenate(([0], np.cumsum(np.bincount(doc[begin], minlength=batch.num_rows)))).astype(np.int32))
             first_word = (a - w.first[doc[begin]]).astype(np.int32)
-            col = pa.ListArray.from_arrays
+            lists = [pa.ListArray.from_arrays(offs, pa.array(x)) for x in (first_word, size.astype(np.int32), low[begin].view(np.int64), *seg)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], ["digest", "text", "first_word", "windows", "anchor", "seg1", "seg2"])
+
+    return run
+
+
+def _windows(window: int):
+    """(text, list of segments) -> a row for each window of those segments."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            w = Words(*raw_text(batch.column(0)))
+            lists = batch.column(1)
+            of = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(lists.offsets)))
+            seg = lists.flatten()
+            field = lambda name: seg.field(seg.type.get_field_index(name))
+            n, first_word = np.asarray(field("windows")).astype(np.int64), np.asarray(field("first_word"))
+            which = np.repeat(np.arange(len(n)), n)
+            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            start = (w.first[of] + first_word)[which] + at
+            win = [range_hash(w.hashes(), start, start + window, base).view(np.int64) for base in _BASES]
+            take = pa.array(which)
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    batch.column(1),
-                    col(s_offs, pa.array(first_word)),
-                    col(s_offs, pa.array(size.astype(np.int32))),
-                    col(s_offs, pa.array(((begin + size) - np.searchsorted(doc, doc[begin])).astype(np.int32))),
-                    col(s_offs, pa.array(low[begin].view(np.int64))),
-                    *(col(s_offs, pa.array(x)) for x in seg),
-                    *(col(w_offs, pa.array(x)) for x in win),
-                ],
-                ["digest", "text", "first_word", "windows", "upto", "anchor", "seg1", "seg2", "win1", "win2"],
+                [*(field(k).take(take) for k in ("anchor", "seg1", "seg2", "first_id")), pa.array(at.astype(np.int32)), *map(pa.array, win)], ["anchor", "seg1", "seg2", "first_id", "at", "win1", "win2"]
             )
 
     return run
@@ -255,18 +273,17 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     found = staged(found.mapInArrow(_segments(window), SEGMENTS), "segments")
 
     # Segments: exact groups by 128 bits; the smallest doc_id that holds each.
-    flat = found.filter(F.size("windows") > 0).select("digest", "win1", "win2", F.explode(F.arrays_zip("first_word", "windows", "anchor", "seg1", "seg2", "upto")).alias("s"))
-    flat = flat.select("digest", "s.*", F.expr("slice(win1, s.upto - s.windows + 1, s.windows)").alias("win1"), F.expr("slice(win2, s.upto - s.windows + 1, s.windows)").alias("win2"))
-    flat = staged(flat.drop("upto"), "segment-rows").join(classes.select("digest", "min_id"), "digest")
-    groups = flat.groupBy("anchor", "seg1", "seg2").agg(F.min("min_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
-    groups = staged(groups, "groups")
+    flat = found.select("digest", F.explode(F.arrays_zip("first_word", "windows", "anchor", "seg1", "seg2")).alias("s")).select("digest", "s.*")
+    flat = staged(flat.join(classes.select("digest", "min_id"), "digest"), "segment-rows")
+    one = F.min(F.struct("digest", "first_word", "windows")).alias("one")
+    groups = staged(flat.groupBy("anchor", "seg1", "seg2").agg(F.min("min_id").alias("first_id"), F.count(F.lit(1)).alias("n"), one), "groups")
     several = groups.groupBy("anchor").agg(F.count(F.lit(1)).alias("variants")).filter("variants > 1")
-    several = staged(several, "several")
 
     # Windows of anchors with several different segments: each different segment brings its windows once.
-    one = flat.join(several.select("anchor"), "anchor").groupBy("anchor", "seg1", "seg2").agg(F.min("min_id").alias("first_id"), F.first(F.struct("win1", "win2")).alias("w"))
-    wins = one.select("anchor", "seg1", "seg2", "first_id", F.posexplode(F.arrays_zip("w.win1", "w.win2")).alias("at", "x")).select("anchor", "seg1", "seg2", "first_id", "at", "x.*")
-    wins = staged(wins, "windows")
+    parts = groups.join(staged(several.select("anchor"), "several"), "anchor").select("one.*", "anchor", "seg1", "seg2", "first_id")
+    parts = parts.groupBy("digest").agg(F.collect_list(F.struct("first_word", "windows", "anchor", "seg1", "seg2", "first_id")).alias("segs"))
+    texts_of = found.select("digest", "text").dropDuplicates(["digest"])
+    wins = staged(texts_of.join(parts, "digest").select("text", "segs").mapInArrow(_windows(window), WINDOWS), "windows")
     firsts = staged(wins.groupBy("win1", "win2").agg(F.min("first_id").alias("first")), "window-groups")
     firsts = wins.join(firsts, ["win1", "win2"]).groupBy("anchor", "seg1", "seg2").agg(F.array_sort(F.collect_list(F.struct("at", "first"))).alias("f"))
     facts = groups.join(firsts, ["anchor", "seg1", "seg2"], "left").filter((F.col("n") > 1) | F.col("f").isNotNull())
@@ -276,7 +293,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         F.coalesce(F.col("first_id") < F.col("min_id"), F.col("first_id").isNotNull() & F.col("min_id").isNull()) | F.exists("firsts", lambda f: F.coalesce(f < F.col("min_id"), F.lit(True)))
     )
     spans = spans.groupBy("digest").agg(F.first("min_id").alias("min_id"), F.collect_set(F.struct("first_word", "windows", "first_id", "firsts")).alias("spans"))
-    results = spans.join(found.select("digest", "text").dropDuplicates(["digest"]), "digest").select("digest", "min_id", "text", "spans")
+    results = spans.join(texts_of, "digest").select("digest", "min_id", "text", "spans")
     results = results.mapInArrow(_kept(window), "digest binary, removed long, sha string")
     results = classes.select("digest", "min_id").join(results, "digest", "left")
     results = staged(results, "kept")
