@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from threatframe import queries as registry
+from threatframe.queries import detection, reports, text  # noqa: F401  (they register their queries)
+
 
 def queries() -> dict:
-    return {}
+    return dict(registry.FOUND)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(registry.SQL)

@@ -1 +1 @@
-"""threatframe.plans"""
+"""threatframe.plans: shipped rule sets and reference data."""
