@@ -18,8 +18,11 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: lineage ends there, and every consumer shares it."""
+def staged(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back: lineage ends there, and every consumer shares it.
+
+    by: a column of few values; a filter on it then reads only its own files.
+    """
     path = f"{shared_dir(df.sparkSession)}/threatframe-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

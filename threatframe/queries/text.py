@@ -94,7 +94,7 @@ INDICATORS = """SELECT src_ip AS value, 'ipv4' AS type, count(*) AS related_even
 def e03(spark: SparkSession, sf: str) -> DataFrame:
     e = security_events(spark, sf).withColumn("threat_type", F.col("event_type")).withColumn("text", F.concat(F.lit("seen "), "src_ip"))
     agg = indicators.aggregate_indicators(indicators.indicator_table(e, "text").filter("type = 'ipv4'"))
-    return agg.select("value", "related_events", F.unix_micros("first_seen").alias("first_us"), F.unix_micros("last_seen").alias("last_us"), "confidence")
+    return agg.select("value", "related_events", F.unix_micros("first_seen").alias("first_us"), F.unix_micros("last_seen").alias("last_us"), F.round("confidence", 6).alias("confidence"))
 
 
 @query("e04_indicator_upsert", "SELECT src_ip AS value, max(epoch_us(ts)) AS seen_at, arg_max(event_id, (ts, event_id)) AS event_id FROM sec GROUP BY src_ip")
