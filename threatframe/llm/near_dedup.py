@@ -5,12 +5,12 @@ region weight x rank of each element, so that about k ln k + 2k of them lie unde
 coordinates keeps its dart of least rank. Two texts keep the same dart with the probability of their weighted Jaccard
 similarity. Runs of ROWS coordinates are band keys; texts that share one are candidates.
 
-Texts of equal words are one class from the start. A bucket links its members to its least member (a star), not to each
-other. Links are verified exactly on the shingle sets. Where a bucket's members are still in different components,
-members outside the centre's component become centres themselves, a block at a time (1, 4, 16, 64): each is compared with the
-bucket's members of other components, leaving out those that the triangle inequality of the Jaccard distance rules
-out. This ends when every member outside the centre's component has been a centre, so no pair of a bucket that could
-join two components is untested.
+Texts of equal words are one class from the start. A bucket links its members to its most popular member, the centre, not
+to each other; links are verified exactly on the shingle sets. Where a bucket's members are still in different
+components, members outside the centre's component are held against the bucket's members of other components, a block
+at a time (4, 64, 1024, ...). Exact upper bounds, from what each has in common with the centre and a bitmap of the
+rest, leave only the few pairs that can be similar enough; those are verified like the others. No pair of a bucket that
+could join two components stays untested.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ SHINGLE = 5
 THRESHOLD = 0.8
 COORDINATES = 80
 ROWS = 4  #: of a band; 20 bands miss a pair of similarity 0.8 once in 38,000
-BLOCK = 64  #: outsiders of a bucket that one round compares, at most
+BITMAP = 16  #: longs of the bitmap of shingles outside the centre
 _SHINGLE_BASE = np.uint64(0xA0761D6478BD642F)
 _FINE = np.array([0, 1 / 64, 1 / 16, 1 / 4, 1])  #: rank slabs below 1; from there on they are one wide
 
@@ -163,24 +163,60 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _similarities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, shingles of a, shingles of b) -> (a, b, exact Jaccard similarity)."""
+    """(centre, node, their shingles) -> exact Jaccard similarity, common shingles, the node's size, and a bitmap of the
+    node's shingles that the centre lacks."""
     for batch in batches:
         x, y = batch.column(2), batch.column(3)
         nx, ny = (np.diff(np.asarray(c.offsets)) for c in (x, y))
-        of = np.concatenate([np.repeat(np.arange(batch.num_rows), m) for m in (nx, ny)])
-        h = np.concatenate([np.asarray(c.flatten()).view(np.uint64) for c in (x, y)])
-        key = h ^ mix(of.astype(np.uint64) + np.uint64(1))
-        order = np.argsort(key)
-        key = key[order]
-        same = np.bincount(of[order][1:][key[1:] == key[:-1]], minlength=batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(same / np.maximum(nx + ny - same, 1))], ["a", "b", "sim"])
+        own = np.asarray(y.flatten()).view(np.uint64)
+        of_own = np.repeat(np.arange(batch.num_rows), ny)
+        salt = mix(np.arange(1, batch.num_rows + 1, dtype=np.uint64))
+        theirs = np.asarray(x.flatten()).view(np.uint64) ^ np.repeat(salt, nx)
+        common = np.isin(own ^ salt[of_own], theirs)
+        same = np.bincount(of_own[common], minlength=batch.num_rows)
+        bits = np.zeros((batch.num_rows, 64 * BITMAP), np.uint8)
+        bits[of_own[~common], (mix(own[~common]) % np.uint64(64 * BITMAP)).astype(np.int64)] = 1
+        bits = np.packbits(bits, axis=1, bitorder="little").view(np.int64)
+        long = lambda v: pa.array(v.astype(np.int64))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array(same / np.maximum(nx + ny - same, 1)), long(same), long(ny), *(pa.array(bits[:, k]) for k in range(BITMAP))],
+            ["centre", "node", "sim", "common", "size", *(f"b{k}" for k in range(BITMAP))],
+        )
+
+
+COMPARED = "centre long, node long, sim double, common long, size long, " + ", ".join(f"b{k} long" for k in range(BITMAP))
 
 
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
-    return staged(both.mapInArrow(_similarities, "a long, b long, sim double"), "compared")
+    left = sets.select(F.col("node").alias("centre"), F.col("shingles").alias("sa"))
+    right = sets.select("node", F.col("shingles").alias("sb"))
+    both = pairs.join(left, "centre").join(right, "node").select("centre", "node", "sa", "sb")
+    return staged(both.mapInArrow(_similarities, COMPARED), "compared")
+
+
+def _can_link(threshold: float):
+    """Whether members x and y of a bucket can be similar enough, from what each has in common with the centre: at most
+    the smaller of the two common parts, and those shingles outside the centre whose bits both have."""
+    missing = lambda a, b: sum((F.bit_count(F.col(f"{a}_b{k}").bitwiseAND(F.bitwise_not(f"{b}_b{k}"))) for k in range(BITMAP)), F.lit(0))
+    extra = F.least(F.col("x_size") - F.col("x_common") - missing("x", "y"), F.col("y_size") - F.col("y_common") - missing("y", "x"))
+    most = F.least("x_common", "y_common")
+    sizes = F.col("x_size") + F.col("y_size")
+    whole = F.least(F.col("x_size") - F.col("x_common"), F.col("y_size") - F.col("y_common"))
+    reach = lambda common: common * (1 + threshold) >= (threshold - 1e-9) * sizes
+    near = F.abs(F.col("x_sim") - F.col("y_sim")) <= 1 - threshold + 1e-9  # Jaccard distance is a metric
+    return near & reach(most + whole) & reach(most + extra)
+
+
+def _stars(groups: DataFrame) -> DataFrame:
+    """(key, node) -> (key, node, centre) of groups of two or more; the node in the most and largest groups is the
+    centre: a text that copies were made from shares most with them."""
+    sizes = staged(groups.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
+    members = staged(groups.join(sizes, "key"), "members")
+    popular = staged(members.groupBy("node").agg(F.sum("n").alias("pop")), "popular")
+    members = staged(members.drop("n").join(popular, "node"), "members")
+    best = F.max(F.struct("pop", (-F.col("node")).alias("late")))
+    centres = staged(members.groupBy("key").agg((-best["late"]).alias("centre")), "centres")
+    return staged(members.join(centres, "key").select("key", "node", "centre"), "members")
 
 
 def _labelled(df: DataFrame, labels: DataFrame, node: str, name: str) -> DataFrame:
@@ -212,40 +248,33 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFra
     classes = rows.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("keys").alias("keys"))
     classes = staged(classes.withColumn("node", F.monotonically_increasing_id()), "texts")
     banded = classes.select("node", F.explode("keys").alias("key"))
-    centres = banded.groupBy("key").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    centres = staged(centres.drop("n"), "centres")
-    members = staged(banded.join(centres, "key"), "members")
+    members = _stars(banded)
 
     # The shingle sets of all members, from one text of each class.
     wanted = _identity(classes.join(members.select("node").distinct(), "node"), "rep").select("node", F.col("digest").alias("_digest"), "_id", "_none")
     full = _identity(texts.mapInArrow(_digested, "doc_id long, text string, _digest binary"), "doc_id")
     sets = staged(full.join(wanted, ["_digest", "_id", "_none"]).select("node", "text").mapInArrow(_sets, "node long, shingles array<long>"), "sets")
 
-    far = 1 - threshold + 1e-9
-    stars = members.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    compared = _compared(stars, sets)
-    labels = staged(components(compared.filter(F.col("sim") >= threshold - 1e-9)), "labels")
-    known = compared.select(F.col("a").alias("centre"), F.col("b").alias("node"), (1 - F.col("sim")).alias("far"))
-    members = staged(members.join(known, ["centre", "node"], "left").withColumn("far", F.coalesce("far", F.lit(0.0))), "members")
-
-    # Jaccard distance is a metric: two members whose distances to their centre differ by more cannot be that close.
-    outside, block, tested = members, 0, compared.select("a", "b")
+    enough = F.col("sim") >= threshold - 1e-9
+    compared = _compared(members.filter("node <> centre").select("centre", "node").distinct(), sets)
+    links = lambda c: c.filter(enough).select(F.col("centre").alias("a"), F.col("node").alias("b"))
+    labels = staged(components(links(compared)), "labels")
+    outside, block = members.filter("node <> centre"), 0
     while True:
         outside = _labelled(_labelled(outside, labels, "node", "own"), labels, "centre", "main").filter("own <> main")
-        outside = outside.select("key", "node", "centre", "far", F.row_number().over(Window.partitionBy("key").orderBy("node")).alias("nth"))
-        outside = staged(outside, "outside")
+        nth = F.row_number().over(Window.partitionBy("key").orderBy("node"))
+        outside = staged(outside.select("key", "node", "centre", nth.alias("nth")), "outside")
         if outside.isEmpty():
             break
-        block = min(BLOCK, max(1, 4 * block))
-        x = _labelled(outside.filter(F.col("nth") <= block), labels, "node", "own").select("key", F.col("node").alias("x"), F.col("far").alias("far_x"), F.col("own").alias("own_x"))
-        y = _labelled(members, labels, "node", "own").select("key", F.col("node").alias("y"), F.col("far").alias("far_y"), F.col("own").alias("own_y"))
-        pairs = x.join(y, "key").filter((F.col("own_x") != F.col("own_y")) & (F.abs(F.col("far_x") - F.col("far_y")) <= far))
-        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        more = _compared(pairs, sets)
-        tested = tested.union(more.select("a", "b"))
-        links = more.filter(F.col("sim") >= threshold - 1e-9)
-        if not links.isEmpty():
-            labels = _merged(labels, links)
+        block = 16 * block or 4
+        facts = lambda m, k: _labelled(m.join(compared, ["centre", "node"]), labels, "node", "own").select("key", *(F.col(c).alias(f"{k}_{c}") for c in ("node", "own", *compared.columns[2:])))
+        x = facts(outside.filter(F.col("nth") <= block).drop("nth"), "x")
+        y = facts(members.filter("node <> centre").join(outside.select("key").distinct(), "key"), "y")
+        pairs = x.join(y, "key").filter((F.col("x_own") != F.col("y_own")) & _can_link(threshold))
+        pairs = pairs.select(F.least("x_node", "y_node").alias("centre"), F.greatest("x_node", "y_node").alias("node")).distinct()
+        more = links(_compared(staged(pairs, "pairs"), sets))
+        if not more.isEmpty():
+            labels = _merged(labels, more)
         outside = outside.filter(F.col("nth") > block).drop("nth")
     first = F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "digest"))
     named = _labelled(classes.drop("keys"), labels, "node", "label")
