@@ -20,6 +20,7 @@ from threatframe.llm.labelled import SEED, remainder, sample, texts_of
 
 SAMPLE = 6000  #: labelled texts that the model is fitted on, at most
 BITS = 18  #: of the hashed feature space
+CHUNK = 200  #: texts whose n-grams are taken at once in fitting
 SMOOTH = 1.0
 PENALTY = 1.0  #: C of the hinge loss
 EPOCHS = 12
@@ -79,20 +80,22 @@ class NbSvm:
         if len(set(y.tolist())) < 2:
             self.shift = 4.0 * (2 * y.mean() - 1) if len(y) else 0.0
             return self
-        doc, feature = ngrams(pa.array(texts, pa.string()), self.bits)
-        begin = np.searchsorted(doc, np.arange(len(texts) + 1))
+        sets: list[np.ndarray] = []
+        for k in range(0, len(texts), CHUNK):
+            part = texts[k : k + CHUNK]
+            doc, feature = ngrams(pa.array(part, pa.string()), self.bits)
+            sets += np.split(feature.astype(np.int32), np.searchsorted(doc, np.arange(1, len(part))))
         order = np.random.default_rng(seed).permutation(len(texts))
         apart, train = order[: len(order) // 5], order[len(order) // 5 :]
         if len(set(y[train].tolist())) < 2:
             train = order
-        used = np.isin(doc, train)
-        size = 1 << self.bits
-        p = SMOOTH + np.bincount(feature[used & (y[doc] == 1)], minlength=size)
-        q = SMOOTH + np.bincount(feature[used & (y[doc] == 0)], minlength=size)
+        counts = np.full((2, 1 << self.bits), SMOOTH)
+        for k in train:
+            counts[y[k], sets[k]] += 1  # a text's features are distinct
+        q, p = counts
         self.ratio = np.log((p / p.sum()) / (q / q.sum())).astype(np.float32)
         rows = []
-        for k in range(len(texts)):
-            f = feature[begin[k] : begin[k + 1]]
+        for f in sets:
             x = self.ratio[f]
             rows.append((f, x / max(np.linalg.norm(x), 1e-9)))
         self._descend([rows[k] for k in train], 2.0 * y[train] - 1, seed)
