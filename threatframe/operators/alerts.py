@@ -65,14 +65,15 @@ def candidates(rules: list[AlertRule], detections: DataFrame, incidents: DataFra
     return reduce(DataFrame.unionByName, out)
 
 
-def narratives(incidents: DataFrame) -> DataFrame:
-    """cluster, text: what the computed facts say."""
-    ts = F.transform("timeline", lambda t: F.unix_seconds(t.ts))
-    span = F.floor((F.array_max(ts) - F.array_min(ts)) / 60)
-    chain = correlate.kill_chain(incidents).select("cluster", "tactics", "stage")
-    j = incidents.join(chain, "cluster", "left")
+def narratives(incidents: DataFrame, entries: DataFrame | None = None) -> DataFrame:
+    """cluster, text: what the computed facts say. entries: all of them; without, those that the timelines show."""
+    entries = correlate.displayed(incidents) if entries is None else entries
+    ts = F.unix_seconds("ts")
+    facts = entries.groupBy("cluster").agg(F.count(F.lit(1)).alias("events"), F.floor((F.max(ts) - F.min(ts)) / 60).alias("span"))
+    chain = correlate.kill_chain(entries).select("cluster", "tactics", "stage")
+    j = incidents.join(facts, "cluster").join(chain, "cluster", "left")
     stage = F.when(F.col("tactics").isNotNull(), F.concat(F.lit("It reached: "), "tactics", F.lit(".")))
-    text = F.concat_ws(" ", F.format_string("%s around %s: %d events in %d minutes, risk %d (%s).", "title", "cluster", F.size("timeline"), span, "risk_score", "severity"), stage, lookup(F.col("title"), ADVICE, "Review the evidence."))
+    text = F.concat_ws(" ", F.format_string("%s around %s: %d events in %d minutes, risk %d (%s).", "title", "cluster", "events", "span", "risk_score", "severity"), stage, lookup(F.col("title"), ADVICE, "Review the evidence."))
     return j.select("cluster", text.alias("text"))
 
 
@@ -81,18 +82,18 @@ def incident_reports(incidents: DataFrame) -> DataFrame:
     return incidents.select("cluster", "title", "severity", "category", sure.alias("confidence"), F.slice("timeline", 1, 10).alias("evidence"), lookup(F.col("title"), ADVICE, "Review the evidence.").alias("recommendation"))
 
 
-def actors(incidents: DataFrame) -> tuple[DataFrame, DataFrame]:
+def actors(incidents: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(signals; cluster, actor): communities of linked incidents; an unlinked incident is its own."""
-    vectors = staged(correlate.signals(incidents), "signals")
+    vectors = staged(correlate.signals(entries), "signals")
     pairs = correlate.linked_pairs(vectors).select(F.col("left").alias("a"), F.col("right").alias("b"))
     labels = correlate.components(pairs.union(incidents.select(F.col("cluster").alias("a"), F.col("cluster").alias("b"))))
     named = labels.join(correlate.communities(labels), "label").select(F.col("node").alias("cluster"), F.col("name").alias("actor"))
     return vectors, staged(named, "actors")
 
 
-def knowledge_graph(incidents: DataFrame) -> tuple[DataFrame, DataFrame]:
+def knowledge_graph(incidents: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes (id, kind) and edges (source, target, kind, provenance) of incidents, techniques, indicators and actors."""
-    vectors, named = actors(incidents)
+    vectors, named = actors(incidents, entries)
     inc = lambda c: F.concat(F.lit("inc:"), c)
     sig = F.concat("signal", F.lit(":"), "value")
     nodes = incidents.select(inc("cluster").alias("id"), F.lit("incident").alias("kind")).unionByName(vectors.select(sig.alias("id"), F.col("signal").alias("kind"))).unionByName(named.select(F.col("actor").alias("id"), F.lit("actor").alias("kind")))
@@ -101,12 +102,12 @@ def knowledge_graph(incidents: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes.dropDuplicates(["id"]), edges.distinct()
 
 
-def actor_groups(incidents: DataFrame) -> DataFrame:
+def actor_groups(incidents: DataFrame, entries: DataFrame) -> DataFrame:
     """actor, incidents, posture (0 to 100) and what it is made of."""
-    vectors, named = actors(incidents)
+    vectors, named = actors(incidents, entries)
     shared = vectors.join(named, "cluster").groupBy("actor", "signal", "value").agg(F.count_distinct("cluster").alias("n")).filter("n > 1")
     reuse = shared.groupBy("actor").agg(F.count_if(F.col("signal") == "ioc").alias("iocs"), F.count_if(F.col("signal") == "technique").alias("techniques"), F.count_if(F.col("signal") == "cadence").alias("beats"))
-    stages = correlate.kill_chain(incidents).select("cluster", "stage")
+    stages = correlate.kill_chain(entries).select("cluster", "stage")
     g = incidents.select("cluster", "severity", "risk_score").join(named, "cluster").join(stages, "cluster", "left").groupBy("actor").agg(
         F.count(F.lit(1)).alias("incidents"), F.max(F.col("severity") == "CRITICAL").alias("critical"), F.max(F.col("severity") == "HIGH").alias("high"), F.coalesce(F.max("stage"), F.lit(0)).alias("stage"), F.max("risk_score").alias("top_risk"),
     )

@@ -11,7 +11,7 @@ from threatframe.functions.staging import staged
 from threatframe.operators.scoring import CRITICAL_CATEGORIES, band, normalize_category
 from threatframe.plans.rulesets import TACTICS, TECHNIQUES
 
-MEMBERS = 200  #: timeline entries of an incident
+MEMBERS = 200  #: entries of an incident's timeline, which is for display; facts come from `entries`
 
 #: Fixed values: (category, categories that make it a combination, title of the combination, title alone), in order.
 TITLES = (
@@ -82,13 +82,16 @@ def _title(categories: Column) -> Column:
 
 
 def incidents(clustered: DataFrame) -> DataFrame:
-    """One row per cluster of scored detections: score, band, class, title, reasons, timeline and cited events."""
+    """One row per cluster of scored detections: score, band, class, title, reasons, and the first entries of its timeline."""
     entry = F.transform("evidence", lambda e: F.struct(e.ts.alias("ts"), F.col("rule_id"), e.event_id.alias("event_id"), F.col("name").alias("rule_name"), F.col("severity"), e.excerpt.alias("excerpt")))
-    rows = clustered.withColumns({"_entries": entry, "_cat": normalize_category(F.col("category"))})
+    nth = F.row_number().over(Window.partitionBy("cluster").orderBy("t"))
+    shown = clustered.select("cluster", F.explode(entry).alias("t")).withColumn("_nth", nth).filter(F.col("_nth") <= MEMBERS)
+    shown = shown.groupBy("cluster").agg(F.array_sort(F.collect_list("t")).alias("timeline"))
+    rows = clustered.withColumn("_cat", normalize_category(F.col("category")))
     g = rows.groupBy("cluster").agg(
         F.max("risk_score").alias("_base"), F.count(F.lit(1)).alias("members"), F.array_sort(F.collect_set("_cat")).alias("categories"),
-        F.bool_or(F.col("followed_by").isNotNull()).alias("success"), F.slice(F.array_sort(F.flatten(F.collect_list("_entries"))), 1, MEMBERS).alias("timeline"),
-    )
+        F.bool_or(F.col("followed_by").isNotNull()).alias("success"),
+    ).join(shown, "cluster")
     several, broad = F.size("categories") >= 2, F.col("members") >= 3
     bonus = {"multi-stage behavior": (several, 10), "compromise chain completed": (F.col("success"), 10), "breadth of related detections": (broad, 5)}
     score = reduce(lambda a, b: a + F.when(b[0], b[1]).otherwise(0), bonus.values(), F.col("_base"))
@@ -105,6 +108,16 @@ def incidents(clustered: DataFrame) -> DataFrame:
     ).drop("_base")
 
 
+def entries(clustered: DataFrame, rows: DataFrame) -> DataFrame:
+    """(cluster, rule_id, entity, event_id, ts, src_ip, dst_ip, message): all events in the windows of a cluster's detections, one row each."""
+    return clustered.select("cluster", "rule_id", "entity").join(rows, ["rule_id", "entity"])
+
+
+def displayed(inc: DataFrame) -> DataFrame:
+    """The entries that the timelines show."""
+    return inc.select("cluster", F.explode("timeline").alias("t")).select("cluster", "t.*")
+
+
 def technique_table(spark) -> DataFrame:
     """(rule_id, place, technique, tactic): a few dozen rows of reference data."""
     return spark.createDataFrame([(r, k, t, tac) for r, ts in TECHNIQUES.items() for k, (t, tac) in enumerate(ts)], "rule_id string, place int, technique string, tactic string")
@@ -117,50 +130,55 @@ def with_techniques(found: DataFrame) -> DataFrame:
     return found.join(F.broadcast(table), "rule_id", "left").withColumn("techniques", F.coalesce("techniques", none))
 
 
-def _tactic_rows(inc: DataFrame) -> DataFrame:
-    """(cluster, rule_id, ts, technique, tactic, stage) of the timelines."""
-    rows = inc.select("cluster", F.explode("timeline").alias("t")).select("cluster", "t.rule_id", "t.ts", "t.event_id")
+def _tactic_rows(found: DataFrame) -> DataFrame:
+    """(cluster, rule_id, ts, technique, tactic, stage) of incident entries."""
+    rows = found.select("cluster", "rule_id", "ts", "event_id")
     stage = F.array_position(F.array(*map(F.lit, TACTICS)), F.col("tactic")).cast("int")
-    return rows.join(F.broadcast(technique_table(inc.sparkSession)), "rule_id").withColumn("stage", stage)
+    return rows.join(F.broadcast(technique_table(found.sparkSession)), "rule_id").withColumn("stage", stage)
 
 
-def kill_chain(inc: DataFrame) -> DataFrame:
+def kill_chain(found: DataFrame) -> DataFrame:
     """Per incident: tactics in their order, different techniques, evidence weight, furthest stage, progress."""
-    g = _tactic_rows(inc).groupBy("cluster").agg(
+    g = _tactic_rows(found).groupBy("cluster").agg(
         F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("stage", "tactic"))), lambda s: s.tactic), " > ").alias("tactics"),
         F.count_distinct("technique").alias("techniques"), F.count(F.lit(1)).alias("weight"), F.max("stage").alias("stage"),
     )
     return g.withColumn("progress", F.round(100 * F.col("stage") / len(TACTICS), 1))
 
 
-def phases(inc: DataFrame) -> DataFrame:
-    """Timelines by tactic, in the order of the tactics."""
-    g = _tactic_rows(inc).groupBy("cluster", "stage", "tactic")
+def phases(found: DataFrame) -> DataFrame:
+    """Incident entries by tactic, in the order of the tactics."""
+    g = _tactic_rows(found).groupBy("cluster", "stage", "tactic")
     return g.agg(F.count(F.lit(1)).alias("events"), F.min("ts").alias("started"), F.max("ts").alias("ended"))
 
 
-def annotate(events: DataFrame, inc: DataFrame) -> DataFrame:
+def annotate(events: DataFrame, inc: DataFrame, found: DataFrame) -> DataFrame:
     """Cited events take the incident's first category, unless they have a threat type, and half its risk if larger."""
-    cited = inc.select(F.explode("event_ids").alias("event_id"), F.element_at("categories", 1).alias("_cat"), F.floor(F.col("risk_score") / 2).cast("int").alias("_half"))
+    facts = inc.select("cluster", F.element_at("categories", 1).alias("_cat"), F.floor(F.col("risk_score") / 2).cast("int").alias("_half"))
+    cited = found.select("cluster", "event_id").join(facts, "cluster")
     cited = cited.groupBy("event_id").agg(F.max_by("_cat", F.struct("_half", "_cat")).alias("_cat"), F.max("_half").alias("_half"))
     out = events.join(cited, "event_id", "left")
     return out.withColumns({"threat_type": F.coalesce(F.nullif("threat_type", F.lit("")), "_cat"), "risk": F.greatest("risk", "_half")}).drop("_cat", "_half")
 
 
 def cadence(events: DataFrame, key: str) -> DataFrame:
-    """Median gap, in seconds, between the different time stamps of a key with three of them or more."""
-    stamps = events.select(key, F.unix_micros("ts").alias("_t")).distinct()
-    gap = F.col("_t") - F.lag("_t").over(Window.partitionBy(key).orderBy("_t"))
-    g = stamps.withColumn("_gap", gap).groupBy(key).agg(F.count("_gap").alias("gaps"), (F.median("_gap") / 1e6).alias("cadence_s"))
+    """Median gap, in seconds, between the different time stamps of a key with three of them or more.
+
+    Gaps are taken within hours and between the ends of a key's hours, so a busy key is spread over its hours.
+    """
+    stamps = events.select(key, F.unix_micros("ts").alias("_t")).filter("_t IS NOT NULL").distinct().withColumn("_hour", F.floor(F.col("_t") / 3_600_000_000))
+    within = stamps.select(key, (F.col("_t") - F.lag("_t").over(Window.partitionBy(key, "_hour").orderBy("_t"))).alias("_gap"))
+    ends = stamps.groupBy(key, "_hour").agg(F.min("_t").alias("_first"), F.max("_t").alias("_last"))
+    between = ends.select(key, (F.col("_first") - F.lag("_last").over(Window.partitionBy(key).orderBy("_hour"))).alias("_gap"))
+    g = within.unionByName(between).groupBy(key).agg(F.count("_gap").alias("gaps"), (F.median("_gap") / 1e6).alias("cadence_s"))
     return g.filter("gaps >= 2")
 
 
-def signals(inc: DataFrame) -> DataFrame:
-    """(cluster, signal, value, weight): techniques, quads in the evidence, and the rounded cadence of the timeline."""
-    tech = _tactic_rows(inc).select("cluster", F.lit("technique").alias("signal"), F.col("technique").alias("value"), F.lit(1.5).alias("weight"))
-    rows = inc.select("cluster", F.explode("timeline").alias("t")).select("cluster", "t.*")
-    ioc = rows.select("cluster", F.lit("ioc").alias("signal"), F.explode(F.regexp_extract_all("excerpt", F.lit(r"((?:[0-9]{1,3}\.){3}[0-9]{1,3})"), 1)).alias("value"), F.lit(2.0).alias("weight"))
-    beat = cadence(rows, "cluster").select("cluster", F.lit("cadence").alias("signal"), F.round(F.log2(F.col("cadence_s") + 1), 0).cast("string").alias("value"), F.lit(1.0).alias("weight"))
+def signals(found: DataFrame) -> DataFrame:
+    """(cluster, signal, value, weight) of incident entries: techniques, quads in the messages, and the rounded cadence."""
+    tech = _tactic_rows(found).select("cluster", F.lit("technique").alias("signal"), F.col("technique").alias("value"), F.lit(1.5).alias("weight"))
+    ioc = found.select("cluster", F.lit("ioc").alias("signal"), F.explode(F.regexp_extract_all("message", F.lit(r"((?:[0-9]{1,3}\.){3}[0-9]{1,3})"), 1)).alias("value"), F.lit(2.0).alias("weight"))
+    beat = cadence(found, "cluster").select("cluster", F.lit("cadence").alias("signal"), F.round(F.log2(F.col("cadence_s") + 1), 0).cast("string").alias("value"), F.lit(1.0).alias("weight"))
     return tech.unionByName(ioc).unionByName(beat).distinct()
 
 

@@ -109,8 +109,8 @@ def recommended_actions(df: DataFrame, key: str) -> DataFrame:
     return out.select(key, F.coalesce(F.array_distinct(F.transform("a", lambda x: x.action)), F.array(*map(F.lit, FALLBACK))).alias("actions"))
 
 
-def scores_of_evidence(incidents: DataFrame, scores: DataFrame, limit: float = 0.7) -> DataFrame:
-    """(cluster, peak, flagged, bump): anomaly scores of the cited events, worth up to 30 points."""
-    cited = incidents.select("cluster", F.explode("event_ids").alias("event_id")).join(scores, "event_id")
+def scores_of_evidence(entries: DataFrame, scores: DataFrame, limit: float = 0.7) -> DataFrame:
+    """(cluster, peak, flagged, bump): anomaly scores of an incident's different events, worth up to 30 points."""
+    cited = entries.select("cluster", "event_id").distinct().join(scores, "event_id")
     g = cited.groupBy("cluster").agg(F.max("score").alias("peak"), F.count_if(F.col("score") >= limit).alias("flagged"))
     return g.withColumn("bump", F.least(F.lit(30), F.round(F.col("peak") * 20) + F.least(F.lit(10), F.col("flagged") * 2)).cast("int"))

@@ -18,6 +18,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threatframe.operators.scoring import DOTTED_QUAD
+
 EVIDENCE = 50
 EXCERPT = 160
 _UNITS = {"s": 1, "m": 60, "h": 3600, "d": 86400}
@@ -116,14 +118,27 @@ def timeless(df: DataFrame, rule: Rule) -> DataFrame:
     return g.filter((F.col("timed") == 0) & (F.col("n") >= rule.threshold) & (F.col("value") >= rule.threshold)).select("entity", "value", stamp.alias("started"), stamp.alias("ended"))
 
 
-def with_evidence(hits: DataFrame, df: DataFrame) -> DataFrame:
-    """The first events of each hit's window, found again by its bounds."""
+def _inside(hits: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of each hit's window, found again by its bounds."""
     inside = (F.col("h.ended").isNull() & F.col("e.ts").isNull()) | F.col("e.ts").between(F.col("h.started"), F.col("h.ended"))
-    rows = df.select("entity", "event_id", "ts", F.substring("message", 1, EXCERPT).alias("excerpt"))
-    both = hits.alias("h").join(rows.alias("e"), (F.col("h.entity") == F.col("e.entity")) & inside).select("h.*", "e.event_id", "e.ts", "e.excerpt")
+    return hits.alias("h").join(rows.alias("e"), (F.col("h.entity") == F.col("e.entity")) & inside).select("h.*", *(f"e.{c}" for c in rows.columns if c != "entity"))
+
+
+def with_evidence(hits: DataFrame, df: DataFrame) -> DataFrame:
+    """Adds evidence, the first events of each hit's window to show, and has_address: whether any event of the window names one."""
+    address = F.coalesce(F.col("message").rlike(DOTTED_QUAD), F.lit(False)).alias("_address")
+    both = _inside(hits, df.select("entity", "event_id", "ts", F.substring("message", 1, EXCERPT).alias("excerpt"), address))
+    facts = both.groupBy("entity").agg(F.bool_or("_address").alias("has_address"))
     nth = F.row_number().over(Window.partitionBy("entity").orderBy("ts", "event_id"))
     first = both.withColumn("nth", nth).filter(F.col("nth") <= EVIDENCE)
-    return first.groupBy("entity", "value", "started", "ended").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "event_id", "ts", "excerpt"))), lambda s: s.dropFields("nth")).alias("evidence"))
+    return first.groupBy("entity", "value", "started", "ended").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "event_id", "ts", "excerpt"))), lambda s: s.dropFields("nth")).alias("evidence")).join(facts, "entity")
+
+
+def window_events(found: DataFrame, events: DataFrame, rules: Iterable[Rule]) -> DataFrame:
+    """(rule_id, entity, event_id, ts, src_ip, dst_ip, message): every event in the window of each detection, one row each, uncut."""
+    of = lambda r: found.filter(F.col("rule_id") == r.rule_id).select("rule_id", "entity", "started", "ended")
+    rows = lambda r: grouped(events, r).select("entity", "event_id", "ts", "src_ip", "dst_ip", "message")
+    return reduce(DataFrame.unionByName, [_inside(of(r), rows(r)).drop("started", "ended") for r in rules])
 
 
 def success_followup(hits: DataFrame, events: DataFrame) -> DataFrame:
@@ -147,7 +162,7 @@ def detect(events: DataFrame, rule: Rule) -> DataFrame:
     note = F.when(F.col("followed_by").isNotNull(), F.concat(F.lit("+ successful authentication followed ("), "followed_by", F.lit(")")))
     return hits.select(
         *(F.lit(getattr(rule, k)).alias(k) for k in ("rule_id", "name", "category", "severity", "threshold")),
-        F.array(*map(F.lit, rule.group_by)).alias("entity_type"), "entity", "value", "started", "ended", "evidence", "followed_by", "followed_at",
+        F.array(*map(F.lit, rule.group_by)).alias("entity_type"), "entity", "value", "started", "ended", "evidence", "has_address", "followed_by", "followed_at",
         F.array_compact(F.array(reason, note)).alias("reasons"),
     )
 

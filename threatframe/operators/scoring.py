@@ -37,7 +37,7 @@ def score_detections(found: DataFrame, targets: Column | None = None) -> DataFra
     factors = {
         "rule severity": lookup(F.upper("severity"), SEVERITY_POINTS, 10),
         "frequency": F.least(F.lit(20), over * 3 + F.when(F.col("value") >= F.col("threshold"), 5).otherwise(0)),
-        "high-confidence IOC in evidence": F.when(F.exists("evidence", lambda e: e.excerpt.rlike(DOTTED_QUAD)), 10).otherwise(0),
+        "high-confidence IOC in evidence": F.when(F.col("has_address"), 10).otherwise(0),
         "successful login followed the failures": F.when(F.col("followed_by").isNotNull(), 15).otherwise(0),
         "distinct targets": F.least(F.lit(10), targets * 2),
         "evidence volume": F.least(F.lit(5), F.floor(size / 5)),

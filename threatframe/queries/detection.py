@@ -194,7 +194,18 @@ def f04(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def incidents(spark: SparkSession, sf: str) -> DataFrame:
-    return staged(correlate.incidents(correlate.cluster(scoring.score_detections(detections(spark, sf)))), "incidents")
+    return cases(spark, sf)[0]
+
+
+def cases(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """(incidents; their entries: all events in the windows of their detections)."""
+    members = staged(correlate.cluster(scoring.score_detections(detections(spark, sf))), "members")
+    rows = correlate.entries(members, rules.window_events(members, security_events(spark, sf), DAYS))
+    return staged(correlate.incidents(members), "incidents"), staged(rows, "entries")
+
+
+def entries(spark: SparkSession, sf: str) -> DataFrame:
+    return cases(spark, sf)[1]
 
 
 @query("d07_attack_techniques", _all_best() + """ SELECT rule_id, entity, CASE rule_id WHEN 'BRUTE_FORCE_001' THEN 'T1110.001' WHEN 'PORT_SCAN_001' THEN 'T1046' WHEN 'HOST_SCAN_001' THEN 'T1018' ELSE 'T1190' END AS techniques FROM det""")
@@ -205,17 +216,17 @@ def d07(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("g07_kill_chain")
 def g07(spark: SparkSession, sf: str) -> DataFrame:
-    return correlate.kill_chain(incidents(spark, sf))
+    return correlate.kill_chain(entries(spark, sf))
 
 
 @query("f05_investigation_phases")
 def f05(spark: SparkSession, sf: str) -> DataFrame:
-    return correlate.phases(incidents(spark, sf)).select("cluster", "tactic", "stage", "events", F.unix_micros("started").alias("started_us"), F.unix_micros("ended").alias("ended_us"))
+    return correlate.phases(entries(spark, sf)).select("cluster", "tactic", "stage", "events", F.unix_micros("started").alias("started_us"), F.unix_micros("ended").alias("ended_us"))
 
 
 @query("d17_annotate_events")
 def d17(spark: SparkSession, sf: str) -> DataFrame:
-    out = correlate.annotate(security_events(spark, sf).withColumn("threat_type", F.lit(None).cast("string")), incidents(spark, sf))
+    out = correlate.annotate(security_events(spark, sf).withColumn("threat_type", F.lit(None).cast("string")), *cases(spark, sf))
     return out.filter("threat_type IS NOT NULL").select("event_id", "threat_type", "risk")
 
 
@@ -227,9 +238,9 @@ def f06(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("d12_incident_links")
 def d12(spark: SparkSession, sf: str) -> DataFrame:
-    return correlate.linked_pairs(correlate.signals(incidents(spark, sf)))
+    return correlate.linked_pairs(correlate.signals(entries(spark, sf)))
 
 
 @query("i02_incident_signals")
 def i02(spark: SparkSession, sf: str) -> DataFrame:
-    return correlate.signals(incidents(spark, sf))
+    return correlate.signals(entries(spark, sf))

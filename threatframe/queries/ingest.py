@@ -9,7 +9,7 @@ from threatframe.functions.staging import shared_dir, staged
 from threatframe.operators import anomaly, indicators, joins, normalize, quality, reports, rules, scoring
 from threatframe.operators.rules import Rule
 from threatframe.queries import query
-from threatframe.queries.detection import BRUTE, detections, incidents
+from threatframe.queries.detection import BRUTE, cases, detections, entries, incidents
 from threatframe.queries.text import lines as document_lines
 from threatframe.sinks import writers
 from threatframe.sources import formats, readers
@@ -153,7 +153,7 @@ def g09(spark: SparkSession, sf: str) -> DataFrame:
 def g11(spark: SparkSession, sf: str) -> DataFrame:
     from threatframe.operators import alerts
 
-    return alerts.narratives(incidents(spark, sf))
+    return alerts.narratives(*cases(spark, sf))
 
 
 @query("e32_incident_reports")
@@ -167,7 +167,7 @@ def e32(spark: SparkSession, sf: str) -> DataFrame:
 def i05(spark: SparkSession, sf: str) -> DataFrame:
     from threatframe.operators import alerts
 
-    nodes, edges = alerts.knowledge_graph(incidents(spark, sf))
+    nodes, edges = alerts.knowledge_graph(*cases(spark, sf))
     a = nodes.groupBy(F.lit("node").alias("part"), "kind").agg(F.count(F.lit(1)).alias("n"))
     return a.unionByName(edges.groupBy(F.lit("edge").alias("part"), "kind").agg(F.count(F.lit(1)).alias("n")))
 
@@ -176,7 +176,7 @@ def i05(spark: SparkSession, sf: str) -> DataFrame:
 def i06(spark: SparkSession, sf: str) -> DataFrame:
     from threatframe.operators import alerts
 
-    return alerts.actor_groups(incidents(spark, sf))
+    return alerts.actor_groups(*cases(spark, sf))
 
 
 @query("h01_feature_vectors", "SELECT event_id, CAST(hour(ts) AS DOUBLE) AS hour, CAST(isodow(ts) - 1 AS DOUBLE) AS weekday, CAST(length(message) AS DOUBLE) AS msg_len, CAST(dense_rank() OVER (ORDER BY event_type) - 1 AS DOUBLE) AS event_type_code FROM sec")
@@ -204,12 +204,12 @@ def e31(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("d08_evidence_scores")
 def d08(spark: SparkSession, sf: str) -> DataFrame:
-    return joins.scores_of_evidence(incidents(spark, sf), scored(spark, sf))
+    return joins.scores_of_evidence(entries(spark, sf), scored(spark, sf))
 
 
 @query("e25_rules_and_model")
 def e25(spark: SparkSession, sf: str) -> DataFrame:
-    cited = incidents(spark, sf).select(F.explode("event_ids").alias("event_id")).distinct().withColumn("rules", F.lit(True))
+    cited = entries(spark, sf).select("event_id").distinct().withColumn("rules", F.lit(True))
     odd = scored(spark, sf).filter("anomalous").select("event_id").withColumn("model", F.lit(True))
     j = cited.join(odd, "event_id", "full_outer")
     return j.agg(F.count_if(F.col("model").isNull()).alias("rules_only"), F.count_if(F.col("rules").isNull()).alias("model_only"), F.count_if(F.col("model") & F.col("rules")).alias("both"))
