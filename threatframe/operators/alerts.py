@@ -82,18 +82,19 @@ def incident_reports(incidents: DataFrame) -> DataFrame:
     return incidents.select("cluster", "title", "severity", "category", sure.alias("confidence"), F.slice("timeline", 1, 10).alias("evidence"), lookup(F.col("title"), ADVICE, "Review the evidence.").alias("recommendation"))
 
 
-def actors(incidents: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(signals; cluster, actor): communities of linked incidents; an unlinked incident is its own."""
+def actors(incidents: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(signals; linked pairs; cluster, actor): communities of linked incidents; an unlinked incident is its own."""
     vectors = staged(correlate.signals(entries), "signals")
-    pairs = correlate.linked_pairs(vectors).select(F.col("left").alias("a"), F.col("right").alias("b"))
+    links = staged(correlate.linked_pairs(vectors), "links")
+    pairs = links.select(F.col("left").alias("a"), F.col("right").alias("b"))
     labels = correlate.components(pairs.union(incidents.select(F.col("cluster").alias("a"), F.col("cluster").alias("b"))))
     named = labels.join(correlate.communities(labels), "label").select(F.col("node").alias("cluster"), F.col("name").alias("actor"))
-    return vectors, staged(named, "actors")
+    return vectors, links, staged(named, "actors")
 
 
 def knowledge_graph(incidents: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes (id, kind) and edges (source, target, kind, provenance) of incidents, techniques, indicators and actors."""
-    vectors, named = actors(incidents, entries)
+    vectors, _, named = actors(incidents, entries)
     inc = lambda c: F.concat(F.lit("inc:"), c)
     sig = F.concat("signal", F.lit(":"), "value")
     nodes = incidents.select(inc("cluster").alias("id"), F.lit("incident").alias("kind")).unionByName(vectors.select(sig.alias("id"), F.col("signal").alias("kind"))).unionByName(named.select(F.col("actor").alias("id"), F.lit("actor").alias("kind")))
@@ -103,19 +104,25 @@ def knowledge_graph(incidents: DataFrame, entries: DataFrame) -> tuple[DataFrame
 
 
 def actor_groups(incidents: DataFrame, entries: DataFrame) -> DataFrame:
-    """actor, incidents, posture (0 to 100) and what it is made of."""
-    vectors, named = actors(incidents, entries)
-    shared = vectors.join(named, "cluster").groupBy("actor", "signal", "value").agg(F.count_distinct("cluster").alias("n")).filter("n > 1")
-    reuse = shared.groupBy("actor").agg(F.count_if(F.col("signal") == "ioc").alias("iocs"), F.count_if(F.col("signal") == "technique").alias("techniques"), F.count_if(F.col("signal") == "cadence").alias("beats"))
+    """actor, incidents, confidence (mean of its links), posture (0 to 100) and what it is made of."""
+    _, links, named = actors(incidents, entries)
+    own = links.join(named, links["left"] == named["cluster"]).select("actor", "confidence", "signals")
+    sure = own.groupBy("actor").agg(F.round(F.avg("confidence"), 3).alias("confidence"))
+    shared = own.select("actor", F.explode("signals").alias("s")).groupBy("actor", "s.signal", "s.value").agg(F.count(F.lit(1)).alias("n"), F.max("s.weight").alias("weight"))
+    of = lambda kind: F.count_if(F.col("signal") == kind)
+    reuse = shared.groupBy("actor").agg(
+        F.sum(F.when(F.col("signal") == "ioc", F.col("n"))).alias("iocs"), F.count_if((F.col("signal") == "ioc") & (F.col("weight") >= correlate.WEIGHTS["ioc_feed"])).alias("feed"),
+        of("technique").alias("techniques"), of("geo").alias("geo"), of("cadence").alias("beats"),
+    )
     stages = correlate.kill_chain(entries).select("cluster", "stage")
     g = incidents.select("cluster", "severity", "risk_score").join(named, "cluster").join(stages, "cluster", "left").groupBy("actor").agg(
-        F.count(F.lit(1)).alias("incidents"), F.max(F.col("severity") == "CRITICAL").alias("critical"), F.max(F.col("severity") == "HIGH").alias("high"), F.coalesce(F.max("stage"), F.lit(0)).alias("stage"), F.max("risk_score").alias("top_risk"),
+        F.count(F.lit(1)).alias("incidents"), F.count_if(F.col("severity") == "CRITICAL").alias("critical"), F.count_if(F.col("severity") == "HIGH").alias("high"), F.sum(F.least(F.lit(20), 2 * F.coalesce("stage", F.lit(0)))).alias("stage"), F.max("risk_score").alias("top_risk"),
     )
-    j = g.join(reuse, "actor", "left").na.fill(0, ["iocs", "techniques", "beats"])
+    j = g.join(reuse, "actor", "left").join(sure, "actor", "left").na.fill(0, ["iocs", "feed", "techniques", "geo", "beats", "confidence"])
     points = {
-        "base": F.lit(15), "reuse": 5 * F.col("iocs"), "technique": F.when(F.col("techniques") > 0, 3).otherwise(0), "cadence": F.when(F.col("beats") > 0, 4).otherwise(0),
-        "severity": F.when(F.col("critical"), 6).when(F.col("high"), 3).otherwise(0), "stage": F.least(F.lit(20), 2 * F.col("stage")),
+        "base": F.lit(15), "reuse": 5 * F.col("iocs"), "feed": 10 * F.col("feed"), "technique": 3 * F.col("techniques"), "geo": F.when(F.col("geo") > 0, 4).otherwise(0), "cadence": F.when(F.col("beats") > 0, 4).otherwise(0),
+        "severity": 6 * F.col("critical") + 3 * F.col("high"), "stage": F.col("stage"),
     }
     total = reduce(lambda a, b: a + b, points.values())
     parts = F.concat_ws(", ", *(F.concat(F.lit(f"{k} +"), v.cast("string")) for k, v in points.items()))
-    return j.select("actor", "incidents", "top_risk", F.least(F.lit(100), total).cast("int").alias("posture"), parts.alias("breakdown"))
+    return j.select("actor", "incidents", "confidence", "top_risk", F.least(F.lit(100), total).cast("int").alias("posture"), parts.alias("breakdown"))

@@ -8,11 +8,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threatframe.functions.staging import staged
-from threatframe.operators.scoring import CRITICAL_CATEGORIES, band, normalize_category
+from threatframe.operators import joins
+from threatframe.operators.indicators import indicator_table
+from threatframe.operators.scoring import CRITICAL_CATEGORIES, DOTTED_QUAD, band, normalize_category
 from threatframe.plans.rulesets import TACTICS, TECHNIQUES
 
 MEMBERS = 200  #: entries of an incident's timeline, which is for display; facts come from `entries`
 
+#: Weight of a signal that two incidents share.
+WEIGHTS = {"ioc": 2.0, "ioc_feed": 4.0, "technique": 1.5, "geo": 0.5, "cadence": 1.0}
+
 #: Fixed values: (category, categories that make it a combination, title of the combination, title alone), in order.
 TITLES = (
     ("brute force", CRITICAL_CATEGORIES + ("privilege escalation",), "Possible Account Compromise", "Brute Force Attack"),
@@ -174,23 +179,60 @@ def cadence(events: DataFrame, key: str) -> DataFrame:
     return g.filter("gaps >= 2")
 
 
-def signals(found: DataFrame) -> DataFrame:
-    """(cluster, signal, value, weight) of incident entries: techniques, quads in the messages, and the rounded cadence."""
-    tech = _tactic_rows(found).select("cluster", F.lit("technique").alias("signal"), F.col("technique").alias("value"), F.lit(1.5).alias("weight"))
-    ioc = found.select("cluster", F.lit("ioc").alias("signal"), F.explode(F.regexp_extract_all("message", F.lit(r"((?:[0-9]{1,3}\.){3}[0-9]{1,3})"), 1)).alias("value"), F.lit(2.0).alias("weight"))
-    beat = cadence(found, "cluster").select("cluster", F.lit("cadence").alias("signal"), F.round(F.log2(F.col("cadence_s") + 1), 0).cast("string").alias("value"), F.lit(1.0).alias("weight"))
-    return tech.unionByName(ioc).unionByName(beat).distinct()
+def signals(found: DataFrame, ranges: DataFrame | None = None, feed: DataFrame | None = None) -> DataFrame:
+    """(cluster, signal, value, weight) of incident entries: techniques, indicators of all types in whole messages (those
+    of the feed weigh double), countries of public addresses, and the cadence in seconds.
+
+    An event counts with the first public address of its source and target. The countries of an incident weigh once.
+    """
+    spark = found.sparkSession
+    ranges, feed = joins.range_table(spark) if ranges is None else ranges, joins.feed_table(spark) if feed is None else feed
+    tech = _tactic_rows(found).select("cluster", F.lit("technique").alias("signal"), F.col("technique").alias("value"), F.lit(WEIGHTS["technique"]).alias("weight"))
+    known = feed.select(F.lower("value").alias("_v")).distinct().withColumn("_feed", F.lit(True))
+    iocs = indicator_table(found.select("cluster", "message")).select("cluster", F.lower("value").alias("_v")).distinct().join(F.broadcast(known), "_v", "left")
+    ioc = iocs.select("cluster", F.lit("ioc").alias("signal"), F.col("_v").alias("value"), F.when(F.col("_feed"), WEIGHTS["ioc_feed"]).otherwise(WEIGHTS["ioc"]).alias("weight"))
+    own = F.filter(F.split("cluster", ":"), lambda p: p.rlike(f"^{DOTTED_QUAD}$"))
+    ips = found.select("cluster", F.array("src_ip", "dst_ip").alias("_ips")).union(found.select("cluster", F.slice(own, 1, 1))).distinct()
+    each = ips.select("cluster", "_ips", F.posexplode("_ips").alias("_pos", "_addr")).filter("_addr IS NOT NULL")
+    public = joins.geo_lookup(each, ranges, "_addr").filter("kind = 'public' AND country IS NOT NULL")
+    first = public.groupBy("cluster", "_ips").agg(F.min_by("country", "_pos").alias("value"))
+    geo = first.select("cluster", F.lit("geo").alias("signal"), "value", F.lit(WEIGHTS["geo"]).alias("weight"))
+    beat = cadence(found, "cluster").select("cluster", F.lit("cadence").alias("signal"), F.col("cadence_s").cast("string").alias("value"), F.lit(WEIGHTS["cadence"]).alias("weight"))
+    return reduce(DataFrame.unionByName, (tech, ioc, geo, beat)).distinct()
+
+
+def shared_signals(vectors: DataFrame, least: float = 0.5) -> DataFrame:
+    """(left, right, signal, value, weight, total): what the pairs share that can reach `least` of the lighter total.
+
+    Only the lighter incident's rarest signals, those without which `least` is out of reach, look for partners; so a common
+    technique meets its holders only where it decides. Cadences c and d agree when the larger is at most
+    max(3, 1.25 times the smaller); each looks in its own band of width 1.3 and in the two beside it.
+    """
+    log = F.floor(F.log(F.greatest(F.lit(2.4), F.col("value").cast("double"))) / F.log(F.lit(1.3))).cast("string")
+    once = F.when(F.col("signal") == "geo", F.row_number().over(Window.partitionBy("cluster", "signal").orderBy("value")) == 1).otherwise(True)
+    keyed = vectors.withColumns({"key": F.when(F.col("signal") == "cadence", log).otherwise(F.col("value")), "_mass": F.when(once, F.col("weight")).otherwise(0.0)})
+    totals = keyed.groupBy("cluster").agg(F.sum("_mass").alias("total"))
+    use = keyed.groupBy("signal", "key").agg(F.count(F.lit(1)).alias("_use"))
+    rows = staged(keyed.join(totals, "cluster").join(use, ["signal", "key"]).drop("_mass"), "vectors")
+    rarest = Window.partitionBy("cluster").orderBy("_use", "signal", "key", "value").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    need = least * F.greatest(F.lit(1.0), F.col("total")) - 1e-9
+    seeds = rows.withColumn("_rest", F.sum("weight").over(rarest)).filter(F.col("_rest") >= need).drop("_rest")
+    near = F.when(F.col("signal") == "cadence", F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: (F.col("key").cast("int") + d).cast("string"))).otherwise(F.array("key"))
+    wide = rows.withColumn("key", F.explode(near))
+    a, b = seeds.alias("a"), wide.alias("b")
+    lighter = F.struct("a.total", "a.cluster") < F.struct("b.total", "b.cluster")
+    pairs = a.join(b, (F.col("a.signal") == F.col("b.signal")) & (F.col("a.key") == F.col("b.key")) & lighter).select(F.col("a.cluster").alias("_light"), F.col("b.cluster").alias("_heavy"), F.col("a.total").alias("total")).distinct()
+    light, heavy = rows.select(F.col("cluster").alias("_light"), "signal", "key", "value", "weight").alias("a"), wide.select(F.col("cluster").alias("_heavy"), "signal", "key", F.col("value").alias("_other")).alias("b")
+    both = pairs.join(light, "_light").join(heavy, ["_heavy", "signal", "key"])
+    lo, hi = (f(F.col("value").cast("double"), F.col("_other").cast("double")) for f in (F.least, F.greatest))
+    same = F.when(F.col("signal") == "cadence", hi <= F.greatest(F.lit(3.0), 1.25 * lo)).otherwise(F.col("value") == F.col("_other"))
+    return both.filter(same).select(F.least("_light", "_heavy").alias("left"), F.greatest("_light", "_heavy").alias("right"), "signal", "value", "weight", "total")
 
 
 def linked_pairs(vectors: DataFrame, least: float = 0.5) -> DataFrame:
-    """Incident pairs that share at least `least` of the lighter one's signal weight.
-
-    Candidates come from an equi-join on signals; a signal's holders meet in it, so only pairs that share one appear.
-    """
-    totals = vectors.groupBy("cluster").agg(F.sum("weight").alias("total"))
-    a, b = vectors.alias("a"), vectors.alias("b")
-    both = a.join(b, (F.col("a.signal") == F.col("b.signal")) & (F.col("a.value") == F.col("b.value")) & (F.col("a.cluster") < F.col("b.cluster")))
-    pairs = both.groupBy(F.col("a.cluster").alias("left"), F.col("b.cluster").alias("right")).agg(F.sum("a.weight").alias("shared"))
-    pairs = pairs.join(totals.withColumnsRenamed({"cluster": "left", "total": "tl"}), "left").join(totals.withColumnsRenamed({"cluster": "right", "total": "tr"}), "right")
-    confidence = F.least(F.lit(1.0), F.col("shared") / F.greatest(F.lit(1.0), F.least("tl", "tr")))
-    return pairs.withColumn("confidence", F.round(confidence, 4)).filter(F.col("confidence") >= least).select("left", "right", "shared", "confidence")
+    """Incident pairs that share at least `least` of the lighter one's signal weight; `signals` says what they share."""
+    once = F.when(F.col("signal") != "geo", F.col("weight")).otherwise(0.0)
+    geo = F.coalesce(F.max(F.when(F.col("signal") == "geo", F.col("weight"))), F.lit(0.0))
+    pairs = shared_signals(vectors, least).groupBy("left", "right", "total").agg((F.sum(once) + geo).alias("shared"), F.collect_list(F.struct("signal", "value", "weight")).alias("signals"))
+    confidence = F.least(F.lit(1.0), F.col("shared") / F.greatest(F.lit(1.0), F.col("total")))
+    return pairs.filter(confidence >= least).select("left", "right", "shared", F.round(confidence, 4).alias("confidence"), "signals")

@@ -238,7 +238,7 @@ def f06(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("d12_incident_links")
 def d12(spark: SparkSession, sf: str) -> DataFrame:
-    return correlate.linked_pairs(correlate.signals(entries(spark, sf)))
+    return correlate.linked_pairs(correlate.signals(entries(spark, sf))).drop("signals")
 
 
 @query("i02_incident_signals")
