@@ -5,11 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threatframe.functions.staging import staged
-from threatframe.operators import correlate, joins
+from threatframe.operators import correlate, indicators
 from threatframe.operators.scoring import lookup
 
 
@@ -42,16 +42,22 @@ RULES = [
 ADVICE = {"Brute Force Attack": "Block the source and reset the accounts it tried.", "Possible Account Compromise": "Isolate the host and reset its credentials.", "Web Application Attack": "Review the web application and its firewall."}
 
 
-def feed_indicators(spark: SparkSession) -> DataFrame:
-    return joins.feed_table(spark)
+def found_indicators(events: DataFrame, feed: DataFrame) -> DataFrame:
+    """The indicators of the events' addresses and messages, aggregated; the threat type is the feed's where it knows the value."""
+    text = F.concat_ws(" ", "src_ip", "dst_ip", "message")
+    own = F.col("threat_type") if "threat_type" in events.columns else F.lit(None).cast("string")
+    rows = events.select("ts", own.alias("threat_type"), text.alias("text"))
+    known = feed.select(F.lower("value").alias("_v"), F.col("threat_type").alias("_threat"))
+    agg = indicators.aggregate_indicators(indicators.indicator_table(rows, "text").select("value", "type", "confidence", "ts", "threat_type"))
+    return agg.join(F.broadcast(known), F.lower("value") == F.col("_v"), "left").withColumn("threat_type", F.coalesce("_threat", "threat_type")).drop("_v", "_threat")
 
 
-def candidates(rules: list[AlertRule], detections: DataFrame, incidents: DataFrame, indicators: DataFrame) -> DataFrame:
+def candidates(rules: list[AlertRule], detections: DataFrame, incidents: DataFrame, found: DataFrame) -> DataFrame:
     """(alert_rule, severity, entity, risk_score, facts, dedup_key), one row per rule and entity."""
     sources = {
         "detection": detections.select(F.array_join("entity", ":").alias("entity"), "risk_score", F.col("rule_id").alias("_rule"), F.col("category").alias("_cat"), F.lit(1.0).alias("_sure")),
         "incident": incidents.select(F.col("cluster").alias("entity"), "risk_score", F.lit(None).cast("string").alias("_rule"), F.col("category").alias("_cat"), F.lit(1.0).alias("_sure")),
-        "ioc": indicators.select(F.col("value").alias("entity"), F.lit(0).alias("risk_score"), F.lit(None).cast("string").alias("_rule"), F.col("threat_type").alias("_cat"), F.col("confidence").alias("_sure")),
+        "ioc": found.select(F.col("value").alias("entity"), F.lit(0).alias("risk_score"), F.lit(None).cast("string").alias("_rule"), F.col("threat_type").alias("_cat"), F.col("confidence").alias("_sure")),
     }
     out = []
     for r in rules:

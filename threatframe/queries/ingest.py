@@ -146,7 +146,7 @@ def g08(spark: SparkSession, sf: str) -> DataFrame:
 def g09(spark: SparkSession, sf: str) -> DataFrame:
     from threatframe.operators import alerts
 
-    return alerts.candidates(alerts.RULES, scoring.score_detections(detections(spark, sf)), incidents(spark, sf), alerts.feed_indicators(spark)).select("alert_rule", "severity", "entity", "risk_score", "facts")
+    return alerts.candidates(alerts.RULES, scoring.score_detections(detections(spark, sf)), incidents(spark, sf), alerts.found_indicators(security_events(spark, sf), joins.feed_table(spark))).select("alert_rule", "severity", "entity", "risk_score", "facts")
 
 
 @query("g11_incident_narrative")
