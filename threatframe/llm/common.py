@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +29,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is configured (tests, one machine)."""
+    """The cluster's shared checkpoint folder. Where none is configured, a local session (tests) gets a temporary folder;
+    a cluster gets an error, since its machines share no temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         app = spark.sparkContext.applicationId
-        base = _own_dir.setdefault(app, tempfile.mkdtemp(prefix="spark-"))
+        base = _own_dir.get(app) or _own_dir.setdefault(app, tempfile.mkdtemp(prefix="spark-"))
     return base.rstrip("/")
 
 
@@ -46,8 +49,20 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unnamed(docs: DataFrame) -> tuple[DataFrame, dict[str, str], Callable[[DataFrame], DataFrame]]:
+    """docs with its columns called c0, c1, ...; the new name of each; and the way back, without any column added since.
+
+    Whatever a user's columns are called, none then clashes with a column of ours.
+    """
+    names = {c: f"c{k}" for k, c in enumerate(docs.columns)}
+    return docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items())), names, lambda df: df.select(*(F.col(n).alias(c) for c, n in names.items()))
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Keep Arrow batches of text rows small, so that very long documents do not fill a Python worker."""
+    """Keep Arrow batches of text rows small, so that very long documents do not fill a Python worker.
+
+    The setting belongs to the session: it must still hold when the lazy plan runs, so it is not taken back.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key, "10000"))
     if now <= 0 or now > rows:
@@ -110,9 +125,10 @@ class Words:
     def __len__(self) -> int:
         return len(self.start)
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes."""
-        return mix(range_hash(_BYTE[self.raw], self.start, self.end) + np.uint64(1))
+    def hashes(self, second: bool = False) -> np.ndarray:
+        """A 64-bit hash of each word's bytes; `second` gives one of other byte codes and another base."""
+        code, base = (_BYTE2, _BASE2) if second else (_BYTE, _BASE)
+        return mix(range_hash(code[self.raw], self.start, self.end, base) + np.uint64(1))
 
     def text(self, i: int) -> bytes:
         return self.raw[self.start[i] : self.end[i]].tobytes()
@@ -122,6 +138,23 @@ def words_of(arr: pa.Array) -> Words:
     return Words(*raw_text(arr))
 
 
+def joined(w: Words) -> list[bytes]:
+    """Each text's words joined by one space."""
+    raw, n = w.raw, len(w.raw)
+    if not n:
+        return [b""] * (len(w.offs) - 1)
+    size = w.end - w.start
+    last = np.zeros(len(w), bool)
+    last[w.first[1:][w.count > 0] - 1] = True
+    full = size + ~last  # a space after all but the last
+    begin = np.concatenate(([0], np.cumsum(full)))
+    out = np.full(begin[-1], 0x20, np.uint8)
+    inside = ~SPACE[raw]
+    out[np.repeat(begin[:-1] - (np.cumsum(size) - size), size) + np.arange(size.sum())] = raw[inside]
+    data, cut = out.tobytes(), begin[w.first]
+    return [data[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer (xor-shift and multiply): spreads the bits of sums and products."""
     x = x.astype(np.uint64, copy=True)
@@ -135,6 +168,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _BASE = np.uint64(0x2545F4914F6CDD1D | 5)
+_BYTE2 = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95) + np.uint64(0x632BE5AB))
+_BASE2 = np.uint64(0x9FB21C651E98DF25)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -168,6 +203,62 @@ def per_text(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return total[first[1:]] - total[first[:-1]]
 
 
+IDENTITY = ["digest", "id", "none"]  #: of a row: digest of its words, doc_id (0 if null), whether that is null
+BLOOM_BYTES = 8 << 20  #: of a Bloom filter, at most, however many rows it stands for
+
+
+def identified(df: DataFrame, column: str) -> DataFrame:
+    """Adds the null-safe form of a doc_id column: id and none."""
+    return df.withColumns({"id": F.coalesce(F.col(column).cast("long"), F.lit(0)), "none": F.col(column).isNull()})
+
+
+def _bloom_places(digests: list[bytes], ids: pa.Array, bits: int) -> np.ndarray:
+    """(rows, 2) places in a Bloom filter of `bits` bits, from a row's digest and doc_id."""
+    words = np.frombuffer(b"".join(d[:16] for d in digests), "<u8").reshape(-1, 2)
+    own = np.asarray(ids.fill_null(0)).astype(np.int64).view(np.uint64) + np.asarray(ids.is_null()).astype(np.uint64) * np.uint64(0x632BE5AB)
+    return (mix(words + mix(own + np.uint64(1))[:, None]) % np.uint64(bits)).astype(np.int64)
+
+
+def _bloom(rows: DataFrame) -> np.ndarray:
+    """The bits of a Bloom filter of (digest, id, none) rows: about twelve a row, and at most BLOOM_BYTES."""
+    bits = min(8 * BLOOM_BYTES, max(1 << 12, 12 * rows.count() // 64 * 64))
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.unique(_bloom_places(batch.column(0).to_pylist(), batch.column(1), bits))
+            word, first = np.unique(at >> 6, return_index=True)
+            mask = np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), first) if len(at) else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(mask.view(np.int64))], ["word", "mask"])
+
+    ids = rows.select("digest", F.when(~F.col("none"), F.col("id")).alias("id"))
+    got = ids.mapInArrow(words, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[np.asarray(got["word"])] = np.asarray(got["mask"])
+    return out
+
+
+def with_texts(wanted: DataFrame, texts: DataFrame, digest: Callable[[bytes], bytes]) -> DataFrame:
+    """Rows of (digest, id, none, ...) with `text`, from one more scan of texts (doc_id long, text string).
+
+    digest is what the rows' digests were made with, from a text's words joined by one space. A Bloom filter of the wanted
+    rows keeps nearly all other texts out of the shuffle; its size is bounded, so where rows are very many it lets more
+    texts through, and the join removes those. A wanted row that texts repeat comes once.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(_bloom(wanted))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        for batch in slices(batches):
+            digests = [digest(t) for t in joined(Words(*raw_text(batch.column(1))))]
+            at = _bloom_places(digests, batch.column(0), 64 * len(table))
+            hit = ((table[at >> 6] >> (at & 63)) & 1).all(axis=1)
+            out = pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.binary())], ["doc_id", "text", "digest"])
+            yield out.filter(pa.array(hit))
+
+    found = identified(texts.mapInArrow(run, "doc_id long, text string, digest binary"), "doc_id").drop("doc_id")
+    return wanted.join(found.dropDuplicates(IDENTITY), IDENTITY)
+
+
 def ranked(df: DataFrame, keys: list[str], bucket: Column, order: list[Column]) -> DataFrame:
     """Exact 0-based ranks without a task that holds a whole key: adds `rank` and `key_rows`.
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from threatframe.llm.common import raw_text, read, slices, small_batches, staged
+from threatframe.llm.common import raw_text, read, slices, small_batches, staged, unnamed
 
 SLOTS = 4  #: entries of a bucket
 MAX_KICKS = 200  #: moves after which an insertion counts as an overflow
@@ -178,19 +178,21 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents without exact copies, all columns kept.
+    """The documents without exact copies, all columns kept, whatever they are called.
 
-    Survivors are matched on digest and doc_id; of repeated rows with the surviving doc_id one stays.
+    Survivors are matched on digest and doc_id; of repeated rows with the surviving doc_id one stays. A null text counts
+    as empty, and of all empty texts one stays; a null doc_id gives way to any other. Very long texts are hashed whole.
+    No rows give no rows.
     """
-    cols = docs.columns
     _, facts = dedup_index(docs)
-    keys = ["_digest", "_id", "_none"]
-    identity = lambda c: {"_id": F.coalesce(F.col(c).cast("long"), F.lit(0)), "_none": F.col(c).isNull()}
-    facts = facts.withColumns(identity("keep_id")).select(F.col("digest").alias("_digest"), "_id", "_none").distinct()
-    digest = F.unhex(F.sha2(F.translate(F.coalesce("text", F.lit("")), UPPER, UPPER.lower()), 256))
-    full = docs.withColumns(identity("doc_id")).withColumn("_digest", digest).join(facts, keys)
+    plain, names, back = unnamed(docs)
+    keys = ["digest", "id", "none"]
+    identity = lambda c: {"id": F.coalesce(F.col(c).cast("long"), F.lit(0)), "none": F.col(c).isNull()}
+    facts = facts.withColumns(identity("keep_id")).select(*keys).distinct()
+    digest = F.unhex(F.sha2(F.translate(F.coalesce(F.col(names["text"]).cast("string"), F.lit("")), UPPER, UPPER.lower()), 256))
+    full = plain.withColumns(identity(names["doc_id"])).withColumn("digest", digest).join(facts, keys)
     first = F.row_number().over(Window.partitionBy(*keys).orderBy(*keys))
-    return full.withColumn("_nth", first).filter("_nth = 1").select(*cols)
+    return back(full.withColumn("nth", first).filter("nth = 1"))
 
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

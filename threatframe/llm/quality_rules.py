@@ -147,7 +147,11 @@ def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that the rules keep, all columns."""
+    """The documents that the rules keep, all columns, whatever they are called.
+
+    Null texts and texts without words are rejected; repeated rows are judged alike; very long texts are judged whole. No
+    rows give no rows.
+    """
     small_batches(docs.sparkSession)
     return docs.mapInArrow(_judged, docs.schema)
 

@@ -13,22 +13,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threatframe.llm.common import buckets_for, ranked, read, staged
+from threatframe.llm.common import buckets_for, ranked, read, staged, unnamed
 
 SHARDS = 16
 SEED = "shard-1"
 
 
 def interleave(rows: DataFrame, total: int, shards: int = SHARDS, seed: str = SEED) -> DataFrame:
-    """Adds `shard` and `slot` to rows of (doc_id, source, ...): any columns, nulls in any of them.
+    """Adds `shard` and `slot` to rows of (doc_id, source, ...): any columns, nulls in any of them (user columns of
+    these two names give way; others may be called anything).
 
-    Ties (repeated rows) are put in the order of all their columns, so reruns agree. A null source is a source of
-    its own. No rows give no rows.
+    A row's place follows from a hash of all its columns, so rows that share a doc_id or have none are spread. Ties
+    (repeated rows) are interchangeable, so reruns agree. A null source is a source of its own. No rows give no rows.
     """
-    cols = rows.columns
+    rows, names, _ = unnamed(rows.drop("shard", "slot"))
+    cols = list(names.values())
     b = buckets_for(total)
-    h = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    rows = rows.withColumns({"_h": h, "_none": F.col("source").isNull(), "_s": F.coalesce("source", F.lit(""))})
+    h = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(names["doc_id"]).cast("string"), F.lit("null")), F.xxhash64(*cols).cast("string")))
+    source = F.col(names["source"])
+    rows = rows.withColumns({"_h": h, "_none": source.isNull(), "_s": F.coalesce(source, F.lit(""))})
     prefix = F.conv(F.substring("_h", 1, 8), 16, 10).cast("long")
     ties = [F.col(c) for c in cols]
     rows = ranked(rows, ["_none", "_s"], F.shiftright(prefix * F.lit(b), 32), [F.col("_h"), *ties])
@@ -38,7 +41,8 @@ def interleave(rows: DataFrame, total: int, shards: int = SHARDS, seed: str = SE
     )
     shard = F.expr(f"(rank * {shards}) div key_rows")
     rows = rows.withColumn("shard", shard.cast("int"))
-    return rows.withColumn("slot", F.expr(f"rank - (shard * key_rows + {shards - 1}) div {shards}")).select(*cols, "shard", "slot")
+    rows = rows.withColumn("slot", F.expr(f"rank - (shard * key_rows + {shards - 1}) div {shards}"))
+    return rows.select(*(F.col(n).alias(c) for c, n in names.items()), "shard", "slot")
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS, seed: str = SEED) -> DataFrame:
