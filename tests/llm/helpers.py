@@ -36,14 +36,19 @@ ODD = [
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
+#: Every name that a plan of ours gives a column of its own.
+CLASH = """size row rank bucket length kept digest n_words h p slot key id none nth node label copies copy c0 c1 c2 part shard at text_hash anchors min_id
+    keys source_size target taken key_rows centre head lang_pred score word mask _id _none _digest _nth _row _copies _copy _h _s _at _all _bucket _own _before _n _new
+    _whole _full _weight _level _v _high""".split()
+
+
 def odd(spark, extra=True):
     """Nulls in every column, empty and very long texts, repeated rows, and extra columns with clashing names."""
     df = spark.createDataFrame(ODD, SCHEMA)
     if extra:
         from pyspark.sql import functions as F
 
-        clash = ["size", "row", "rank", "bucket", "length", "kept", "digest", "n_words", "h", "p", "slot", "key"]
-        df = df.withColumns({c: F.lit("clash") for c in clash})
+        df = df.withColumns({c: F.lit("clash") for c in CLASH})
     return df
 
 

@@ -3,9 +3,10 @@ import struct
 import zlib
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 
-from tests.llm.helpers import docs_of, empty, odd, rows_of, words
+from tests.llm.helpers import CLASH, docs_of, empty, odd, rows_of, words
 from threatframe.llm import exact_dedup, mixing, packing, sharding
 
 
@@ -28,6 +29,7 @@ def test_exact_dedup_equals_brute_force(spark, sf, table):
     assert set(kept.values()) == {1}
     stays = exact_dedup.keep_one(docs)
     assert stays.columns == docs.columns and stays.count() == len(groups)
+    assert table == "sf" or {c for r in stays.select(*CLASH).collect() for c in r} == {"clash"}
 
 
 def test_cuckoo_index_inserts_deletes_and_grows():
@@ -72,7 +74,6 @@ def test_every_shard_holds_each_source_in_its_share(spark, sf):
 
 
 def test_word_encoder_equals_the_tokenizer(spark, sf):
-    import pyarrow as pa
     from tokenizers import Tokenizer
 
     path = packing.tokenizer_path()
@@ -148,6 +149,36 @@ def test_mix_meets_its_targets(spark, sf, table):
     assert Counter((r.doc_id, r.taken) for r in got) == Counter((r.doc_id, r.taken) for r in again)
     mix = mixing.mixed(docs)
     assert mix.columns == docs.columns and mix.count() == sum(r.copies for r in got)
+    assert table == "sf" or {c for r in mix.select(*CLASH).collect() for c in r} == {"clash"}
+    assert all(r.copies == 0 for r in got if r.size == 0)
+
+
+def test_rounding_keeps_the_expected_copies_of_each_document():
+    """Mean copies over many seeds, through two levels of the tree and the last flip."""
+    share = [0.65, 0.35, 0.5, 0.2, 0.8, 0.29, 0.71, 0.4, 0.6]
+    size = [3, 8, 5, 13, 2, 7, 4, 9, 6]
+    seeds, total = 3000, [0.0] * 9
+    schema = pa.schema([("row", pa.int64()), ("s", pa.int64()), ("bucket", pa.int64()), ("h", pa.int64()), ("size", pa.int64()), ("p", pa.float64())])
+    for seed in range(seeds):
+        rows = [[k, 1, k % 3, 1000 * seed + k, size[k], share[k]] for k in range(9)]
+        rows.sort(key=lambda r: r[2])
+        done = []
+        for level, last in ((0, False), (1, True)):
+            out = [r for b in mixing._pair_up(seed, level, last)(iter([mixing._rows(rows, schema)])) for r in map(list, zip(*(c.to_pylist() for c in b.columns), strict=True))]
+            done += [r for r in out if r[5] in (0.0, 1.0)]
+            rows = [[*r[:2], 0, *r[3:]] for r in out if r[5] not in (0.0, 1.0)]
+        assert len(done) == 9 and not rows
+        assert abs(sum(r[5] * r[4] for r in done) - sum(p * z for p, z in zip(share, size, strict=True))) < max(size)
+        for r in done:
+            total[r[0]] += r[5]
+    assert all(abs(t / seeds - p) < 3.5 * (p * (1 - p) / seeds) ** 0.5 for t, p in zip(total, share, strict=True))
+
+
+def test_shards_leave_user_columns_alone(spark):
+    docs = odd(spark)
+    got = sharding.interleave(docs, docs.count())
+    assert got.columns == [*(c for c in docs.columns if c not in ("shard", "slot")), "shard", "slot"]
+    assert {c for r in got.select(*(c for c in CLASH if c not in ("shard", "slot"))).collect() for c in r} == {"clash"}
 
 
 def test_empty_tables(spark):
