@@ -136,28 +136,28 @@ def _scored(net: ByteConvNet):
 def fit(docs: DataFrame, rows: int = SAMPLE, modulus: int = 4, held: int = 2) -> ByteConvNet:
     """Fit on at most `rows` labelled texts outside the held-out part, in seeded hash order.
 
-    Windows are drawn at seeded places of the sampled texts. With fewer than one label nothing can be learned: the
-    network then has the single class `und`.
+    One or two windows are drawn at seeded places of each sampled text, on Spark, so a few hundred bytes of a text reach
+    the driver, however long it is. Null texts and labels are not learned from. With fewer than one label nothing can be
+    learned: the network then has the single class `und`.
     """
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder(modulus) != held))
     total = known.count()
     h = F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1 << 20))
     if total > rows:  # a hash threshold first, so that only about this many texts are moved
         known = known.filter(h < int(1.2 * rows / total * (1 << 20)) + 1)
-    picked = known.select("text", F.col("lang").cast("string").alias("lang"), "doc_id").orderBy(h, "doc_id").limit(rows).select(F.expr("encode(text, 'UTF-8')").alias("raw"), "lang").collect()
-    picked = [(bytes(r.raw), r.lang) for r in picked if len(r.raw)]
-    classes = sorted({lang for _, lang in picked}) or ["und"]
+    raw, size = F.encode("text", "UTF-8"), F.octet_length("text")
+    draw = lambda k, most: F.pmod(F.xxhash64(F.lit(SEED + k), "doc_id"), F.greatest(F.lit(1), most))
+    width = lambda k: F.when(draw(10 + k, F.lit(10)) < 7, WINDOW).otherwise(16 + draw(20 + k, F.lit(WINDOW - 16))).cast("int")
+    window = lambda k: F.substring(raw, (1 + draw(k, size - WINDOW + 1)).cast("int"), width(k))
+    parts = F.array(window(1), F.when(size > 4 * WINDOW, window(2)))
+    known = known.filter(size > 0).select(parts.alias("parts"), F.col("lang").cast("string").alias("lang"), h.alias("at"), "doc_id")
+    picked = known.orderBy("at", "doc_id", "parts").limit(rows).select("parts", "lang").collect()
+    classes = sorted({r.lang for r in picked}) or ["und"]
     net = ByteConvNet(classes)
     if len(classes) == 1:
         return net
-    r = np.random.default_rng(SEED)
-    parts, labels = [], []
-    for raw, lang in picked:
-        for _ in range(1 + (len(raw) > 4 * WINDOW)):
-            at = int(r.integers(0, max(1, len(raw) - WINDOW + 1)))
-            size = WINDOW if r.random() < 0.7 else int(r.integers(16, WINDOW))
-            parts.append(raw[at : at + size])
-            labels.append(classes.index(lang))
+    parts = [bytes(p) for r in picked for p in r.parts if p is not None]
+    labels = [classes.index(r.lang) for r in picked for p in r.parts if p is not None]
     codes = np.full((len(parts), WINDOW), 256, np.int16)
     for k, p in enumerate(parts):
         codes[k, : len(p)] = np.frombuffer(p, np.uint8)
@@ -165,7 +165,8 @@ def fit(docs: DataFrame, rows: int = SAMPLE, modulus: int = 4, held: int = 2) ->
 
 
 def identify(docs: DataFrame, net: ByteConvNet) -> DataFrame:
-    """doc_id, lang_pred, score for every text; null texts and texts without a letter are `und` with score 0."""
+    """doc_id, lang_pred, score for every text, read whole; null texts and texts without a letter are `und` with score 0,
+    repeated rows get the same language, other columns are ignored, no rows give no rows."""
     small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_scored(net), "doc_id long, lang_pred string, score double")
 

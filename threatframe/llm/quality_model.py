@@ -3,7 +3,7 @@
 A text is the set of its hashed n-grams: words, word pairs, word endings, and runs of word shapes (case, last character,
 whether a word repeats the one before), which carry over to words never seen. Indicators are scaled by the classes'
 log-count ratio, normalised, and a linear hinge-loss model is fitted by dual coordinate descent; its weights are
-interpolated with their mean magnitude. A logistic curve, fitted on rows apart, turns the margin into a score.
+interpolated with their mean magnitude over all features of the sample. A logistic curve, fitted on rows apart, turns the margin into a score.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threatframe.llm.common import Words, mix, raw_text, read, slices, small_batches
-from threatframe.llm.labelled import SEED, remainder, sample, texts_of
+from threatframe.llm.labelled import SEED, fitting_texts, remainder, sample
 
 SAMPLE = 6000  #: labelled texts that the model is fitted on, at most
 BITS = 18  #: of the hashed feature space
@@ -94,16 +94,19 @@ class NbSvm:
             counts[y[k], sets[k]] += 1  # a text's features are distinct
         q, p = counts
         self.ratio = np.log((p / p.sum()) / (q / q.sum())).astype(np.float32)
+        seen = (p > SMOOTH) | (q > SMOOTH)
+        self.ratio[~seen] = 0  # a feature without counts says nothing
         rows = []
         for f in sets:
             x = self.ratio[f]
             rows.append((f, x / max(np.linalg.norm(x), 1e-9)))
-        self._descend([rows[k] for k in train], 2.0 * y[train] - 1, seed)
+        self._descend([rows[k] for k in train], 2.0 * y[train] - 1, seed, int(seen.sum()))
         self._calibrate(np.array([self.bias + self.weight[f] @ x for f, x in (rows[k] for k in apart)]), y[apart])
         return self
 
-    def _descend(self, rows: list, sign: np.ndarray, seed: int) -> None:
-        """Dual coordinate descent for the hinge loss (Hsieh et al. 2008); classes weigh alike."""
+    def _descend(self, rows: list, sign: np.ndarray, seed: int, features: int) -> None:
+        """Dual coordinate descent for the hinge loss (Hsieh et al. 2008); classes weigh alike. The result is
+        interpolated with the mean magnitude of the weights over `features` features (Wang and Manning 2012)."""
         r = np.random.default_rng(seed)
         w, bias, alpha = np.zeros(1 << self.bits), 0.0, np.zeros(len(rows))
         most = PENALTY * len(rows) / (2 * np.where(sign > 0, (sign > 0).sum(), (sign < 0).sum()))
@@ -117,8 +120,8 @@ class NbSvm:
                     w[f] += step * x
                     bias += step
                     alpha[k] = new
-        level = np.abs(w).sum() / max(1, np.count_nonzero(w))
-        self.weight = (MIX * w + (1 - MIX) * level * np.sign(w)).astype(np.float32) if MIX < 1 else w.astype(np.float32)
+        self.dual, self.primal = alpha, (w.copy(), bias)
+        self.weight = (MIX * w + (1 - MIX) * np.abs(w).sum() / max(1, features)).astype(np.float32)
         self.bias = MIX * bias
 
     def _calibrate(self, margin: np.ndarray, y: np.ndarray) -> None:
@@ -146,13 +149,18 @@ class NbSvm:
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> NbSvm:
-    """Fit on at most `rows` labelled texts outside the held-out part (crc32 modulo 3 is 1)."""
-    got = texts_of(docs, sample(labels, "quality", rows, 3, 1)).orderBy("doc_id", "text").collect()
-    return NbSvm().fit([r.text for r in got], np.array([r.label for r in got], np.int64))
+    """Fit on at most `rows` labelled texts of at most SAMPLE_BYTES together, outside the held-out part (crc32 modulo 3 is 1).
+
+    A doc_id that labels repeat has its largest label, one that docs repeat its least text; null doc_ids and null labels
+    are not learned from. Without labels the model gives a constant score.
+    """
+    texts, y = fitting_texts(docs, sample(labels, "quality", rows, 3, 1))
+    return NbSvm().fit(texts, np.array(y, np.int64))
 
 
 def score_quality(docs: DataFrame, model: NbSvm) -> DataFrame:
-    """doc_id, score for every text; null and empty texts get the score of the bias alone."""
+    """doc_id, score for every text, scored whole; null and empty texts get the score of the bias alone, repeated rows
+    score alike, other columns are ignored, no rows give no rows."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 * 2**BITS floats
 

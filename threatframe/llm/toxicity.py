@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threatframe.llm.common import per_text, read, slices, small_batches, words_of
-from threatframe.llm.labelled import SEED, remainder, sample, texts_of
+from threatframe.llm.labelled import SEED, fitting_texts, remainder, sample
 
 SAMPLE = 9000  #: labelled texts that the model is fitted on, at most
 PARTS = (0.5, 0.35)  #: of the sample for the lexicons and for the trees; the rest calibrates
@@ -205,13 +205,18 @@ class ToxicityModel:
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> ToxicityModel:
-    """Fit on at most `rows` labelled texts outside the held-out part (crc32 modulo 3 is 1)."""
-    got = texts_of(docs, sample(labels, "toxic", rows, 3, 1)).orderBy("doc_id", "text").collect()
-    return ToxicityModel().fit([r.text for r in got], np.array([r.label for r in got], np.int64))
+    """Fit on at most `rows` labelled texts of at most SAMPLE_BYTES together, outside the held-out part (crc32 modulo 3 is 1).
+
+    A doc_id that labels repeat has its largest label, one that docs repeat its least text; null doc_ids and null labels
+    are not learned from. Without labels the model gives a constant score.
+    """
+    texts, y = fitting_texts(docs, sample(labels, "toxic", rows, 3, 1))
+    return ToxicityModel().fit(texts, np.array(y, np.int64))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """doc_id, score for every text; null texts count as empty."""
+    """doc_id, score for every text, scored whole; null texts count as empty, repeated rows score alike, other columns are
+    ignored, no rows give no rows."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
