@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tests.llm.helpers import docs_of, empty, odd, rows_of, words
+from tests.llm.helpers import CLASH, docs_of, empty, odd, rows_of, words
 from threatframe.llm import common, components, near_dedup, quality_rules, substring_dedup
 
 
@@ -41,11 +41,16 @@ def test_sketch_never_underestimates(spark):
     assert {1, 3} <= got[0] and 3 in got[1] and 1 in got[2]
 
 
-def near_classes(rows, threshold=0.8):
+def near_classes(rows, threshold=0.8, weighted=False):
     sets = []
     for r in rows:
         w = words(r["text"])
-        sets.append(frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset())
+        grams = [tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))] if w else []
+        seen = Counter()
+        for k, g in enumerate(grams):
+            grams[k] = (g, seen[g] * weighted)
+            seen[g] += 1
+        sets.append(frozenset(grams))
     parent = list(range(len(sets)))
 
     def find(x):
@@ -75,9 +80,29 @@ def test_near_dedup_equals_brute_force(spark, sf, table):
     assert Counter((r.doc_id, r.class_id, r.class_size) for r in got) == near_classes(rows_of(docs))
     stays = near_dedup.keep_near(docs)
     assert stays.columns == docs.columns
+    assert table == "sf" or {c for r in stays.select(*CLASH).collect() for c in r} == {"clash"}
     assert stays.count() == len({(r.class_id, r.class_size) if r.class_id is not None else "none" for r in got})
 
 
+@pytest.mark.parametrize("weighted", [False, True])
+def test_weights_tell_repeated_passages_apart(spark, weighted):
+    """As sets, a text equals itself with a passage repeated; as weighted sets it does not."""
+    part = " ".join(f"a{i}" for i in range(40))
+    texts = [part + " " + " ".join([part] * k) for k in (1, 1, 2, 6, 7, 8)] + [part, part + " end"]
+    docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = near_dedup.near_dedup(docs, weighted=weighted).collect()
+    assert Counter((r.doc_id, r.class_id, r.class_size) for r in got) == near_classes(rows_of(docs), weighted=weighted)
+
+
+def test_texts_come_through_the_bloom_filter(spark):
+    texts = spark.createDataFrame([(k if k % 7 else None, f"w{k % 50} x  y{k}") for k in range(700)] * 2, "doc_id long, text string")
+    digest = lambda t: hashlib.md5(t).digest()
+    rows = [(k, digest(f"w{k % 50} x y{k}".encode()), k if k % 7 else 0, k % 7 == 0) for k in range(0, 700, 3)]
+    wanted = spark.createDataFrame(rows, "node long, digest binary, id long, none boolean")
+    got = Counter((r.node, r.text) for r in common.with_texts(wanted, texts, digest).collect())
+    assert got == Counter((k, f"w{k % 50} x  y{k}") for k in range(0, 700, 3))
+
+
 def test_chain_of_near_copies_is_one_class(spark):
     """Each text is close to the next only: stars alone would lose links."""
     base = [f"t{i}" for i in range(120)]
@@ -170,7 +195,18 @@ def test_quality_rules_equal_brute_force(spark, sf, table):
     docs = odd(spark) if table == "odd" else docs_of(spark, sf)
     got = quality_rules.quality_rules(docs).collect()
     want = Counter((r["doc_id"], *brute_facts(r["text"])) for r in rows_of(docs))
+    texts = {r["doc_id"]: words(r["text"]) for r in rows_of(docs)}
     assert Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in got) == want
+    for r in got:  # the method's own columns, where the quadratic form is quick enough
+        w = texts[r.doc_id]
+        if len(w) <= 250:
+            longest = brute_repeats(w)
+            marked = [False] * len(w)
+            for i, n in enumerate(longest):
+                if n >= 15:
+                    marked[i : i + n] = [True] * n
+            assert (r.n_long_repeat_words, r.longest_repeat) == (sum(marked), max(longest, default=0))
+            assert r.kept == (not r.base_failed and 100 * sum(marked) <= 15 * len(w) and max(longest, default=0) <= 120)
     assert all(not (r.base_failed and r.kept) for r in got)
     good = quality_rules.keep_good(docs)
     assert good.columns == docs.columns and good.count() == sum(r.kept for r in got)

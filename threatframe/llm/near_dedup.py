@@ -23,9 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from threatframe.llm.common import Words, mix, range_hash, raw_text, read, slices, small_batches, staged
+from threatframe.llm.common import IDENTITY, Words, identified, joined, mix, range_hash, raw_text, read, slices, small_batches, staged, unnamed, with_texts
 from threatframe.llm.components import components
-from threatframe.llm.substring_dedup import joined
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -130,36 +129,64 @@ def band_keys(signature: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return h
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, limit=2 << 20):
-        w = Words(*raw_text(batch.column(1)))
-        digests = [hashlib.md5(t).digest() for t in joined(w)]
-        doc, element = shingles(w)
-        keys = band_keys(dart_minhash(doc, element, np.ones(len(doc)), batch.num_rows))
-        bands = keys.shape[1] * (w.count > 0)
-        offs = np.concatenate(([0], np.cumsum(bands))).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(offs), pa.array(keys[w.count > 0].ravel().view(np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), lists], ["doc_id", "digest", "keys"])
+def _digest(words: bytes) -> bytes:
+    return hashlib.md5(words).digest()
 
 
-def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
-        w = Words(*raw_text(batch.column(batch.schema.get_field_index("text"))))
-        digests = [hashlib.md5(t).digest() for t in joined(w)]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.binary())], [*batch.schema.names, "_digest"])
+def _signed(weighted: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, limit=2 << 20):
+            w = Words(*raw_text(batch.column(1)))
+            digests = [_digest(t) for t in joined(w)]
+            doc, element = shingles(w)
+            weight = np.ones(len(doc))
+            if weighted:  # a shingle weighs as often as the text holds it
+                order = np.lexsort((element, doc))
+                doc, element = doc[order], element[order]
+                first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (element[1:] != element[:-1]))[: len(doc)])
+                weight = np.diff(np.append(first, len(doc))).astype(float)
+                doc, element = doc[first], element[first]
+            keys = band_keys(dart_minhash(doc, element, weight, batch.num_rows))
+            bands = keys.shape[1] * (w.count > 0)
+            offs = np.concatenate(([0], np.cumsum(bands))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offs), pa.array(keys[w.count > 0].ravel().view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), lists], ["doc_id", "digest", "keys"])
 
+    return run
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, text) -> (node, sorted distinct shingles)."""
-    for batch in slices(batches):
-        w = Words(*raw_text(batch.column(1)))
-        doc, h = shingles(w)
-        order = np.lexsort((h, doc))
-        doc, h = doc[order], h[order]
-        new = np.ones(len(doc), bool)
-        new[1:] = (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])
-        offs = np.concatenate(([0], np.cumsum(np.bincount(doc[new], minlength=batch.num_rows)))).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offs), pa.array(h[new].view(np.int64)))], ["node", "shingles"])
+
+def _digested(column: str = "text"):
+    """Adds `digest`, of the words of a text column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, column):
+            w = Words(*raw_text(batch.column(batch.schema.get_field_index(column))))
+            digests = [_digest(t) for t in joined(w)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.binary())], [*batch.schema.names, "digest"])
+
+    return run
+
+
+def _sets(weighted: bool):
+    """(node, text) -> (node, different shingles). With weights, the second and later occurrences of a shingle are
+    elements of their own, so that the Jaccard similarity of these sets is that of the multisets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            w = Words(*raw_text(batch.column(1)))
+            doc, h = shingles(w)
+            order = np.lexsort((h, doc))
+            doc, h = doc[order], h[order]
+            new = np.ones(len(doc), bool)
+            new[1:] = (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])
+            if weighted:
+                first = np.flatnonzero(new)
+                nth = np.arange(len(h)) - np.repeat(first, np.diff(np.append(first, len(h))))
+                h, new = np.where(nth > 0, mix(h + mix(nth.astype(np.uint64))), h), np.ones(len(h), bool)
+            offs = np.concatenate(([0], np.cumsum(np.bincount(doc[new], minlength=batch.num_rows)))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offs), pa.array(h[new].view(np.int64)))], ["node", "shingles"])
+
+    return run
 
 
 def _similarities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,25 +262,24 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return staged(out.select("node", F.coalesce("_new", "label").alias("label")), "labels")
 
 
-def _identity(df: DataFrame, column: str) -> DataFrame:
-    """A null-safe join key of a doc_id."""
-    return df.withColumns({"_id": F.coalesce(F.col(column).cast("long"), F.lit(0)), "_none": F.col(column).isNull()})
-
+def near_classes(docs: DataFrame, threshold: float = THRESHOLD, weighted: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(rows of doc_id and digest; classes of digest, class_id, keep_digest, keep_id, class_size).
 
-def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(rows of doc_id and digest; classes of digest, class_id, keep_digest, keep_id, class_size)."""
+    weighted: a shingle weighs as often as the text holds it, in signatures and in the exact similarity (weighted Jaccard);
+    otherwise texts are sets of shingles.
+    """
     small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = staged(texts.mapInArrow(_signed, "doc_id long, digest binary, keys array<long>"), "signed")
+    rows = staged(texts.mapInArrow(_signed(weighted), "doc_id long, digest binary, keys array<long>"), "signed")
     classes = rows.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("keys").alias("keys"))
     classes = staged(classes.withColumn("node", F.monotonically_increasing_id()), "texts")
     banded = classes.select("node", F.explode("keys").alias("key"))
     members = _stars(banded)
 
     # The shingle sets of all members, from one text of each class.
-    wanted = _identity(classes.join(members.select("node").distinct(), "node"), "rep").select("node", F.col("digest").alias("_digest"), "_id", "_none")
-    full = _identity(texts.mapInArrow(_digested, "doc_id long, text string, _digest binary"), "doc_id")
-    sets = staged(full.join(wanted, ["_digest", "_id", "_none"]).select("node", "text").mapInArrow(_sets, "node long, shingles array<long>"), "sets")
+    wanted = identified(classes.join(members.select("node").distinct(), "node"), "rep").select("node", *IDENTITY)
+    found = with_texts(staged(wanted, "wanted"), texts, _digest).select("node", "text")
+    sets = staged(found.mapInArrow(_sets(weighted), "node long, shingles array<long>"), "sets")
 
     enough = F.col("sim") >= threshold - 1e-9
     compared = _compared(members.filter("node <> centre").select("centre", "node").distinct(), sets)
@@ -285,28 +311,34 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFra
     return rows, staged(facts, "classes")
 
 
-def near_dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def near_dedup(docs: DataFrame, threshold: float = THRESHOLD, weighted: bool = False) -> DataFrame:
     """doc_id, class_id, class_size, kept: one row per document.
 
     class_id is the least doc_id of the class (null where none has one); the row with it is kept. Texts without words
     are one class of equal texts; texts of one to four words are one shingle. Rows that repeat the kept doc_id and its
-    words are all marked kept; `keep_near` leaves one of them. No rows give no rows.
+    words are all marked kept; `keep_near` leaves one of them. Very long texts are compared whole, other columns are
+    ignored. No rows give no rows.
     """
-    rows, facts = near_classes(docs, threshold)
+    rows, facts = near_classes(docs, threshold, weighted)
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("digest") == F.col("keep_digest"))
     return rows.select("doc_id", "digest").join(facts, "digest").select("doc_id", "class_id", "class_size", kept.alias("kept"))
 
 
 def keep_near(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One document of each near-duplicate class, all columns kept."""
-    cols = docs.columns
+    """One document of each near-duplicate class, all columns kept, whatever they are called.
+
+    The one with the class's least doc_id stays (of a class without any, one of the rows); of rows that repeat it, one.
+    Null texts and texts without words are one class of equal texts. Very long texts are compared whole. No rows give no
+    rows.
+    """
     _, facts = near_classes(docs, threshold)
-    keys = ["_digest", "_id", "_none"]
-    heads = _identity(facts.select(F.col("keep_digest").alias("_digest"), "keep_id").distinct(), "keep_id").select(*keys)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    full = _identity(docs.mapInArrow(_digested, f"{schema}, _digest binary"), "doc_id").join(heads, keys)
-    first = F.row_number().over(Window.partitionBy(*keys).orderBy(*keys))
-    return full.withColumn("_nth", first).filter("_nth = 1").select(*cols)
+    plain, names, back = unnamed(docs)
+    heads = identified(facts.select(F.col("keep_digest").alias("digest"), "keep_id").distinct(), "keep_id").select(*IDENTITY)
+    plain = plain.withColumn(names["text"], F.col(names["text"]).cast("string"))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema)
+    full = identified(plain.mapInArrow(_digested(names["text"]), f"{schema}, digest binary"), names["doc_id"]).join(heads, IDENTITY)
+    first = F.row_number().over(Window.partitionBy(*IDENTITY).orderBy(*IDENTITY))
+    return back(full.withColumn("nth", first).filter("nth = 1"))
 
 
 def op6_dart_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

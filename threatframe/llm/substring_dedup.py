@@ -5,12 +5,13 @@ have equal anchors, and neighbouring windows mostly share one, so a document has
 
 1. One pass hashes every text: digest of its words, and its distinct anchors. Texts of equal words are one class; all
    but those of the smallest doc_id are wholly covered, and a class goes on as one text.
-2. Partitions sketch their classes' anchors in a blocked count-min table; partial sketches are merged by block. An
-   anchor's estimate is never below the number of classes that hold one of its windows, so windows whose anchor is
-   estimated once cannot repeat. The sketch is itself a distributed table, sized by the corpus, and is looked up by a
+2. Each task sketches its classes' anchors in a blocked count-min table, over all its batches; the partial sketches are
+   merged by block. A window that stands in two classes gives both the same anchor, so an anchor's estimate is never
+   below the count of any window of it: the sketch overestimates window counts while it counts a twentieth as many
+   things, and windows whose anchor is estimated once cannot repeat. The sketch is itself a distributed table, sized by the corpus, and is looked up by a
    join on its block: nothing is broadcast.
 3. Texts with anchors estimated repeated are read again. A run of windows with one anchor is a segment; segments are
-   grouped exactly by 128-bit hashes, and where an anchor has several different segments, so are their windows.
+   grouped by two independent 64-bit hashes, and where an anchor has several different segments, so are their windows.
 4. A window goes where its smallest doc_id is smaller than the document's own; the kept words are hashed.
 """
 
@@ -24,34 +25,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threatframe.llm.common import SPACE, Words, mix, range_hash, raw_text, read, slices, small_batches, staged
+from threatframe.llm.common import Words, identified, joined, mix, range_hash, raw_text, read, slices, small_batches, staged, with_texts
 
 WINDOW = 50
 GRAM = 10  #: words that an anchor's hash covers
 BLOCK = 4096  #: counters of a sketch block, in two rows
 PER_BLOCK = 256  #: anchors that a block is meant for
 UNIT = 4096  #: blocks that one merge takes, at most
+HELD = 4 << 20  #: counted cells that a task holds before it gives out a partial sketch
 EMPTY = hashlib.sha256(b"").hexdigest()
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95))
 
 
-def joined(w: Words) -> list[bytes]:
-    """Each text's words joined by one space."""
-    raw, n = w.raw, len(w.raw)
-    if not n:
-        return [b""] * (len(w.offs) - 1)
-    size = w.end - w.start
-    last = np.zeros(len(w), bool)
-    last[w.first[1:][w.count > 0] - 1] = True
-    full = size + ~last  # a space after all but the last
-    begin = np.concatenate(([0], np.cumsum(full)))
-    out = np.full(begin[-1], 0x20, np.uint8)
-    inside = ~SPACE[raw]
-    out[np.repeat(begin[:-1] - (np.cumsum(size) - size), size) + np.arange(size.sum())] = raw[inside]
-    data, cut = out.tobytes(), begin[w.first]
-    return [data[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
-
-
 def anchors(w: Words, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """(start of each window among all words, its anchor), in order."""
     gram = min(GRAM, window)
@@ -97,22 +82,35 @@ def _cells(low: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _partial_sketch(blocks: int, width: int):
-    """Anchors -> (unit, cells): the cells that this batch counts once, or twice (counters saturate at 2). A unit is
-    `width` neighbouring blocks, so that a batch makes few rows."""
+    """Anchors -> (unit, cells): the cells that this task counts once, or twice (counters saturate at 2). A unit is
+    `width` neighbouring blocks, so that a task makes few rows; a task gives out what it has after HELD cells."""
+
+    def merged(held: list[np.ndarray]) -> np.ndarray:
+        key, n = np.unique(np.concatenate(held), return_counts=True)
+        return np.repeat(key, np.minimum(n, 2))
+
+    def given(key: np.ndarray) -> pa.RecordBatch:
+        of, begin = np.unique(key // (width * BLOCK), return_index=True)
+        offs = (4 * np.append(begin, len(key))).astype(np.int32)
+        data = (key % (width * BLOCK)).astype("<u4").tobytes()
+        cells = pa.Array.from_buffers(pa.binary(), len(of), [None, pa.py_buffer(offs.tobytes()), pa.py_buffer(data)])
+        return pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), cells], ["unit", "cells"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
             low = np.asarray(batch.column(0).flatten()).view(np.uint64)
             block, cells = _cells(low, blocks)
-            key, n = np.unique((block[:, None] * BLOCK + cells).ravel(), return_counts=True)
-            key = np.repeat(key, np.minimum(n, 2))
-            if not len(key):
-                continue
-            of, begin = np.unique(key // (width * BLOCK), return_index=True)
-            offs = (4 * np.append(begin, len(key))).astype(np.int32)
-            data = (key % (width * BLOCK)).astype("<u4").tobytes()
-            cells_col = pa.Array.from_buffers(pa.binary(), len(of), [None, pa.py_buffer(offs.tobytes()), pa.py_buffer(data)])
-            yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), cells_col], ["unit", "cells"])
+            held.append((block[:, None] * BLOCK + cells).ravel())
+            size += len(held[-1])
+            if size > HELD:
+                held = [merged(held)]
+                size = len(held[0])
+                if size > HELD // 2:
+                    yield given(held[0])
+                    held, size = [], 0
+        if size:
+            yield given(merged(held))
 
     return run
 
@@ -159,12 +157,6 @@ def estimated_repeated(classes: DataFrame) -> DataFrame:
     return hit.groupBy("digest").agg(F.collect_list("anchor").alias("anchors"))
 
 
-def _text_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
-        digests = [hashlib.sha256(t).digest() for t in joined(Words(*raw_text(batch.column(1))))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.binary())], ["_id", "text", "digest"])
-
-
 SEGMENTS = "digest binary, text string, first_word array<int>, windows array<int>, anchor array<long>, seg1 array<long>, seg2 array<long>"
 WINDOWS = "anchor long, seg1 long, seg2 long, first_id long, at int, win1 long, win2 long"
 
@@ -187,9 +179,8 @@ def _segments(window: int):
             new[1:] = (start[1:] != start[:-1] + 1) | (low[1:] != low[:-1]) | (doc[1:] != doc[:-1])
             begin = np.flatnonzero(new)
             size = np.diff(np.append(begin, len(start)))
-            h = w.hashes()
             a, b = start[begin], start[begin] + size + window - 1
-            seg = [range_hash(h, a, b, base).view(np.int64) for base in _BASES]
+            seg = [range_hash(w.hashes(second), a, b, base).view(np.int64) for second, base in enumerate(_BASES)]
             offs = pa.array(np.concatenate(([0], np.cumsum(np.bincount(doc[begin], minlength=batch.num_rows)))).astype(np.int32))
             first_word = (a - w.first[doc[begin]]).astype(np.int32)
             lists = [pa.ListArray.from_arrays(offs, pa.array(x)) for x in (first_word, size.astype(np.int32), low[begin].view(np.int64), *seg)]
@@ -212,7 +203,7 @@ def _windows(window: int):
             which = np.repeat(np.arange(len(n)), n)
             at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             start = (w.first[of] + first_word)[which] + at
-            win = [range_hash(w.hashes(), start, start + window, base).view(np.int64) for base in _BASES]
+            win = [range_hash(w.hashes(second), start, start + window, base).view(np.int64) for second, base in enumerate(_BASES)]
             take = pa.array(which)
             yield pa.RecordBatch.from_arrays(
                 [*(field(k).take(take) for k in ("anchor", "seg1", "seg2", "first_id")), pa.array(at.astype(np.int32)), *map(pa.array, win)], ["anchor", "seg1", "seg2", "first_id", "at", "win1", "win2"]
@@ -257,19 +248,18 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, one row per document.
 
     Null texts have no words. A null doc_id counts as larger than any other and removes nothing elsewhere; rows that
-    repeat a doc_id do not remove one another's words. Texts shorter than a window stay whole.
+    repeat a doc_id do not remove one another's words. Texts shorter than a window stay whole; very long ones are read
+    whole. Other columns are ignored; no rows give no rows.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = staged(texts.mapInArrow(_profiles(window), "doc_id long, digest binary, n_words long, anchors array<long>"), "profiles")
     classes = rows.filter(F.col("n_words") >= window).groupBy("digest").agg(F.min("doc_id").alias("min_id"), F.first("anchors").alias("anchors"))
     classes = staged(classes, "classes")
     picked = estimated_repeated(classes).join(classes.select("digest", "min_id"), "digest")
-    picked = picked.withColumns({"_n": F.coalesce("min_id", F.lit(0)), "_null": F.col("min_id").isNull()})
-    full = texts.mapInArrow(_text_digests, "_id long, text string, digest binary")
-    full = full.withColumns({"_n": F.coalesce("_id", F.lit(0)), "_null": F.col("_id").isNull()})
-    found = full.join(picked, ["digest", "_n", "_null"]).select("digest", "text", "anchors")
+    picked = staged(identified(picked, "min_id").select("digest", "id", "none", "anchors"), "picked")
+    found = with_texts(picked, texts, lambda t: hashlib.sha256(t).digest()).select("digest", "text", "anchors")
     found = staged(found.mapInArrow(_segments(window), SEGMENTS), "segments")
 
     # Segments: exact groups by 128 bits; the smallest doc_id that holds each.
@@ -282,7 +272,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     # Windows of anchors with several different segments: each different segment brings its windows once.
     parts = groups.join(staged(several.select("anchor"), "several"), "anchor").select("one.*", "anchor", "seg1", "seg2", "first_id")
     parts = parts.groupBy("digest").agg(F.collect_list(F.struct("first_word", "windows", "anchor", "seg1", "seg2", "first_id")).alias("segs"))
-    texts_of = found.select("digest", "text").dropDuplicates(["digest"])
+    texts_of = found.select("digest", "text")
     wins = staged(texts_of.join(parts, "digest").select("text", "segs").mapInArrow(_windows(window), WINDOWS), "windows")
     firsts = staged(wins.groupBy("win1", "win2").agg(F.min("first_id").alias("first")), "window-groups")
     firsts = wins.join(firsts, ["win1", "win2"]).groupBy("anchor", "seg1", "seg2").agg(F.array_sort(F.collect_list(F.struct("at", "first"))).alias("f"))
