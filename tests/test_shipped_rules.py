@@ -79,6 +79,7 @@ def test_shipped_rules_equal_look_back_sql(spark, sf):
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{sf}/events.parquet'")
     con.execute(f"CREATE TABLE sec AS SELECT *, CAST(NULL AS INT) AS win_event_id, 'app' AS source FROM ({SEC})")
     want = {r.rule_id: n for r in RULES if (n := con.sql(f"SELECT count(*) FROM (SELECT DISTINCT {', '.join(r.group_by)} FROM ({look_back(r)}))").fetchall()[0][0])}
-    assert {x.rule_id: x.n for x in catalog.queries()["g01_shipped_rules"](spark, sf).collect()} == want
+    got = [x.rule_id for x in catalog.queries()["g01_shipped_rules"](spark, sf).collect()]
+    assert {r: got.count(r) for r in got} == want
     if sf.endswith("sf0.1"):
         assert want["BRUTE_FORCE_001"] > 0

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threatframe.functions.ranking import numbered
 from threatframe.functions.staging import staged
 from threatframe.operators import joins
 from threatframe.operators.indicators import indicator_table
@@ -60,8 +61,8 @@ def components(edges: DataFrame) -> DataFrame:
 def communities(labels: DataFrame) -> DataFrame:
     """Names by size: (label, size, name). One row per component."""
     sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
-    order = Window.orderBy(F.desc("size"), "label")
-    return sizes.withColumn("name", F.concat(F.lit("actor-"), F.row_number().over(order).cast("string")))
+    named = numbered(sizes, [F.desc("size"), F.col("label")], "nth")
+    return named.select("label", "size", F.concat(F.lit("actor-"), (F.col("nth") + 1).cast("string")).alias("name"))
 
 
 def cluster(found: DataFrame, bridges: bool = True) -> DataFrame:
@@ -98,13 +99,13 @@ def incidents(clustered: DataFrame) -> DataFrame:
         F.bool_or(F.col("followed_by").isNotNull()).alias("success"),
     ).join(shown, "cluster")
     several, broad = F.size("categories") >= 2, F.col("members") >= 3
-    bonus = {"multi-stage behavior": (several, 10), "compromise chain completed": (F.col("success"), 10), "breadth of related detections": (broad, 5)}
+    bonus = {"several categories": (several, 10), "a login succeeded after failures": (F.col("success"), 10), "three detections or more": (broad, 5)}
     score = reduce(lambda a, b: a + F.when(b[0], b[1]).otherwise(0), bonus.values(), F.col("_base"))
     g = g.withColumn("risk_score", F.least(F.lit(100), score).cast("int"))
     low = F.transform("categories", F.lower)
     logins = F.arrays_overlap(low, F.array(F.lit("brute force"), F.lit("credential attack")))
     bad = (F.col("success") & logins) | (F.col("risk_score") >= 81) | F.arrays_overlap(low, F.array(*map(F.lit, CRITICAL_CATEGORIES)))
-    reasons = [F.concat(F.lit("+"), F.col("_base").cast("string"), F.lit(" strongest member detection score"))]
+    reasons = [F.concat(F.lit("+"), F.col("_base").cast("string"), F.lit(" highest score of a member"))]
     reasons += [F.when(when, F.lit(f"+{points} {what}")) for what, (when, points) in bonus.items()]
     return g.withColumns(
         {"severity": band(F.col("risk_score")), "classification": F.when(bad, "MALICIOUS").when(F.col("risk_score") >= 31, "SUSPICIOUS").otherwise("BENIGN"),

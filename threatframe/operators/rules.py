@@ -4,20 +4,22 @@ A rule selects events (equality, status and type lists, message pattern), groups
 window of a group holds enough events (or enough different values of a field). The best window of each group becomes a
 detection with up to 50 events of evidence.
 
-Windows are computed in time buckets of one window's length: an event takes part in its own bucket and, as context, in
-the next one. A busy key is thus spread over its buckets instead of standing in one task.
+All rules are evaluated in one scan. Windows are computed in time buckets of one window's length: an event takes part in
+its own bucket and, as context, in the next one. A busy key is thus spread over its buckets instead of standing in one
+task.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field, fields
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threatframe.functions.staging import staged
 from threatframe.operators.scoring import DOTTED_QUAD
 
 EVIDENCE = 50
@@ -85,92 +87,169 @@ def condition(rule: Rule) -> Column:
     return reduce(lambda a, b: a & b, parts, F.lit(True))
 
 
+def _entity(rule: Rule) -> Column:
+    return F.array(*(F.coalesce(F.nullif(F.col(c).cast("string"), F.lit("")), F.lit("-")) for c in rule.group_by))
+
+
+def _known(entity: Column) -> Column:
+    return F.exists(entity, lambda v: v != "-")
+
+
 def grouped(events: DataFrame, rule: Rule) -> DataFrame:
     """The rule's events with `entity`: an array of key values, '-' for unknown; rows without any are dropped."""
-    key = F.array(*(F.coalesce(F.nullif(F.col(c).cast("string"), F.lit("")), F.lit("-")) for c in rule.group_by))
-    return events.filter(condition(rule)).withColumn("entity", key).filter(F.exists("entity", lambda v: v != "-"))
+    return events.filter(condition(rule)).withColumn("entity", _entity(rule)).filter(_known(F.col("entity")))
+
+
+def tagged(events: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """(rule, entity, field, event_id, ts, src_ip, dst_ip, message): a row for every event and rule that looks at it.
+
+    One scan evaluates all rules; `rule` is a place in `rules`, `field` what a distinct rule counts.
+    """
+    tags = []
+    for k, r in enumerate(rules):
+        field = F.col(r.distinct_field or "dst_port").cast("string") if r.metric == "distinct" else F.lit(None).cast("string")
+        tags.append(F.when(condition(r) & _known(_entity(r)), F.struct(F.lit(k).alias("rule"), _entity(r).alias("entity"), field.alias("field"))))
+    rows = events.withColumn("_tag", F.explode(F.array_compact(F.array(*tags))))
+    return rows.select("_tag.*", "event_id", "ts", "src_ip", "dst_ip", "message")
+
+
+def _of(rules: Sequence[Rule], value) -> Column:
+    """value(rule) of the row's rule."""
+    return F.element_at(F.array(*(F.lit(value(r)) for r in rules)), F.col("rule") + 1)
+
+
+def _counted(rows: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """Timed rows of (rule, entity, ts, field, ...) with `value` (events, or different fields, in the look-back window)
+    and `started` (the window's first event).
+
+    An event adds one at its time and takes it back when the window has passed it; a running sum over both is the
+    window's count, in one pass whatever the window holds. For different values an event adds only where its value was
+    not in the window, and takes back only where the value does not come again. Windows are closed at both ends.
+    """
+    part = ["rule", "entity", "_bucket"]
+    us = F.unix_micros("ts")
+    rows = rows.filter("ts IS NOT NULL").withColumns({"_us": us, "_w": _of(rules, lambda r: r.seconds * 1_000_000)})
+    rows = rows.withColumn("_own", F.expr("_us div _w")).withColumn("_bucket", F.explode(F.array("_own", F.col("_own") + 1)))
+    rows = rows.repartition(*part)  # one exchange for the three windows
+    by_time = Window.partitionBy(*part).orderBy("_us")
+    rows = rows.withColumn("_next", F.lead("_us").over(by_time))
+    fresh = ends = F.lit(1)
+    if any(r.metric == "distinct" for r in rules):
+        same = Window.partitionBy(*part, "field").orderBy("_us")
+        before, after = F.col("_us") - F.lag("_us").over(same), F.lead("_us").over(same) - F.col("_us")
+        known, distinct = F.col("field").isNotNull(), _of(rules, lambda r: r.metric == "distinct")
+        fresh = F.when(~distinct, 1).when(known & (before.isNull() | (before > F.col("_w"))), 1).otherwise(0)
+        ends = F.when(~distinct, 1).when(known & (after.isNull() | (after > F.col("_w"))), 1).otherwise(0)
+    rows = rows.withColumns({"_fresh": fresh, "_ends": ends})
+    begin = F.struct((2 * F.col("_us")).alias("at"), F.col("_fresh").alias("step"), F.lit(None).cast("long").alias("left"))
+    over = F.struct((2 * (F.col("_us") + F.col("_w")) + 1).alias("at"), (-F.col("_ends")).alias("step"), F.coalesce("_next", F.lit(1 << 62)).alias("left"))
+    rows = rows.withColumn("_s", F.explode(F.array(begin, over)))
+    so_far = Window.partitionBy(*part).orderBy("_s.at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    first = F.coalesce(F.max("_s.left").over(so_far), F.min("_us").over(so_far))  # what followed the last event that has left
+    rows = rows.withColumns({"value": F.sum("_s.step").over(so_far).cast("long"), "started": F.timestamp_micros(first)})
+    return rows.filter("_s.left IS NULL AND _own = _bucket").drop("_us", "_w", "_own", "_bucket", "_next", "_fresh", "_ends", "_s")
 
 
 def sliding(df: DataFrame, rule: Rule) -> DataFrame:
-    """Timed rows with `value` (events, or different values, in the look-back window) and `started` (its first event)."""
-    w = rule.seconds
-    second = F.unix_micros("ts") / 1_000_000
-    own = F.floor(second / w).cast("long")
-    both = df.filter(F.col("ts").isNotNull()).withColumn("_own", own).withColumn("_bucket", F.explode(F.array("_own", F.col("_own") + 1)))
-    frame = Window.partitionBy("entity", "_bucket").orderBy(F.unix_micros("ts")).rangeBetween(-w * 1_000_000, Window.currentRow)
-    value = F.size(F.collect_set(rule.distinct_field or "dst_port").over(frame)) if rule.metric == "distinct" else F.count(F.lit(1)).over(frame)
-    out = both.withColumns({"value": value.cast("long"), "started": F.min("ts").over(frame)})
-    return out.filter(F.col("_own") == F.col("_bucket")).drop("_own", "_bucket")
+    """The rule's timed rows with `value` (events, or different values, in the look-back window) and `started`."""
+    return _counted(_as_rows(df, rule), [rule]).drop("rule", "field")
+
+
+def _best(rows: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """(rule, entity, value, started, ended): the best look-back window of every firing group, the earliest of equals."""
+    counted = _counted(rows.select("rule", "entity", "ts", "field"), rules).filter(F.col("value") >= _of(rules, lambda r: r.threshold))
+    top = F.max(F.struct("value", (-F.unix_micros("ts")).alias("early"), F.struct("started", "ts").alias("w"))).alias("t")
+    return counted.groupBy("rule", "entity").agg(top).select("rule", "entity", F.col("t.value").alias("value"), F.col("t.w.started").alias("started"), F.col("t.w.ts").alias("ended"))
+
+
+def _timeless(rows: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """Firing groups without any time stamp, judged as a whole."""
+    g = rows.groupBy("rule", "entity").agg(F.count("ts").alias("timed"), F.count(F.lit(1)).alias("n"), F.count_distinct("field").alias("different"))
+    value, least = F.when(_of(rules, lambda r: r.metric == "distinct"), F.col("different")).otherwise(F.col("n")), _of(rules, lambda r: r.threshold)
+    stamp = F.lit(None).cast("timestamp")
+    return g.withColumn("value", value).filter((F.col("timed") == 0) & (F.col("n") >= least) & (F.col("value") >= least)).select("rule", "entity", "value", stamp.alias("started"), stamp.alias("ended"))
+
+
+def _as_rows(df: DataFrame, rule: Rule) -> DataFrame:
+    return df.withColumns({"rule": F.lit(0), "field": F.col(rule.distinct_field or "dst_port").cast("string") if rule.metric == "distinct" else F.lit(None).cast("string")})
 
 
 def best_windows(df: DataFrame, rule: Rule) -> DataFrame:
     """One row per firing group: entity, value, started, ended. Ties go to the earliest end."""
-    rows = sliding(df, rule).filter(F.col("value") >= rule.threshold)
-    top = F.max(F.struct("value", (-F.unix_micros("ts")).alias("early"), F.struct("started", "ts").alias("w"))).alias("t")
-    return rows.groupBy("entity").agg(top).select("entity", F.col("t.value").alias("value"), F.col("t.w.started").alias("started"), F.col("t.w.ts").alias("ended"))
+    return _best(_as_rows(df, rule), [rule]).drop("rule")
 
 
 def timeless(df: DataFrame, rule: Rule) -> DataFrame:
     """Firing groups without any time stamp, judged as a whole."""
-    measure = F.count_distinct(rule.distinct_field or "dst_port") if rule.metric == "distinct" else F.count(F.lit(1))
-    g = df.groupBy("entity").agg(F.count("ts").alias("timed"), F.count(F.lit(1)).alias("n"), measure.alias("value"))
-    stamp = F.lit(None).cast("timestamp")
-    return g.filter((F.col("timed") == 0) & (F.col("n") >= rule.threshold) & (F.col("value") >= rule.threshold)).select("entity", "value", stamp.alias("started"), stamp.alias("ended"))
+    return _timeless(_as_rows(df, rule), [rule]).drop("rule")
 
 
-def _inside(hits: DataFrame, rows: DataFrame) -> DataFrame:
+def _inside(hits: DataFrame, rows: DataFrame, keys: Sequence[str] = ("entity",)) -> DataFrame:
     """The rows of each hit's window, found again by its bounds."""
     inside = (F.col("h.ended").isNull() & F.col("e.ts").isNull()) | F.col("e.ts").between(F.col("h.started"), F.col("h.ended"))
-    return hits.alias("h").join(rows.alias("e"), (F.col("h.entity") == F.col("e.entity")) & inside).select("h.*", *(f"e.{c}" for c in rows.columns if c != "entity"))
+    same = reduce(lambda a, b: a & b, (F.col(f"h.{k}") == F.col(f"e.{k}") for k in keys))
+    return hits.alias("h").join(rows.alias("e"), same & inside).select("h.*", *(f"e.{c}" for c in rows.columns if c not in keys))
 
 
-def with_evidence(hits: DataFrame, df: DataFrame) -> DataFrame:
-    """Adds evidence, the first events of each hit's window to show, and has_address: whether any event of the window names one."""
+def _evidence(hits: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     address = F.coalesce(F.col("message").rlike(DOTTED_QUAD), F.lit(False)).alias("_address")
-    both = _inside(hits, df.select("entity", "event_id", "ts", F.substring("message", 1, EXCERPT).alias("excerpt"), address))
-    facts = both.groupBy("entity").agg(F.bool_or("_address").alias("has_address"))
-    nth = F.row_number().over(Window.partitionBy("entity").orderBy("ts", "event_id"))
+    both = _inside(hits, rows.select(*keys, "event_id", "ts", "dst_ip", F.substring("message", 1, EXCERPT).alias("excerpt"), address), keys)
+    facts = both.groupBy(*keys).agg(F.bool_or("_address").alias("has_address"), F.count_distinct("dst_ip").alias("targets"))
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("ts", "event_id"))
     first = both.withColumn("nth", nth).filter(F.col("nth") <= EVIDENCE)
-    return first.groupBy("entity", "value", "started", "ended").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "event_id", "ts", "excerpt"))), lambda s: s.dropFields("nth")).alias("evidence")).join(facts, "entity")
+    shown = F.transform(F.array_sort(F.collect_list(F.struct("nth", "event_id", "ts", "excerpt"))), lambda s: s.dropFields("nth"))
+    return first.groupBy(*keys, "value", "started", "ended").agg(shown.alias("evidence")).join(facts, list(keys))
 
 
-def window_events(found: DataFrame, events: DataFrame, rules: Iterable[Rule]) -> DataFrame:
+def with_evidence(hits: DataFrame, df: DataFrame) -> DataFrame:
+    """Adds, from each hit's window: evidence (the first events, to show), has_address (whether any event of it names an
+    address) and targets (different dst_ip)."""
+    return _evidence(hits, df, ["entity"])
+
+
+def window_events(found: DataFrame, events: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """(rule_id, entity, event_id, ts, src_ip, dst_ip, message): every event in the window of each detection, one row each, uncut."""
-    of = lambda r: found.filter(F.col("rule_id") == r.rule_id).select("rule_id", "entity", "started", "ended")
-    rows = lambda r: grouped(events, r).select("entity", "event_id", "ts", "src_ip", "dst_ip", "message")
-    return reduce(DataFrame.unionByName, [_inside(of(r), rows(r)).drop("started", "ended") for r in rules])
+    rules = list(rules)
+    rows = tagged(events, rules).withColumn("rule_id", _of(rules, lambda r: r.rule_id)).drop("rule", "field")
+    return _inside(found.select("rule_id", "entity", "started", "ended"), rows, ["rule_id", "entity"]).drop("started", "ended")
 
 
 def success_followup(hits: DataFrame, events: DataFrame) -> DataFrame:
     """Adds followed_by and followed_at: the first auth_success from the entity's first key at or after the end."""
+    keys = [k for k in ("rule", "entity") if k in hits.columns]
     ok = events.filter("event_type = 'auth_success'").select(F.col("src_ip").alias("_src"), F.col("ts").alias("_at"), F.coalesce("username", "src_ip").alias("_who"))
-    keyed = hits.withColumn("_src", F.element_at("entity", 1))
-    found = keyed.select("entity", "ended", "_src").join(ok, "_src").filter(F.col("_at") >= F.col("ended"))
-    found = found.groupBy("entity").agg(F.min(F.struct("_at", "_who")).alias("f"))
-    return keyed.drop("_src").join(found, "entity", "left").select(*hits.columns, F.col("f._who").alias("followed_by"), F.col("f._at").alias("followed_at"))
+    found = hits.select(*keys, "ended", F.element_at("entity", 1).alias("_src")).join(ok, "_src").filter(F.col("_at") >= F.col("ended"))
+    found = found.groupBy(*keys).agg(F.min(F.struct("_at", "_who")).alias("f"))
+    return hits.join(found, keys, "left").select(*hits.columns, F.col("f._who").alias("followed_by"), F.col("f._at").alias("followed_at"))
 
 
-def detect(events: DataFrame, rule: Rule) -> DataFrame:
-    """All detections of one rule."""
-    df = grouped(events, rule)
-    hits = with_evidence(best_windows(df, rule).unionByName(timeless(df, rule)), df)
-    if rule.then_success:
-        hits = success_followup(hits, events)
-    else:
-        hits = hits.withColumns({"followed_by": F.lit(None).cast("string"), "followed_at": F.lit(None).cast("timestamp")})
-    reason = F.format_string("+%d %d matching events (threshold %d, window %s)", F.least(F.lit(30), 10 + 4 * F.col("value")).cast("int"), "value", F.lit(rule.threshold), F.lit(rule.window))
+def evaluate(events: DataFrame, rules: Iterable[Rule], known: DataFrame | None = None) -> DataFrame:
+    """Detections of all rules, without those whose (rule_id, entity) is known already.
+
+    The events are scanned once, for all rules together; what some rule looks at is written, and windows, evidence and
+    whole groups are taken from there.
+    """
+    rules = list(rules)
+    rows = staged(tagged(events, rules), "tagged")
+    hits = staged(_best(rows, rules).unionByName(_timeless(rows, rules)), "hits")
+    hits = _evidence(hits, rows, ["rule", "entity"])
+    followed = _of(rules, lambda r: r.then_success)
+    none = {"followed_by": F.lit(None).cast("string"), "followed_at": F.lit(None).cast("timestamp")}
+    hits = hits.filter(~followed).withColumns(none).unionByName(success_followup(hits.filter(followed), events)) if any(r.then_success for r in rules) else hits.withColumns(none)
+    least = _of(rules, lambda r: r.threshold)
+    reason = F.format_string("+%d %d matching events (threshold %d, window %s)", F.least(F.lit(30), 10 + 4 * F.col("value")).cast("int"), "value", least, _of(rules, lambda r: r.window))
     note = F.when(F.col("followed_by").isNotNull(), F.concat(F.lit("+ successful authentication followed ("), "followed_by", F.lit(")")))
-    return hits.select(
-        *(F.lit(getattr(rule, k)).alias(k) for k in ("rule_id", "name", "category", "severity", "threshold")),
-        F.array(*map(F.lit, rule.group_by)).alias("entity_type"), "entity", "value", "started", "ended", "evidence", "has_address", "followed_by", "followed_at",
+    out = hits.select(
+        *(_of(rules, lambda r, k=k: getattr(r, k)).alias(k) for k in ("rule_id", "name", "category", "severity", "threshold")),
+        F.split(_of(rules, lambda r: ",".join(r.group_by)), ",").alias("entity_type"), "entity", "value", "started", "ended", "evidence", "has_address", "targets", "followed_by", "followed_at",
         F.array_compact(F.array(reason, note)).alias("reasons"),
     )
+    return new_detections(out, known) if known is not None else out
 
 
-def evaluate(events: DataFrame, rules: Iterable[Rule], known: DataFrame | None = None) -> DataFrame:
-    """Detections of all rules, without those whose (rule_id, entity) is known already."""
-    out = reduce(DataFrame.unionByName, [detect(events, r) for r in rules])
-    return new_detections(out, known) if known is not None else out
+def detect(events: DataFrame, rule: Rule) -> DataFrame:
+    """All detections of one rule."""
+    return evaluate(events, [rule])
 
 
 def new_detections(found: DataFrame, known: DataFrame) -> DataFrame:

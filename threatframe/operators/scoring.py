@@ -30,17 +30,18 @@ def normalize_category(category: Column) -> Column:
 
 
 def score_detections(found: DataFrame, targets: Column | None = None) -> DataFrame:
-    """Adds risk_score (0 to 100) and appends one reason per factor. targets: different targets, 1 where unknown."""
-    targets = F.lit(1) if targets is None else targets
+    """Adds risk_score (0 to 100) and appends one reason per factor. targets: different targets, by default those that the
+    detection's window holds."""
+    targets = F.col("targets") if targets is None else targets
     size = F.size("evidence")
     over = F.greatest(F.lit(0), F.col("value") - F.col("threshold"))
     factors = {
-        "rule severity": lookup(F.upper("severity"), SEVERITY_POINTS, 10),
-        "frequency": F.least(F.lit(20), over * 3 + F.when(F.col("value") >= F.col("threshold"), 5).otherwise(0)),
-        "high-confidence IOC in evidence": F.when(F.col("has_address"), 10).otherwise(0),
-        "successful login followed the failures": F.when(F.col("followed_by").isNotNull(), 15).otherwise(0),
-        "distinct targets": F.least(F.lit(10), targets * 2),
-        "evidence volume": F.least(F.lit(5), F.floor(size / 5)),
+        "severity of the rule": lookup(F.upper("severity"), SEVERITY_POINTS, 10),
+        "events over the threshold": F.least(F.lit(20), over * 3 + F.when(F.col("value") >= F.col("threshold"), 5).otherwise(0)),
+        "address named in the window": F.when(F.col("has_address"), 10).otherwise(0),
+        "login succeeded afterwards": F.when(F.col("followed_by").isNotNull(), 15).otherwise(0),
+        "different targets": F.least(F.lit(10), targets * 2),
+        "size of the evidence": F.least(F.lit(5), F.floor(size / 5)),
     }
     points = {k: v.cast("int") for k, v in factors.items()}
     reasons = F.filter(F.array(*(F.when(p > 0, F.concat(F.lit("+"), p.cast("string"), F.lit(f" {k}"))) for k, p in points.items())), lambda x: x.isNotNull())

@@ -29,7 +29,30 @@ def c01(spark: SparkSession, sf: str) -> DataFrame:
     return indicators.indicator_table(documents(spark, sf), "text").filter("type = 'ipv4'").select("doc_id", "value")
 
 
-@query("c01_extract_all")
+_V4 = r"(regexp_full_match({0}, '(0|[1-9][0-9]{{0,2}})(\.(0|[1-9][0-9]{{0,2}})){{3}}') AND list_max(list_transform(string_split({0}, '.'), lambda x: TRY_CAST(x AS INT))) <= 255 AND {0} NOT IN ('0.0.0.0', '255.255.255.255', '127.0.0.1'))"
+_NAME = r"(length({0}) <= 253 AND regexp_full_match({0}, '([a-z0-9]([a-z0-9-]{{0,61}}[a-z0-9])?\.)+[a-z]{{2,24}}') AND split_part({0}, '.', -1) NOT IN ({1}))"
+_NAME = _NAME.replace("{1}", ", ".join(f"'{e}'" for e in indicators.FILE_ENDINGS))
+_OWN = r"(starts_with({0}, '10.') OR starts_with({0}, '192.168.') OR regexp_matches({0}, '^172\.(1[6-9]|2[0-9]|3[01])\.') OR starts_with({0}, '127.') OR starts_with({0}, '169.254.') OR starts_with({0}, '0.') OR starts_with({0}, '192.0.2.') OR regexp_matches({0}, '^192\.0\.0\.[0-7]$') OR regexp_matches({0}, '^198\.1[89]\.') OR starts_with({0}, '198.51.100.') OR starts_with({0}, '203.0.113.') OR TRY_CAST(split_part({0}, '.', 1) AS INT) >= 240)"
+_RUNS = r"regexp_extract_all({0}, '[A-Za-z0-9_@./-]+[=(\x27]?')"
+_PLAIN = _RUNS.format(r"""regexp_replace(text, '(?i)(^|[^A-Za-z0-9_])(?:v|version)\s*"?(?:[0-9]{1,3}\.){3}[0-9]{1,3}', '\1 ', 'g')""")
+_TEXT = _RUNS.format(r"regexp_replace(text, '(?is)<script\b.*?</script>', ' ', 'g')")
+_HOST = r"lower(regexp_extract(url, '(?i)^https?://(?:[^/@]*@)?(\[[^\]]*\]|[^/:?#\[]+)', 1))"
+#: The extractor's definition over documents and pages; neither holds IPv6 addresses, for which tests stand in.
+ALL_IOCS = rf"""WITH src AS (SELECT CAST(doc_id AS STRING) AS id, coalesce(text, '') AS text FROM documents UNION ALL SELECT CAST(page_id AS STRING), concat_ws(' ', url, html) FROM pages),
+ u AS (SELECT DISTINCT id, unnest(regexp_extract_all(text, '(?i)https?://[^\s"\x27<>\\]+')) AS url FROM src),
+ h AS (SELECT id, url, {_HOST} AS host FROM u),
+ g AS (SELECT * FROM h WHERE {_V4.format("host")} OR {_NAME.format("host")}),
+ r AS (SELECT id, unnest({_PLAIN}) AS c FROM src),
+ n AS (SELECT id, unnest(string_split_regex(c, '[@/=(\x27-]')) AS v FROM r WHERE contains(c, '.') UNION ALL SELECT id, host FROM g),
+ d AS (SELECT id, lower(unnest({_TEXT})) AS v FROM src UNION ALL SELECT id, host FROM g),
+ x AS (SELECT id, lower(unnest(regexp_extract_all(text, '[0-9a-fA-F]{{32,}}'))) AS v FROM src)
+ SELECT id, 'url' AS type, url AS value, CAST(0.95 AS DOUBLE) AS confidence, CAST(NULL AS BOOLEAN) AS private, host FROM g
+ UNION SELECT id, 'ipv4', v, CAST(0.99 AS DOUBLE), {_OWN.format("v")}, NULL FROM n WHERE {_V4.format("v")}
+ UNION SELECT id, 'domain', v, CAST(0.85 AS DOUBLE), NULL, NULL FROM d WHERE {_NAME.format("v")}
+ UNION SELECT id, CASE length(v) WHEN 32 THEN 'md5' WHEN 40 THEN 'sha1' ELSE 'sha256' END, v, CAST(0.99 AS DOUBLE), NULL, NULL FROM x WHERE length(v) IN (32, 40, 64)"""
+
+
+@query("c01_extract_all", ALL_IOCS, sec=False)
 def c01b(spark: SparkSession, sf: str) -> DataFrame:
     """Every valid indicator of every document and page."""
     pages = spark.read.parquet(f"{sf}/pages.parquet").select(F.col("page_id").cast("string").alias("id"), F.concat_ws(" ", "url", "html").alias("text"))
@@ -57,9 +80,29 @@ def c04(spark: SparkSession, sf: str) -> DataFrame:
     return hits.filter("h.type = 'EMAIL'").select("doc_id", "h.value")
 
 
+def _after(name: str, words: str, gap: str, value: str, sure: float) -> str:
+    pattern = rf"(?i)\b(?:{words})\b{gap}({value})".replace("'", "''")
+    return f"SELECT doc_id, '{name}' AS type, unnest(regexp_extract_all(text, '{pattern}', 1)) AS value, CAST({sure} AS DOUBLE) AS confidence FROM documents"
+
+
+_KEYS = r"""(?i)\b(AKIA[0-9A-Z]{16}\b|sk-[A-Za-z0-9_-]{20,}\b|(?:api[_-]?key|client[_-]?secret|secret[_-]?key)\b["'':=\s]+[^\s"'',;]{8,})"""
+_NAMED = " UNION ALL ".join(_after(*n) for n in indicators.NAMED) + rf"""
+ UNION ALL SELECT doc_id, 'API_KEY', unnest(regexp_extract_all(text, '{_KEYS}', 1)), CAST(0.95 AS DOUBLE) FROM documents
+ UNION ALL SELECT doc_id, 'EMPLOYEE_ID', unnest(regexp_extract_all(text, '(?i)\bEMP-?[0-9]{{4,8}}\b', 0)), CAST(0.95 AS DOUBLE) FROM documents
+ UNION ALL SELECT doc_id, 'ACCOUNT_NUMBER', unnest(regexp_extract_all(text, '(?i)\baccount(?:[_ -]?number|[#\s])*[:=]?\s*([0-9]{{6,17}})\b', 1)), CAST(0.9 AS DOUBLE) FROM documents
+ UNION ALL SELECT doc_id, 'ACCOUNT_NUMBER', unnest(regexp_extract_all(text, '(?i)\b(IBAN\s+[A-Z]{{2}}[0-9A-Z]{{13,32}})', 1)), CAST(0.9 AS DOUBLE) FROM documents"""
+
+
+@query("c04_detect_named", f"SELECT DISTINCT doc_id, type, trim(value) AS value, confidence FROM ({_NAMED}) WHERE length(trim(value)) >= 3", sec=False)
+def c04c(spark: SparkSession, sf: str) -> DataFrame:
+    """Secrets and numbers that a word before them names."""
+    hits = documents(spark, sf).select("doc_id", F.explode(indicators.personal(F.col("text"))).alias("h")).select("doc_id", "h.*")
+    return hits.filter("type NOT IN ('EMAIL', 'PHONE', 'NAME')")
+
+
 @query("c04_detect_all")
 def c04b(spark: SparkSession, sf: str) -> DataFrame:
-    return documents(spark, sf).select("doc_id", F.explode(indicators.personal(F.col("text"))).alias("h")).select("doc_id", "h.*")
+    return documents(spark, sf).select("doc_id", F.explode(indicators.personal(F.col("text"))).alias("h")).select("doc_id", "h.*")  # held against brute force in the tests
 
 
 @query("c05_redact_email", r"SELECT doc_id, regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[EMAIL_REDACTED]', 'g') AS text FROM documents", sec=False)
@@ -114,15 +157,22 @@ def d06(spark: SparkSession, sf: str) -> DataFrame:
     return documents(spark, sf).filter(F.exists(indicators.iocs(F.col("text")), lambda i: i.type == "ipv4")).select("doc_id")
 
 
-@query("e26_extraction_quality", _IP + """, truth AS (SELECT DISTINCT doc_id, value FROM ip WHERE doc_id % 3 <> 0), found AS (SELECT DISTINCT doc_id, value FROM ip WHERE doc_id % 5 <> 0),
+_FOUND_IP = _IP.replace("WITH t AS", "WITH p AS (SELECT doc_id, regexp_replace(text, '(?i)(^|[^A-Za-z0-9_])(?:v|version)\\s*\"?(?:[0-9]{1,3}\\.){3}[0-9]{1,3}', '\\1 ', 'g') AS text FROM documents), t AS").replace("AS w FROM documents)", "AS w FROM p)")
+
+
+@query("e26_extraction_quality", _FOUND_IP + f""", found AS (SELECT DISTINCT doc_id, value FROM ip), all_words AS (SELECT DISTINCT doc_id, unnest(string_split_regex(text, '[^A-Za-z0-9_.]+')) AS value FROM documents), truth AS (SELECT * FROM all_words WHERE {_V4.format("value")}),
  j AS (SELECT t.value AS t, f.value AS f FROM truth t FULL JOIN found f USING (doc_id, value)), c AS (SELECT count(*) FILTER (t IS NOT NULL AND f IS NOT NULL) AS tp, count(*) FILTER (t IS NULL) AS fp, count(*) FILTER (f IS NULL) AS fn FROM j)
  SELECT tp, fp, fn, round(tp / (tp + fp), 4) AS precision, round(tp / (tp + fn), 4) AS recall FROM c""", sec=False)
 def e26(spark: SparkSession, sf: str) -> DataFrame:
-    """Hits that miss every fifth document against labels that miss every third."""
+    """The extractor's addresses against an independent labelling: every word of address characters that is four octets."""
     from threatframe.operators import quality
 
-    hits = indicators.indicator_table(documents(spark, sf), "text").filter("type = 'ipv4'").select("doc_id", "value")
-    return quality.extraction(hits.filter("doc_id % 5 <> 0"), hits.filter("doc_id % 3 <> 0"), ["doc_id", "value"]).select("tp", "fp", "fn", F.round("precision", 4).alias("precision"), F.round("recall", 4).alias("recall"))
+    d = documents(spark, sf)
+    hits = indicators.indicator_table(d, "text").filter("type = 'ipv4'").select("doc_id", "value")
+    words = d.select("doc_id", F.explode(F.split("text", "[^A-Za-z0-9_.]+")).alias("value")).distinct()
+    octets = F.transform(F.split("value", r"\."), lambda o: F.when(o.rlike("^(0|[1-9][0-9]{0,2})$"), o.cast("int")))
+    truth = words.filter((F.size(octets) == 4) & F.forall(octets, lambda o: F.coalesce(o <= 255, F.lit(False))) & ~F.col("value").isin("0.0.0.0", "255.255.255.255", "127.0.0.1"))
+    return quality.extraction(hits, truth, ["doc_id", "value"]).select("tp", "fp", "fn", F.round("precision", 4).alias("precision"), F.round("recall", 4).alias("recall"))
 
 
 @query("e27_redaction_effectiveness", _MAIL + " SELECT count(*) AS labelled, CAST(1.0 AS DOUBLE) AS share FROM (SELECT DISTINCT doc_id, value FROM t)", sec=False)
@@ -130,7 +180,7 @@ def e27(spark: SparkSession, sf: str) -> DataFrame:
     from threatframe.operators import quality
 
     d = documents(spark, sf)
-    labels = d.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(indicators.PERSONAL[0][1]), 1))).alias("value"))
+    labels = d.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(f"(?<![A-Za-z0-9_])({indicators.SHAPED[0][1]})(?![A-Za-z0-9_])"), 1))).alias("value"))
     clean = d.select("doc_id", indicators.redacted(F.col("text")).alias("text"))
     return quality.redaction(clean, labels, "doc_id", "text")
 
