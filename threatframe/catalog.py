@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from threatframe import queries as registry
-from threatframe.queries import detection, ingest, reports, text  # noqa: F401  (they register their queries)
+from threatframe.queries import cases, detection, files, ingest, reports, text  # noqa: F401  (they register their queries)
 
 
 def queries() -> dict:

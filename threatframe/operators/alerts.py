@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterable, Mapping
+from dataclasses import dataclass, fields, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from threatframe.functions.staging import staged
 from threatframe.operators import correlate, indicators
 from threatframe.operators.scoring import lookup
+from threatframe.sources.security import SEVERITIES, severity_rank
 
 
 @dataclass(frozen=True)
@@ -23,6 +25,8 @@ class AlertRule:
     min_risk: int = 0
     min_confidence: float = 0.0
     threshold: int = 1
+    asset_type: str | None = None  #: an incident must touch an asset of this type
+    min_criticality: str | None = None  #: and one of this criticality at least
 
 
 #: The shipped alert rules.
@@ -34,14 +38,34 @@ RULES = [
     AlertRule("ALERT_TRAVERSAL", "detection", "MEDIUM", match_rule="WEB_TRAVERSAL_001"),
     AlertRule("ALERT_MALWARE", "detection", "HIGH", match_category="Malware"),
     AlertRule("ALERT_HIGH_CONF_IOC", "ioc", "HIGH", min_confidence=0.9),
-    AlertRule("ALERT_ASSET_WEB_ATTACK", "incident", "HIGH", match_category="Web Attack", min_risk=40),
-    AlertRule("ALERT_CRITICAL_ASSET_INCIDENT", "incident", "HIGH", min_risk=45),
+    AlertRule("ALERT_ASSET_WEB_ATTACK", "incident", "HIGH", min_risk=40, asset_type="web"),
+    AlertRule("ALERT_CRITICAL_ASSET_INCIDENT", "incident", "HIGH", min_risk=45, min_criticality="CRITICAL"),
 ]
 
 #: What to do about an incident, by its title.
 ADVICE = {"Brute Force Attack": "Block the source and reset the accounts it tried.", "Possible Account Compromise": "Isolate the host and reset its credentials.", "Web Application Attack": "Review the web application and its firewall."}
 
 
+SOURCES = ("detection", "incident", "ioc")
+
+
+def parse_alert_rules(raw: Iterable[Mapping], base: Iterable[AlertRule] = ()) -> list[AlertRule]:
+    """Alert rules from plain mappings on top of base rules: a known rule_id changes that rule, a new one is added; one
+    that cannot be read is left out."""
+    out = {r.rule_id: r for r in base}
+    kinds = {f.name: f.type for f in fields(AlertRule)}
+    for r in raw:
+        try:
+            r = {k: v for k, v in r.items() if k in kinds}
+            r |= {k: int(r[k]) for k in ("min_risk", "threshold") if k in r} | {k: float(r[k]) for k in ("min_confidence",) if k in r}
+            rule = replace(out[r["rule_id"]], **r) if r["rule_id"] in out else AlertRule(**r)
+            if rule.source in SOURCES and rule.severity in SEVERITIES and rule.threshold > 0 and (rule.min_criticality or "LOW") in SEVERITIES:
+                out[rule.rule_id] = rule
+        except (KeyError, TypeError, ValueError):
+            continue
+    return list(out.values())
+
+
 def found_indicators(events: DataFrame, feed: DataFrame) -> DataFrame:
     """The indicators of the events' addresses and messages, aggregated; the threat type is the feed's where it knows the value."""
     text = F.concat_ws(" ", "src_ip", "dst_ip", "message")
@@ -52,8 +76,11 @@ def found_indicators(events: DataFrame, feed: DataFrame) -> DataFrame:
     return agg.join(F.broadcast(known), F.lower("value") == F.col("_v"), "left").withColumn("threat_type", F.coalesce("_threat", "threat_type")).drop("_v", "_threat")
 
 
-def candidates(rules: list[AlertRule], detections: DataFrame, incidents: DataFrame, found: DataFrame) -> DataFrame:
-    """(alert_rule, severity, entity, risk_score, facts, dedup_key), one row per rule and entity."""
+def candidates(rules: list[AlertRule], detections: DataFrame, incidents: DataFrame, found: DataFrame, assets: DataFrame | None = None) -> DataFrame:
+    """(alert_rule, severity, entity, risk_score, facts, dedup_key), one row per rule and entity.
+
+    assets: (cluster, name, asset_type, criticality) of the incidents; without them no rule that asks for assets fires.
+    """
     sources = {
         "detection": detections.select(F.array_join("entity", ":").alias("entity"), "risk_score", F.col("rule_id").alias("_rule"), F.col("category").alias("_cat"), F.lit(1.0).alias("_sure")),
         "incident": incidents.select(F.col("cluster").alias("entity"), "risk_score", F.lit(None).cast("string").alias("_rule"), F.col("category").alias("_cat"), F.lit(1.0).alias("_sure")),
@@ -66,11 +93,36 @@ def candidates(rules: list[AlertRule], detections: DataFrame, incidents: DataFra
             df = df.filter(F.col("_rule") == r.match_rule)
         if r.match_category:
             df = df.filter(F.contains("_cat", F.lit(r.match_category)))
+        if r.asset_type or r.min_criticality:
+            if assets is None:
+                continue
+            kind = F.col("asset_type") == r.asset_type if r.asset_type else F.lit(True)
+            grave = severity_rank(F.col("criticality")) >= SEVERITIES.index(r.min_criticality or "LOW")
+            touched = assets.groupBy(F.col("cluster").alias("entity")).agg(F.bool_or(kind).alias("_kind"), F.bool_or(grave).alias("_grave")).filter("_kind AND _grave")
+            df = df.join(touched.select("entity"), "entity", "left_semi")
         g = df.groupBy("entity").agg(F.max("risk_score").alias("risk_score"), F.count(F.lit(1)).alias("facts")).filter(F.col("facts") >= r.threshold)
         out.append(g.select(F.lit(r.rule_id).alias("alert_rule"), F.lit(r.severity).alias("severity"), "entity", "risk_score", "facts", F.concat(F.lit(f"{r.rule_id}|"), "entity").alias("dedup_key")))
     return reduce(DataFrame.unionByName, out)
 
 
+def listing(alerts: DataFrame, status: str | None = None, severity: str | None = None, rule: str | None = None, limit: int = 100) -> DataFrame:
+    """Alerts of a status, severity and rule (each where given), newest first; 1 to 500 of them."""
+    wanted = {"status": status, "severity": severity and severity.upper(), "alert_rule": rule}
+    for c, v in wanted.items():
+        alerts = alerts.filter(F.col(c) == v) if v else alerts
+    return alerts.orderBy(F.desc("created_at"), "alert_rule", "entity").limit(max(1, min(500, limit)))
+
+
+def actor_narratives(groups: DataFrame, incidents: DataFrame, named: DataFrame) -> DataFrame:
+    """actor, text: size, confidence and posture of an actor group, what its incidents share, and their worst severity."""
+    worst = incidents.join(named, "cluster").groupBy("actor").agg(F.max_by("severity", severity_rank(F.col("severity"))).alias("worst"))
+    j = groups.join(worst, "actor")
+    shared = [F.when(F.col(c) > 0, F.format_string(f"They share {what}.", c)) for c, what in (("iocs", "%d indicators"), ("techniques", "%d techniques"))]
+    beat = F.when(F.col("beats") > 0, "Their events keep the same beat, as a schedule would.")
+    head = F.format_string("%s: %d incidents, confidence %.2f, posture %d of 100.", "actor", "incidents", "confidence", "posture")
+    return j.select("actor", F.concat_ws(" ", head, *shared, beat, F.concat(F.lit("Worst severity: "), "worst", F.lit("."))).alias("text"))
+
+
 def narratives(incidents: DataFrame, entries: DataFrame | None = None) -> DataFrame:
     """cluster, text: what the computed facts say. entries: all of them; without, those that the timelines show."""
     entries = correlate.displayed(incidents) if entries is None else entries
@@ -131,4 +183,4 @@ def actor_groups(incidents: DataFrame, entries: DataFrame) -> DataFrame:
     }
     total = reduce(lambda a, b: a + b, points.values())
     parts = F.concat_ws(", ", *(F.concat(F.lit(f"{k} +"), v.cast("string")) for k, v in points.items()))
-    return j.select("actor", "incidents", "confidence", "top_risk", F.least(F.lit(100), total).cast("int").alias("posture"), parts.alias("breakdown"))
+    return j.select("actor", "incidents", "confidence", "top_risk", "iocs", "techniques", "beats", F.least(F.lit(100), total).cast("int").alias("posture"), parts.alias("breakdown"))

@@ -3,39 +3,65 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threatframe.functions.ranking import numbered
 from threatframe.functions.staging import staged
+from threatframe.operators import indicators, joins
 from threatframe.sources.security import severity_rank
 
 TREES, SAMPLE, FLAG, SEED, LEAST_ROWS = 100, 256, 0.7, 42, 8
-NUMERIC = ("hour", "weekday", "msg_len", "dst_port", "risk", "severity", "failed", "denied")
-CATEGORIES = ("event_type", "src_ip", "username")
-FEATURES = (*NUMERIC, *(f"{c}_code" for c in CATEGORIES))
+
+#: The features in their order, and the numbers of address kinds.
+FEATURES = ("hour", "weekday", "msg_len", "src_port", "dst_port", "ioc_count", "pii_count", "risk", "severity", "suspicious", "intel_match", "geo_src_kind", "geo_dst_kind", "event_type_code", "status_code", "protocol_code")
+KINDS = {"reserved": 1.0, "private": 2.0, "public": 3.0}
+CATEGORIES = ("event_type", "status", "protocol")
 
 
 def codes(events: DataFrame, column: str) -> DataFrame:
     """(column, code): the place of each different value in their order; one row per value."""
-    return events.select(column).distinct().withColumn(f"{column}_code", (F.row_number().over(Window.orderBy(column)) - 1).cast("double"))
+    different = events.select(F.coalesce(column, F.lit("")).alias(column)).distinct()
+    return numbered(different, [F.col(column)], f"{column}_code").withColumn(f"{column}_code", F.col(f"{column}_code").cast("double"))
+
+
+def fitted_codes(events: DataFrame) -> dict[str, DataFrame]:
+    return {c: codes(events, c) for c in CATEGORIES}
+
 
+def vectors(events: DataFrame, fitted: dict[str, DataFrame] | None = None, ranges: DataFrame | None = None, feed: DataFrame | None = None) -> DataFrame:
+    """event_id and the sixteen FEATURES as doubles; values that the fitted codes do not know get the next code.
 
-def vectors(events: DataFrame, fitted: dict[str, DataFrame] | None = None) -> DataFrame:
-    """event_id and one double per feature; values that the fitted codes do not know get the next code."""
+    An unknown time or port is -1. Geographic kinds come from the address ranges, the match from the feed's addresses.
+    """
+    spark = events.sparkSession
+    ranges, feed = joins.range_table(spark) if ranges is None else ranges, joins.feed_table(spark) if feed is None else feed
+    kind = lambda c: F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in KINDS.items() for x in kv)), c), F.lit(0.0))
+    number = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(-1.0))
+    have = lambda c: F.col(c) if c in events.columns else F.lit(None).cast("string")
+    text = F.coalesce("message", F.lit(""))
     out = events.select(
-        "event_id", *CATEGORIES, F.hour("ts").cast("double").alias("hour"), F.weekday("ts").cast("double").alias("weekday"), F.length("message").cast("double").alias("msg_len"), F.col("dst_port").cast("double").alias("dst_port"),
-        F.col("risk").cast("double").alias("risk"), severity_rank(F.col("severity")).cast("double").alias("severity"), (F.col("status") == "failure").cast("double").alias("failed"), (F.col("status") == "deny").cast("double").alias("denied"),
+        "event_id", "src_ip", "dst_ip", *(F.coalesce(have(c), F.lit("")).alias(c) for c in CATEGORIES), F.coalesce(F.hour("ts").cast("double"), F.lit(-1.0)).alias("hour"), F.coalesce(F.weekday("ts").cast("double"), F.lit(-1.0)).alias("weekday"),
+        F.length(text).cast("double").alias("msg_len"), (number("src_port") if "src_port" in events.columns else F.lit(-1.0)).alias("src_port"), number("dst_port").alias("dst_port"), F.size(indicators.iocs(text)).cast("double").alias("ioc_count"),
+        F.size(F.array_distinct(F.transform(indicators.personal(text), lambda h: h.type))).cast("double").alias("pii_count"), F.coalesce(F.col("risk").cast("double"), F.lit(0.0)).alias("risk"), F.coalesce(severity_rank(F.col("severity")) + 1, F.lit(0)).cast("double").alias("severity"),
+        (F.size(indicators.suspicious(text)) > 0).cast("double").alias("suspicious"),
     )
+    known = staged(feed.select(F.col("value").alias("_v")).distinct().withColumn("_hit", F.lit(1.0)), "feed")  # its size is known to the planner
+    for c in ("src_ip", "dst_ip"):
+        out = joins.geo_lookup(out, ranges, c).withColumn(f"geo_{c[:3]}_kind", kind(F.col("kind"))).drop("country", "kind")
+        out = out.join(known, out[c] == known["_v"], "left").withColumn(f"_hit_{c}", F.coalesce("_hit", F.lit(0.0))).drop("_v", "_hit")
+    out = out.withColumn("intel_match", F.greatest("_hit_src_ip", "_hit_dst_ip"))
     for c in CATEGORIES:
         table = (fitted or {}).get(c)
-        table = codes(events, c) if table is None else table
-        unseen = table.agg(F.count(F.lit(1)).cast("double").alias("_unseen"))
+        table = codes(events.withColumn(c, have(c)), c) if table is None else table
+        unseen = table.agg(F.count(F.lit(1)).cast("double").alias("_unseen"))  # one row
         out = out.join(table, c, "left").join(F.broadcast(unseen)).withColumn(f"{c}_code", F.coalesce(f"{c}_code", "_unseen")).drop("_unseen")
-    return out.select("event_id", *(F.coalesce(f, F.lit(0.0)).alias(f) for f in FEATURES))
+    return out.select("event_id", *FEATURES)
 
 
 def _grow(x: np.ndarray, r: np.random.Generator) -> list[list[float]]:
@@ -65,14 +91,18 @@ def _normal(n: int) -> float:
 def fit(features: DataFrame, trees: int = TREES, sample: int = SAMPLE, seed: int = SEED) -> list[list[list[float]]]:
     """The forest: each tree is grown in its own task from a seeded sample of at most `sample` rows.
 
-    A row's hash with the tree's number decides on its place in that tree's sample, so a rerun draws the same rows.
+    A row is offered to as many trees as it must be for each to get about twice its sample: to all of a small table's, to
+    one of a large table's. Its hash with the tree's number decides, so a rerun draws the same rows.
     """
     n = features.count()
     if n < LEAST_ROWS:
         return []
     share = min(1.0, 2.0 * sample / n)
+    tries = int(np.ceil(trees * share))  # trees that a row is offered to; one where the table is large
+    first = F.pmod(F.xxhash64(F.lit(seed), "event_id"), F.lit(trees))
     h = F.pmod(F.xxhash64(F.lit(seed), "event_id", "tree"), F.lit(1 << 30))
-    drawn = features.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("h", h).filter(F.col("h") < int(share * (1 << 30)) + 1)
+    drawn = features.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(tries - 1)))).withColumn("tree", F.pmod(first + F.col("_k"), F.lit(trees)).cast("int"))
+    drawn = drawn.withColumn("h", h).filter(F.col("h") < int(min(1.0, trees * share / tries) * (1 << 30)) + 1).drop("_k")
 
     def grow(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["h", "event_id"]).head(sample)
@@ -115,6 +145,43 @@ def scaled(raw: DataFrame) -> DataFrame:
     return raw.join(F.broadcast(ends)).select("event_id", s.alias("score"), (s >= FLAG).alias("anomalous"))
 
 
+@dataclass
+class Model:
+    """A fitted forest with the codes and the score range of what it was fitted on."""
+
+    forest: list
+    codes: dict[str, DataFrame]
+    low: float
+    high: float
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        spark.createDataFrame([(k, t) for k, t in enumerate(self.forest)], "tree int, nodes array<array<double>>").write.parquet(f"{path}/forest")
+        spark.createDataFrame([(self.low, self.high)], "low double, high double").write.parquet(f"{path}/range")
+        for c, table in self.codes.items():
+            table.write.parquet(f"{path}/{c}")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Model:
+        low, high = spark.read.parquet(f"{path}/range").first()
+        forest = [r.nodes for r in spark.read.parquet(f"{path}/forest").orderBy("tree").collect()]  # trees * 2 * sample nodes at most
+        return cls(forest, {c: spark.read.parquet(f"{path}/{c}") for c in CATEGORIES}, low, high)
+
+    def score_events(self, events: DataFrame) -> DataFrame:
+        """event_id, score (on the scale of the fitted table, 0 to 1) and anomalous, for events of any table or batch."""
+        raw = score(vectors(events, self.codes), self.forest)
+        span = self.high - self.low
+        s = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("raw") - self.low) / span)) if span > 0 else F.lit(0.0)
+        return raw.select("event_id", s.alias("score"), (s >= FLAG).alias("anomalous"))
+
+
+def fit_model(events: DataFrame) -> Model:
+    fitted = {c: staged(t, "codes") for c, t in fitted_codes(events).items()}
+    v = staged(vectors(events, fitted), "vectors")
+    forest = fit(v)
+    low, high = score(v, forest).agg(F.min("raw"), F.max("raw")).first()
+    return Model(forest, fitted, low or 0.0, high or 0.0)
+
+
 def reasons(features: DataFrame, top: int = 3) -> DataFrame:
     """event_id, reasons: the features with the largest |z|, in the order of FEATURES on ties."""
     stats = features.agg(*(F.avg(f).alias(f"{f}_m") for f in FEATURES), *(F.stddev_pop(f).alias(f"{f}_s") for f in FEATURES))

@@ -115,7 +115,7 @@ def incidents(clustered: DataFrame) -> DataFrame:
 
 
 def entries(clustered: DataFrame, rows: DataFrame) -> DataFrame:
-    """(cluster, rule_id, entity, event_id, ts, src_ip, dst_ip, message): all events in the windows of a cluster's detections, one row each."""
+    """(cluster, rule_id, entity, event_id, ts, src_ip, dst_ip, hostname, message): all events in the windows of a cluster's detections, one row each."""
     return clustered.select("cluster", "rule_id", "entity").join(rows, ["rule_id", "entity"])
 
 

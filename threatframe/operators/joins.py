@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threatframe.operators.indicators import ip_number
+from threatframe.operators.indicators import iocs, ip_number
 
 #: Address ranges as (first, last, country, kind), not overlapping.
 RANGES = [
@@ -114,3 +114,20 @@ def scores_of_evidence(entries: DataFrame, scores: DataFrame, limit: float = 0.7
     cited = entries.select("cluster", "event_id").distinct().join(scores, "event_id")
     g = cited.groupBy("cluster").agg(F.max("score").alias("peak"), F.count_if(F.col("score") >= limit).alias("flagged"))
     return g.withColumn("bump", F.least(F.lit(30), F.round(F.col("peak") * 20) + F.least(F.lit(10), F.col("flagged") * 2)).cast("int"))
+
+
+def incident_assets(entries: DataFrame, assets: DataFrame) -> DataFrame:
+    """(cluster, name, asset_type, criticality): the assets that an incident touches: its own key, and the sources, targets and
+    hosts of its events; upper and lower case alike."""
+    names = entries.select("cluster", F.explode(F.array("src_ip", "dst_ip", "hostname")).alias("name")).union(entries.select("cluster", F.col("cluster").alias("name")))
+    names = names.select("cluster", F.lower(F.trim("name")).alias("_name")).filter("_name <> ''").distinct()
+    return names.join(assets.select(F.lower("name").alias("_name"), "name", "asset_type", "criticality"), "_name").drop("_name")
+
+
+def evidence_map(entries: DataFrame, ranges: DataFrame) -> DataFrame:
+    """(event_id, src_ip, dst_ip, country, iocs): for each different event of the entries, the country of the first public
+    address of source and target, and the indicators of its message."""
+    rows = entries.select("event_id", "src_ip", "dst_ip", "message").dropDuplicates(["event_id"])
+    each = rows.select("event_id", F.posexplode(F.array("src_ip", "dst_ip")).alias("_pos", "_addr")).filter("_addr IS NOT NULL")
+    public = geo_lookup(each, ranges, "_addr").filter("kind = 'public' AND country IS NOT NULL").groupBy("event_id").agg(F.min_by("country", "_pos").alias("country"))
+    return rows.join(public, "event_id", "left").select("event_id", "src_ip", "dst_ip", "country", iocs(F.col("message")).alias("iocs"))

@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from threatframe.operators.search import deterministic_id
 from threatframe.sources.security import SEVERITIES
 
-#: Time stamp patterns with a year, and without one.
-PATTERNS = ("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]XXX", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]", "yyyy-MM-dd HH:mm:ss[.SSSSSS][.SSS]", "yyyy/MM/dd HH:mm:ss", "dd/MMM/yyyy:HH:mm:ss Z", "MM/dd/yyyy-HH:mm:ss[.SSSSSS]", "MM/dd/yy-HH:mm:ss[.SSSSSS]", "dd MMM yyyy HH:mm:ss")
+#: Time stamp patterns with a year, each with the shape that a stamp must have to be tried with it.
+PATTERNS = (
+    ("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]XXX", "^[0-9]{4}-.{5}T.*([Zz]|[+-][0-9]{2}:[0-9]{2})$"), ("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]", "^[0-9]{4}-.{5}T.*[0-9]$"), ("yyyy-MM-dd HH:mm:ss[.SSSSSS][.SSS]", "^[0-9]{4}-.{5} "),
+    ("yyyy/MM/dd HH:mm:ss", "^[0-9]{4}/"), ("dd/MMM/yyyy:HH:mm:ss Z", "^[0-9]{2}/[A-Z]"), ("MM/dd/yyyy-HH:mm:ss[.SSSSSS]", "^[0-9]{2}/[0-9]{2}/[0-9]{4}-"), ("MM/dd/yy-HH:mm:ss[.SSSSSS]", "^[0-9]{2}/[0-9]{2}/[0-9]{2}-"), ("dd MMM yyyy HH:mm:ss", "^[0-9]{2} [A-Z]"),
+)
 YEARLESS = "yyyy MMM d HH:mm:ss"
 
 
@@ -21,7 +24,7 @@ def parse_timestamp(raw: Column, reference: Column) -> Column:
     raw = F.trim(raw)
     number = F.when(raw.rlike(r"^[0-9]{9,13}(\.[0-9]+)?$"), raw.try_cast("double"))
     epoch = F.timestamp_micros((F.when(number > 1e12, number * 1e3).otherwise(number * 1e6)).cast("long"))
-    full = [F.try_to_timestamp(raw, F.lit(p)) for p in PATTERNS]
+    full = [F.when(raw.rlike(shape), F.try_to_timestamp(raw, F.lit(p))) for p, shape in PATTERNS]
     short = F.regexp_replace(raw, " +", " ")
     year = F.year(reference)
     at = lambda y: F.try_to_timestamp(F.concat(y.cast("string"), F.lit(" "), short), F.lit(YEARLESS))
@@ -52,6 +55,11 @@ def normalize(parsed: DataFrame, reference: Column, raw: str = "line", job: Colu
     return df.withColumn("dedup_event_id", ids).drop("ts_raw")
 
 
+def with_raw(events: DataFrame, raw_lines: DataFrame, keys: list[str]) -> DataFrame:
+    """Events with `raw`, the line that they were read from; null where it is not kept."""
+    return events.join(raw_lines.select(*keys, F.col("line").alias("raw")), keys, "left")
+
+
 def backfilled_ids(events: DataFrame, raw_lines: DataFrame, keys: list[str]) -> DataFrame:
     """Events without a dedup_event_id get it from their raw line, or else from the message; others keep theirs."""
     j = events.join(raw_lines.select(*keys, F.col("line").alias("_raw")), keys, "left")

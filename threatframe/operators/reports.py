@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threatframe.functions.ranking import numbered
 from threatframe.sources.security import SEVERITIES, severity_rank
 
 #: Services by port.
@@ -159,26 +160,35 @@ CONTROLS = [
 ]
 
 
-def audit(metrics: DataFrame, controls: Iterable = CONTROLS) -> DataFrame:
-    """Controls against (metric, value) rows: PASS, or by severity FAIL (high) or WARN. A missing metric counts 0."""
-    table = metrics.sparkSession.createDataFrame(list(controls), "framework string, control string, severity string, metric string, operator string, bound long")
+def audit(metrics: DataFrame, controls: Iterable | DataFrame = CONTROLS) -> DataFrame:
+    """Controls (rows as in CONTROLS, or a table) against (metric, value) rows: PASS, or by severity FAIL (high) or WARN. A
+    missing metric counts 0."""
+    table = controls if isinstance(controls, DataFrame) else metrics.sparkSession.createDataFrame(list(controls), "framework string, control string, severity string, metric string, operator string, bound long")
     v = F.coalesce("value", F.lit(0))
     ok = F.when(F.col("operator") == "le", v <= F.col("bound")).when(F.col("operator") == "ge", v >= F.col("bound")).when(F.col("operator") == "gt", v > F.col("bound")).otherwise(v == F.col("bound"))
-    return F.broadcast(table).join(metrics, "metric", "left").withColumn("value", v).withColumn("result", F.when(ok, "PASS").when(F.col("severity") == "high", "FAIL").otherwise("WARN"))
+    return table.join(metrics, "metric", "left").withColumn("value", v).withColumn("result", F.when(ok, "PASS").when(F.col("severity") == "high", "FAIL").otherwise("WARN"))
+
+
+CHUNK = 4096  #: events whose hashes make one digest
 
 
 def batch_digests(events: DataFrame, job: Column, order: str, text: Column) -> DataFrame:
-    """(job, events, digest): SHA-256 over the ordered SHA-256 of each event of a batch.
+    """(job, events, digest): a digest of a batch's ordered events, as a tree of two levels.
 
-    Batches are bounded by their ingest size; a batch's hashes, 64 bytes an event, meet in one task.
+    The SHA-256 of each event are hashed together by chunks of CHUNK events in order, the chunks' digests by batch. A task
+    holds one chunk, and of a batch one digest for CHUNK events. `order` tells the events of a batch apart.
     """
     rows = events.select(job.alias("job"), F.col(order).alias("o"), F.sha2(text, 256).alias("h"))
-    g = rows.groupBy("job").agg(F.count(F.lit(1)).alias("events"), F.array_sort(F.collect_list(F.struct("o", "h"))).alias("hs"))
-    return g.select("job", "events", F.sha2(F.array_join(F.transform("hs", lambda x: x.h), ""), 256).alias("digest"))
+    rows = numbered(rows, [F.col("job"), F.col("o")], "n")
+    first = rows.groupBy("job").agg(F.min("n").alias("first"))
+    rows = rows.join(first, "job").withColumn("chunk", F.expr(f"(n - first) div {CHUNK}"))
+    joined = lambda key, value: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, value))), lambda x: x[value]), ""), 256)
+    chunks = rows.groupBy("job", "chunk").agg(joined("o", "h").alias("d"), F.count(F.lit(1)).alias("events"))
+    return chunks.groupBy("job").agg(F.sum("events").alias("events"), joined("chunk", "d").alias("digest"))
 
 
 def chained(digests: DataFrame) -> DataFrame:
-    """Adds prev_hash and chain_hash, each link over its predecessor's batch digest."""
+    """Adds prev_hash and chain_hash, each link over its predecessor's batch digest. One row per batch."""
     prev = F.lag("digest").over(Window.orderBy("job"))
     return digests.withColumn("prev_hash", F.coalesce(prev, F.lit("0" * 64))).withColumn("chain_hash", F.sha2(F.concat("prev_hash", "digest"), 256))
 

@@ -101,7 +101,7 @@ def grouped(events: DataFrame, rule: Rule) -> DataFrame:
 
 
 def tagged(events: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """(rule, entity, field, event_id, ts, src_ip, dst_ip, message): a row for every event and rule that looks at it.
+    """(rule, entity, field, event_id, ts, src_ip, dst_ip, hostname, message): a row for every event and rule that looks at it.
 
     One scan evaluates all rules; `rule` is a place in `rules`, `field` what a distinct rule counts.
     """
@@ -110,7 +110,7 @@ def tagged(events: DataFrame, rules: Sequence[Rule]) -> DataFrame:
         field = F.col(r.distinct_field or "dst_port").cast("string") if r.metric == "distinct" else F.lit(None).cast("string")
         tags.append(F.when(condition(r) & _known(_entity(r)), F.struct(F.lit(k).alias("rule"), _entity(r).alias("entity"), field.alias("field"))))
     rows = events.withColumn("_tag", F.explode(F.array_compact(F.array(*tags))))
-    return rows.select("_tag.*", "event_id", "ts", "src_ip", "dst_ip", "message")
+    return rows.select("_tag.*", "event_id", "ts", "src_ip", "dst_ip", "hostname", "message")
 
 
 def _of(rules: Sequence[Rule], value) -> Column:
@@ -208,7 +208,7 @@ def with_evidence(hits: DataFrame, df: DataFrame) -> DataFrame:
 
 
 def window_events(found: DataFrame, events: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """(rule_id, entity, event_id, ts, src_ip, dst_ip, message): every event in the window of each detection, one row each, uncut."""
+    """(rule_id, entity, event_id, ts, src_ip, dst_ip, hostname, message): every event in the window of each detection, one row each, uncut."""
     rules = list(rules)
     rows = tagged(events, rules).withColumn("rule_id", _of(rules, lambda r: r.rule_id)).drop("rule", "field")
     return _inside(found.select("rule_id", "entity", "started", "ended"), rows, ["rule_id", "entity"]).drop("started", "ended")

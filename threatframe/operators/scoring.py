@@ -38,7 +38,7 @@ def score_detections(found: DataFrame, targets: Column | None = None) -> DataFra
     factors = {
         "severity of the rule": lookup(F.upper("severity"), SEVERITY_POINTS, 10),
         "events over the threshold": F.least(F.lit(20), over * 3 + F.when(F.col("value") >= F.col("threshold"), 5).otherwise(0)),
-        "address named in the window": F.when(F.col("has_address"), 10).otherwise(0),
+        "IOC named in the window": F.when(F.col("has_address"), 10).otherwise(0),
         "login succeeded afterwards": F.when(F.col("followed_by").isNotNull(), 15).otherwise(0),
         "different targets": F.least(F.lit(10), targets * 2),
         "size of the evidence": F.least(F.lit(5), F.floor(size / 5)),

@@ -66,9 +66,9 @@ def page(df: DataFrame, offset: int, rows: int) -> DataFrame:
     return df.orderBy(F.desc("ts"), "event_id").offset(offset).limit(rows)
 
 
-def by_severity(events: DataFrame, detections: DataFrame, severity: str) -> DataFrame:
-    """Events of a severity, or cited as evidence by a detection (already limited to that severity)."""
-    cited = detections.select(F.explode("evidence").alias("e")).select("e.event_id").distinct().withColumn("_cited", F.lit(True))
+def by_severity(events: DataFrame, cited: DataFrame, severity: str) -> DataFrame:
+    """Events of a severity, or cited by a detection of it. cited: an event_id per row, repeats allowed."""
+    cited = cited.select("event_id").distinct().withColumn("_cited", F.lit(True))
     return events.join(cited, "event_id", "left").filter((F.col("severity") == severity) | F.coalesce("_cited", F.lit(False))).drop("_cited")
 
 

@@ -125,12 +125,12 @@ def detections(spark: SparkSession, sf: str) -> DataFrame:
     return staged(rules.evaluate(security_events(spark, sf), DAYS), "detections")
 
 
-SCORED = _all_best() + """, sized AS (SELECT d.*, least(50, count(*)) AS evidence, count(DISTINCT e.dst_ip) AS targets FROM det d JOIN sec e ON (
-   (rule_id = 'BRUTE_FORCE_001' AND e.event_type = 'auth_failure' AND e.src_ip = d.entity) OR
+#: The events that a detection d looks at.
+MATCH = """((rule_id = 'BRUTE_FORCE_001' AND e.event_type = 'auth_failure' AND e.src_ip = d.entity) OR
    (rule_id = 'PORT_SCAN_001' AND e.event_type = 'firewall_event' AND e.status = 'deny' AND e.src_ip = d.entity) OR
    (rule_id = 'HOST_SCAN_001' AND e.event_type = 'firewall_event' AND e.username = d.entity) OR
-   (rule_id = 'WEB_SQLI_001' AND e.event_type = 'http_request' AND regexp_matches(e.message, 'value=1[0-9][0-9]$') AND concat(e.src_ip, ':', e.username) = d.entity)
-  ) AND e.ts BETWEEN d.started AND d.ended GROUP BY ALL),
+   (rule_id = 'WEB_SQLI_001' AND e.event_type = 'http_request' AND regexp_matches(e.message, 'value=1[0-9][0-9]$') AND concat(e.src_ip, ':', e.username) = d.entity))"""
+SCORED = _all_best() + f""", sized AS (SELECT d.*, least(50, count(*)) AS evidence, count(DISTINCT e.dst_ip) AS targets FROM det d JOIN sec e ON {MATCH} AND e.ts BETWEEN d.started AND d.ended GROUP BY ALL),
  followed AS (SELECT s.*, s.rule_id = 'BRUTE_FORCE_001' AND EXISTS (SELECT 1 FROM sec e WHERE e.event_type = 'auth_success' AND e.src_ip = s.entity AND e.ts >= s.ended) AS success FROM sized s),
  scored AS (SELECT *, least(100, CASE severity WHEN 'LOW' THEN 5 WHEN 'MEDIUM' THEN 12 WHEN 'HIGH' THEN 20 WHEN 'CRITICAL' THEN 30 ELSE 10 END
    + least(20, (n - threshold) * 3 + 5) + CASE WHEN success THEN 15 ELSE 0 END + least(10, 2 * targets) + least(5, evidence // 5)) AS score FROM followed)"""
@@ -197,12 +197,6 @@ def g05(spark: SparkSession, sf: str) -> DataFrame:
     return inc.select(F.col("cluster").alias("entity"), "risk_score", "members", "category", "severity", "title", F.col("classification").alias("class"))
 
 
-@query("f04_incident_timeline")
-def f04(spark: SparkSession, sf: str) -> DataFrame:
-    inc = correlate.incidents(correlate.cluster(scoring.score_detections(detections(spark, sf))))
-    return inc.select("cluster", F.posexplode("timeline").alias("place", "t")).select("cluster", "place", "t.rule_id", "t.event_id", F.unix_micros("t.ts").alias("ts_us"))
-
-
 def incidents(spark: SparkSession, sf: str) -> DataFrame:
     return cases(spark, sf)[0]
 
@@ -224,33 +218,7 @@ def d07(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("rule_id", F.array_join("entity", ":").alias("entity"), F.array_join(F.transform("techniques", lambda t: t.technique), ",").alias("techniques"))
 
 
-@query("g07_kill_chain")
-def g07(spark: SparkSession, sf: str) -> DataFrame:
-    return correlate.kill_chain(entries(spark, sf))
-
-
-@query("f05_investigation_phases")
-def f05(spark: SparkSession, sf: str) -> DataFrame:
-    return correlate.phases(entries(spark, sf)).select("cluster", "tactic", "stage", "events", F.unix_micros("started").alias("started_us"), F.unix_micros("ended").alias("ended_us"))
-
-
-@query("d17_annotate_events")
-def d17(spark: SparkSession, sf: str) -> DataFrame:
-    out = correlate.annotate(security_events(spark, sf).withColumn("threat_type", F.lit(None).cast("string")), *cases(spark, sf))
-    return out.filter("threat_type IS NOT NULL").select("event_id", "threat_type", "risk")
-
-
 @query("f06_beacon_cadence", """WITH s AS (SELECT DISTINCT src_ip, epoch_us(ts) AS t FROM sec WHERE event_type = 'dns_query'), g AS (SELECT src_ip, t - lag(t) OVER (PARTITION BY src_ip ORDER BY t) AS gap FROM s)
  SELECT src_ip, count(gap) AS gaps, round(median(gap) / 1000000.0, 3) AS cadence_s FROM g GROUP BY src_ip HAVING count(gap) >= 2""")
 def f06(spark: SparkSession, sf: str) -> DataFrame:
     return correlate.cadence(security_events(spark, sf).filter("event_type = 'dns_query'"), "src_ip").select("src_ip", "gaps", F.round("cadence_s", 3).alias("cadence_s"))
-
-
-@query("d12_incident_links")
-def d12(spark: SparkSession, sf: str) -> DataFrame:
-    return correlate.linked_pairs(correlate.signals(entries(spark, sf))).drop("signals")
-
-
-@query("i02_incident_signals")
-def i02(spark: SparkSession, sf: str) -> DataFrame:
-    return correlate.signals(entries(spark, sf))

@@ -9,10 +9,9 @@ from threatframe.functions.staging import shared_dir, staged
 from threatframe.operators import anomaly, indicators, joins, normalize, quality, reports, rules, scoring
 from threatframe.operators.rules import Rule
 from threatframe.queries import query
-from threatframe.queries.detection import BRUTE, cases, detections, entries, incidents
-from threatframe.queries.text import lines as document_lines
+from threatframe.queries.detection import BRUTE, entries
 from threatframe.sinks import writers
-from threatframe.sources import formats, readers
+from threatframe.sources import formats
 from threatframe.sources.security import security_events
 from threatframe.streaming import jobs
 
@@ -31,16 +30,6 @@ def rendered(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("event_id", F.col("event_type").alias("file"), F.col("event_id").alias("line_no"), line.alias("line"))
 
 
-@query("a01_numbered_lines", "SELECT n AS line_no, concat('line ', CAST(n AS STRING)) AS line FROM (SELECT row_number() OVER (ORDER BY event_id) AS n FROM events)", sec=False)
-def a01(spark: SparkSession, sf: str) -> DataFrame:
-    import uuid
-
-    path = f"{shared_dir(spark)}/lines-{uuid.uuid4().hex}"
-    n = spark.read.parquet(f"{sf}/events.parquet").count()
-    spark.range(1, n + 1, 1, 1).select(F.concat(F.lit("line "), F.col("id").cast("string"))).write.text(path)
-    return readers.read_lines(spark, path).select("line_no", "line")
-
-
 @query("b01_detect_formats", "SELECT event_type AS file, CASE event_type WHEN 'http_request' THEN 'apache' WHEN 'dns_query' THEN 'dns' WHEN 'firewall_event' THEN 'firewall' ELSE 'syslog' END AS format, CAST(1.0 AS DOUBLE) AS confidence, least(300, count(*)) AS lines FROM sec GROUP BY event_type")
 def b01(spark: SparkSession, sf: str) -> DataFrame:
     return formats.detect_formats(rendered(spark, sf))
@@ -121,12 +110,13 @@ def n02(spark: SparkSession, sf: str) -> DataFrame:
     return rules.best_windows(rules.grouped(security_events(spark, sf), rule), rule).select(F.element_at("entity", 1).alias("entity"), F.col("value").alias("n"))
 
 
-@query("d04_raw_and_normalized", "SELECT doc_id, count(*) AS lines, sum(CASE WHEN length(line) > 0 THEN 1 ELSE 0 END)::BIGINT AS matched FROM (SELECT doc_id, unnest(string_split(text, '\n')) AS line FROM documents) WHERE trim(line) <> '' GROUP BY doc_id", sec=False)
+@query("d04_raw_and_normalized", """SELECT event_id, event_type, src_ip, CASE event_type WHEN 'auth_failure' THEN 'Failed' WHEN 'auth_success' THEN 'Accepted' WHEN 'http_request' THEN 'GET' WHEN 'dns_query' THEN 'query:' ELSE 'SRC=' END AS word, true AS named FROM sec""")
 def d04(spark: SparkSession, sf: str) -> DataFrame:
-    raw = document_lines(spark, sf)
-    events = raw.select("doc_id", "line_no", F.length("line").alias("size"))
-    j = events.join(raw, ["doc_id", "line_no"], "left")
-    return j.groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"), F.count_if(F.length("line") == F.col("size")).alias("matched"))
+    """Normalized events with the raw lines that they were read from."""
+    raw = rendered(spark, sf)
+    events = normalize.normalize(formats.parsed(raw, "line"), F.lit(REFERENCE).cast("timestamp")).select("event_id", "file", "line_no", "event_type", "src_ip")
+    j = normalize.with_raw(events, raw, ["file", "line_no"])
+    return j.select("event_id", "event_type", "src_ip", F.regexp_extract("raw", "(Failed|Accepted|GET|query:|SRC=)", 1).alias("word"), F.contains("raw", "src_ip").alias("named"))
 
 
 @query("g03_normalize_category", "SELECT event_type, CASE event_type WHEN 'auth_failure' THEN 'Brute Force' WHEN 'firewall_event' THEN 'Port Scanning' ELSE 'Unknown' END AS category, count(*) AS n FROM sec GROUP BY event_type")
@@ -142,46 +132,37 @@ def g08(spark: SparkSession, sf: str) -> DataFrame:
     return scoring.halve_false_positives(g, status, "src_ip").select("src_ip", "before", "risk_score")
 
 
-@query("g09_alert_candidates")
-def g09(spark: SparkSession, sf: str) -> DataFrame:
-    from threatframe.operators import alerts
-
-    return alerts.candidates(alerts.RULES, scoring.score_detections(detections(spark, sf)), incidents(spark, sf), alerts.found_indicators(security_events(spark, sf), joins.feed_table(spark))).select("alert_rule", "severity", "entity", "risk_score", "facts")
-
-
-@query("g11_incident_narrative")
-def g11(spark: SparkSession, sf: str) -> DataFrame:
-    from threatframe.operators import alerts
-
-    return alerts.narratives(*cases(spark, sf))
-
-
-@query("e32_incident_reports")
-def e32(spark: SparkSession, sf: str) -> DataFrame:
-    from threatframe.operators import alerts
+_TEXT = "concat(message, ' at ', CASE WHEN risk >= 60 THEN src_ip ELSE 'user@example.com' END)"
+_KIND = "CASE WHEN starts_with({0}, '10.') OR starts_with({0}, '192.168.') THEN 2.0 ELSE 3.0 END"
+_CODES = ", ".join(f"CAST(dense_rank() OVER (ORDER BY {c}) - 1 AS DOUBLE) AS {c}_code" for c in anomaly.CATEGORIES)
+VECTORS = f"""SELECT event_id, CAST(hour(ts) AS DOUBLE) AS hour, CAST(isodow(ts) - 1 AS DOUBLE) AS weekday, CAST(length({_TEXT}) AS DOUBLE) AS msg_len, CAST(src_port AS DOUBLE) AS src_port, CAST(dst_port AS DOUBLE) AS dst_port,
+ CASE WHEN risk >= 60 THEN 1.0::DOUBLE ELSE 0.0 END AS ioc_count, CASE WHEN risk >= 60 THEN 0.0::DOUBLE ELSE 1.0 END AS pii_count, CAST(risk AS DOUBLE) AS risk, CAST(list_position(['LOW', 'MEDIUM', 'HIGH', 'CRITICAL'], severity) AS DOUBLE) AS severity, 0.0::DOUBLE AS suspicious,
+ CASE WHEN src_ip IN ({", ".join(repr(v) for v, *_ in joins.FEED)}) OR dst_ip IN ({", ".join(repr(v) for v, *_ in joins.FEED)}) THEN 1.0::DOUBLE ELSE 0.0 END AS intel_match, CAST({_KIND.format("src_ip")} AS DOUBLE) AS geo_src_kind, CAST({_KIND.format("dst_ip")} AS DOUBLE) AS geo_dst_kind, {_CODES} FROM sec"""
 
-    return alerts.incident_reports(incidents(spark, sf)).select("cluster", "title", "severity", "confidence", F.size("evidence").alias("evidence"), "recommendation")
 
+def told(spark: SparkSession, sf: str) -> DataFrame:
+    """Events whose messages also name their source, or a person."""
+    return security_events(spark, sf).withColumn("message", F.expr(_TEXT))
 
-@query("i05_knowledge_graph")
-def i05(spark: SparkSession, sf: str) -> DataFrame:
-    from threatframe.operators import alerts
 
-    nodes, edges = alerts.knowledge_graph(*cases(spark, sf))
-    a = nodes.groupBy(F.lit("node").alias("part"), "kind").agg(F.count(F.lit(1)).alias("n"))
-    return a.unionByName(edges.groupBy(F.lit("edge").alias("part"), "kind").agg(F.count(F.lit(1)).alias("n")))
+@query("h01_feature_vectors", VECTORS)
+def h01(spark: SparkSession, sf: str) -> DataFrame:
+    return anomaly.vectors(told(spark, sf))
 
 
-@query("i06_actor_groups")
-def i06(spark: SparkSession, sf: str) -> DataFrame:
-    from threatframe.operators import alerts
+@query("h03_score_new_events")
+def h03(spark: SparkSession, sf: str) -> DataFrame:
+    """A model fitted once, stored, loaded and applied to events; in the tests its scores equal those of the batch."""
+    import uuid
 
-    return alerts.actor_groups(*cases(spark, sf))
+    path = f"{shared_dir(spark)}/model-{uuid.uuid4().hex}"
+    anomaly.fit_model(security_events(spark, sf)).save(spark, path)
+    return anomaly.Model.load(spark, path).score_events(security_events(spark, sf))
 
 
-@query("h01_feature_vectors", "SELECT event_id, CAST(hour(ts) AS DOUBLE) AS hour, CAST(isodow(ts) - 1 AS DOUBLE) AS weekday, CAST(length(message) AS DOUBLE) AS msg_len, CAST(dense_rank() OVER (ORDER BY event_type) - 1 AS DOUBLE) AS event_type_code FROM sec")
-def h01(spark: SparkSession, sf: str) -> DataFrame:
-    return anomaly.vectors(security_events(spark, sf)).select("event_id", "hour", "weekday", "msg_len", "event_type_code")
+_Z = ", ".join(f"CASE WHEN stddev_pop({f}) OVER () > 1e-9 THEN round(({f} - avg({f}) OVER ()) / stddev_pop({f}) OVER (), 6) ELSE 0 END AS {f}" for f in anomaly.FEATURES)
+REASONS = f"""WITH v AS MATERIALIZED ({VECTORS}), z AS (SELECT event_id, {_Z} FROM v), l AS (SELECT event_id, unnest([{", ".join(map(repr, anomaly.FEATURES))}]) AS f, unnest([{", ".join(anomaly.FEATURES)}]) AS z, unnest(range({len(anomaly.FEATURES)})) AS k FROM z),
+ p AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY -abs(z), k) AS place FROM l) SELECT event_id, coalesce(string_agg(concat(f, CASE WHEN z > 0 THEN ' above usual' ELSE ' below usual' END), ', ' ORDER BY place) FILTER (place <= 3 AND z <> 0), '') AS reasons FROM p GROUP BY event_id"""
 
 
 def scored(spark: SparkSession, sf: str) -> DataFrame:
@@ -215,9 +196,9 @@ def e25(spark: SparkSession, sf: str) -> DataFrame:
     return j.agg(F.count_if(F.col("model").isNull()).alias("rules_only"), F.count_if(F.col("rules").isNull()).alias("model_only"), F.count_if(F.col("model") & F.col("rules")).alias("both"))
 
 
-@query("f08_top_reasons")
+@query("f08_top_reasons", REASONS)
 def f08(spark: SparkSession, sf: str) -> DataFrame:
-    return anomaly.reasons(staged(anomaly.vectors(security_events(spark, sf)), "vectors"))
+    return anomaly.reasons(staged(anomaly.vectors(told(spark, sf)), "vectors"))
 
 
 def _sink(kind: str):
@@ -265,15 +246,22 @@ def m01(spark: SparkSession, sf: str) -> DataFrame:
     return out.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("event_id").alias("ids"))
 
 
-@query("m02_stream_once", "SELECT src_ip, count(*) AS n FROM (SELECT DISTINCT src_ip FROM sec) GROUP BY src_ip")
+@query("m02_stream_once", "SELECT event_id, 1::BIGINT AS n FROM sec")
 def m02(spark: SparkSession, sf: str) -> DataFrame:
-    """One row per source within a watermark that spans the table."""
-    return jobs.run_to_table(jobs.once(jobs.events_stream(spark, sf), "src_ip", "400 days"), "once").groupBy("src_ip").agg(F.count(F.lit(1)).alias("n"))
+    """Every event arrives twice and is written once."""
+    twice = jobs.events_stream(spark, sf).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
+    return jobs.run_to_table(jobs.once(twice, "event_id"), "once").groupBy("event_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+#: Windows are given out when the watermark, the latest stamp in milliseconds less the delay, has reached their end.
+_MARK = "(SELECT (max(epoch_us(ts)) // 1000) * 1000 FROM sec)"
 
 
-@query("m03_stream_window_rule")
+@query("m03_stream_window_rule", f"""WITH f AS (SELECT src_ip AS entity, (epoch_us(ts) // 43200000000 - k) * 43200000000 AS s FROM sec, (VALUES (0), (1)) v(k) WHERE event_type = 'auth_failure')
+ SELECT entity, s AS started_us, s + 86400000000 AS ended_us, count(*) AS value FROM f WHERE s + 86400000000 <= {_MARK} - 86400000000 GROUP BY ALL HAVING count(*) >= 3""")
 def m03(spark: SparkSession, sf: str) -> DataFrame:
-    return jobs.run_to_table(jobs.window_rule(jobs.events_stream(spark, sf), BRUTE, "12 hours"), "window")
+    out = jobs.run_to_table(jobs.window_rule(jobs.events_stream(spark, sf), BRUTE, "12 hours"), "window")
+    return out.select("entity", F.unix_micros("started").alias("started_us"), F.unix_micros("ended").alias("ended_us"), "value")
 
 
 M04 = """WITH w AS (SELECT src_ip AS entity, epoch_us(ts) AS at_us, count(*) OVER (PARTITION BY src_ip ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS value FROM sec WHERE event_type = 'auth_failure')
@@ -286,17 +274,18 @@ def m04(spark: SparkSession, sf: str) -> DataFrame:
     return jobs.run_to_table(jobs.look_back(jobs.events_stream(spark, sf), rule), "look-back")
 
 
-@query("m05_stream_minutes")
+@query("m05_stream_minutes", f"SELECT epoch_us(date_trunc('minute', ts)) AS minute_us, count(*) AS n FROM sec GROUP BY 1 HAVING minute_us + 60000000 <= {_MARK} - 600000000")
 def m05(spark: SparkSession, sf: str) -> DataFrame:
-    return jobs.run_to_table(jobs.minutes(jobs.events_stream(spark, sf)), "minutes")
+    return jobs.run_to_table(jobs.minutes(jobs.events_stream(spark, sf)), "minutes").select(F.unix_micros("minute").alias("minute_us"), "n")
 
 
-@query("m06_sessions", """WITH g AS (SELECT username, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY username ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM sec),
- s AS (SELECT *, sum(fresh) OVER (PARTITION BY username ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT username, epoch_us(min(ts)) AS started_us, count(*) AS n FROM s GROUP BY username, k""")
+@query("m06_sessions", f"""WITH g AS (SELECT username, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY username ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM sec),
+ s AS (SELECT *, sum(fresh) OVER (PARTITION BY username ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+ SELECT username, epoch_us(min(ts)) AS started_us, epoch_us(max(ts)) + 21600000000 AS ended_us, count(*) AS n FROM s GROUP BY username, k HAVING ended_us <= {_MARK} - 86400000000""")
 def m06(spark: SparkSession, sf: str) -> DataFrame:
-    """The batch form of the session operator."""
-    g = security_events(spark, sf).groupBy(F.session_window("ts", "6 hours"), "username").agg(F.count(F.lit(1)).alias("n"))
-    return g.select("username", F.unix_micros("session_window.start").alias("started_us"), "n")
+    """Sessions of the stream that the watermark has closed."""
+    out = jobs.run_to_table(jobs.sessions(jobs.events_stream(spark, sf), "username", "6 hours"), "sessions")
+    return out.select("username", F.unix_micros("started").alias("started_us"), F.unix_micros("ended").alias("ended_us"), "n")
 
 
 @query("m07_stream_refresh", "SELECT src_ip, max(risk) AS risk FROM sec GROUP BY src_ip")
@@ -306,15 +295,25 @@ def m07(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{out}/facts").groupBy("src_ip").agg(F.max("risk").alias("risk"))
 
 
-@query("m08_late_rows", "SELECT count(*) FILTER (epoch_us(ts) < (SELECT max(epoch_us(ts)) FROM sec) - 86400000000) AS late, count(*) AS n FROM sec")
+@query("m08_late_rows", """WITH c AS (SELECT ts, event_id % 3 AS k FROM sec), m AS (SELECT k, max(epoch_us(ts)) AS top FROM c GROUP BY k), l AS (SELECT k, coalesce(epoch_us(ts) < (SELECT max(top) FROM m WHERE m.k < c.k) - 86400000000, false) AS late FROM c)
+ SELECT k AS batch, count(*) FILTER (late) AS late, count(*) AS n FROM l GROUP BY k""")
 def m08(spark: SparkSession, sf: str) -> DataFrame:
-    e = security_events(spark, sf)
-    seen = e.agg(F.max(F.unix_micros("ts"))).first()[0] or 0
-    good, late = jobs.split_late(e, seen, 86_400_000_000)
-    return late.agg(F.count(F.lit(1)).alias("late")).join(good.agg(F.count(F.lit(1)).alias("g"))).select("late", (F.col("late") + F.col("g")).alias("n"))
+    """The table arrives in three files, one after another; rows a day older than what came before are set aside."""
+    import uuid
+
+    src = f"{shared_dir(spark)}/arrivals-{uuid.uuid4().hex}"
+    raw = spark.read.parquet(f"{sf}/events.parquet")
+    for k in range(3):
+        raw.filter(F.col("event_id") % 3 == k).coalesce(1).write.mode("append").parquet(f"{src}/part={k}")
+    out = jobs.run_late(jobs.files_stream(spark, f"{src}/*", raw.schema), 86_400_000_000, "late")
+    return out.select(F.col("event_id") % 3, "late").toDF("batch", "late").groupBy("batch").agg(F.count_if("late").alias("late"), F.count(F.lit(1)).alias("n"))
+
+
+CHAIN = f"""WITH o AS (SELECT sha256(message) AS h, event_id, row_number() OVER (ORDER BY event_id) - 1 AS n FROM sec), k AS (SELECT n // {reports.CHUNK} AS chunk, count(*) AS events, sha256(string_agg(h, '' ORDER BY n)) AS h FROM o GROUP BY 1),
+ d AS (SELECT 0::BIGINT AS job, CAST(sum(events) AS BIGINT) AS events, sha256(string_agg(h, '' ORDER BY chunk)) AS digest FROM k) SELECT job, events, digest, repeat('0', 64) AS prev_hash, sha256(concat(repeat('0', 64), digest)) AS chain_hash FROM d"""
 
 
-@query("m09_stream_chain")
+@query("m09_stream_chain", CHAIN)
 def m09(spark: SparkSession, sf: str) -> DataFrame:
     """A chain-of-custody link for every micro-batch."""
     link = lambda df, k, path: reports.batch_digests(df, F.lit(k).cast("long"), "event_id", F.col("message")).write.mode("overwrite").parquet(f"{path}/links/batch={k}")

@@ -96,7 +96,7 @@ def d11(spark: SparkSession, sf: str) -> DataFrame:
 
 ASSETS = """WITH s AS (SELECT *, CASE WHEN dst_port IN (80, 443, 8080, 8443) THEN 'web' WHEN dst_port IN (3306) THEN 'mysql' WHEN dst_port = 21 THEN 'ftp' WHEN dst_port = 22 THEN 'ssh' WHEN dst_port = 23 THEN 'telnet' WHEN dst_port = 25 THEN 'smtp' WHEN dst_port = 53 THEN 'dns'
   WHEN dst_port = 110 THEN 'pop3' WHEN dst_port = 143 THEN 'imap' WHEN dst_port = 161 THEN 'snmp' WHEN dst_port = 445 THEN 'smb' END AS service FROM sec),
- r AS (SELECT hostname AS name, NULL AS service, NULL AS port, ts, risk, true AS named FROM s UNION ALL SELECT dst_ip, service, dst_port, ts, risk, false FROM s WHERE service IS NOT NULL),
+ r AS (SELECT hostname AS name, CAST(NULL AS STRING) AS service, CAST(NULL AS INT) AS port, ts, risk, true AS named FROM s UNION ALL SELECT dst_ip, service, dst_port, ts, risk, false FROM s WHERE service IS NOT NULL),
  g AS (SELECT name, string_agg(DISTINCT service, ',' ORDER BY service) AS services, count(DISTINCT port) AS ports, min(ts) AS first_seen, max(ts) AS last_seen, max(risk) AS max_risk, count(*) AS events, bool_or(named) AS named FROM r GROUP BY name),
  t AS (SELECT *, CASE WHEN contains(coalesce(services, ''), 'web') THEN 'web' ELSE 'server' END AS asset_type FROM g),
  a AS (SELECT *, CASE WHEN max_risk >= 75 THEN 'CRITICAL' WHEN max_risk >= 50 THEN CASE asset_type WHEN 'web' THEN 'CRITICAL' ELSE 'HIGH' END ELSE CASE asset_type WHEN 'web' THEN 'HIGH' ELSE 'MEDIUM' END END AS criticality FROM t)"""
@@ -180,7 +180,8 @@ def e29(spark: SparkSession, sf: str) -> DataFrame:
     return security_events(spark, sf).groupBy("event_type").agg(F.round(F.avg("risk"), 6).alias("mean"), F.round(F.stddev_pop("risk"), 6).alias("std"), F.count_distinct("dst_port").alias("ports"))
 
 
-DIGEST = f"WITH d AS (SELECT epoch_us({DAY}) AS job, count(*) AS events, sha256(string_agg(sha256(concat(CAST(event_id AS STRING), '|', message)), '' ORDER BY event_id)) AS digest FROM sec GROUP BY 1)"
+DIGEST = f"""WITH o AS (SELECT epoch_us({DAY}) AS job, sha256(concat(CAST(event_id AS STRING), '|', message)) AS h, row_number() OVER (PARTITION BY epoch_us({DAY}) ORDER BY event_id) - 1 AS n FROM sec),
+ k AS (SELECT job, n // {reports.CHUNK} AS chunk, count(*) AS events, sha256(string_agg(h, '' ORDER BY n)) AS h FROM o GROUP BY ALL), d AS (SELECT job, CAST(sum(events) AS BIGINT) AS events, sha256(string_agg(h, '' ORDER BY chunk)) AS digest FROM k GROUP BY job)"""
 
 
 def digests(spark: SparkSession, sf: str) -> DataFrame:
@@ -278,8 +279,7 @@ def d16(spark: SparkSession, sf: str) -> DataFrame:
 @query("d05_severity_by_evidence", "SELECT event_id FROM sec s WHERE severity = 'CRITICAL' OR EXISTS (SELECT 1 FROM sec d WHERE d.event_id = s.event_id AND d.status = 'deny' AND d.risk >= 50)")
 def d05(spark: SparkSession, sf: str) -> DataFrame:
     e = security_events(spark, sf)
-    cited = e.filter("status = 'deny' AND risk >= 50").groupBy("src_ip").agg(F.collect_list(F.struct("event_id")).alias("evidence"))
-    return search.by_severity(e, cited, "CRITICAL").select("event_id")
+    return search.by_severity(e, e.filter("status = 'deny' AND risk >= 50").select("event_id"), "CRITICAL").select("event_id")
 
 
 # Search and listings

@@ -80,6 +80,8 @@ def stix(indicators: DataFrame) -> Column:
 
 LINES = {"cef": cef, "leef": leef, "syslog": syslog, "ecs": ecs, "ocsf": ocsf}
 
+STIX_ID = "^indicator--[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"
+
 #: What a written line must look like.
 VALID = {"cef": r"^CEF:0(\|([^|\\]|\\.)*){6}\|", "leef": r"^LEEF:2\.0(\|([^|\\]|\\.)*){4}\|", "syslog": r"^<[0-9]{1,3}>1 [^ ]+ [^ ]+ ", "ecs": r'^\{.*"event":\{', "ocsf": r'^\{"class_uid":(3002|1008|4001),'}
 
@@ -90,10 +92,30 @@ def lines(events: DataFrame, kind: str, policy: Mapping[str, str] | None = None)
     return safe.select(LINES[kind](safe).alias("value"))
 
 
+def fault(kind: str, value: str = "value") -> Column:
+    """Why a formatted line is not valid; null if it is."""
+    v = F.col(value)
+    parsed = F.try_parse_json(v)
+    key = lambda *names: F.coalesce(*(F.try_variant_get(parsed, f"$.{n}", "string") for n in names)).isNotNull()
+    rules = {
+        "csv": [(F.length(F.regexp_replace(v, '[^"]', "")) % 2 == 1, "unbalanced quotes")],
+        "json": [(parsed.isNull(), "no JSON")],
+        "ecs": [(parsed.isNull(), "no JSON"), (~key("event.action"), "no event")],
+        "ocsf": [(parsed.isNull(), "no JSON"), (~key("class_uid"), "no class")],
+        "stix": [(parsed.isNull(), "no JSON"), (~F.coalesce(F.get_json_object(v, "$.id").rlike(STIX_ID), F.lit(False)), "bad id"), (~F.coalesce(F.get_json_object(v, "$.pattern").rlike(r"^\[.*=.*\]$"), F.lit(False)), "bad pattern")],
+    }
+    checks = [(v.isNull() | (F.trim(v) == ""), "empty"), (v.contains("\n"), "line break"), *rules.get(kind, [])]
+    if kind in VALID:
+        checks.append((~v.rlike(VALID[kind]), "malformed header"))
+    out = F.lit(None).cast("string")
+    for bad, why in reversed(checks):
+        out = F.when(bad, why).otherwise(out)
+    return out
+
+
 def invalid(formatted: DataFrame, kind: str) -> DataFrame:
     """(lines, faults) of a formatted column."""
-    bad = ~F.col("value").rlike(VALID[kind]) | F.col("value").contains("\n")
-    return formatted.agg(F.count(F.lit(1)).alias("lines"), F.count_if(bad).alias("faults"))
+    return formatted.agg(F.count(F.lit(1)).alias("lines"), F.count(fault(kind)).alias("faults"))
 
 
 def write(events: DataFrame, path: str, kind: str, policy: Mapping[str, str] | None = None, mode: str = "errorifexists") -> None:

@@ -37,6 +37,17 @@ def group(line: Column, pattern: str, k: int) -> Column:
     return F.nullif(F.regexp_extract(line, pattern, k), F.lit(""))
 
 
+def parts(line: Column, pattern: str, n: int) -> Column:
+    """The n groups of the pattern's first match as an array, from one pass; null where it does not match."""
+    marks = "\x01".join(f"${k}" for k in range(1, n + 1))
+    return F.when(line.rlike(pattern), F.split(F.regexp_replace(line, f"(?s)^.*?(?-s:{pattern.removeprefix('^')}).*$" if not pattern.startswith("^") else f"(?s)^(?-s:{pattern.removeprefix('^').removesuffix('$')}).*$", marks), "\x01"))
+
+
+def part(k: int, column: str = "_g") -> Column:
+    """Group k of the `parts` that a format prepares; null if empty."""
+    return F.nullif(F.get(column, F.lit(k - 1)), F.lit(""))
+
+
 def pairs(line: Column) -> Column:
     """key=value parts as a map with lower-case keys; the first of equal keys counts, quotes are taken off."""
     keys = F.transform(F.regexp_extract_all(line, F.lit(PAIR), 1), F.lower)
@@ -51,28 +62,28 @@ def any_of(m: Column, *names: str) -> Column:
 
 
 def _syslog(line: Column) -> dict[str, Column]:
-    text = group(line, SYSLOG, 4)
+    text = part(4)
     failed, fine = text.rlike("(?i)failed password|authentication failure|invalid user"), text.rlike("(?i)accepted (password|publickey)")
     user = F.coalesce(group(text, r"(?:Failed|Accepted) [a-z]+ for (?:invalid user )?([^ ]+)", 1), group(text, r"(?i)invalid user ([^ ]+)", 1), group(text, r"^([^ ]+) : .*COMMAND=", 1))
     kind = F.when(failed, "auth_failure").when(fine, "auth_success").when(text.rlike("COMMAND="), "privilege_escalation").when(text.rlike(r"\[UFW "), "firewall_event").when(text.rlike("query"), "dns_query").when(text.rlike("(?i)dhcp"), "dhcp_event").when(text.rlike("(?i)fail"), "auth_failure").otherwise("system_event")
-    m = pairs(text)
+    m = F.col("_m")
     return {
-        "event_type": kind, "ts_raw": group(line, SYSLOG, 1), "hostname": group(line, SYSLOG, 2), "process": group(line, SYSLOG, 3), "username": user,
+        "event_type": kind, "ts_raw": part(1), "hostname": part(2), "process": part(3), "username": user,
         "src_ip": F.coalesce(any_of(m, "src"), group(text, r"from " + QUAD, 1), group(text, QUAD, 1)), "dst_ip": any_of(m, "dst"), "dst_port": any_of(m, "dpt"), "src_port": F.coalesce(any_of(m, "spt"), group(text, r"port ([0-9]+)", 1)),
         "protocol": any_of(m, "proto"), "status": F.when(failed | text.rlike("(?i)fail"), "failure").when(fine, "success").when(text.rlike(DENY), "deny"),
     }
 
 
 def _web(line: Column) -> dict[str, Column]:
-    code = group(line, COMBINED, 6).cast("int")
+    code = part(6).cast("int")
     return {
-        "event_type": F.lit("http_request"), "src_ip": group(line, COMBINED, 1), "username": F.nullif(group(line, COMBINED, 2), F.lit("-")), "ts_raw": group(line, COMBINED, 3), "method": group(line, COMBINED, 4), "path": group(line, COMBINED, 5),
+        "event_type": F.lit("http_request"), "src_ip": part(1), "username": F.nullif(part(2), F.lit("-")), "ts_raw": part(3), "method": part(4), "path": part(5),
         "status": code.cast("string"), "action": F.when(code >= 500, "error").when(code >= 400, "denied").otherwise("allowed"),
     }
 
 
 def _firewall(line: Column) -> dict[str, Column]:
-    m = pairs(line)
+    m = F.col("_m")
     act = F.lower(any_of(m, "action", "act", "disposition"))
     return {
         "event_type": F.lit("firewall_event"), "ts_raw": F.coalesce(F.concat_ws(" ", any_of(m, "date"), any_of(m, "time")), any_of(m, "ts", "timestamp")), "hostname": any_of(m, "devname", "host", "hostname"),
@@ -83,7 +94,7 @@ def _firewall(line: Column) -> dict[str, Column]:
 
 
 def _suricata(line: Column) -> dict[str, Column]:
-    g = lambda k: group(line, SURICATA, k)
+    g = part
     level = g(7)
     return {
         "event_type": F.lit("ids_alert"), "ts_raw": g(1), "protocol": F.lower(g(8)), "src_ip": g(9), "src_port": g(10), "dst_ip": g(11), "dst_port": g(12),
@@ -92,7 +103,7 @@ def _suricata(line: Column) -> dict[str, Column]:
 
 
 def _squid(line: Column) -> dict[str, Column]:
-    g = lambda k: group(line, SQUID, k)
+    g = part
     return {"event_type": F.lit("proxy_request"), "ts_raw": g(1), "src_ip": g(2), "action": g(3), "method": g(5), "path": g(6), "status": F.when(g(3).contains("DENIED"), "deny").otherwise(g(4))}
 
 
@@ -118,12 +129,12 @@ def _paloalto(line: Column) -> dict[str, Column]:
 
 
 def _dns(line: Column) -> dict[str, Column]:
-    g = lambda k: group(line, DNS, k)
+    g = part
     return {"event_type": F.lit("dns_query"), "src_ip": g(1), "src_port": g(2), "domain": F.lower(g(3)), "protocol": F.lit("dns"), "ts_raw": group(line, r"^(.{15,27}?) (?:client|[^ ]+ named)", 1)}
 
 
 def _sensor(line: Column) -> dict[str, Column]:
-    m = pairs(line)
+    m = F.col("_m")
     bad = F.lower(any_of(m, "status")).rlike("alarm|fault|fail|trip|critical")
     return {"event_type": F.lit("ot_sensor_event"), "ts_raw": any_of(m, "ts"), "hostname": any_of(m, "plc"), "action": any_of(m, "tag"), "status": F.when(bad, "failure").otherwise("success"), "severity": F.when(bad, "HIGH").otherwise("LOW")}
 
@@ -133,7 +144,7 @@ def _login(marker: str) -> Callable[[Column], dict[str, Column]]:
         bad, locked, ok = line.rlike("(?i)cannot login|failed|rejected|invalid"), line.rlike("(?i)lock"), line.rlike("(?i)accepted|authenticated|logged in|success")
         drop = line.rlike(DENY)
         kind = F.when(drop, "firewall_event").when(locked | bad, "auth_failure").when(ok, "auth_success").otherwise("system_event")
-        m = pairs(line)
+        m = F.col("_m")
         return {
             "event_type": kind, "ts_raw": group(line, ISO, 1), "src_ip": F.coalesce(any_of(m, "src"), group(line, r"@" + QUAD, 1), group(line, QUAD, 1)), "dst_ip": any_of(m, "dst"), "dst_port": any_of(m, "dpt"),
             "username": F.coalesce(group(line, r"(?i)user[ =']+([A-Za-z0-9_.\\-]+?)(?:@|[' ]|$)", 1), group(line, r"([A-Za-z0-9_.-]+)@", 1)), "process": F.lit(marker), "status": F.when(drop, "deny").when(locked | bad, "failure").when(ok, "success"),
@@ -143,7 +154,7 @@ def _login(marker: str) -> Callable[[Column], dict[str, Column]]:
 
 
 def _json(line: Column) -> dict[str, Column]:
-    v = F.try_parse_json(line)
+    v = F.col("_m")
     get = lambda *paths: F.coalesce(*(F.try_variant_get(v, p, "string") for p in paths))
     vendor = F.when(get("$.eventSource").isNotNull() & get("$.eventName").isNotNull(), "cloud_event").when(get("$.outcome.result").isNotNull(), "cloud_event").when(get("$.detection_id").isNotNull(), "edr_event")
     bad = get("$.errorCode").isNotNull() | F.lower(get("$.outcome.result")).isin("failure", "deny")
@@ -166,28 +177,43 @@ class Format:
     name: str
     detect: Callable[[Column], Column]
     parse: Callable[[Column], dict]
+    prepare: Callable[[Column], dict] = lambda line: {}  #: columns that `parse` reads several times, worked out once
 
 
 def _is(pattern: str) -> Callable[[Column], Column]:
     return lambda line: line.rlike(pattern)
 
 
+def _hint(pattern: str, *words: str) -> Callable[[Column], Column]:
+    """A pattern that is tried only on lines that hold one of the words."""
+    return lambda line: reduce(lambda a, b: a | b, (line.contains(w) for w in words)) & line.rlike(pattern)
+
+
+def _low(pattern: str, *words: str) -> Callable[[Column], Column]:
+    return lambda line: reduce(lambda a, b: a | b, (F.lower(line).contains(w) for w in words)) & line.rlike(pattern)
+
+
+def _pairs(line: Column) -> dict:
+    return {"_m": pairs(line)}
+
+
+_NETWORK = r"(?i)\b(src|dst|srcip|dstip|proto|dpt|spt|src_ip|dst_ip|dport|sport|protocol)="
 _found: list[Format] = [
-    Format("suricata", _is(SURICATA), _suricata),
-    Format("cisco_asa", _is(ASA), _asa),
-    Format("squid", _is(SQUID), _squid),
-    Format("apache", _is(COMBINED), _web),
+    Format("suricata", _hint(SURICATA, "[**]"), _suricata, lambda line: {"_g": parts(line, SURICATA, 12)}),
+    Format("cisco_asa", _hint(ASA, "%ASA-", "%FTD-", "%FPR-"), _asa),
+    Format("squid", _is(SQUID), _squid, lambda line: {"_g": parts(line, SQUID, 6)}),
+    Format("apache", _hint(COMBINED, '] "'), _web, lambda line: {"_g": parts(line, COMBINED, 6)}),
     Format("palo_alto", _is(r"^(TRAFFIC|THREAT|AUTHENTICATION),[^,]*,"), _paloalto),
-    Format("ot_sensor", _is(r"plc=[^ ]+ .*tag="), _sensor),
-    Format("esxi", _is(r"(?i)\b(hostd|vobd|vmkernel)\b"), _login("vmware-esxi")),
-    Format("vcenter", _is(r"(?i)\b(vpxd|vcenter|sso)\b.*(login|authent|user)"), _login("vmware-vcenter")),
-    Format("nsx", _is(r"(?i)\bnsx"), _login("vmware-nsx")),
-    Format("dns", _is(DNS), _dns),
-    Format("fortinet", _is(r"devname=.*(srcip|dstip)="), _firewall),
-    Format("check_point", _is(r"product=[^;]*;"), _firewall),
-    Format("firewall", lambda line: F.size(F.regexp_extract_all(line, F.lit(r"(?i)\b(src|dst|srcip|dstip|proto|dpt|spt|src_ip|dst_ip|dport|sport|protocol)="), 0)) >= 2, _firewall),
-    Format("syslog", _is(SYSLOG), _syslog),
-    Format("json", _is(r"^\s*\{.*\}\s*$"), _json),
+    Format("ot_sensor", _hint(r"plc=[^ ]+ .*tag=", "plc="), _sensor, _pairs),
+    Format("esxi", _low(r"(?i)\b(hostd|vobd|vmkernel)\b", "hostd", "vobd", "vmkernel"), _login("vmware-esxi"), _pairs),
+    Format("vcenter", _low(r"(?i)\b(vpxd|vcenter|sso)\b.*(login|authent|user)", "vpxd", "vcenter", "sso"), _login("vmware-vcenter"), _pairs),
+    Format("nsx", _low(r"(?i)\bnsx", "nsx"), _login("vmware-nsx"), _pairs),
+    Format("dns", _hint(DNS, "query: "), _dns, lambda line: {"_g": parts(line, DNS, 4)}),
+    Format("fortinet", _hint(r"devname=.*(srcip|dstip)=", "devname="), _firewall, _pairs),
+    Format("check_point", _hint(r"product=[^;]*;", "product="), _firewall, _pairs),
+    Format("firewall", _hint(f"{_NETWORK}.*{_NETWORK.removeprefix('(?i)')}", "="), _firewall, _pairs),
+    Format("syslog", _is(SYSLOG), _syslog, lambda line: {"_g": parts(line, SYSLOG, 4), "_m": pairs(group(line, SYSLOG, 4))}),
+    Format("json", _is(r"^\s*\{.*\}\s*$"), _json, lambda line: {"_m": F.try_parse_json(line)}),
 ]
 GENERIC = Format("generic", lambda line: F.lit(True), _generic)
 
@@ -230,7 +256,8 @@ def parsed(lines: DataFrame, line: str = "line", format_column: str | None = Non
 
     A line is parsed by its file's format where that recognizes it, else by the first format that does (the trial
     chain), else as generic text. The labelled lines are written once by format; each format that occurs is a branch
-    that reads its own lines, and the branches are united. No shuffle.
+    that reads its own lines, works out what its fields share in columns of their own (_g, _m), and the branches are
+    united. No shuffle.
     """
     text = F.col(line)
     own = line_format(text)
@@ -246,7 +273,7 @@ def parsed(lines: DataFrame, line: str = "line", format_column: str | None = Non
 
     def branch(f: Format) -> DataFrame:
         found = f.parse(text)
-        return df.filter(F.col("format") == f.name).select(*lines.columns, F.lit(f.name).alias("format"), *(found.get(c, none).cast("string").alias(c) for c in new))
+        return df.filter(F.col("format") == f.name).withColumns(f.prepare(text)).select(*lines.columns, F.lit(f.name).alias("format"), *(found.get(c, none).cast("string").alias(c) for c in new))
 
     branches = [branch(f) for f in [*_found, GENERIC] if f.name in occur] or [branch(GENERIC)]
     return reduce(DataFrame.unionByName, branches)

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
 
-def read_lines(spark: SparkSession, path: str, longest: int = 8000) -> DataFrame:
-    """file, line_no, line of every text file: exact numbers over splits; long lines are cut; blank files give none."""
-    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"), F.substring("value", 1, longest).alias("line"))
+def read_lines(spark: SparkSession, path: str, longest: int | None = None) -> DataFrame:
+    """file, line_no, line of every text file: exact numbers over splits; blank files give none. longest: cut lines there."""
+    line = F.substring("value", 1, longest) if longest else F.col("value")
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"), line.alias("line"))
     parts = raw.groupBy("file", "_block").agg(F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     own = F.row_number().over(Window.partitionBy("file", "_block").orderBy("_at"))
@@ -39,8 +40,8 @@ def read_json(spark: SparkSession, path: str, multiline: bool = False) -> DataFr
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with a header; empty cells are null."""
-    df = spark.read.option("header", True).csv(path)
+    """CSV with a header and doubled quotes; empty cells are null."""
+    df = spark.read.option("header", True).option("escape", '"').csv(path)
     return df.select(*(F.nullif(F.trim(F.col(f"`{c}`")), F.lit("")).alias(c) for c in df.columns))
 
 
@@ -50,12 +51,16 @@ def read_xml(spark: SparkSession, path: str, row_tag: str) -> DataFrame:
 
 
 def read_windows_events(spark: SparkSession, path: str) -> DataFrame:
-    """Event XML as win_event_id, severity, hostname, ts_raw, username, src_ip and the map of all data values."""
+    """Event XML as win_event_id, severity, hostname, ts_raw, username, src_ip and the map of all data values.
+
+    Events may stand in a document or one after another without a root; a file is split at their ends.
+    """
     schema = (
         "System STRUCT<EventID: STRING, Level: STRING, Computer: STRING, TimeCreated: STRUCT<`_SystemTime`: STRING>>, "
         "EventData STRUCT<Data: ARRAY<STRUCT<`_Name`: STRING, `_VALUE`: STRING>>>"
     )
-    df = spark.read.format("xml").option("rowTag", "Event").schema(schema).load(path)
+    parts = spark.read.option("lineSep", "</Event>").text(path).select(F.regexp_extract("value", r"(?s)<Event[\s>].*$", 0).alias("x")).filter("x <> ''")
+    df = parts.select(F.from_xml(F.concat("x", F.lit("</Event>")), schema).alias("e")).select("e.*")
     data = F.map_from_entries(F.filter(F.transform("EventData.Data", lambda d: F.struct(d["_Name"], d["_VALUE"])), lambda e: e["_Name"].isNotNull()))
     level = F.element_at(F.create_map(*(F.lit(x) for x in ("1", "CRITICAL", "2", "HIGH", "3", "MEDIUM", "4", "LOW"))), F.col("System.Level"))
     user = F.coalesce(data["TargetUserName"], data["SubjectUserName"])
@@ -65,11 +70,12 @@ def read_windows_events(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_windows_text(spark: SparkSession, path: str) -> DataFrame:
-    """Classic text exports: blocks of `Name: value` lines between blank lines, as a map."""
-    blocks = spark.read.option("wholetext", True).text(path).select(F.explode(F.split("value", r"\r?\n\s*\r?\n")).alias("block")).filter(F.trim("block") != "")
-    keys = F.regexp_extract_all("block", F.lit(r"(?m)^\s*([A-Za-z ]+?):[ \t]*(.*)$"), 1)
-    values = F.regexp_extract_all("block", F.lit(r"(?m)^\s*([A-Za-z ]+?):[ \t]*(.*)$"), 2)
-    entries = F.arrays_zip(F.transform(keys, F.lower).alias("k"), values.alias("v"))
-    m = F.map_from_entries(F.filter(entries, lambda e, i: F.array_position(F.transform(keys, F.lower), e.k) == i + 1))
+def read_windows_text(spark: SparkSession, path: str, newline: str = "\n") -> DataFrame:
+    """Classic text exports: blocks of `Name: value` lines between blank lines, as a map. A file is split at its blank
+    lines, so a large one is read by many tasks."""
+    blocks = spark.read.option("lineSep", newline * 2).text(path).select(F.regexp_replace("value", "\r", "").alias("block")).filter(F.trim("block") != "")
+    pair = F.lit(r"(?m)^\s*([A-Za-z ]+?):[ \t]*(.*)$")
+    keys, values = F.transform(F.regexp_extract_all("block", pair, 1), F.lower), F.regexp_extract_all("block", pair, 2)
+    entries = F.arrays_zip(keys.alias("k"), values.alias("v"))
+    m = F.map_from_entries(F.filter(entries, lambda e, i: F.array_position(keys, e.k) == i + 1))
     return blocks.select(F.lit("windows_event").alias("event_type"), m["event id"].try_cast("int").alias("win_event_id"), m["computer"].alias("hostname"), m["account name"].alias("username"), m["source network address"].alias("src_ip"), m.alias("mappings"))

@@ -13,6 +13,8 @@ COLUMNS = {
     "src_ip": "CASE WHEN user_id % 10 = 0 THEN concat('8.8.8.', CAST(user_id % 200 AS STRING)) ELSE concat('10.', CAST(user_id % 4 AS STRING), '.0.', CAST(user_id % 200 AS STRING)) END",
     "dst_ip": "concat('192.168.0.', CAST(event_id % 50 AS STRING))",
     "dst_port": "CAST((event_id * 37) % 1024 AS INT)",
+    "src_port": "CAST(1024 + (event_id * 53) % 60000 AS INT)",
+    "protocol": "CASE WHEN event_type = 'view' OR event_id % 3 = 0 THEN 'udp' ELSE 'tcp' END",
     "username": "concat('user', CAST(user_id % 40 AS STRING))",
     "hostname": "concat('host', CAST(user_id % 25 AS STRING))",
     "status": "CASE WHEN event_type = 'error' THEN 'failure' WHEN event_type = 'purchase' AND event_id % 3 <> 0 THEN 'deny' ELSE 'allow' END",

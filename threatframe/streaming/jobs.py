@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,8 +17,11 @@ from threatframe.sources.security import COLUMNS
 
 def events_stream(spark: SparkSession, sf: str, per_trigger: int = 1) -> DataFrame:
     """The security view over a folder of Parquet files that grows."""
-    schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).option("pathGlobFilter", "*events*.parquet").parquet(sf)
+    return files_stream(spark, sf, spark.read.parquet(f"{sf}/events.parquet").schema, per_trigger, "*events*.parquet")
+
+
+def files_stream(spark: SparkSession, path: str, schema, per_trigger: int = 1, names: str = "*.parquet") -> DataFrame:
+    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).option("pathGlobFilter", names).parquet(path)
     return raw.selectExpr(*(f"{sql} AS {name}" for name, sql in COLUMNS.items()))
 
 
@@ -27,7 +31,8 @@ def once(events: DataFrame, key: str, delay: str = "1 day") -> DataFrame:
 
 
 def window_rule(events: DataFrame, rule: Rule, slide: str, delay: str = "1 day") -> DataFrame:
-    """Approximate form of a rule: counts in sliding windows, given out when the watermark has passed them."""
+    """Approximate form of a rule: counts in sliding windows, given out when the watermark has passed them. Different values
+    are estimated, and windows start at multiples of the slide; `look_back` is the exact form."""
     length = f"{rule.seconds} seconds"
     value = F.approx_count_distinct(rule.distinct_field or "dst_port") if rule.metric == "distinct" else F.count(F.lit(1))
     g = grouped(events.withWatermark("ts", delay), rule).groupBy(F.window("ts", length, slide), F.array_join("entity", ":").alias("entity"))
@@ -45,10 +50,11 @@ def sessions(events: DataFrame, key: str, gap: str, delay: str = "1 day") -> Dat
 
 
 def look_back(events: DataFrame, rule: Rule, delay: str = "1 day") -> DataFrame:
-    """Exact form of a count rule: a key's state is its recent time stamps, at most those of one window and the delay.
+    """Exact form of a count rule: a key's state is its time stamps within one window of the watermark, sorted.
 
-    Gives (entity, at_us, value) for every event whose look-back window reaches the threshold. State of a key that has
-    been silent for window and delay is dropped by an event-time timer.
+    Gives (entity, at_us, value) for every event whose look-back window reaches the threshold. Events older than the
+    watermark are dropped before, so older stamps can count for none; a key's state goes when the watermark has passed
+    its last window.
     """
     width = rule.seconds * 1_000_000
 
@@ -56,17 +62,16 @@ def look_back(events: DataFrame, rule: Rule, delay: str = "1 day") -> DataFrame:
         if state.hasTimedOut:
             state.remove()
             return
-        old = list(state.get[0]) if state.exists else []
-        new = sorted(int(x) for b in batches for x in b["us"])
-        every, out = sorted(old + new), []
-        for us in new:
-            n = sum(us - width <= x <= us for x in every)
-            if n >= rule.threshold:
-                out.append((key[0], us, n))
-        last = every[-1]
-        state.update(([x for x in every if x >= last - 2 * width],))
-        state.setTimeoutTimestamp(max(last // 1000 + 2 * width // 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["entity", "at_us", "value"])
+        old = np.array(state.get[0] if state.exists else [], np.int64)
+        new = np.sort(np.concatenate([b["us"].to_numpy(np.int64) for b in batches]))
+        every = np.sort(np.concatenate([old, new]))
+        n = np.searchsorted(every, new, side="right") - np.searchsorted(every, new - width, side="left")
+        fires = n >= rule.threshold
+        out = {"entity": key[0], "at_us": new[fires], "value": n[fires]}
+        mark = state.getCurrentWatermarkMs()
+        state.update((every[every >= mark * 1000 - width].tolist(),))
+        state.setTimeoutTimestamp(max(int(every[-1]) // 1000 + width // 1000, mark + 1))
+        yield pd.DataFrame(out)
 
     rows = grouped(events.withWatermark("ts", delay), rule).select(F.array_join("entity", ":").alias("entity"), "ts", F.unix_micros("ts").alias("us"))
     return rows.groupBy("entity").applyInPandasWithState(step, "entity string, at_us long, value long", "stamps array<long>", "append", GroupStateTimeout.EventTimeTimeout)
@@ -93,6 +98,21 @@ def run_each(stream: DataFrame, name: str, each) -> str:
     return path
 
 
+def run_late(stream: DataFrame, allowed_us: int, name: str) -> DataFrame:
+    """Run a stream batch by batch; its rows with `late`: whether they are older than the latest stamp of the batches before,
+    less what is allowed. That stamp is kept beside the output, so a restart goes on from it."""
+    spark = stream.sparkSession
+
+    def each(batch: DataFrame, k: int, path: str) -> None:
+        before = spark.read.schema("batch int, top long").parquet(f"{path}/seen").filter(F.col("batch") < k).agg(F.max("top")).first()[0] if k else None
+        good, late = split_late(batch, before, allowed_us) if before is not None else (batch, batch.limit(0))
+        good.withColumn("late", F.lit(False)).unionByName(late.withColumn("late", F.lit(True))).write.mode("overwrite").parquet(f"{path}/rows/batch={k}")
+        batch.agg(F.max(F.unix_micros("ts")).alias("top")).write.mode("overwrite").parquet(f"{path}/seen/batch={k}")
+
+    path = run_each(stream, name, each)
+    return spark.read.parquet(f"{path}/rows").drop("batch")
+
+
 def split_late(batch: DataFrame, seen_us: int, allowed_us: int) -> tuple[DataFrame, DataFrame]:
     """(rows in time, late rows) of a micro-batch, by the largest time stamp of the batches before."""
     late = F.coalesce(F.unix_micros("ts") < seen_us - allowed_us, F.lit(False))
