@@ -11,13 +11,26 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where none is configured (tests, one machine)."""
+    """The folder in spark.checkpoint.dir. Where none is configured, a local session (tests) gets a temporary folder; a
+    cluster gets an error, since its machines share no temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="spark-"))
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        app = spark.sparkContext.applicationId
+        base = _own.get(app) or _own.setdefault(app, tempfile.mkdtemp(prefix="spark-"))
     return base.rstrip("/")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """The rows of a scan in as many partitions as there are cores at least, for work that costs much on each row.
+
+    A small file is one split however many cores wait. A large table has more splits than cores and stays as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def staged(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage ends there, and every consumer shares it.
 

@@ -24,14 +24,14 @@ KINDS = {"reserved": 1.0, "private": 2.0, "public": 3.0}
 CATEGORIES = ("event_type", "status", "protocol")
 
 
-def codes(events: DataFrame, column: str) -> DataFrame:
-    """(column, code): the place of each different value in their order; one row per value."""
-    different = events.select(F.coalesce(column, F.lit("")).alias(column)).distinct()
-    return numbered(different, [F.col(column)], f"{column}_code").withColumn(f"{column}_code", F.col(f"{column}_code").cast("double"))
-
-
-def fitted_codes(events: DataFrame) -> dict[str, DataFrame]:
-    return {c: codes(events, c) for c in CATEGORIES}
+def fitted_codes(events: DataFrame, columns: tuple = CATEGORIES) -> dict[str, DataFrame]:
+    """For each column a table (column, code): the place of each different value in their order; one scan for all."""
+    value = lambda c: F.coalesce(F.col(c) if c in events.columns else F.lit(None).cast("string"), F.lit(""))
+    pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("of"), value(c).alias("value")) for c in columns))).alias("p")
+    different = numbered(events.select(pairs).select("p.*").distinct(), [F.col("of"), F.col("value")], "n")
+    first = different.groupBy("of").agg(F.min("n").alias("first"))
+    table = staged(different.join(first, "of").select("of", "value", (F.col("n") - F.col("first")).cast("double").alias("code")), "codes")
+    return {c: table.filter(F.col("of") == c).select(F.col("value").alias(c), F.col("code").alias(f"{c}_code")) for c in columns}
 
 
 def vectors(events: DataFrame, fitted: dict[str, DataFrame] | None = None, ranges: DataFrame | None = None, feed: DataFrame | None = None) -> DataFrame:
@@ -56,9 +56,7 @@ def vectors(events: DataFrame, fitted: dict[str, DataFrame] | None = None, range
         out = joins.geo_lookup(out, ranges, c).withColumn(f"geo_{c[:3]}_kind", kind(F.col("kind"))).drop("country", "kind")
         out = out.join(known, out[c] == known["_v"], "left").withColumn(f"_hit_{c}", F.coalesce("_hit", F.lit(0.0))).drop("_v", "_hit")
     out = out.withColumn("intel_match", F.greatest("_hit_src_ip", "_hit_dst_ip"))
-    for c in CATEGORIES:
-        table = (fitted or {}).get(c)
-        table = codes(events.withColumn(c, have(c)), c) if table is None else table
+    for c, table in (fitted or fitted_codes(events)).items():
         unseen = table.agg(F.count(F.lit(1)).cast("double").alias("_unseen"))  # one row
         out = out.join(table, c, "left").join(F.broadcast(unseen)).withColumn(f"{c}_code", F.coalesce(f"{c}_code", "_unseen")).drop("_unseen")
     return out.select("event_id", *FEATURES)
@@ -175,7 +173,7 @@ class Model:
 
 
 def fit_model(events: DataFrame) -> Model:
-    fitted = {c: staged(t, "codes") for c, t in fitted_codes(events).items()}
+    fitted = fitted_codes(events)
     v = staged(vectors(events, fitted), "vectors")
     forest = fit(v)
     low, high = score(v, forest).agg(F.min("raw"), F.max("raw")).first()

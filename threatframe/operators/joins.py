@@ -58,10 +58,10 @@ def geo_lookup(events: DataFrame, ranges: DataFrame, column: str) -> DataFrame:
     """
     blocks = ranges.withColumn("_block", F.explode(F.sequence(F.shiftright("lo", 16), F.shiftright("hi", 16))))
     ips = events.select(F.col(column).alias("_ip")).distinct().withColumn("_n", ip_number(F.col("_ip")))
-    found = ips.withColumn("_block", F.shiftright("_n", 16)).join(blocks, "_block").filter(F.col("_n").between(F.col("lo"), F.col("hi")))
-    found = found.select("_ip", "country", "kind")
-    out = events.join(found, events[column] == found["_ip"], "left").drop("_ip")
-    return out.withColumn("kind", F.coalesce("kind", F.when(ip_number(F.col(column)).isNotNull(), F.lit("public"))))
+    hit = ips.withColumn("_block", F.shiftright("_n", 16)).join(blocks, "_block").filter(F.col("_n").between(F.col("lo"), F.col("hi")))
+    known = ips.filter("_n IS NOT NULL").join(hit.select("_ip", "country", "kind"), "_ip", "left")
+    known = known.select("_ip", "country", F.coalesce("kind", F.lit("public")).alias("kind"))
+    return events.join(known, events[column] == known["_ip"], "left").drop("_ip")
 
 
 def intel_match(events: DataFrame, feed: DataFrame, candidates: list[str], key: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threatframe.functions.staging import staged
+from threatframe.functions.staging import spread, staged
 from threatframe.operators import alerts, correlate, joins, reports, scoring
 from threatframe.queries import case_sql, query
 from threatframe.queries.detection import SCORED, cases, detections, entries, incidents
@@ -58,7 +58,7 @@ def g09(spark: SparkSession, sf: str) -> DataFrame:
     events = security_events(spark, sf)
     inc, rows = cases(spark, sf)
     touched = staged(joins.incident_assets(rows, reports.assets(events)), "touched")
-    found = alerts.found_indicators(events, joins.feed_table(spark))
+    found = alerts.found_indicators(spread(events), joins.feed_table(spark))
     return alerts.candidates(alerts.RULES, scoring.score_detections(detections(spark, sf)), inc, found, touched).select("alert_rule", "severity", "entity", "risk_score", "facts")
 
 

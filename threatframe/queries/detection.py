@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threatframe.functions.staging import staged
+from threatframe.functions.staging import spread, staged
 from threatframe.operators import correlate, rules, scoring
 from threatframe.operators.rules import Rule
 from threatframe.plans import rulesets
@@ -109,7 +109,7 @@ def _look_back(r: Rule) -> str:
 @query("g01_shipped_rules", " UNION ALL ".join(_look_back(r) for r in rulesets.RULES))
 def g01_shipped(spark: SparkSession, sf: str) -> DataFrame:
     """The twenty shipped rules at their own thresholds and windows, with the largest count of each firing group."""
-    events = security_events(spark, sf).withColumns({"win_event_id": F.lit(None).cast("int"), "source": F.lit("app")})
+    events = spread(security_events(spark, sf).withColumns({"win_event_id": F.lit(None).cast("int"), "source": F.lit("app")}))
     return rules.evaluate(events, rulesets.RULES).select("rule_id", F.array_join("entity", ":").alias("entity"), F.col("value").alias("n"))
 
 

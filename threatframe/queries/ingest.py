@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threatframe.functions.staging import shared_dir, staged
+from threatframe.functions.staging import shared_dir, spread, staged
 from threatframe.operators import anomaly, indicators, joins, normalize, quality, reports, rules, scoring
 from threatframe.operators.rules import Rule
 from threatframe.queries import query
@@ -27,7 +27,7 @@ def rendered(spark: SparkSession, sf: str) -> DataFrame:
     web = F.concat("src_ip", F.lit(" - "), "username", F.lit(" ["), F.date_format("ts", "dd/MMM/yyyy:HH:mm:ss"), F.lit(' +0000] "GET /p'), F.col("dst_port").cast("string"), F.lit(' HTTP/1.1" '), F.when(F.col("risk") >= 60, "404").otherwise("200"), F.lit(' 512 "-" "agent"'))
     dns = F.concat(F.date_format("ts", "dd-MMM-yyyy HH:mm:ss.SSS"), F.lit(" client "), "src_ip", F.lit("#5353: query: "), "username", F.lit(".example.com IN A"))
     line = F.when(F.col("event_type") == "auth_failure", login("Failed")).when(F.col("event_type") == "auth_success", login("Accepted")).when(F.col("event_type") == "http_request", web).when(F.col("event_type") == "dns_query", dns).otherwise(kv)
-    return e.select("event_id", F.col("event_type").alias("file"), F.col("event_id").alias("line_no"), line.alias("line"))
+    return spread(e.select("event_id", F.col("event_type").alias("file"), F.col("event_id").alias("line_no"), line.alias("line")))
 
 
 @query("b01_detect_formats", "SELECT event_type AS file, CASE event_type WHEN 'http_request' THEN 'apache' WHEN 'dns_query' THEN 'dns' WHEN 'firewall_event' THEN 'firewall' ELSE 'syslog' END AS format, CAST(1.0 AS DOUBLE) AS confidence, least(300, count(*)) AS lines FROM sec GROUP BY event_type")
@@ -142,7 +142,7 @@ VECTORS = f"""SELECT event_id, CAST(hour(ts) AS DOUBLE) AS hour, CAST(isodow(ts)
 
 def told(spark: SparkSession, sf: str) -> DataFrame:
     """Events whose messages also name their source, or a person."""
-    return security_events(spark, sf).withColumn("message", F.expr(_TEXT))
+    return spread(security_events(spark, sf).withColumn("message", F.expr(_TEXT)))
 
 
 @query("h01_feature_vectors", VECTORS)
@@ -166,7 +166,7 @@ REASONS = f"""WITH v AS MATERIALIZED ({VECTORS}), z AS (SELECT event_id, {_Z} FR
 
 
 def scored(spark: SparkSession, sf: str) -> DataFrame:
-    v = staged(anomaly.vectors(security_events(spark, sf)), "vectors")
+    v = staged(anomaly.vectors(spread(security_events(spark, sf))), "vectors")
     return anomaly.scaled(anomaly.score(v, anomaly.fit(v)))
 
 

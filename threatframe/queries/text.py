@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threatframe.functions.staging import spread
 from threatframe.operators import indicators, templates
 from threatframe.queries import query
 from threatframe.sources.security import security_events
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"))
 
 
 def lines(spark: SparkSession, sf: str) -> DataFrame:
@@ -55,7 +56,7 @@ ALL_IOCS = rf"""WITH src AS (SELECT CAST(doc_id AS STRING) AS id, coalesce(text,
 @query("c01_extract_all", ALL_IOCS, sec=False)
 def c01b(spark: SparkSession, sf: str) -> DataFrame:
     """Every valid indicator of every document and page."""
-    pages = spark.read.parquet(f"{sf}/pages.parquet").select(F.col("page_id").cast("string").alias("id"), F.concat_ws(" ", "url", "html").alias("text"))
+    pages = spread(spark.read.parquet(f"{sf}/pages.parquet").select(F.col("page_id").cast("string").alias("id"), F.concat_ws(" ", "url", "html").alias("text")))
     both = documents(spark, sf).select(F.col("doc_id").cast("string").alias("id"), "text").unionByName(pages)
     return indicators.indicator_table(both, "text").select("id", "type", "value", "confidence", "private", "host")
 
