@@ -62,10 +62,10 @@ def g09(spark: SparkSession, sf: str) -> DataFrame:
     return alerts.candidates(alerts.RULES, scoring.score_detections(detections(spark, sf)), inc, found, touched).select("alert_rule", "severity", "entity", "risk_score", "facts")
 
 
-@query("g10_alert_list", "SELECT src_ip AS entity, 'ALERT_USER' AS alert_rule, epoch_us(max(ts)) AS created_us FROM sec GROUP BY src_ip HAVING max(risk) >= 90 AND max(risk) < 97 ORDER BY created_us DESC, entity LIMIT 500")
+@query("g10_alert_list", "SELECT src_ip AS entity, 'ALERT_USER' AS alert_rule, epoch_us(max(ts)) AS created_us FROM sec GROUP BY src_ip HAVING avg(risk) >= 28 AND avg(risk) < 50 ORDER BY created_us DESC, entity LIMIT 500")
 def g10(spark: SparkSession, sf: str) -> DataFrame:
-    g = security_events(spark, sf).groupBy(F.col("src_ip").alias("entity")).agg(F.max("risk").alias("risk"), F.max("ts").alias("created_at"))
-    made = g.select("entity", F.when(F.col("risk") >= 50, "ALERT_USER").otherwise("ALERT_OTHER").alias("alert_rule"), F.when(F.col("risk") >= 90, "HIGH").otherwise("LOW").alias("severity"), F.when(F.col("risk") >= 97, "RESOLVED").otherwise("OPEN").alias("status"), "created_at")
+    g = security_events(spark, sf).groupBy(F.col("src_ip").alias("entity")).agg(F.avg("risk").alias("risk"), F.max("ts").alias("created_at"))
+    made = g.select("entity", F.when(F.col("risk") >= 10, "ALERT_USER").otherwise("ALERT_OTHER").alias("alert_rule"), F.when(F.col("risk") >= 28, "HIGH").otherwise("LOW").alias("severity"), F.when(F.col("risk") >= 50, "RESOLVED").otherwise("OPEN").alias("status"), "created_at")
     return alerts.listing(made, "OPEN", "high", "ALERT_USER", 500).select("entity", "alert_rule", F.unix_micros("created_at").alias("created_us"))
 
 

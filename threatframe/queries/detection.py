@@ -106,6 +106,17 @@ def _look_back(r: Rule) -> str:
  RANGE BETWEEN INTERVAL {r.seconds} SECOND PRECEDING AND CURRENT ROW) AS n FROM (SELECT *, CAST(NULL AS INT) AS win_event_id, 'app' AS source FROM sec) WHERE {" AND ".join(parts)}) GROUP BY entity HAVING max(n) >= {r.threshold}"""
 
 
+_NOISE = "concat(message, CASE WHEN event_type = 'http_request' AND risk >= 99 THEN ' GET /?q=1 UNION SELECT x' WHEN event_type = 'http_request' AND risk >= 95 THEN ' GET /../a' WHEN event_type = 'dns_query' AND risk >= 40 THEN concat(' query ', repeat('a', 32), '.example.com') ELSE '' END)"
+_BUSY = f"(SELECT * REPLACE (make_timestamp(epoch_us(ts) // 400) AS ts, {_NOISE} AS message) FROM sec)"
+
+
+@query("g01_shipped_on_busy_events", " UNION ALL ".join(_look_back(r).replace(" FROM sec)", f" FROM {_BUSY})") for r in rulesets.RULES))
+def g01_busy(spark: SparkSession, sf: str) -> DataFrame:
+    """The twenty shipped rules on the same events in a four-hundredth of the time, some with telling messages."""
+    events = security_events(spark, sf).withColumns({"ts": F.expr("timestamp_micros(unix_micros(ts) div 400)"), "message": F.expr(_NOISE), "win_event_id": F.lit(None).cast("int"), "source": F.lit("app")})
+    return rules.evaluate(spread(events), rulesets.RULES).select("rule_id", F.array_join("entity", ":").alias("entity"), F.col("value").alias("n"))
+
+
 @query("g01_shipped_rules", " UNION ALL ".join(_look_back(r) for r in rulesets.RULES))
 def g01_shipped(spark: SparkSession, sf: str) -> DataFrame:
     """The twenty shipped rules at their own thresholds and windows, with the largest count of each firing group."""
