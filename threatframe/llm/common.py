@@ -12,10 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Text bytes that a Python task handles at once; one longer text makes a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 #: Bytes of an Arrow batch between Spark and a Python worker.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 #: ASCII white space: the complement of the word class [^\x20\x09-\x0D].
 SPACE = np.zeros(256, dtype=bool)

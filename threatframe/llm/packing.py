@@ -24,7 +24,7 @@ from threatframe.llm.common import buckets_for, per_text, ranked, read, slices,
 
 CAPACITY = 4096
 END = 1  #: the id that closes a document
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000  #: distinct words, and pieces of words, that a worker remembers
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 #: A run of Latin letters and then ASCII punctuation without an apostrophe: exactly one or two pre-tokens.
