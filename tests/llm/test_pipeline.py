@@ -39,3 +39,20 @@ def test_run_on_odd_and_empty_tables(spark, tmp_path):
         got = corpus_pipeline.run(spark, f"{tmp_path}/{k}").collect()
         assert all(0 < r.length <= 4096 for r in got)
     assert got == []
+
+
+def test_queries_equal_their_sql(spark, sf):
+    import glob
+    import os
+
+    import duckdb
+
+    from threatframe.llm import queries
+
+    con = duckdb.connect()
+    for path in glob.glob(f"{sf}/*.parquet"):
+        con.execute(f"CREATE VIEW {os.path.basename(path)[:-8]} AS SELECT * FROM '{path}'")
+    for name, sql in queries.oracle_sql().items():
+        got, want = queries.queries()[name](spark, sf).toPandas(), con.sql(sql).df()
+        plain = lambda df: sorted(map(tuple, df[sorted(df.columns)].astype(str).values.tolist()))
+        assert sorted(got.columns) == sorted(want.columns) and plain(got) == plain(want), name

@@ -285,3 +285,14 @@ def ranked(df: DataFrame, keys: list[str], bucket: Column, order: list[Column])
 
 def buckets_for(rows: int, per_bucket: int = 4000, least: int = 1024) -> int:
     return max(least, -(-rows // per_bucket))
+
+
+#: Words of documents with their places, for DuckDB: w (doc_id, p, word).
+WORDS_SQL = r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+ w AS MATERIALIZED (SELECT doc_id, unnest(range(1, len(words) + 1)) AS p, unnest(words) AS word FROM d)"""
+
+
+def run_sql(words: int, of: str = "w") -> str:
+    """A hash of the run of so many words from each place, in SQL; null where the text ends before."""
+    frame = f"(PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND {words - 1} FOLLOWING)"
+    return f"SELECT doc_id, p, CASE WHEN count(*) OVER {frame} = {words} THEN md5(string_agg(word, ' ') OVER {frame}) END AS h FROM {of}"

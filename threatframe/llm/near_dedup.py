@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from threatframe.llm.common import IDENTITY, Words, identified, joined, mix, range_hash, raw_text, read, slices, small_batches, staged, unnamed, with_texts
+from threatframe.llm.common import IDENTITY, WORDS_SQL, Words, identified, joined, mix, range_hash, raw_text, read, run_sql, slices, small_batches, staged, unnamed, with_texts
 from threatframe.llm.components import components
 
 SHINGLE = 5
@@ -343,3 +343,13 @@ def keep_near(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def op6_dart_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(read(spark, sf_dir, "documents"))
+
+
+#: The contract in SQL: components of pairs whose shingle sets have a Jaccard similarity of 0.8; texts without words are one class.
+OP6_SQL = f"""{WORDS_SQL.replace("WITH d AS", "WITH RECURSIVE d AS", 1)}, s AS MATERIALIZED (SELECT DISTINCT doc_id, h FROM ({run_sql(SHINGLE)}) WHERE h IS NOT NULL
+  UNION SELECT doc_id, md5(string_agg(word, ' ' ORDER BY p)) FROM w GROUP BY doc_id HAVING count(*) < {SHINGLE}),
+ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id), c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY ALL),
+ e AS MATERIALIZED (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c >= {THRESHOLD} * (x.n + y.n - c) - 1e-9 UNION SELECT (SELECT min(doc_id) FROM d WHERE len(words) = 0), doc_id FROM d WHERE len(words) = 0),
+ k AS MATERIALIZED (SELECT a, b FROM e UNION SELECT b, a FROM e UNION SELECT doc_id, doc_id FROM d), reach AS (SELECT a AS root, b AS node FROM k UNION SELECT r.root, k.b FROM reach r JOIN k ON k.a = r.node),
+ m AS (SELECT root AS doc_id, min(node) AS class_id, count(*) AS class_size FROM reach GROUP BY root)
+ SELECT doc_id, class_id, class_size, doc_id = class_id AS kept FROM m"""

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threatframe.llm.common import SPACE, Words, mix, per_text, raw_text, read, slices, small_batches
+from threatframe.llm.common import SPACE, WORDS_SQL, Words, mix, per_text, raw_text, read, run_sql, slices, small_batches
 
 MIN_WORDS = 10
 WINDOW = 5
@@ -157,4 +157,21 @@ def keep_good(docs: DataFrame) -> DataFrame:
 
 
 def op3_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(read(spark, sf_dir, "documents"))
+    return quality_rules(read(spark, sf_dir, "documents")).drop("longest_repeat")
+
+
+def _covered_sql(words: int) -> str:
+    """doc_id, n: words in a run of so many words that the text holds twice."""
+    return f"""(SELECT doc_id, count(*) FILTER (hit) AS n FROM (SELECT doc_id, bool_or(c > 1) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN {words - 1} PRECEDING AND CURRENT ROW) AS hit
+ FROM (SELECT doc_id, p, CASE WHEN h IS NOT NULL THEN count(*) OVER (PARTITION BY doc_id, h) ELSE 0 END AS c FROM ({run_sql(words)}))) GROUP BY doc_id)"""
+
+
+#: The contract in SQL: spans of repeats of n words or more are the runs of n words found twice, and the longest repeat is
+#: over the limit where a run of one word more is found twice.
+OP3_SQL = f"""{WORDS_SQL}, n AS (SELECT doc_id, count(*) AS n, sum(length(word)) AS chars FROM w GROUP BY doc_id),
+ l AS (SELECT doc_id, unnest(string_split(text, '\n')) AS line FROM d), u AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM l WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id),
+ f AS (SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_words, CAST(coalesce(n.chars, 0) AS BIGINT) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(u.n, 0) AS n_dup_lines,
+  coalesce(a.n, 0) AS n_repeat_words, coalesce(b.n, 0) AS n_long_repeat_words, coalesce(c.n, 0) AS over
+  FROM d LEFT JOIN n USING (doc_id) LEFT JOIN u USING (doc_id) LEFT JOIN {_covered_sql(WINDOW)} a USING (doc_id) LEFT JOIN {_covered_sql(LONG_REPEAT)} b USING (doc_id) LEFT JOIN {_covered_sql(LONGEST + 1)} c USING (doc_id)),
+ v AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {WINDOW_PERCENT} * n_words AS base_failed FROM f)
+ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_long_repeat_words, base_failed, NOT base_failed AND 100 * n_long_repeat_words <= {COVERED_PERCENT} * n_words AND over = 0 AS kept FROM v"""

@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.OP1_SQL}
+    return {"op1_exact_dedup": exact_dedup.OP1_SQL, "op3_suffix_repetition": quality_rules.OP3_SQL, "op6_dart_near_dedup": near_dedup.OP6_SQL, "op7_count_min_substrings": substring_dedup.OP7_SQL}

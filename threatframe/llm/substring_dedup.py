@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threatframe.llm.common import Words, identified, joined, mix, range_hash, raw_text, read, slices, small_batches, staged, with_texts
+from threatframe.llm.common import WORDS_SQL, Words, identified, joined, mix, range_hash, raw_text, read, run_sql, slices, small_batches, staged, with_texts
 
 WINDOW = 50
 GRAM = 10  #: words that an anchor's hash covers
@@ -299,3 +299,11 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def op7_count_min_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(read(spark, sf_dir, "documents"))
+
+
+#: The contract in SQL: a word goes where a run of 50 words around it starts in a smaller doc_id too.
+OP7_SQL = f"""{WORDS_SQL}, r AS MATERIALIZED ({run_sql(WINDOW)}), f AS (SELECT h, min(doc_id) AS first FROM r WHERE h IS NOT NULL GROUP BY h),
+ b AS (SELECT r.doc_id, p, coalesce(f.first < r.doc_id, false) AS bad FROM r LEFT JOIN f USING (h)),
+ c AS (SELECT doc_id, p, bool_or(bad) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN {WINDOW - 1} PRECEDING AND CURRENT ROW) AS gone FROM b),
+ g AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY p) FILTER (NOT gone), '') AS kept FROM c JOIN w USING (doc_id, p) GROUP BY doc_id)
+ SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN g USING (doc_id)"""
