@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 #: Text bytes that a Python task handles at once; one longer text makes a slice of its own.
 SLICE_BYTES = 2 << 20
+SMALL_SLICE = 256 << 10  #: where much is kept for each byte: signatures, shingle sets, token ids
 
 #: Bytes of an Arrow batch between Spark and a Python worker.
 BATCH_BYTES = 8 << 20
@@ -128,7 +129,14 @@ class Words:
     def hashes(self, second: bool = False) -> np.ndarray:
         """A 64-bit hash of each word's bytes; `second` gives one of other byte codes and another base."""
         code, base = (_BYTE2, _BASE2) if second else (_BYTE, _BASE)
-        return mix(range_hash(code[self.raw], self.start, self.end, base) + np.uint64(1))
+        if not len(self):
+            return np.zeros(0, np.uint64)
+        # As range_hash, but words do not overlap, so powers reach only as far as the longest word.
+        size = self.end - self.start
+        begin = np.cumsum(size) - size
+        place = np.arange(size.sum()) - np.repeat(begin, size)
+        values = code[self.raw[~SPACE[self.raw]]] * _power_tables(base, int(size.max()))[0][place]
+        return mix(mix(np.add.reduceat(values, begin)) + size.astype(np.uint64) + np.uint64(1))
 
     def text(self, i: int) -> bytes:
         return self.raw[self.start[i] : self.end[i]].tobytes()

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from threatframe.llm.common import IDENTITY, WORDS_SQL, Words, identified, joined, mix, range_hash, raw_text, read, run_sql, slices, small_batches, staged, unnamed, with_texts
+from threatframe.llm.common import IDENTITY, SMALL_SLICE, WORDS_SQL, Words, identified, joined, mix, range_hash, raw_text, read, run_sql, slices, small_batches, staged, unnamed, with_texts
 from threatframe.llm.components import components
 
 SHINGLE = 5
@@ -135,7 +135,7 @@ def _digest(words: bytes) -> bytes:
 
 def _signed(weighted: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, limit=2 << 20):
+        for batch in slices(batches, limit=SMALL_SLICE):
             w = Words(*raw_text(batch.column(1)))
             digests = [_digest(t) for t in joined(w)]
             doc, element = shingles(w)
@@ -172,7 +172,7 @@ def _sets(weighted: bool):
     elements of their own, so that the Jaccard similarity of these sets is that of the multisets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SMALL_SLICE):
             w = Words(*raw_text(batch.column(1)))
             doc, h = shingles(w)
             order = np.lexsort((h, doc))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threatframe.llm.common import buckets_for, per_text, ranked, read, slices, small_batches, staged, words_of
+from threatframe.llm.common import SMALL_SLICE, buckets_for, per_text, ranked, read, slices, small_batches, staged, words_of
 
 CAPACITY = 4096
 END = 1  #: the id that closes a document
@@ -88,7 +88,7 @@ class WordEncoder:
 def _pieces(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder(path)
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SMALL_SLICE):
             ids, offs = encoder.texts(batch.column(1))
             data, rows = memoryview(ids.astype("<u4").tobytes()), []
             for k in range(batch.num_rows):
