@@ -68,12 +68,31 @@ def parse_alert_rules(raw: Iterable[Mapping], base: Iterable[AlertRule] = ()) ->
 
 def found_indicators(events: DataFrame, feed: DataFrame) -> DataFrame:
     """The indicators of the events' addresses and messages, aggregated; the threat type is the feed's where it knows the value."""
+    return indicators_of(indicator_facts(events), feed)
+
+
+def indicator_facts(events: DataFrame) -> DataFrame:
+    """(value, type, threat, related_events, first_seen, last_seen, sure): what events say of each indicator, by their own
+    threat type ('' for none); sure is the sum of confidences (decimal, so that any order of adding gives the same). Facts of different events add up."""
     text = F.concat_ws(" ", "src_ip", "dst_ip", "message")
-    own = F.col("threat_type") if "threat_type" in events.columns else F.lit(None).cast("string")
-    rows = events.select("ts", own.alias("threat_type"), text.alias("text"))
-    known = feed.select(F.lower("value").alias("_v"), F.col("threat_type").alias("_threat"))
-    agg = indicators.aggregate_indicators(indicators.indicator_table(rows, "text").select("value", "type", "confidence", "ts", "threat_type"))
-    return agg.join(F.broadcast(known), F.lower("value") == F.col("_v"), "left").withColumn("threat_type", F.coalesce("_threat", "threat_type")).drop("_v", "_threat")
+    own = F.coalesce("threat_type", F.lit("")) if "threat_type" in events.columns else F.lit("")
+    rows = indicators.indicator_table(events.select("ts", own.alias("threat"), text.alias("text")), "text")
+    return rows.groupBy("value", "type", "threat").agg(F.count(F.lit(1)).alias("related_events"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.sum(F.col("confidence").cast("decimal(10,6)")).cast("decimal(28,6)").alias("sure"))
+
+
+def merged_indicator_facts(facts: DataFrame) -> DataFrame:
+    return facts.groupBy("value", "type", "threat").agg(F.sum("related_events").alias("related_events"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("sure").cast("decimal(28,6)").alias("sure"))
+
+
+def indicators_of(facts: DataFrame, feed: DataFrame) -> DataFrame:
+    """Facts as indicators: mean confidence of at most 0.99, and the feed's threat type or else the usual one (ties: the least)."""
+    known = feed.select(F.lower("value").alias("_v"), F.col("threat_type").alias("_threat")).groupBy("_v").agg(F.min("_threat").alias("_threat"))
+    first = F.min(F.when(F.col("threat") != "", F.struct((-F.col("related_events")).alias("n"), F.col("threat").alias("threat"))))
+    agg = facts.groupBy("value", "type").agg(
+        F.sum("related_events").alias("related_events"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"),
+        F.least(F.lit(0.99), F.sum("sure").cast("double") / F.sum("related_events")).alias("confidence"), first.alias("_own"),
+    )
+    return agg.join(known, F.lower("value") == F.col("_v"), "left").withColumn("threat_type", F.coalesce("_threat", "_own.threat")).drop("_v", "_threat", "_own")
 
 
 def candidates(rules: list[AlertRule], detections: DataFrame, incidents: DataFrame, found: DataFrame, assets: DataFrame | None = None) -> DataFrame:

@@ -190,7 +190,7 @@ def signals(found: DataFrame, ranges: DataFrame | None = None, feed: DataFrame |
     ranges, feed = joins.range_table(spark) if ranges is None else ranges, joins.feed_table(spark) if feed is None else feed
     tech = _tactic_rows(found).select("cluster", F.lit("technique").alias("signal"), F.col("technique").alias("value"), F.lit(WEIGHTS["technique"]).alias("weight"))
     known = feed.select(F.lower("value").alias("_v")).distinct().withColumn("_feed", F.lit(True))
-    iocs = indicator_table(found.select("cluster", "message")).select("cluster", F.lower("value").alias("_v")).distinct().join(F.broadcast(known), "_v", "left")
+    iocs = indicator_table(found.select("cluster", "message")).select("cluster", F.lower("value").alias("_v")).distinct().join(known, "_v", "left")
     ioc = iocs.select("cluster", F.lit("ioc").alias("signal"), F.col("_v").alias("value"), F.when(F.col("_feed"), WEIGHTS["ioc_feed"]).otherwise(WEIGHTS["ioc"]).alias("weight"))
     own = F.filter(F.split("cluster", ":"), lambda p: p.rlike(f"^{DOTTED_QUAD}$"))
     ips = found.select("cluster", F.array("src_ip", "dst_ip").alias("_ips")).union(found.select("cluster", F.slice(own, 1, 1))).distinct()

@@ -8,6 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threatframe.functions.keyed import KeyedTable
+from threatframe.functions.staging import staged
+
 #: A run of the characters that addresses and names consist of, with a following character that makes it code, not a name.
 CHUNK = "[A-Za-z0-9_@./-]+[=(']?"
 #: What stands beside an IPv4 address in such a run.
@@ -280,3 +283,11 @@ def upsert(old: DataFrame, new: DataFrame, keys: tuple = ("value", "type"), orde
     both = old.unionByName(new, allowMissingColumns=True)
     rest = [c for c in both.columns if c not in keys]
     return both.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("r")).select(*keys, "r.*")
+
+
+def upsert_into(table: KeyedTable, number: int, new: DataFrame, order: str = "seen_at") -> list[int]:
+    """Change `number` of a keyed table: the newest row per key, of what it holds and `new`. Only the buckets of the new keys
+    are read and written; their numbers are returned. An older row changes nothing, and a change made again is the same."""
+    new = staged(new.select(*table.schema.names), "new")
+    old = table.of(new.select(*table.key), number - 1)
+    return table.replace(number, upsert(old, new, table.key, order))

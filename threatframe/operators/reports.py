@@ -8,7 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threatframe.functions.keyed import KeyedTable
 from threatframe.functions.ranking import numbered
+from threatframe.functions.staging import staged
 from threatframe.sources.security import SEVERITIES, severity_rank
 
 #: Services by port.
@@ -65,11 +67,37 @@ def baseline(windows: DataFrame) -> DataFrame:
 
 
 def fold(base: DataFrame, more: DataFrame) -> DataFrame:
-    """Two baselines of different jobs as one, by the pairwise formula for means and squared deviations."""
-    both = base.select(*BASE_KEYS, "n", "mean", "m2").unionByName(more.select(*BASE_KEYS, "n", "mean", "m2"))
-    g = both.groupBy(*BASE_KEYS).agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("mean"), F.collect_list(F.struct("n", "mean", "m2")).alias("p"))
-    m2 = F.aggregate("p", F.lit(0.0), lambda a, p: a + p.m2 + p.n * (p.mean - F.col("mean")) * (p.mean - F.col("mean")))
-    return g.select(*BASE_KEYS, "n", "mean", m2.alias("m2"))
+    """Two baselines of different jobs as one, by the pairwise formula for means and squared deviations (Chan et al.)."""
+    one, two = base.select(*BASE_KEYS, F.struct("n", "mean", "m2").alias("a")), more.select(*BASE_KEYS, F.struct("n", "mean", "m2").alias("b"))
+    j = one.join(two, BASE_KEYS, "full_outer")
+    n, d = F.col("a.n") + F.col("b.n"), F.col("b.mean") - F.col("a.mean")
+    both = F.struct(n.alias("n"), (F.col("a.mean") + d * F.col("b.n") / n).alias("mean"), (F.col("a.m2") + F.col("b.m2") + d * d * F.col("a.n") * F.col("b.n") / n).alias("m2"))
+    both = F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), both)
+    return j.select(*BASE_KEYS, F.coalesce(both, "a", "b").alias("m")).select(*BASE_KEYS, "m.*")
+
+
+class Baselines:
+    """Baselines in a keyed table, with a ledger of the jobs that they hold: a job counts once, however often it is offered."""
+
+    def __init__(self, spark, path: str, buckets: int = 16):
+        self.moments = KeyedTable(spark, f"{path}/moments", "entity_type string, entity string, attribute string, n long, mean double, m2 double", tuple(BASE_KEYS), ("entity",), buckets)
+        self.jobs = KeyedTable(spark, f"{path}/jobs", "job long, change long", ("job",), None, buckets)
+
+    def fold(self, number: int, windows: DataFrame) -> DataFrame:
+        """Change `number`: fold the jobs of `windows` (job and the columns of a baseline's windows) that are not in the ledger.
+
+        A job's windows come together. Only baselines of entities that occur are read and written. Returns the new jobs.
+        """
+        known = self.jobs.of(windows.select("job").distinct(), number - 1).select("job")
+        new = staged(windows.join(known, "job", "left_anti"), "windows")
+        more = staged(baseline(new), "baseline")
+        jobs = staged(new.select("job").distinct(), "jobs")
+        self.moments.replace(number, fold(self.moments.of(more.select(*BASE_KEYS), number - 1), more))
+        self.jobs.replace(number, jobs.withColumn("change", F.lit(number)))
+        return jobs
+
+    def read(self, at: int) -> DataFrame:
+        return self.moments.read(at)
 
 
 def listing(base: DataFrame) -> DataFrame:
@@ -95,17 +123,33 @@ def anomalies(windows: DataFrame, base: DataFrame, min_z: float = 3.0, include_s
 
 def assets(events: DataFrame) -> DataFrame:
     """Inventory: hosts (else source addresses), and destinations on known service ports."""
+    return assets_of(asset_facts(events))
+
+
+def asset_facts(events: DataFrame) -> DataFrame:
+    """(name, services, ports, named, first_seen, last_seen, max_risk, events): what events say of each asset. Facts of
+    different events add up by `merged_facts`."""
     port = F.col("dst_port")
     service = F.element_at(F.create_map(*(F.lit(x) for kv in SERVICES.items() for x in kv)), port)
     own = F.struct(F.coalesce(F.nullif("hostname", F.lit("")), "src_ip").alias("name"), F.lit(None).cast("string").alias("service"), F.coalesce(F.col("hostname") != "", F.lit(False)).alias("named"), F.lit(None).cast("int").alias("port"))
     target = F.when(service.isNotNull(), F.struct(F.col("dst_ip").alias("name"), service.alias("service"), F.lit(False).alias("named"), port.alias("port")))
     rows = events.withColumn("a", F.explode(F.array_compact(F.array(own, target)))).select("a.*", "ts", "risk").filter("name IS NOT NULL AND name <> ''")
-    g = rows.groupBy("name").agg(
+    return rows.groupBy("name").agg(
         F.array_sort(F.collect_set("service")).alias("services"), F.array_sort(F.collect_set("port")).alias("ports"), F.bool_or("named").alias("named"),
         F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.max("risk").alias("max_risk"), F.count(F.lit(1)).alias("events"),
     )
+
+
+def merged_facts(facts: DataFrame) -> DataFrame:
+    """Facts of the same assets from different events, as one row each. Services and ports are few: known ones only."""
+    every = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
+    return facts.groupBy("name").agg(every("services"), every("ports"), F.bool_or("named").alias("named"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.max("max_risk").alias("max_risk"), F.sum("events").alias("events"))
+
+
+def assets_of(facts: DataFrame) -> DataFrame:
+    """Facts with what follows from them: type and criticality."""
     role = F.when(F.arrays_overlap("services", F.array(*map(F.lit, DATABASES))), "database").when(F.array_contains("services", "web"), "web").when(F.col("named") | (F.size("services") > 0), "server").otherwise("unknown")
-    g = g.withColumn("asset_type", role)
+    g = facts.withColumn("asset_type", role)
     step = F.when(F.col("asset_type").isin("database", "web"), 2).when(F.col("asset_type").isin("network", "server"), 1).otherwise(0)
     step = F.when(F.col("max_risk") >= 75, 3).when(F.col("max_risk") >= 50, F.least(F.lit(3), step + 1)).otherwise(step)
     return g.withColumns({"ports": F.slice("ports", 1, 50), "criticality": F.element_at(F.array(*map(F.lit, SEVERITIES)), step + 1)}).drop("named")

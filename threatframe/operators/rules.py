@@ -113,12 +113,12 @@ def tagged(events: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return rows.select("_tag.*", "event_id", "ts", "src_ip", "dst_ip", "hostname", "message")
 
 
-def _of(rules: Sequence[Rule], value) -> Column:
+def of_rule(rules: Sequence[Rule], value) -> Column:
     """value(rule) of the row's rule."""
     return F.element_at(F.array(*(F.lit(value(r)) for r in rules)), F.col("rule") + 1)
 
 
-def _counted(rows: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+def counted(rows: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """Timed rows of (rule, entity, ts, field, ...) with `value` (events, or different fields, in the look-back window)
     and `started` (the window's first event).
 
@@ -128,7 +128,7 @@ def _counted(rows: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """
     part = ["rule", "entity", "_bucket"]
     us = F.unix_micros("ts")
-    rows = rows.filter("ts IS NOT NULL").withColumns({"_us": us, "_w": _of(rules, lambda r: r.seconds * 1_000_000)})
+    rows = rows.filter("ts IS NOT NULL").withColumns({"_us": us, "_w": of_rule(rules, lambda r: r.seconds * 1_000_000)})
     rows = rows.withColumn("_own", F.expr("_us div _w")).withColumn("_bucket", F.explode(F.array("_own", F.col("_own") + 1)))
     rows = rows.repartition(*part)  # one exchange for the three windows
     by_time = Window.partitionBy(*part).orderBy("_us")
@@ -137,7 +137,7 @@ def _counted(rows: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     if any(r.metric == "distinct" for r in rules):
         same = Window.partitionBy(*part, "field").orderBy("_us")
         before, after = F.col("_us") - F.lag("_us").over(same), F.lead("_us").over(same) - F.col("_us")
-        known, distinct = F.col("field").isNotNull(), _of(rules, lambda r: r.metric == "distinct")
+        known, distinct = F.col("field").isNotNull(), of_rule(rules, lambda r: r.metric == "distinct")
         fresh = F.when(~distinct, 1).when(known & (before.isNull() | (before > F.col("_w"))), 1).otherwise(0)
         ends = F.when(~distinct, 1).when(known & (after.isNull() | (after > F.col("_w"))), 1).otherwise(0)
     rows = rows.withColumns({"_fresh": fresh, "_ends": ends})
@@ -152,20 +152,25 @@ def _counted(rows: DataFrame, rules: Sequence[Rule]) -> DataFrame:
 
 def sliding(df: DataFrame, rule: Rule) -> DataFrame:
     """The rule's timed rows with `value` (events, or different values, in the look-back window) and `started`."""
-    return _counted(_as_rows(df, rule), [rule]).drop("rule", "field")
+    return counted(_as_rows(df, rule), [rule]).drop("rule", "field")
 
 
 def _best(rows: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """(rule, entity, value, started, ended): the best look-back window of every firing group, the earliest of equals."""
-    counted = _counted(rows.select("rule", "entity", "ts", "field"), rules).filter(F.col("value") >= _of(rules, lambda r: r.threshold))
+    return best_of(counted(rows.select("rule", "entity", "ts", "field"), rules), rules)
+
+
+def best_of(rows: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """The best window of every group among counted rows, where it reaches the threshold."""
+    firing = rows.filter(F.col("value") >= of_rule(rules, lambda r: r.threshold))
     top = F.max(F.struct("value", (-F.unix_micros("ts")).alias("early"), F.struct("started", "ts").alias("w"))).alias("t")
-    return counted.groupBy("rule", "entity").agg(top).select("rule", "entity", F.col("t.value").alias("value"), F.col("t.w.started").alias("started"), F.col("t.w.ts").alias("ended"))
+    return firing.groupBy("rule", "entity").agg(top).select("rule", "entity", F.col("t.value").alias("value"), F.col("t.w.started").alias("started"), F.col("t.w.ts").alias("ended"))
 
 
-def _timeless(rows: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """Firing groups without any time stamp, judged as a whole."""
+def timeless_groups(rows: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """Firing groups (of rows as `tagged` gives them) without any time stamp, judged as a whole."""
     g = rows.groupBy("rule", "entity").agg(F.count("ts").alias("timed"), F.count(F.lit(1)).alias("n"), F.count_distinct("field").alias("different"))
-    value, least = F.when(_of(rules, lambda r: r.metric == "distinct"), F.col("different")).otherwise(F.col("n")), _of(rules, lambda r: r.threshold)
+    value, least = F.when(of_rule(rules, lambda r: r.metric == "distinct"), F.col("different")).otherwise(F.col("n")), of_rule(rules, lambda r: r.threshold)
     stamp = F.lit(None).cast("timestamp")
     return g.withColumn("value", value).filter((F.col("timed") == 0) & (F.col("n") >= least) & (F.col("value") >= least)).select("rule", "entity", "value", stamp.alias("started"), stamp.alias("ended"))
 
@@ -181,19 +186,20 @@ def best_windows(df: DataFrame, rule: Rule) -> DataFrame:
 
 def timeless(df: DataFrame, rule: Rule) -> DataFrame:
     """Firing groups without any time stamp, judged as a whole."""
-    return _timeless(_as_rows(df, rule), [rule]).drop("rule")
+    return timeless_groups(_as_rows(df, rule), [rule]).drop("rule")
 
 
-def _inside(hits: DataFrame, rows: DataFrame, keys: Sequence[str] = ("entity",)) -> DataFrame:
+def inside(hits: DataFrame, rows: DataFrame, keys: Sequence[str] = ("entity",)) -> DataFrame:
     """The rows of each hit's window, found again by its bounds."""
-    inside = (F.col("h.ended").isNull() & F.col("e.ts").isNull()) | F.col("e.ts").between(F.col("h.started"), F.col("h.ended"))
+    within = (F.col("h.ended").isNull() & F.col("e.ts").isNull()) | F.col("e.ts").between(F.col("h.started"), F.col("h.ended"))
     same = reduce(lambda a, b: a & b, (F.col(f"h.{k}") == F.col(f"e.{k}") for k in keys))
-    return hits.alias("h").join(rows.alias("e"), same & inside).select("h.*", *(f"e.{c}" for c in rows.columns if c not in keys))
+    return hits.alias("h").join(rows.alias("e"), same & within).select("h.*", *(f"e.{c}" for c in rows.columns if c not in keys))
 
 
-def _evidence(hits: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+def evidence_of(hits: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Adds what a hit's window holds: evidence, has_address and targets; see `with_evidence`."""
     address = F.coalesce(F.col("message").rlike(DOTTED_QUAD), F.lit(False)).alias("_address")
-    both = _inside(hits, rows.select(*keys, "event_id", "ts", "dst_ip", F.substring("message", 1, EXCERPT).alias("excerpt"), address), keys)
+    both = inside(hits, rows.select(*keys, "event_id", "ts", "dst_ip", F.substring("message", 1, EXCERPT).alias("excerpt"), address), keys)
     facts = both.groupBy(*keys).agg(F.bool_or("_address").alias("has_address"), F.count_distinct("dst_ip").alias("targets"))
     nth = F.row_number().over(Window.partitionBy(*keys).orderBy("ts", "event_id"))
     first = both.withColumn("nth", nth).filter(F.col("nth") <= EVIDENCE)
@@ -204,14 +210,14 @@ def _evidence(hits: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFram
 def with_evidence(hits: DataFrame, df: DataFrame) -> DataFrame:
     """Adds, from each hit's window: evidence (the first events, to show), has_address (whether any event of it names an
     address) and targets (different dst_ip)."""
-    return _evidence(hits, df, ["entity"])
+    return evidence_of(hits, df, ["entity"])
 
 
 def window_events(found: DataFrame, events: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """(rule_id, entity, event_id, ts, src_ip, dst_ip, hostname, message): every event in the window of each detection, one row each, uncut."""
     rules = list(rules)
-    rows = tagged(events, rules).withColumn("rule_id", _of(rules, lambda r: r.rule_id)).drop("rule", "field")
-    return _inside(found.select("rule_id", "entity", "started", "ended"), rows, ["rule_id", "entity"]).drop("started", "ended")
+    rows = tagged(events, rules).withColumn("rule_id", of_rule(rules, lambda r: r.rule_id)).drop("rule", "field")
+    return inside(found.select("rule_id", "entity", "started", "ended"), rows, ["rule_id", "entity"]).drop("started", "ended")
 
 
 def success_followup(hits: DataFrame, events: DataFrame) -> DataFrame:
@@ -231,20 +237,26 @@ def evaluate(events: DataFrame, rules: Iterable[Rule], known: DataFrame | None =
     """
     rules = list(rules)
     rows = staged(tagged(events, rules), "tagged")
-    hits = staged(_best(rows, rules).unionByName(_timeless(rows, rules)), "hits")
-    hits = _evidence(hits, rows, ["rule", "entity"])
-    followed = _of(rules, lambda r: r.then_success)
+    hits = staged(_best(rows, rules).unionByName(timeless_groups(rows, rules)), "hits")
+    hits = evidence_of(hits, rows, ["rule", "entity"])
+    followed = of_rule(rules, lambda r: r.then_success)
     none = {"followed_by": F.lit(None).cast("string"), "followed_at": F.lit(None).cast("timestamp")}
     hits = hits.filter(~followed).withColumns(none).unionByName(success_followup(hits.filter(followed), events)) if any(r.then_success for r in rules) else hits.withColumns(none)
-    least = _of(rules, lambda r: r.threshold)
-    reason = F.format_string("+%d %d matching events (threshold %d, window %s)", F.least(F.lit(30), 10 + 4 * F.col("value")).cast("int"), "value", least, _of(rules, lambda r: r.window))
+    out = reported(hits, rules)
+    return new_detections(out, known) if known is not None else out
+
+
+def reported(hits: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """Detections as they are shown, of hits (rule, entity, value, started, ended, evidence, has_address, targets, followed_by,
+    followed_at) with the rule's place in `rules`."""
+    least = of_rule(rules, lambda r: r.threshold)
+    reason = F.format_string("+%d %d matching events (threshold %d, window %s)", F.least(F.lit(30), 10 + 4 * F.col("value")).cast("int"), "value", least, of_rule(rules, lambda r: r.window))
     note = F.when(F.col("followed_by").isNotNull(), F.concat(F.lit("+ successful authentication followed ("), "followed_by", F.lit(")")))
-    out = hits.select(
-        *(_of(rules, lambda r, k=k: getattr(r, k)).alias(k) for k in ("rule_id", "name", "category", "severity", "threshold")),
-        F.split(_of(rules, lambda r: ",".join(r.group_by)), ",").alias("entity_type"), "entity", "value", "started", "ended", "evidence", "has_address", "targets", "followed_by", "followed_at",
+    return hits.select(
+        *(of_rule(rules, lambda r, k=k: getattr(r, k)).alias(k) for k in ("rule_id", "name", "category", "severity", "threshold")),
+        F.split(of_rule(rules, lambda r: ",".join(r.group_by)), ",").alias("entity_type"), "entity", "value", "started", "ended", "evidence", "has_address", "targets", "followed_by", "followed_at",
         F.array_compact(F.array(reason, note)).alias("reasons"),
     )
-    return new_detections(out, known) if known is not None else out
 
 
 def detect(events: DataFrame, rule: Rule) -> DataFrame:

@@ -43,12 +43,21 @@ NARRATIVE = CASES + f""", n AS (SELECT cluster, count(*) AS n, (max(epoch_us(ts)
 _TOUCHED = ", " + ASSETS.removeprefix("WITH ") + """, touched AS (SELECT DISTINCT x.cluster, a.name, a.asset_type, a.criticality FROM (SELECT cluster, unnest([src_ip, dst_ip, hostname]) AS n FROM ent UNION SELECT cluster, cluster FROM ent) x JOIN a ON lower(a.name) = lower(x.n))"""
 INCIDENT_ASSETS = CASES + _TOUCHED + " SELECT * FROM touched"
 EVIDENCE_MAP = CASES + " SELECT DISTINCT event_id, src_ip, dst_ip, CASE WHEN starts_with(src_ip, '8.8.8.') THEN 'US' END AS country, 0 AS iocs FROM ent"
-ALERTS = CASES + _TOUCHED + """ SELECT 'ALERT_BRUTE_FORCE' AS alert_rule, 'HIGH' AS severity, entity, max(score)::INT AS risk_score, count(*) AS facts FROM scored WHERE rule_id = 'BRUTE_FORCE_001' GROUP BY entity
+_RAISED = """SELECT 'ALERT_BRUTE_FORCE' AS alert_rule, 'HIGH' AS severity, entity, max(score)::INT AS risk_score, count(*) AS facts FROM scored WHERE rule_id = 'BRUTE_FORCE_001' GROUP BY entity
  UNION ALL SELECT 'ALERT_SQL_INJECTION', 'HIGH', entity, max(score)::INT, count(*) FROM scored WHERE rule_id = 'WEB_SQLI_001' GROUP BY entity
  UNION ALL SELECT 'ALERT_CRITICAL_INCIDENT', 'CRITICAL', cluster, risk, 1 FROM inc WHERE risk >= 80 UNION ALL SELECT 'ALERT_HIGH_INCIDENT', 'HIGH', cluster, risk, 1 FROM inc WHERE risk >= 51
  UNION ALL SELECT 'ALERT_ASSET_WEB_ATTACK', 'HIGH', cluster, risk, 1 FROM inc WHERE risk >= 40 AND cluster IN (SELECT cluster FROM touched WHERE asset_type = 'web')
  UNION ALL SELECT 'ALERT_CRITICAL_ASSET_INCIDENT', 'HIGH', cluster, risk, 1 FROM inc WHERE risk >= 45 AND cluster IN (SELECT cluster FROM touched WHERE criticality = 'CRITICAL')
  UNION ALL SELECT 'ALERT_HIGH_CONF_IOC', 'HIGH', v, 0, 1 FROM (SELECT src_ip AS v FROM sec UNION SELECT dst_ip FROM sec)"""
+ALERTS = CASES + _TOUCHED + f" {_RAISED}"
+
+#: All that a refresh keeps, as (facet, key, detail).
+REFRESHED = CASES + _TOUCHED + f""", raised AS ({_RAISED}), members AS (SELECT cluster, count(*) AS n FROM member GROUP BY cluster), seen AS (SELECT v, count(*) AS n, min(epoch_us(ts)) AS f, max(epoch_us(ts)) AS l FROM (SELECT src_ip AS v, ts FROM sec UNION ALL SELECT dst_ip, ts FROM sec) GROUP BY v)
+ SELECT 'detection' AS facet, concat_ws('|', rule_id, entity) AS key, concat_ws('|', n, epoch_us(started), epoch_us(ended), score) AS detail FROM scored
+ UNION ALL SELECT 'incident', cluster, concat_ws('|', risk, n, severity, title) FROM inc JOIN members USING (cluster)
+ UNION ALL SELECT 'asset', name, concat_ws('|', coalesce(services, ''), ports, epoch_us(first_seen), epoch_us(last_seen), max_risk, events, asset_type, criticality) FROM a
+ UNION ALL SELECT 'indicator', concat(v, '|ipv4'), concat_ws('|', n, f, l) FROM seen
+ UNION ALL SELECT 'alert', concat_ws('|', alert_rule, entity), concat_ws('|', severity, risk_score, facts) FROM raised"""
 
 #: vec: signals of incidents; the messages of the view hold no indicators. lk: linked pairs. act: actors.
 _VECTORS = """, vec AS (SELECT DISTINCT cluster, 'technique' AS signal, technique AS value, CAST(1.5 AS DOUBLE) AS weight, CAST(NULL AS DOUBLE) AS seconds FROM tac

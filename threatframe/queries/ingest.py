@@ -288,13 +288,6 @@ def m06(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("username", F.unix_micros("started").alias("started_us"), F.unix_micros("ended").alias("ended_us"), "n")
 
 
-@query("m07_stream_refresh", "SELECT src_ip, max(risk) AS risk FROM sec GROUP BY src_ip")
-def m07(spark: SparkSession, sf: str) -> DataFrame:
-    """foreachBatch folds each batch's per-source facts; the newest state is their merge."""
-    out = jobs.run_each(jobs.events_stream(spark, sf), "refresh", lambda df, k, path: df.groupBy("src_ip").agg(F.max("risk").alias("risk")).write.mode("overwrite").parquet(f"{path}/facts/batch={k}"))
-    return spark.read.parquet(f"{out}/facts").groupBy("src_ip").agg(F.max("risk").alias("risk"))
-
-
 @query("m08_late_rows", """WITH c AS (SELECT ts, event_id % 3 AS k FROM sec), m AS (SELECT k, max(epoch_us(ts)) AS top FROM c GROUP BY k), l AS (SELECT k, coalesce(epoch_us(ts) < (SELECT max(top) FROM m WHERE m.k < c.k) - 86400000000, false) AS late FROM c)
  SELECT k AS batch, count(*) FILTER (late) AS late, count(*) AS n FROM l GROUP BY k""")
 def m08(spark: SparkSession, sf: str) -> DataFrame:
