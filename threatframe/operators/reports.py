@@ -213,22 +213,28 @@ def audit(metrics: DataFrame, controls: Iterable | DataFrame = CONTROLS) -> Data
     return table.join(metrics, "metric", "left").withColumn("value", v).withColumn("result", F.when(ok, "PASS").when(F.col("severity") == "high", "FAIL").otherwise("WARN"))
 
 
-CHUNK = 4096  #: events whose hashes make one digest
+CHUNK = 4096  #: hashes that make one digest, on every level of a batch's tree
 
 
-def batch_digests(events: DataFrame, job: Column, order: str, text: Column) -> DataFrame:
-    """(job, events, digest): a digest of a batch's ordered events, as a tree of two levels.
+def batch_digests(events: DataFrame, job: Column, order: str, text: Column, fan_in: int = CHUNK) -> DataFrame:
+    """(job, events, digest): a digest of a batch's ordered events, as a tree.
 
-    The SHA-256 of each event are hashed together by chunks of CHUNK events in order, the chunks' digests by batch. A task
-    holds one chunk, and of a batch one digest for CHUNK events. `order` tells the events of a batch apart.
+    The SHA-256 of fan_in events in order are hashed together, then the digests of fan_in such chunks, and so on up to one
+    digest for each batch (there is always a level above the chunks). No row holds more than fan_in hashes. `order` tells
+    the events of a batch apart.
     """
     rows = events.select(job.alias("job"), F.col(order).alias("o"), F.sha2(text, 256).alias("h"))
     rows = numbered(rows, [F.col("job"), F.col("o")], "n")
-    first = rows.groupBy("job").agg(F.min("n").alias("first"))
-    rows = rows.join(first, "job").withColumn("chunk", F.expr(f"(n - first) div {CHUNK}"))
-    joined = lambda key, value: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, value))), lambda x: x[value]), ""), 256)
-    chunks = rows.groupBy("job", "chunk").agg(joined("o", "h").alias("d"), F.count(F.lit(1)).alias("events"))
-    return chunks.groupBy("job").agg(F.sum("events").alias("events"), joined("chunk", "d").alias("digest"))
+    first = staged(rows.groupBy("job").agg(F.min("n").alias("first"), F.count(F.lit(1)).alias("nodes")), "batches")
+    level = rows.join(first, "job").select("job", (F.col("n") - F.col("first")).alias("n"), "h", F.lit(1).cast("long").alias("events"), "nodes")
+    most, height = first.agg(F.max("nodes")).first()[0] or 0, 0
+    while height < 2 or most > 1:
+        hashed = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "h"))), lambda x: x.h), ""), 256)
+        top = F.when(F.col("nodes") == 1, F.min("h")) if height >= 2 else F.lit(None)  # a batch that has its digest waits for the others
+        above = level.groupBy("job", "nodes", F.expr(f"n div {fan_in}").alias("up")).agg(F.coalesce(top, hashed).alias("h"), F.sum("events").alias("events"))
+        level = staged(above.select("job", F.col("up").alias("n"), "h", "events", F.ceil(F.col("nodes") / fan_in).alias("nodes")), "digests")
+        most, height = -(-most // fan_in), height + 1
+    return level.select("job", "events", F.col("h").alias("digest"))
 
 
 def chained(digests: DataFrame) -> DataFrame:

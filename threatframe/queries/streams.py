@@ -4,27 +4,27 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threatframe.functions.keyed import KeyedTable
-from threatframe.functions.staging import shared_dir
+from threatframe.functions.staging import shared_dir, staged
 from threatframe.operators import alerts, indicators, joins, reports
 from threatframe.queries import case_sql, query
-from threatframe.queries.detection import DAYS
+from threatframe.queries.detection import _BEST, BRUTE, BRUTE_WIN, DAYS
 from threatframe.queries.reports import BASE, windows
 from threatframe.sources.security import security_events
 from threatframe.streaming import jobs
+from threatframe.streaming.custody import Custody
 from threatframe.streaming.refresh import Refresh
 
 
-def arrivals(spark: SparkSession, sf: str, batches: int, files: int = 4) -> DataFrame:
-    """The events as a stream of `batches` micro-batches, which share all days and entities: each holds the event ids of one
-    remainder, in `files` files."""
+def arrivals(spark: SparkSession, sf: str, part: Column, batches: int, files: int = 4) -> DataFrame:
+    """The events as a stream of micro-batches: the k-th holds those for which `part` is k, in `files` files."""
     path = f"{shared_dir(spark)}/arrivals-{uuid.uuid4().hex}"
     raw = spark.read.parquet(f"{sf}/events.parquet")
     for k in range(batches):
-        raw.filter(F.col("event_id") % batches == k).repartition(files).write.parquet(f"{path}/part={k}")
+        raw.filter(part == k).repartition(files).write.parquet(f"{path}/part={k}")
     return jobs.files_stream(spark, f"{path}/*", raw.schema, files)
 
 
@@ -37,7 +37,7 @@ def refreshed(spark: SparkSession, sf: str, batches: int) -> tuple[Refresh, int]
         state.apply(batch, number)
         last[0] = number
 
-    jobs.run_each(arrivals(spark, sf, batches), "refresh", each)
+    jobs.run_each(arrivals(spark, sf, F.col("event_id") % batches, batches), "refresh", each)  # every batch has all days and entities
     return state, last[0]
 
 
@@ -75,3 +75,48 @@ def e10(spark: SparkSession, sf: str) -> DataFrame:
     for number, part in enumerate((day % 3 == 0, day % 3 == 1, day % 2 == 0, day % 3 == 2)):
         base.fold(number, w.filter(part))
     return reports.listing(base.read(3)).select(*reports.BASE_KEYS, "n", F.round("mean", 6).alias("mean"), F.round("std", 5).alias("std"))
+
+
+#: Ten days a batch, but a third of the events comes one day late and a third two days late.
+LATE = F.floor((F.datediff("ts", F.lit("2024-01-01")) + F.col("event_id") % 3) / 10)
+
+
+@query("m04_stream_followup", BRUTE_WIN + _BEST.format(t=3) + """, f AS (SELECT b.entity, b.n, b.started, b.ts, min(s.ts) AS at FROM best b LEFT JOIN sec s ON s.event_type = 'auth_success' AND s.src_ip = b.entity AND s.ts >= b.ts WHERE k = 1 GROUP BY ALL)
+ SELECT f.entity, f.n, epoch_us(f.started) AS started_us, epoch_us(f.ts) AS ended_us, min(s.username) AS followed_by, coalesce(epoch_us(f.at), -1) AS followed_us FROM f LEFT JOIN sec s ON s.event_type = 'auth_success' AND s.src_ip = f.entity AND s.ts = f.at GROUP BY ALL""")
+def m04f(spark: SparkSession, sf: str) -> DataFrame:
+    """The best window of every source, and the login that followed it, from a stream of four batches with late events."""
+    found = jobs.run_to_table(jobs.followed_windows(arrivals(spark, sf, LATE, 4), BRUTE, "3 days"), "followed")
+    return jobs.latest(found).select("entity", F.col("value").alias("n"), "started_us", "ended_us", "followed_by", F.coalesce("followed_us", F.lit(-1)).alias("followed_us"))
+
+
+def custody(spark: SparkSession, sf: str) -> Custody:
+    """The events in five micro-batches: three, then two more after the stream has ended and begun again."""
+    path, files = f"{shared_dir(spark)}/custody-{uuid.uuid4().hex}", 3
+    raw = spark.read.parquet(f"{sf}/events.parquet")
+    chain = Custody(spark, path, "event_id", F.col("message"))
+    for parts in ((0, 1, 2), (3, 4)):
+        for k in parts:
+            raw.filter(F.col("event_id") % 5 == k).repartition(files).write.parquet(f"{path}/arrived/part={k}")
+        stream = jobs.files_stream(spark, f"{path}/arrived/*", raw.schema, files)
+        jobs.run_each(stream, "custody", lambda batch, number, _: Custody(spark, path, "event_id", F.col("message")).link(batch, number), path)
+    return chain
+
+
+CUSTODY = f"""WITH o AS (SELECT event_id % 5 AS job, sha256(message) AS h, row_number() OVER (PARTITION BY event_id % 5 ORDER BY event_id) - 1 AS n FROM sec), k AS (SELECT job, n // {reports.CHUNK} AS chunk, count(*) AS events, sha256(string_agg(h, '' ORDER BY n)) AS h FROM o GROUP BY ALL),
+ d AS (SELECT job, CAST(sum(events) AS BIGINT) AS events, sha256(string_agg(h, '' ORDER BY chunk)) AS digest FROM k GROUP BY job), p AS (SELECT *, coalesce(lag(digest) OVER (ORDER BY job), repeat('0', 64)) AS prev_hash FROM d)"""
+
+
+@query("m09_chain_over_restart", CUSTODY + " SELECT job, events, digest, prev_hash, sha256(concat(prev_hash, digest)) AS chain_hash FROM p")
+def m09(spark: SparkSession, sf: str) -> DataFrame:
+    return custody(spark, sf).links()
+
+
+@query("m09_changed_batch", "SELECT event_id % 5 AS job, CASE event_id % 5 WHEN 1 THEN 'changed' ELSE 'relinked' END AS fault FROM sec WHERE event_id % 5 IN (1, 2) GROUP BY ALL")
+def m09_changed(spark: SparkSession, sf: str) -> DataFrame:
+    """One message of the second batch is altered after the stream has gone on."""
+    chain = custody(spark, sf)
+    rows = chain.rows().filter("batch = 1").drop("batch")
+    first = rows.agg(F.min("event_id").alias("_first"))
+    altered = rows.crossJoin(F.broadcast(first)).withColumn("message", F.when(F.col("event_id") == F.col("_first"), "altered").otherwise(F.col("message"))).drop("_first")
+    staged(altered, "altered").write.mode("overwrite").parquet(f"{chain.path}/rows/batch=1")
+    return chain.faults()
