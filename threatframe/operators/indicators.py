@@ -12,7 +12,8 @@ from threatframe.functions.keyed import KeyedTable
 from threatframe.functions.staging import staged
 
 #: A run of the characters that addresses and names consist of, with a following character that makes it code, not a name.
-CHUNK = "[A-Za-z0-9_@./-]+[=(']?"
+#: Letters and digits of any script belong to a run, which is then judged whole: the end of a foreign word is no name.
+CHUNK = r"[\p{L}\p{M}\p{N}_@./-]+[=(']?"
 #: What stands beside an IPv4 address in such a run.
 BESIDE = "[@/=('-]"
 HEX_RUN = "[0-9a-fA-F]{32,}"
@@ -136,6 +137,16 @@ def is_private_ipv6(groups: Column) -> Column:
     return special | own | rest
 
 
+MAPPED = "00000000000000000000ffff"
+
+
+def ip_key(value: Column) -> Column:
+    """An IPv4 or IPv6 address as 32 hexadecimal digits, which order as the addresses do; IPv4 stands where IPv6 maps it."""
+    digits = lambda n, of: F.lpad(F.lower(F.hex(n.cast("long"))), of, "0")
+    six = ipv6_groups(value)
+    return F.coalesce(F.concat(F.lit(MAPPED), digits(ip_number(value), 8)), F.when(six.isNotNull(), F.array_join(F.transform(six, lambda g: digits(g, 4)), "")))
+
+
 def _when(test: Column, found: Column) -> Column:
     """found where the cheap test holds, else nothing."""
     return F.when(test, found).otherwise(F.array().cast("array<string>"))

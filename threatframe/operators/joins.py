@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threatframe.operators.indicators import iocs, ip_number
+from threatframe.operators.indicators import MAPPED, iocs, ip_key
 
 #: Address ranges as (first, last, country, kind), not overlapping.
 RANGES = [
@@ -50,17 +50,42 @@ def feed_table(spark: SparkSession, feed: Iterable = FEED) -> DataFrame:
     return spark.createDataFrame(list(feed), "value string, threat_type string, confidence double")
 
 
+def _blocks(key: Column) -> Column:
+    """Where an address is looked for: the first half of an IPv4 address; the first 16 and the first 32 bits of an IPv6 one."""
+    six = F.array(F.concat(F.lit("w"), F.substring(key, 1, 4)), F.concat(F.lit("n"), F.substring(key, 1, 8)))
+    return F.when(key.startswith(MAPPED), F.array(F.concat(F.lit("4"), F.substring(key, 25, 4)))).otherwise(six)
+
+
+def _range_blocks(lo: Column, hi: Column) -> Column:
+    """The blocks of a range: at most 65,536 of an IPv4 range. A wide IPv6 range has 32-bit blocks only at its two ends and
+    16-bit blocks between them, so it has at most three times as many."""
+    number = lambda key, at, n: F.conv(F.substring(key, at, n), 16, 10).cast("long")
+    named = lambda numbers, name, n: F.transform(numbers, lambda x: F.concat(F.lit(name), F.lpad(F.lower(F.hex(x)), n, "0")))
+    first, last = number(lo, 1, 8), number(hi, 1, 8)
+    top, end = F.shiftright(first, 16), F.shiftright(last, 16)
+    middle = F.when(end - top > 1, named(F.sequence(top + 1, end - 1), "w", 4)).otherwise(F.array().cast("array<string>"))
+    wide = F.concat(named(F.sequence(first, F.shiftleft(top, 16) + 0xFFFF), "n", 8), middle, named(F.sequence(F.shiftleft(end, 16), last), "n", 8))
+    four = named(F.sequence(number(lo, 25, 4), number(hi, 25, 4)), "4", 4)
+    return F.when(lo.startswith(MAPPED) & hi.startswith(MAPPED), four).when(end > top, wide).otherwise(named(F.sequence(first, last), "n", 8))
+
+
 def geo_lookup(events: DataFrame, ranges: DataFrame, column: str) -> DataFrame:
-    """Adds country and kind of an address; kind is `public` outside all ranges.
+    """Adds country and kind of an IPv4 or IPv6 address; kind is `public` outside all ranges. One row for every event.
+
+    ranges: lo, hi, country and kind; bounds are keys as `ip_key` makes them, or numbers of IPv4 addresses. Of several ranges
+    that hold an address the innermost counts: the one that starts last, of these the one that ends first (ties: by text).
 
-    Ranges are cut at /16 borders, so that the lookup is an equi-join on the first two octets; only different
-    addresses take part, and the answer goes back to the events by address.
+    Ranges are cut into blocks, so that the lookup is an equi-join; only different addresses take part, and the answer goes
+    back to the events by address.
     """
-    blocks = ranges.withColumn("_block", F.explode(F.sequence(F.shiftright("lo", 16), F.shiftright("hi", 16))))
-    ips = events.select(F.col(column).alias("_ip")).distinct().withColumn("_n", ip_number(F.col("_ip")))
-    hit = ips.withColumn("_block", F.shiftright("_n", 16)).join(blocks, "_block").filter(F.col("_n").between(F.col("lo"), F.col("hi")))
-    known = ips.filter("_n IS NOT NULL").join(hit.select("_ip", "country", "kind"), "_ip", "left")
-    known = known.select("_ip", "country", F.coalesce("kind", F.lit("public")).alias("kind"))
+    if ranges.schema["lo"].dataType.typeName() != "string":
+        ranges = ranges.withColumns({c: F.concat(F.lit(MAPPED), F.lpad(F.lower(F.hex(c)), 8, "0")) for c in ("lo", "hi")})
+    cut = ranges.filter("lo <= hi").select("lo", "hi", "country", "kind", F.explode(F.array_distinct(_range_blocks(F.col("lo"), F.col("hi")))).alias("_block"))
+    ips = events.select(F.col(column).alias("_ip")).distinct().withColumn("_key", ip_key(F.col("_ip"))).filter("_key IS NOT NULL")
+    hit = ips.withColumn("_block", F.explode(_blocks(F.col("_key")))).join(cut, "_block").filter(F.col("_key").between(F.col("lo"), F.col("hi")))
+    inner = F.max(F.struct("lo", F.translate("hi", "0123456789abcdef", "fedcba9876543210").alias("end"), "country", "kind")).alias("_r")
+    known = ips.select("_ip").join(hit.groupBy("_ip").agg(inner), "_ip", "left")
+    known = known.select("_ip", F.col("_r.country").alias("country"), F.coalesce("_r.kind", F.lit("public")).alias("kind"))
     return events.join(known, events[column] == known["_ip"], "left").drop("_ip")
 
 

@@ -204,13 +204,37 @@ CONTROLS = [
 ]
 
 
+METRICS = ("event_count", "auth_failures", "deny_events", "timed_events", "risk_surface", "pii_count", "web_attacks", "detection_count", "incident_count", "port_scans", "untriaged_incidents")
+
+
+def compliance_metrics(events: DataFrame, detections: DataFrame, incidents: DataFrame, statuses: DataFrame | None = None) -> DataFrame:
+    """(metric, value), one row for each of METRICS.
+
+    events: with pii_detected (types of personal data found) and threat_type; web_attacks are events whose threat type names a
+    web attack, risk_surface the sources with a risk of 60 or more. port_scans are incidents of that category. untriaged are
+    incidents whose status is NEW; statuses (cluster, status), the latest of each, override the incidents' own.
+    """
+    n = lambda when: F.count_if(F.coalesce(when, F.lit(False)))
+    has = lambda c, what: F.replace(F.lower(c), F.lit("_"), F.lit(" ")).contains(what)
+    one = events.agg(
+        F.count(F.lit(1)).alias("event_count"), n(F.col("event_type") == "auth_failure").alias("auth_failures"), n(F.col("status") == "deny").alias("deny_events"), F.count("ts").alias("timed_events"),
+        F.count_distinct(F.when(F.col("risk") >= 60, F.col("src_ip"))).alias("risk_surface"), n(F.size("pii_detected") > 0).alias("pii_count"), n(has("threat_type", "web attack")).alias("web_attacks"),
+    )
+    if statuses is not None:
+        incidents = incidents.join(statuses.select("cluster", F.col("status").alias("_latest")), "cluster", "left").withColumn("status", F.coalesce("_latest", "status"))
+    cases = incidents.agg(F.count(F.lit(1)).alias("incident_count"), n(has("category", "port scan")).alias("port_scans"), n(F.col("status") == "NEW").alias("untriaged_incidents"))
+    found = detections.agg(F.count(F.lit(1)).alias("detection_count"))
+    long = lambda df: df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in df.columns))).alias("m")).select("m.*")
+    return long(one).unionByName(long(cases)).unionByName(long(found))
+
+
 def audit(metrics: DataFrame, controls: Iterable | DataFrame = CONTROLS) -> DataFrame:
-    """Controls (rows as in CONTROLS, or a table) against (metric, value) rows: PASS, or by severity FAIL (high) or WARN. A
-    missing metric counts 0."""
+    """Controls (rows as in CONTROLS, or a table) against (metric, value) rows: PASS, or by severity FAIL (high) or WARN; UNKNOWN,
+    with a null value, where nobody has computed the metric."""
     table = controls if isinstance(controls, DataFrame) else metrics.sparkSession.createDataFrame(list(controls), "framework string, control string, severity string, metric string, operator string, bound long")
-    v = F.coalesce("value", F.lit(0))
+    v = F.col("value")
     ok = F.when(F.col("operator") == "le", v <= F.col("bound")).when(F.col("operator") == "ge", v >= F.col("bound")).when(F.col("operator") == "gt", v > F.col("bound")).otherwise(v == F.col("bound"))
-    return table.join(metrics, "metric", "left").withColumn("value", v).withColumn("result", F.when(ok, "PASS").when(F.col("severity") == "high", "FAIL").otherwise("WARN"))
+    return table.join(metrics, "metric", "left").withColumn("result", F.when(v.isNull(), "UNKNOWN").when(ok, "PASS").when(F.col("severity") == "high", "FAIL").otherwise("WARN"))
 
 
 CHUNK = 4096  #: hashes that make one digest, on every level of a batch's tree

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from threatframe.functions.staging import shared_dir
 from threatframe.operators import indicators, joins, reports
 from threatframe.queries import query
-from threatframe.queries.reports import METRICS, metrics
+from threatframe.queries.compliance import METRICS, metrics
 from threatframe.queries.text import documents
 from threatframe.sinks import writers
 from threatframe.sources import formats, readers, reference
@@ -141,13 +141,13 @@ def k10(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
-@query("n04_control_as_data", METRICS + ", c(control, metric, op, bound) AS (VALUES ('A', 'auth_failures', 'gt', 10), ('B', 'deny_events', 'eq', -1), ('C', 'unknown_metric', 'le', 0)) SELECT control, coalesce(value, 0) AS value, CASE WHEN (op = 'gt' AND coalesce(value, 0) > bound) OR (op = 'eq' AND coalesce(value, 0) = bound) OR (op = 'le' AND coalesce(value, 0) <= bound) THEN 'PASS' WHEN control = 'B' THEN 'FAIL' ELSE 'WARN' END AS result FROM c LEFT JOIN m USING (metric)")
+@query("n04_control_as_data", METRICS + ", c(control, metric, op, bound) AS (VALUES ('A', 'auth_failures', 'gt', 10), ('B', 'deny_events', 'eq', -1), ('C', 'unknown_metric', 'le', 0)) SELECT control, coalesce(value, -1) AS value, CASE WHEN value IS NULL THEN 'UNKNOWN' WHEN (op = 'gt' AND value > bound) OR (op = 'eq' AND value = bound) THEN 'PASS' WHEN control = 'B' THEN 'FAIL' ELSE 'WARN' END AS result FROM c LEFT JOIN m USING (metric)")
 def n04(spark: SparkSession, sf: str) -> DataFrame:
     """A user's own controls from a file."""
     path = _path(spark, "controls")
     rows = [("Own", "A", "LOW", "auth_failures", "gt", "10"), ("Own", "B", "High", "deny_events", "eq", "-1"), ("Own", "C", "low", "unknown_metric", "le", "0"), ("Own", "D", "low", "event_count", "about", "5")]
     spark.createDataFrame(rows, "framework string, control string, severity string, metric string, operator string, bound string").write.option("header", True).csv(path)
-    return reports.audit(metrics(spark, sf), reference.load_controls(spark, path)).select("control", "value", "result")
+    return reports.audit(metrics(spark, sf), reference.load_controls(spark, path)).select("control", F.coalesce("value", F.lit(-1)).alias("value"), "result")
 
 
 @query("n05_policy_as_data", r"SELECT doc_id, regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[EMAIL]', 'g') AS text FROM documents", sec=False)

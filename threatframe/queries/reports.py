@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threatframe.functions.staging import shared_dir
 from threatframe.operators import joins, reports, search
 from threatframe.queries import query
+from threatframe.sources import reference
 from threatframe.sources.security import COLUMNS, security_events, severity_rank
 
 DAY = "date_trunc('day', ts)"
@@ -134,40 +138,6 @@ def e19(spark: SparkSession, sf: str) -> DataFrame:
     return reports.coverage(security_events(spark, sf), ["message", "severity", "src_ip", "status", "username"])
 
 
-METRICS = """WITH m AS (SELECT 'event_count' AS metric, count(*) AS value FROM sec UNION ALL SELECT 'auth_failures', count(*) FROM sec WHERE event_type = 'auth_failure' UNION ALL SELECT 'deny_events', count(*) FROM sec WHERE status = 'deny'
- UNION ALL SELECT 'timed_events', count(ts) FROM sec UNION ALL SELECT 'risk_surface', count(DISTINCT CASE WHEN risk >= 60 THEN src_ip END) FROM sec)"""
-
-
-def metrics(spark: SparkSession, sf: str) -> DataFrame:
-    one = security_events(spark, sf).agg(
-        F.count(F.lit(1)).alias("event_count"), F.count_if(F.col("event_type") == "auth_failure").alias("auth_failures"), F.count_if(F.col("status") == "deny").alias("deny_events"),
-        F.count("ts").alias("timed_events"), F.count_distinct(F.when(F.col("risk") >= 60, F.col("src_ip"))).alias("risk_surface"),
-    )
-    return one.select(F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in one.columns))).alias("m")).select("m.*")
-
-
-@query("e20_compliance_metrics", METRICS + " SELECT * FROM m")
-def e20(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics(spark, sf)
-
-
-_CONTROLS = ", ".join(str(c) for c in reports.CONTROLS)
-AUDIT = METRICS + f""", c(framework, control, severity, metric, operator, bound) AS (VALUES {_CONTROLS}), r AS (SELECT c.*, coalesce(m.value, 0) AS value FROM c LEFT JOIN m USING (metric)),
- a AS (SELECT *, CASE WHEN (operator = 'le' AND value <= bound) OR (operator = 'ge' AND value >= bound) THEN 'PASS' WHEN severity = 'high' THEN 'FAIL' ELSE 'WARN' END AS result FROM r)"""
-
-
-@query("e21_compliance_audit", AUDIT + " SELECT framework, control, value, result FROM a")
-def e21(spark: SparkSession, sf: str) -> DataFrame:
-    return reports.audit(metrics(spark, sf)).select("framework", "control", "value", "result")
-
-
-@query("e22_compliance_report", AUDIT + " SELECT framework, round(100.0 * count(*) FILTER (result = 'PASS') / count(*), 1) AS score, string_agg(concat('[', result, '] ', control, ' = ', CAST(value AS STRING)), '\n' ORDER BY control) AS body FROM a GROUP BY framework")
-def e22(spark: SparkSession, sf: str) -> DataFrame:
-    line = F.struct("control", F.concat(F.lit("["), "result", F.lit("] "), "control", F.lit(" = "), F.col("value").cast("string")).alias("l"))
-    g = reports.audit(metrics(spark, sf)).groupBy("framework").agg(F.round(100.0 * F.count_if(F.col("result") == "PASS") / F.count(F.lit(1)), 1).alias("score"), F.array_sort(F.collect_list(line)).alias("ls"))
-    return g.select("framework", "score", F.array_join(F.transform("ls", lambda x: x.l), "\n").alias("body"))
-
-
 @query("e24_health_facts", f"""WITH f AS (SELECT 'failed' AS fact, '' AS key, count(*) AS value FROM sec WHERE status = 'failure' UNION ALL SELECT 'severity', severity, count(*) FROM sec GROUP BY severity
  UNION ALL SELECT 'first_us', '', min(epoch_us(ts)) FROM sec UNION ALL SELECT 'last_us', '', max(epoch_us(ts)) FROM sec
  UNION ALL (SELECT 'message', message, count(*) AS n FROM sec GROUP BY message ORDER BY n DESC, message LIMIT 5)) SELECT * FROM f""")
@@ -233,6 +203,24 @@ def d01(spark: SparkSession, sf: str) -> DataFrame:
     return joins.geo_lookup(security_events(spark, sf), joins.range_table(spark), "src_ip").select("event_id", "src_ip", "country", "kind")
 
 
+#: Ranges that nest and overlap, of both families; an address takes the innermost.
+NESTED = [("10.0.0.0", "10.255.255.255", "A", "private"), ("10.1.0.0", "10.1.255.255", "B", "private"), ("10.1.0.0", "10.1.0.63", "C", "lab"), ("10.1.0.40", "10.2.0.20", "D", "lab"), ("8.0.0.0", "8.255.255.255", "E", "public"),
+          ("2001:db8::", "2001:dbf:ffff:ffff:ffff:ffff:ffff:ffff", "F", "six"), ("2001:db8:0:2::", "2001:db8:0:2:ffff:ffff:ffff:ffff", "G", "six"), ("2000::", "3fff:ffff:ffff:ffff:ffff:ffff:ffff:ffff", "H", "public")]
+#: An address of the events as IPv6: the network from its first octets, the host from its last.
+SIX = "concat(CASE WHEN src_ip LIKE '8.%' THEN '2a00:1::' ELSE concat('2001:db8:0:', split_part(src_ip, '.', 2), '::') END, split_part(src_ip, '.', 4))"
+
+
+@query("d01_nested_ranges", f"""WITH n AS (SELECT event_id, src_ip, {NUMBER} AS x, CAST(split_part(src_ip, '.', 2) AS INT) AS net FROM sec)
+ SELECT event_id, src_ip AS address, CASE WHEN starts_with(src_ip, '8.') THEN 'E' WHEN x BETWEEN 167837736 AND 167903252 THEN 'D' WHEN x BETWEEN 167837696 AND 167837759 THEN 'C' WHEN x BETWEEN 167837696 AND 167903231 THEN 'B' ELSE 'A' END AS country FROM n
+ UNION ALL SELECT event_id, {SIX}, CASE WHEN starts_with(src_ip, '8.') THEN 'H' WHEN split_part(src_ip, '.', 2) = '2' THEN 'G' ELSE 'F' END FROM sec""")
+def d01_nested(spark: SparkSession, sf: str) -> DataFrame:
+    """Both forms of every source address in a file of ranges that overlap: one row for each event and form."""
+    path = f"{shared_dir(spark)}/ranges-{uuid.uuid4().hex}"
+    spark.createDataFrame(NESTED, "first string, last string, country string, kind string").write.option("header", True).csv(path)
+    e = security_events(spark, sf).select("event_id", F.explode(F.array(F.col("src_ip"), F.expr(SIX))).alias("address"))
+    return joins.geo_lookup(e, reference.load_ranges(spark, path), "address").select("event_id", "address", "country")
+
+
 @query("e18_geo_summary", GEO + " SELECT coalesce(country, '-') AS country, kind, count(*) AS events, count(DISTINCT src_ip) AS sources FROM g GROUP BY ALL")
 def e18(spark: SparkSession, sf: str) -> DataFrame:
     g = joins.geo_lookup(security_events(spark, sf), joins.range_table(spark), "src_ip")

@@ -34,7 +34,7 @@ _V4 = r"(regexp_full_match({0}, '(0|[1-9][0-9]{{0,2}})(\.(0|[1-9][0-9]{{0,2}})){
 _NAME = r"(length({0}) <= 253 AND regexp_full_match({0}, '([a-z0-9]([a-z0-9-]{{0,61}}[a-z0-9])?\.)+[a-z]{{2,24}}') AND split_part({0}, '.', -1) NOT IN ({1}))"
 _NAME = _NAME.replace("{1}", ", ".join(f"'{e}'" for e in indicators.FILE_ENDINGS))
 _OWN = r"(starts_with({0}, '10.') OR starts_with({0}, '192.168.') OR regexp_matches({0}, '^172\.(1[6-9]|2[0-9]|3[01])\.') OR starts_with({0}, '127.') OR starts_with({0}, '169.254.') OR starts_with({0}, '0.') OR starts_with({0}, '192.0.2.') OR regexp_matches({0}, '^192\.0\.0\.[0-7]$') OR regexp_matches({0}, '^198\.1[89]\.') OR starts_with({0}, '198.51.100.') OR starts_with({0}, '203.0.113.') OR TRY_CAST(split_part({0}, '.', 1) AS INT) >= 240)"
-_RUNS = r"regexp_extract_all({0}, '[A-Za-z0-9_@./-]+[=(\x27]?')"
+_RUNS = r"regexp_extract_all({0}, '[\p{{L}}\p{{M}}\p{{N}}_@./-]+[=(\x27]?')"
 _PLAIN = _RUNS.format(r"""regexp_replace(text, '(?i)(^|[^A-Za-z0-9_])(?:v|version)\s*"?(?:[0-9]{1,3}\.){3}[0-9]{1,3}', '\1 ', 'g')""")
 _TEXT = _RUNS.format(r"regexp_replace(text, '(?is)<script\b.*?</script>', ' ', 'g')")
 _HOST = r"lower(regexp_extract(url, '(?i)^https?://(?:[^/@]*@)?(\[[^\]]*\]|[^/:?#\[]+)', 1))"

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threatframe.operators.alerts import AlertRule, parse_alert_rules
-from threatframe.operators.indicators import ip_number, policy_of
+from threatframe.operators.indicators import MAPPED, ip_key, policy_of
 from threatframe.operators.rules import Rule, parse_rules
 
 RULE = "rule_id string, name string, category string, severity string, match map<string,string>, statuses array<string>, event_types array<string>, regex string, group_by array<string>, metric string, distinct_field string, threshold int, window string, then_success boolean"
@@ -39,9 +39,11 @@ def load_feed(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_ranges(spark: SparkSession, path: str) -> DataFrame:
-    """lo, hi, country, kind from CSV with first, last, country and kind; bounds are dotted quads."""
+    """lo, hi, country, kind from CSV with first, last, country and kind; bounds are IPv4 or IPv6 addresses of one family, and
+    become keys (`ip_key`). Ranges may overlap and nest. A line whose bounds cannot be read is left out."""
     df = spark.read.option("header", True).csv(path)
-    return df.select(ip_number(F.trim("first")).alias("lo"), ip_number(F.trim("last")).alias("hi"), "country", "kind").filter("lo <= hi")
+    keys = df.select(ip_key(F.trim("first")).alias("lo"), ip_key(F.trim("last")).alias("hi"), "country", "kind").filter("lo <= hi")
+    return keys.filter(F.col("lo").startswith(MAPPED) == F.col("hi").startswith(MAPPED))
 
 
 def load_controls(spark: SparkSession, path: str) -> DataFrame:
