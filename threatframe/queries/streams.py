@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from threatframe.functions.keyed import KeyedTable
 from threatframe.functions.staging import shared_dir, staged
 from threatframe.operators import alerts, indicators, joins, reports
+from threatframe.operators.postings import TokenIndex
 from threatframe.queries import case_sql, query
 from threatframe.queries.detection import _BEST, BRUTE, BRUTE_WIN, DAYS
 from threatframe.queries.reports import BASE, windows
@@ -120,3 +121,21 @@ def m09_changed(spark: SparkSession, sf: str) -> DataFrame:
     altered = rows.crossJoin(F.broadcast(first)).withColumn("message", F.when(F.col("event_id") == F.col("_first"), "altered").otherwise(F.col("message"))).drop("_first")
     staged(altered, "altered").write.mode("overwrite").parquet(f"{chain.path}/rows/batch=1")
     return chain.faults()
+
+
+def index(spark: SparkSession, sf: str) -> TokenIndex:
+    """The messages, indexed in two batches."""
+    e, out = security_events(spark, sf), TokenIndex(spark, f"{shared_dir(spark)}/postings-{uuid.uuid4().hex}")
+    for number in (0, 1):
+        out.add(number, e.filter(F.col("event_id") % 2 == number), "event_id", F.col("message"))
+    return out
+
+
+@query("j02_token_search", "SELECT event_id FROM sec WHERE regexp_matches(lower(message), '(^|[^a-z0-9])from user14([^a-z0-9]|$)')")
+def j02(spark: SparkSession, sf: str) -> DataFrame:
+    return index(spark, sf).phrase("From User14", 1).select(F.col("key").alias("event_id"))
+
+
+@query("j02_any_token", "SELECT event_id, (regexp_matches(message, '(^|[^a-z0-9])user14([^a-z0-9]|$)')::INT + regexp_matches(message, '(^|[^a-z0-9])error([^a-z0-9]|$)')::INT)::BIGINT AS words FROM sec WHERE words > 0")
+def j02_any(spark: SparkSession, sf: str) -> DataFrame:
+    return index(spark, sf).any_of("error user14", 1).select(F.col("key").alias("event_id"), "words")
