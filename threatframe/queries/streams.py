@@ -13,10 +13,13 @@ from threatframe.operators import alerts, indicators, joins, reports
 from threatframe.operators.postings import TokenIndex
 from threatframe.queries import case_sql, query
 from threatframe.queries.detection import _BEST, BRUTE, BRUTE_WIN, DAYS
+from threatframe.queries.ingest import REFERENCE, rendered
 from threatframe.queries.reports import BASE, windows
+from threatframe.sources import reference
 from threatframe.sources.security import security_events
 from threatframe.streaming import jobs
 from threatframe.streaming.custody import Custody
+from threatframe.streaming.enrich import Ingest
 from threatframe.streaming.refresh import Refresh
 
 
@@ -139,3 +142,31 @@ def j02(spark: SparkSession, sf: str) -> DataFrame:
 @query("j02_any_token", "SELECT event_id, (regexp_matches(message, '(^|[^a-z0-9])user14([^a-z0-9]|$)')::INT + regexp_matches(message, '(^|[^a-z0-9])error([^a-z0-9]|$)')::INT)::BIGINT AS words FROM sec WHERE words > 0")
 def j02_any(spark: SparkSession, sf: str) -> DataFrame:
     return index(spark, sf).any_of("error user14", 1).select(F.col("key").alias("event_id"), "words")
+
+
+#: The feed as it is at first, and from the third batch on.
+FEEDS = (joins.FEED, [("8.8.8.20", "scanner", 0.95), ("10.1.0.37", "credential_attack", 0.5)])
+_HIT = "CASE WHEN event_id % 3 = 2 THEN CASE src_ip WHEN '8.8.8.20' THEN 0.95 WHEN '10.1.0.37' THEN 0.5 END ELSE coalesce(CASE src_ip WHEN '8.8.8.10' THEN 0.85 WHEN '8.8.8.50' THEN 0.97 WHEN '10.1.0.37' THEN 0.92 END, CASE WHEN event_type = 'firewall_event' AND dst_ip = '192.168.0.7' THEN 0.6 END) END"
+
+
+@query("m01_stream_enrich", f"""SELECT event_id, event_type, src_ip, CASE WHEN starts_with(src_ip, '8.') THEN 'US' ELSE 'PR' END AS country, CASE WHEN event_type = 'firewall_event' THEN 'private' END AS target,
+ CASE WHEN event_type IN ('firewall_event', 'dns_query') THEN 2 ELSE 1 END AS iocs, CASE WHEN {_HIT} >= 0.9 THEN 'malicious' WHEN {_HIT} IS NOT NULL THEN 'suspicious' END AS verdict FROM sec""")
+def m01(spark: SparkSession, sf: str) -> DataFrame:
+    """Raw lines in three micro-batches, parsed and enriched; the feed's file is another one before the third."""
+    path = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
+    raw = rendered(spark, sf)
+    for k in range(3):
+        raw.filter(F.col("event_id") % 3 == k).repartition(4).write.parquet(f"{path}/arrived/part={k}")
+    stream = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 4).parquet(f"{path}/arrived/*")
+    put = lambda rows: spark.createDataFrame(rows, "value string, threat_type string, confidence double").coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/feed")
+    ingest = Ingest(f"{path}/events", lambda: joins.range_table(spark), lambda: reference.load_feed(spark, f"{path}/feed"), F.lit(REFERENCE).cast("timestamp"))
+    put(FEEDS[0])
+
+    def each(batch: DataFrame, number: int, _: str) -> None:
+        if number == 2:
+            put(FEEDS[1])
+        ingest.apply(batch, number)
+
+    jobs.run_each(stream, "ingest", each)
+    out = spark.read.parquet(f"{path}/events")
+    return out.select("event_id", "event_type", "src_ip", F.col("geo_src.country").alias("country"), F.col("geo_dst.kind").alias("target"), F.size("iocs").alias("iocs"), "verdict")

@@ -50,8 +50,8 @@ def read_xml(spark: SparkSession, path: str, row_tag: str) -> DataFrame:
     return flattened(spark.read.format("xml").option("rowTag", row_tag).option("attributePrefix", "@").load(path))
 
 
-def read_windows_events(spark: SparkSession, path: str) -> DataFrame:
-    """Event XML as win_event_id, severity, hostname, ts_raw, username, src_ip and the map of all data values.
+def read_windows_events(spark: SparkSession, path: str | list[str], with_file: bool = False) -> DataFrame:
+    """Event XML as win_event_id, severity, hostname, ts_raw, username, src_ip and the map of all data values (and the file).
 
     Events may stand in a document or one after another without a root; a file is split at their ends.
     """
@@ -59,23 +59,23 @@ def read_windows_events(spark: SparkSession, path: str) -> DataFrame:
         "System STRUCT<EventID: STRING, Level: STRING, Computer: STRING, TimeCreated: STRUCT<`_SystemTime`: STRING>>, "
         "EventData STRUCT<Data: ARRAY<STRUCT<`_Name`: STRING, `_VALUE`: STRING>>>"
     )
-    parts = spark.read.option("lineSep", "</Event>").text(path).select(F.regexp_extract("value", r"(?s)<Event[\s>].*$", 0).alias("x")).filter("x <> ''")
-    df = parts.select(F.from_xml(F.concat("x", F.lit("</Event>")), schema).alias("e")).select("e.*")
+    parts = spark.read.option("lineSep", "</Event>").text(path).select(F.col("_metadata.file_path").alias("file"), F.regexp_extract("value", r"(?s)<Event[\s>].*$", 0).alias("x")).filter("x <> ''")
+    df = parts.select("file", F.from_xml(F.concat("x", F.lit("</Event>")), schema).alias("e")).select("file", "e.*")
     data = F.map_from_entries(F.filter(F.transform("EventData.Data", lambda d: F.struct(d["_Name"], d["_VALUE"])), lambda e: e["_Name"].isNotNull()))
     level = F.element_at(F.create_map(*(F.lit(x) for x in ("1", "CRITICAL", "2", "HIGH", "3", "MEDIUM", "4", "LOW"))), F.col("System.Level"))
     user = F.coalesce(data["TargetUserName"], data["SubjectUserName"])
     return df.select(
         F.lit("windows_event").alias("event_type"), F.col("System.EventID").try_cast("int").alias("win_event_id"), F.coalesce(level, F.lit("LOW")).alias("severity"), F.col("System.Computer").alias("hostname"),
-        F.col("System.TimeCreated._SystemTime").alias("ts_raw"), user.alias("username"), F.nullif(data["IpAddress"], F.lit("-")).alias("src_ip"), data.alias("mappings"),
+        F.col("System.TimeCreated._SystemTime").alias("ts_raw"), user.alias("username"), F.nullif(data["IpAddress"], F.lit("-")).alias("src_ip"), data.alias("mappings"), *(["file"] if with_file else []),
     )
 
 
-def read_windows_text(spark: SparkSession, path: str, newline: str = "\n") -> DataFrame:
+def read_windows_text(spark: SparkSession, path: str | list[str], newline: str = "\n", with_file: bool = False) -> DataFrame:
     """Classic text exports: blocks of `Name: value` lines between blank lines, as a map. A file is split at its blank
     lines, so a large one is read by many tasks."""
-    blocks = spark.read.option("lineSep", newline * 2).text(path).select(F.regexp_replace("value", "\r", "").alias("block")).filter(F.trim("block") != "")
+    blocks = spark.read.option("lineSep", newline * 2).text(path).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "\r", "").alias("block")).filter(F.trim("block") != "")
     pair = F.lit(r"(?m)^\s*([A-Za-z ]+?):[ \t]*(.*)$")
     keys, values = F.transform(F.regexp_extract_all("block", pair, 1), F.lower), F.regexp_extract_all("block", pair, 2)
     entries = F.arrays_zip(keys.alias("k"), values.alias("v"))
     m = F.map_from_entries(F.filter(entries, lambda e, i: F.array_position(keys, e.k) == i + 1))
-    return blocks.select(F.lit("windows_event").alias("event_type"), m["event id"].try_cast("int").alias("win_event_id"), m["computer"].alias("hostname"), m["account name"].alias("username"), m["source network address"].alias("src_ip"), m.alias("mappings"))
+    return blocks.select(F.lit("windows_event").alias("event_type"), m["event id"].try_cast("int").alias("win_event_id"), m["computer"].alias("hostname"), m["account name"].alias("username"), m["source network address"].alias("src_ip"), m.alias("mappings"), *(["file"] if with_file else []))
