@@ -54,5 +54,5 @@ def test_queries_equal_their_sql(spark, sf):
         con.execute(f"CREATE VIEW {os.path.basename(path)[:-8]} AS SELECT * FROM '{path}'")
     for name, sql in queries.oracle_sql().items():
         got, want = queries.queries()[name](spark, sf).toPandas(), con.sql(sql).df()
-        plain = lambda df: sorted(map(tuple, df[sorted(df.columns)].astype(str).values.tolist()))
+        plain = lambda df: sorted(map(tuple, df[sorted(df.columns)].astype(str).replace({"<NA>": "None", "nan": "None"}).values.tolist()))
         assert sorted(got.columns) == sorted(want.columns) and plain(got) == plain(want), name

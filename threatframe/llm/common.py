@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -87,6 +88,24 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             at += n
 
 
+def release() -> None:
+    """Give back what a Python worker holds but no longer uses: word-hash tables, Arrow's pool, the C heap's free pages."""
+    _powers.clear()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A map over batches whose worker, which later stages use again, keeps none of its memory."""
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return mapped
+
+
 def raw_text(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string array and its row offsets; a null row is an empty range."""
     if pa.types.is_large_string(arr.type):
@@ -239,7 +258,7 @@ def _bloom(rows: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(mask.view(np.int64))], ["word", "mask"])
 
     ids = rows.select("digest", F.when(~F.col("none"), F.col("id")).alias("id"))
-    got = ids.mapInArrow(words, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    got = ids.mapInArrow(released(words), "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
     out = np.zeros(bits // 64, np.int64)
     out[np.asarray(got["word"])] = np.asarray(got["mask"])
     return out
@@ -263,7 +282,7 @@ def with_texts(wanted: DataFrame, texts: DataFrame, digest: Callable[[bytes], by
             out = pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.binary())], ["doc_id", "text", "digest"])
             yield out.filter(pa.array(hit))
 
-    found = identified(texts.mapInArrow(run, "doc_id long, text string, digest binary"), "doc_id").drop("doc_id")
+    found = identified(texts.mapInArrow(released(run), "doc_id long, text string, digest binary"), "doc_id").drop("doc_id")
     return wanted.join(found.dropDuplicates(IDENTITY), IDENTITY)
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from threatframe.llm.common import raw_text, read, slices, small_batches, staged, unnamed
+from threatframe.llm.common import raw_text, read, released, slices, small_batches, staged, unnamed
 
 SLOTS = 4  #: entries of a bucket
 MAX_KICKS = 200  #: moves after which an insertion counts as an overflow
@@ -154,14 +154,14 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def dedup_index(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows of doc_id, digest, row, part; facts of keep_id, keep_row and group_size for each digest and part)."""
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_digests, "doc_id long, digest binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(released(_digests), "doc_id long, digest binary")
     rows = rows.withColumn("row", F.monotonically_increasing_id())
     rows = staged(rows.withColumn("part", F.shiftright("row", 33)), "digests")
     # Nulls sort first in a struct, so a null doc_id is the smallest; of equal doc_ids the first row wins.
     partial = rows.groupBy("digest", "part").agg(F.max(F.struct("doc_id", (-F.col("row")).alias("r"))).alias("top"), F.count(F.lit(1)).alias("n"))
     partial = partial.select("digest", "part", F.col("top.doc_id").alias("top"), (-F.col("top.r")).alias("at"), "n")
     tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // ROWS_PER_TASK))
-    facts = partial.repartition(tasks, "digest").mapInArrow(_fold, "digest binary, part long, keep_id long, keep_row long, group_size long")
+    facts = partial.repartition(tasks, "digest").mapInArrow(released(_fold), "digest binary, part long, keep_id long, keep_row long, group_size long")
     return rows, facts
 
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from threatframe.llm.common import buckets_for, read, slices, small_batches, staged, unnamed, words_of
+from threatframe.llm.common import buckets_for, read, released, slices, small_batches, staged, unnamed, words_of
 
 WEIGHTS = (3, 1, 2)  #: of the sources in order, repeating
 SHARE = 1.5  #: words of the mix against all words
@@ -151,7 +151,7 @@ def copies(rows: DataFrame, seed: int = SEED) -> DataFrame:
         last = buckets == 1
         tasks = min(buckets, spark.sparkContext.defaultParallelism + left // 100_000)
         level = level.repartition(tasks, "_s", "bucket").sortWithinPartitions("_s", "bucket", "h", "row")
-        level = staged(level.mapInArrow(_pair_up(seed, depth, last), level.schema), "mix-level")
+        level = staged(level.mapInArrow(released(_pair_up(seed, depth, last)), level.schema), "mix-level")
         depth += 1
         whole = F.col("p").isin(0.0, 1.0)
         done.append(level.filter(whole))
@@ -177,7 +177,7 @@ def mix_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), *_hashed("text"))
-    rows = rows.mapInArrow(_sizes, "doc_id long, source string, text_hash long, size long")
+    rows = rows.mapInArrow(released(_sizes), "doc_id long, source string, text_hash long, size long")
     rows = staged(rows.withColumn("row", F.monotonically_increasing_id()), "mix-sizes")
     return copies(rows, seed).drop("row", "source")
 
@@ -191,7 +191,7 @@ def mixed(docs: DataFrame, seed: int = SEED) -> DataFrame:
     plain, names, back = unnamed(docs)
     plain = staged(plain.withColumn("row", F.monotonically_increasing_id()), "mix-docs")
     rows = plain.select("row", F.col(names["doc_id"]).cast("long").alias("doc_id"), F.col(names["source"]).cast("string").alias("source"), *_hashed(names["text"]))
-    rows = staged(rows.mapInArrow(_sizes, "row long, doc_id long, source string, text_hash long, size long"), "mix-sizes")
+    rows = staged(rows.mapInArrow(released(_sizes), "row long, doc_id long, source string, text_hash long, size long"), "mix-sizes")
     taken = copies(rows, seed).filter("copies > 0").select("row", F.sequence(F.lit(1), "copies").alias("copies"))
     return back(plain.join(taken, "row").withColumn("copy", F.explode("copies")))
 

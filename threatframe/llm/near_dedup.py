@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from threatframe.llm.common import IDENTITY, SMALL_SLICE, WORDS_SQL, Words, identified, joined, mix, range_hash, raw_text, read, run_sql, slices, small_batches, staged, unnamed, with_texts
+from threatframe.llm.common import IDENTITY, SMALL_SLICE, WORDS_SQL, identified, joined, mix, range_hash, raw_text, read, released, run_sql, slices, small_batches, staged, unnamed, with_texts, Words
 from threatframe.llm.components import components
 
 SHINGLE = 5
@@ -218,7 +218,7 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     left = sets.select(F.col("node").alias("centre"), F.col("shingles").alias("sa"))
     right = sets.select("node", F.col("shingles").alias("sb"))
     both = pairs.join(left, "centre").join(right, "node").select("centre", "node", "sa", "sb")
-    return staged(both.mapInArrow(_similarities, COMPARED), "compared")
+    return staged(both.mapInArrow(released(_similarities), COMPARED), "compared")
 
 
 def _can_link(threshold: float):
@@ -270,7 +270,7 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, weighted: bool =
     """
     small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = staged(texts.mapInArrow(_signed(weighted), "doc_id long, digest binary, keys array<long>"), "signed")
+    rows = staged(texts.mapInArrow(released(_signed(weighted)), "doc_id long, digest binary, keys array<long>"), "signed")
     classes = rows.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("keys").alias("keys"))
     classes = staged(classes.withColumn("node", F.monotonically_increasing_id()), "texts")
     banded = classes.select("node", F.explode("keys").alias("key"))
@@ -279,7 +279,7 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, weighted: bool =
     # The shingle sets of all members, from one text of each class.
     wanted = identified(classes.join(members.select("node").distinct(), "node"), "rep").select("node", *IDENTITY)
     found = with_texts(staged(wanted, "wanted"), texts, _digest).select("node", "text")
-    sets = staged(found.mapInArrow(_sets(weighted), "node long, shingles array<long>"), "sets")
+    sets = staged(found.mapInArrow(released(_sets(weighted)), "node long, shingles array<long>"), "sets")
 
     enough = F.col("sim") >= threshold - 1e-9
     compared = _compared(members.filter("node <> centre").select("centre", "node").distinct(), sets)
@@ -336,7 +336,7 @@ def keep_near(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     heads = identified(facts.select(F.col("keep_digest").alias("digest"), "keep_id").distinct(), "keep_id").select(*IDENTITY)
     plain = plain.withColumn(names["text"], F.col(names["text"]).cast("string"))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema)
-    full = identified(plain.mapInArrow(_digested(names["text"]), f"{schema}, digest binary"), names["doc_id"]).join(heads, IDENTITY)
+    full = identified(plain.mapInArrow(released(_digested(names["text"])), f"{schema}, digest binary"), names["doc_id"]).join(heads, IDENTITY)
     first = F.row_number().over(Window.partitionBy(*IDENTITY).orderBy(*IDENTITY))
     return back(full.withColumn("nth", first).filter("nth = 1"))
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threatframe.llm.common import SMALL_SLICE, buckets_for, per_text, ranked, read, slices, small_batches, staged, words_of
+from threatframe.llm.common import SMALL_SLICE, buckets_for, per_text, ranked, read, released, slices, small_batches, staged, words_of
 
 CAPACITY = 4096
 END = 1  #: the id that closes a document
@@ -184,7 +184,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in range(len(names))), pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())], [*names, "sequence_id", "offset"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return ranks.select(*names, "rank").mapInArrow(place, f"{schema}, sequence_id long, offset long")
+    return ranks.select(*names, "rank").mapInArrow(released(place), f"{schema}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -193,7 +193,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     A null or empty text is the end token alone; repeated rows are packed each for itself; no rows give no rows.
     """
     small_batches(docs.sparkSession)
-    pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_pieces(tokenizer_path), PIECES)
+    pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(released(_pieces(tokenizer_path)), PIECES)
     return pack_pieces(staged(pieces, "pieces"))
 
 

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threatframe.llm.common import SPACE, WORDS_SQL, Words, mix, per_text, raw_text, read, run_sql, slices, small_batches
+from threatframe.llm.common import SPACE, WORDS_SQL, mix, per_text, raw_text, read, released, run_sql, slices, small_batches, Words
 
 MIN_WORDS = 10
 WINDOW = 5
@@ -132,7 +132,7 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_long_repeat_words, longest_repeat,
     base_failed, kept: one row per document (null texts have no words and fail; repeated rows are judged alike)."""
     small_batches(docs.sparkSession)
-    facts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_text_facts, "doc_id long, " + ", ".join(f"{c} long" for c in FACTS))
+    facts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(released(_text_facts), "doc_id long, " + ", ".join(f"{c} long" for c in FACTS))
     return verdicts(facts)
 
 
@@ -153,7 +153,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
     rows give no rows.
     """
     small_batches(docs.sparkSession)
-    return docs.mapInArrow(_judged, docs.schema)
+    return docs.mapInArrow(released(_judged), docs.schema)
 
 
 def op3_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
