@@ -12,7 +12,7 @@ from threatframe.functions.staging import shared_dir
 from threatframe.operators import indicators, joins, reports
 from threatframe.queries import query
 from threatframe.queries.compliance import METRICS, metrics
-from threatframe.queries.text import documents
+from threatframe.queries.text import _without_mails, documents
 from threatframe.sinks import writers
 from threatframe.sources import formats, readers, reference
 from threatframe.sources.security import security_events
@@ -150,7 +150,7 @@ def n04(spark: SparkSession, sf: str) -> DataFrame:
     return reports.audit(metrics(spark, sf), reference.load_controls(spark, path)).select("control", F.coalesce("value", F.lit(-1)).alias("value"), "result")
 
 
-@query("n05_policy_as_data", r"SELECT doc_id, regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[EMAIL]', 'g') AS text FROM documents", sec=False)
+@query("n05_policy_as_data", _without_mails("[EMAIL]"), sec=False)
 def n05(spark: SparkSession, sf: str) -> DataFrame:
     """A user's policy over the default one."""
     hits = F.filter(indicators.personal(F.col("text")), lambda h: h.type == "EMAIL")

@@ -72,7 +72,9 @@ def c03(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/pages.parquet").select("page_id", F.array_contains(flags, "xss_pattern").alias("xss"))
 
 
-_MAIL = r"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')) AS value FROM documents)"""
+#: Mail addresses of documents: runs with one @ whose domain is a name.
+_MAIL = rf"""WITH r AS (SELECT DISTINCT doc_id, trim(unnest(string_split_regex(text, '[^\p{{L}}\p{{M}}\p{{N}}._%+@-]+')), '.-%+') AS value FROM documents), t AS (SELECT doc_id, value FROM r
+ WHERE len(string_split(value, '@')) = 2 AND split_part(value, '@', 1) <> '' AND regexp_full_match(value, '[ -~]+') AND {_NAME.format("lower(split_part(value, '@', 2))")})"""
 
 
 @query("c04_detect_email", _MAIL + " SELECT DISTINCT doc_id, value FROM t", sec=False)
@@ -81,22 +83,22 @@ def c04(spark: SparkSession, sf: str) -> DataFrame:
     return hits.filter("h.type = 'EMAIL'").select("doc_id", "h.value")
 
 
-def _after(name: str, words: str, gap: str, value: str, sure: float) -> str:
-    pattern = rf"(?i)\b(?:{words})\b{gap}({value})".replace("'", "''")
-    return f"SELECT doc_id, '{name}' AS type, unnest(regexp_extract_all(text, '{pattern}', 1)) AS value, CAST({sure} AS DOUBLE) AS confidence FROM documents"
+#: Words in order, with labels parted from their values; a value follows a label of one word or of two.
+_LABELS = "{'password': 'PASSWORD', 'passwd': 'PASSWORD', 'pwd': 'PASSWORD', 'apikey': 'API_KEY', 'clientsecret': 'API_KEY', 'secretkey': 'API_KEY', 'token': 'TOKEN', 'bearer': 'TOKEN', 'authorization': 'TOKEN', 'sessionid': 'SESSION_ID', 'account': 'ACCOUNT_NUMBER', 'accountnumber': 'ACCOUNT_NUMBER', 'iban': 'IBAN'}"
+_NAMED = rf"""WITH w AS (SELECT doc_id, list_filter(string_split_regex(regexp_replace(text, '(?i)(password|passwd|pwd|apikey|key|secret|token|bearer|authorization|sessionid|id|account|number|iban)["'']?\s*[:=#]+', '\1 ', 'g'), '[\s"'',;]+'), lambda x: x <> '') AS ws FROM documents),
+ p AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS i, ws FROM w), b AS (SELECT doc_id, i, ws, lower(translate(ws[i], '_-', '')) AS one, lower(translate(concat(ws[i], ws[i + 1]), '_-', '')) AS two FROM p),
+ l AS (SELECT doc_id, MAP {_LABELS}[one] AS type, ws[i + 1] AS value FROM b UNION ALL SELECT doc_id, MAP {_LABELS}[two], ws[i + 2] FROM b),
+ k AS (SELECT doc_id, unnest(string_split_regex(text, '[^\p{{L}}\p{{N}}_-]+')) AS value FROM documents)
+ SELECT DISTINCT doc_id, CASE type WHEN 'IBAN' THEN 'ACCOUNT_NUMBER' ELSE type END AS type, value, CAST(CASE type WHEN 'PASSWORD' THEN 0.97 WHEN 'API_KEY' THEN 0.95 WHEN 'TOKEN' THEN 0.93 WHEN 'SESSION_ID' THEN 0.93 ELSE 0.9 END AS DOUBLE) AS confidence FROM l
+ WHERE (type = 'PASSWORD' AND length(value) >= 4) OR (type = 'API_KEY' AND length(value) >= 8) OR (type = 'TOKEN' AND regexp_full_match(value, '[A-Za-z0-9._-]{{16,}}')) OR (type = 'SESSION_ID' AND regexp_full_match(value, '[A-Za-z0-9-]{{8,}}'))
+  OR (type = 'ACCOUNT_NUMBER' AND regexp_full_match(value, '[0-9]{{6,17}}')) OR (type = 'IBAN' AND regexp_full_match(value, '[A-Za-z]{{2}}[A-Za-z0-9]{{13,32}}'))
+ UNION SELECT doc_id, 'API_KEY', value, 0.95 FROM k WHERE (starts_with(value, 'AKIA') AND length(value) = 20 AND upper(value) = value) OR (starts_with(value, 'sk-') AND length(value) >= 23)
+ UNION SELECT doc_id, 'EMPLOYEE_ID', value, 0.95 FROM k WHERE starts_with(lower(value), 'emp') AND regexp_full_match(substr(value, 4), '-?[0-9]{{4,8}}')"""
 
 
-_KEYS = r"""(?i)\b(AKIA[0-9A-Z]{16}\b|sk-[A-Za-z0-9_-]{20,}\b|(?:api[_-]?key|client[_-]?secret|secret[_-]?key)\b["'':=\s]+[^\s"'',;]{8,})"""
-_NAMED = " UNION ALL ".join(_after(*n) for n in indicators.NAMED) + rf"""
- UNION ALL SELECT doc_id, 'API_KEY', unnest(regexp_extract_all(text, '{_KEYS}', 1)), CAST(0.95 AS DOUBLE) FROM documents
- UNION ALL SELECT doc_id, 'EMPLOYEE_ID', unnest(regexp_extract_all(text, '(?i)\bEMP-?[0-9]{{4,8}}\b', 0)), CAST(0.95 AS DOUBLE) FROM documents
- UNION ALL SELECT doc_id, 'ACCOUNT_NUMBER', unnest(regexp_extract_all(text, '(?i)\baccount(?:[_ -]?number|[#\s])*[:=]?\s*([0-9]{{6,17}})\b', 1)), CAST(0.9 AS DOUBLE) FROM documents
- UNION ALL SELECT doc_id, 'ACCOUNT_NUMBER', unnest(regexp_extract_all(text, '(?i)\b(IBAN\s+[A-Z]{{2}}[0-9A-Z]{{13,32}})', 1)), CAST(0.9 AS DOUBLE) FROM documents"""
-
-
-@query("c04_detect_named", f"SELECT DISTINCT doc_id, type, trim(value) AS value, confidence FROM ({_NAMED}) WHERE length(trim(value)) >= 3", sec=False)
+@query("c04_detect_named", _NAMED, sec=False)
 def c04c(spark: SparkSession, sf: str) -> DataFrame:
-    """Secrets and numbers that a word before them names."""
+    """Secrets and numbers that a label before them, or their own prefix, tells."""
     hits = documents(spark, sf).select("doc_id", F.explode(indicators.personal(F.col("text"))).alias("h")).select("doc_id", "h.*")
     return hits.filter("type NOT IN ('EMAIL', 'PHONE', 'NAME')")
 
@@ -106,7 +108,12 @@ def c04b(spark: SparkSession, sf: str) -> DataFrame:
     return documents(spark, sf).select("doc_id", F.explode(indicators.personal(F.col("text"))).alias("h")).select("doc_id", "h.*")  # held against brute force in the tests
 
 
-@query("c05_redact_email", r"SELECT doc_id, regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[EMAIL_REDACTED]', 'g') AS text FROM documents", sec=False)
+def _without_mails(mark: str) -> str:
+    return _MAIL + f""", m AS (SELECT doc_id, list(value ORDER BY length(value) DESC, value) AS ms FROM t GROUP BY doc_id)
+ SELECT doc_id, list_reduce(list_prepend(text, coalesce(ms, [])), lambda x, y: replace(x, y, '{mark}')) AS text FROM documents LEFT JOIN m USING (doc_id)"""
+
+
+@query("c05_redact_email", _without_mails("[EMAIL_REDACTED]"), sec=False)
 def c05(spark: SparkSession, sf: str) -> DataFrame:
     hits = F.filter(indicators.personal(F.col("text")), lambda h: h.type == "EMAIL")
     return documents(spark, sf).select("doc_id", indicators.redacted(F.col("text"), None, hits).alias("text"))
@@ -181,7 +188,8 @@ def e27(spark: SparkSession, sf: str) -> DataFrame:
     from threatframe.operators import quality
 
     d = documents(spark, sf)
-    labels = d.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(f"(?<![A-Za-z0-9_])({indicators.SHAPED[0][1]})(?![A-Za-z0-9_])"), 1))).alias("value"))
+    words = F.transform(F.split("text", r"[\s#*&|<>$%]+"), lambda w: F.btrim(w, F.lit(".,;:!?()")))
+    labels = d.select("doc_id", F.explode(F.array_distinct(F.filter(words, lambda w: w.contains("@")))).alias("value"))
     clean = d.select("doc_id", indicators.redacted(F.col("text")).alias("text"))
     return quality.redaction(clean, labels, "doc_id", "text")
 
