@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from threatframe import queries as registry
-from threatframe.queries import cases, compliance, detection, files, folders, ingest, reports, streams, text  # noqa: F401  (they register their queries)
+from threatframe.queries import cases, compliance, detection, files, folders, ingest, overview, reports, sinks, streams, text  # noqa: F401  (they register their queries)
 
 
 def queries() -> dict:
