@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threatframe.operators import indicators, reports
+from threatframe.sources.security import severity_rank
 
 
 def enriched(events: DataFrame) -> DataFrame:
@@ -72,3 +73,44 @@ def reputations(feed: DataFrame, seen: DataFrame, most: int = 20) -> DataFrame:
     verdict = F.when(F.col("confidence") >= 0.9, "malicious").when(F.col("confidence") >= 0.7, "suspicious").otherwise("informational")
     n = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return j.select(F.coalesce("f.value", "_own").alias("value"), verdict.alias("verdict"), "f.threat_type", "confidence", n("related_events"), n("jobs"), "first_seen", "last_seen", F.slice("_all", 1, most).alias("sightings"))
+
+
+def asset_cases(assets: DataFrame, entries: DataFrame) -> DataFrame:
+    """Assets with what they were part of: sources (different addresses that an event about them came from), detections and
+    incidents (different ones among the entries that name them as source, target or host; upper and lower case alike)."""
+    names = F.array_distinct(F.transform(F.array("src_ip", "dst_ip", "hostname"), lambda n: F.lower(F.trim(n))))
+    rows = entries.select("cluster", "rule_id", F.array_join("entity", ":").alias("entity"), "src_ip", F.explode(names).alias("_name")).filter("_name <> ''")
+    g = rows.groupBy("_name").agg(F.count_distinct("src_ip").alias("sources"), F.count_distinct("rule_id", "entity").alias("detections"), F.count_distinct("cluster").alias("incidents"))
+    out = assets.withColumn("_name", F.lower("name")).join(g, "_name", "left").drop("_name")
+    return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("sources", "detections", "incidents")})
+
+
+def response_edges(events: DataFrame) -> DataFrame:
+    """(kind, source, target, weight, severity) of web requests by the class of their response: web, web_error for 400 to 499,
+    web_fault from 500 on. A request without a status code is plain web."""
+    code = F.col("status").try_cast("int")
+    kind = F.when(code >= 500, "web_fault").when(code >= 400, "web_error").otherwise("web")
+    g = events.filter("event_type = 'http_request' AND src_ip IS NOT NULL").groupBy(kind.alias("kind"), F.col("src_ip").alias("source"), F.col("hostname").alias("target"))
+    return g.agg(F.count(F.lit(1)).alias("weight"), F.max_by("severity", severity_rank(F.col("severity"))).alias("severity"))
+
+
+def typed_nodes(edges: DataFrame, risk: DataFrame, found: DataFrame, most: int = 400) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges between them): the `most` riskiest end points (ties by name) with type, risk, whether a detection names
+    them, and the rules that do. type: ip, user or host, by the end of the edge at which a node stands (the first of these)."""
+    user = F.col("kind") == "login"
+    ends = edges.select(F.col("source").alias("node"), F.lit(0).alias("rank")).union(edges.select("target", F.when(F.col("kind") == "traffic", 0).when(user, 1).otherwise(2)))
+    kinds = ends.groupBy("node").agg(F.min("rank").alias("rank"))
+    top = risk.groupBy(F.col("src_ip").alias("node")).agg(F.max("risk").alias("risk"))
+    named = found.select("rule_id", F.explode("entity").alias("node")).groupBy("node").agg(F.array_sort(F.collect_set("rule_id")).alias("rules"))
+    nodes = kinds.join(top, "node", "left").withColumn("risk", F.coalesce("risk", F.lit(0))).orderBy(F.desc("risk"), "node").limit(most)
+    nodes = nodes.join(named, "node", "left").select("node", F.element_at(F.array(*map(F.lit, ("ip", "user", "host"))), F.col("rank") + 1).alias("type"), "risk", F.col("rules").isNotNull().alias("flagged"), F.coalesce("rules", F.array().cast("array<string>")).alias("rules"))
+    inside = edges.join(nodes.select(F.col("node").alias("source")), "source", "left_semi").join(nodes.select(F.col("node").alias("target")), "target", "left_semi")
+    return nodes, inside
+
+
+def parse_coverage(parsed: DataFrame, file: str = "file") -> DataFrame:
+    """(file, lines, named, fallback, formats): of parsed lines, the percent that a format named, the percent left generic, and
+    how many different formats occur; file is null for all files together."""
+    fallback = F.col("format") == "generic"
+    g = parsed.rollup(file).agg(F.count(F.lit(1)).alias("lines"), F.round(100 * F.avg((~fallback).cast("int")), 2).alias("named"), F.round(100 * F.avg(fallback.cast("int")), 2).alias("fallback"), F.count_distinct("format").alias("formats"))
+    return g.withColumnRenamed(file, "file")

@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threatframe.functions.staging import staged
-from threatframe.operators import correlate, joins, overview
+from threatframe.operators import correlate, joins, overview, reports
 from threatframe.queries import case_sql, query
-from threatframe.queries.detection import cases
-from threatframe.queries.ingest import told
-from threatframe.queries.reports import day_us
+from threatframe.queries.detection import _all_best, cases, detections
+from threatframe.queries.ingest import rendered, told
+from threatframe.queries.reports import ASSETS, EDGES, RANK, day_us
+from threatframe.sources import formats
+from threatframe.sources.security import security_events
 
 #: Messages end in the source's address where the risk is 60 or more, and in a mail address elsewhere. typed: threat types.
 TOLD = "WITH i AS (SELECT *, src_ip AS value, epoch_us(date_trunc('day', ts)) AS job FROM sec WHERE risk >= 60)"
@@ -65,3 +67,37 @@ def d15(spark: SparkSession, sf: str) -> DataFrame:
     newest = F.array_join(F.transform("sightings", lambda s: F.concat_ws(":", s.job.cast("string"), s.occurrences.cast("string"))), " ")
     us = lambda c: F.coalesce(F.unix_micros(c), F.lit(-1))
     return out.select("value", "verdict", "threat_type", "related_events", "jobs", us("first_seen").alias("first_us"), us("last_seen").alias("last_us"), F.coalesce(newest, F.lit("")).alias("newest"))
+
+
+@query("e14_asset_cases", case_sql.CASES + ", " + ASSETS.removeprefix("WITH ") + """, x AS (SELECT cluster, rule_id, det, src_ip, unnest(list_distinct([src_ip, dst_ip, hostname])) AS name FROM ent)
+ SELECT a.name, a.asset_type, a.events, count(DISTINCT x.src_ip) AS sources, count(DISTINCT x.rule_id || '|' || x.det) AS detections, count(DISTINCT x.cluster) AS incidents FROM a LEFT JOIN x ON lower(x.name) = lower(a.name) GROUP BY ALL""")
+def e14(spark: SparkSession, sf: str) -> DataFrame:
+    out = overview.asset_cases(reports.assets(security_events(spark, sf)), cases(spark, sf)[1])
+    return out.select("name", "asset_type", "events", "sources", "detections", "incidents")
+
+
+_STATUS = "CASE WHEN risk >= 90 THEN '503' WHEN risk >= 60 THEN '404' ELSE '200' END"
+
+
+@query("e16_web_response_edges", f"SELECT CASE WHEN risk >= 90 THEN 'web_fault' WHEN risk >= 60 THEN 'web_error' ELSE 'web' END AS kind, src_ip AS source, hostname AS target, count(*) AS weight, ['LOW', 'MEDIUM', 'HIGH', 'CRITICAL'][max({RANK}) + 1] AS severity FROM sec WHERE event_type = 'http_request' GROUP BY ALL")
+def e16(spark: SparkSession, sf: str) -> DataFrame:
+    return overview.response_edges(security_events(spark, sf).withColumn("status", F.expr(_STATUS)))
+
+
+@query("e17_typed_nodes", _all_best() + ", " + EDGES.removeprefix("WITH ") + """, n AS (SELECT node, min(r) AS r FROM (SELECT source AS node, 0 AS r FROM e UNION ALL SELECT target, CASE kind WHEN 'traffic' THEN 0 WHEN 'login' THEN 1 ELSE 2 END FROM e) GROUP BY node), k AS (SELECT src_ip AS node, max(risk) AS risk FROM sec GROUP BY src_ip),
+ t AS (SELECT node, r, coalesce(risk, 0) AS risk FROM n LEFT JOIN k USING (node) ORDER BY risk DESC, node LIMIT 230), d AS (SELECT p AS node, string_agg(DISTINCT rule_id, ',' ORDER BY rule_id) AS rules FROM (SELECT rule_id, unnest(string_split(entity, ':')) AS p FROM det) GROUP BY p)
+ SELECT 'node' AS part, node AS name, ['ip', 'user', 'host'][r + 1] AS type, CAST(risk AS BIGINT) AS n, coalesce(rules, '') AS detail FROM t LEFT JOIN d USING (node)
+ UNION ALL SELECT 'edge', concat(source, '>', target), kind, weight, '' FROM e WHERE source IN (SELECT node FROM t) AND target IN (SELECT node FROM t)""")
+def e17(spark: SparkSession, sf: str) -> DataFrame:
+    e = security_events(spark, sf)
+    nodes, edges = overview.typed_nodes(staged(reports.graph_edges(e), "edges"), e, detections(spark, sf), 230)
+    nodes = nodes.select(F.lit("node").alias("part"), F.col("node").alias("name"), "type", F.col("risk").cast("long").alias("n"), F.array_join("rules", ",").alias("detail"))
+    return nodes.unionByName(edges.select(F.lit("edge").alias("part"), F.concat_ws(">", "source", "target").alias("name"), F.col("kind").alias("type"), F.col("weight").alias("n"), F.lit("").alias("detail")))
+
+
+@query("b10_parsed_coverage", """WITH l AS (SELECT event_type AS file, CASE WHEN event_id % 7 = 0 THEN 'generic' ELSE CASE event_type WHEN 'http_request' THEN 'apache' WHEN 'dns_query' THEN 'dns' WHEN 'firewall_event' THEN 'firewall' ELSE 'syslog' END END AS format FROM sec)
+ SELECT coalesce(file, 'all') AS file, count(*) AS lines, round(100 * avg(CASE WHEN format <> 'generic' THEN 1 ELSE 0 END), 2) AS named, round(100 * avg(CASE WHEN format = 'generic' THEN 1 ELSE 0 END), 2) AS fallback, count(DISTINCT format) AS formats FROM l GROUP BY ROLLUP (file)""")
+def b10(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines through the parser, every seventh of which is noise."""
+    raw = rendered(spark, sf).withColumn("line", F.when(F.col("event_id") % 7 == 0, "some noise").otherwise(F.col("line")))
+    return overview.parse_coverage(formats.parsed(raw, "line")).withColumn("file", F.coalesce("file", F.lit("all")))
