@@ -82,14 +82,14 @@ def e10(spark: SparkSession, sf: str) -> DataFrame:
 
 
 #: Ten days a batch, but a third of the events comes one day late and a third two days late.
-LATE = F.floor((F.datediff("ts", F.lit("2024-01-01")) + F.col("event_id") % 3) / 10)
+LATE = "(datediff(ts, DATE '2024-01-01') + event_id % 3) div 10"
 
 
 @query("m04_stream_followup", BRUTE_WIN + _BEST.format(t=3) + """, f AS (SELECT b.entity, b.n, b.started, b.ts, min(s.ts) AS at FROM best b LEFT JOIN sec s ON s.event_type = 'auth_success' AND s.src_ip = b.entity AND s.ts >= b.ts WHERE k = 1 GROUP BY ALL)
  SELECT f.entity, f.n, epoch_us(f.started) AS started_us, epoch_us(f.ts) AS ended_us, min(s.username) AS followed_by, coalesce(epoch_us(f.at), -1) AS followed_us FROM f LEFT JOIN sec s ON s.event_type = 'auth_success' AND s.src_ip = f.entity AND s.ts = f.at GROUP BY ALL""")
 def m04f(spark: SparkSession, sf: str) -> DataFrame:
     """The best window of every source, and the login that followed it, from a stream of four batches with late events."""
-    found = jobs.run_to_table(jobs.followed_windows(arrivals(spark, sf, LATE, 4), BRUTE, "3 days"), "followed")
+    found = jobs.run_to_table(jobs.followed_windows(arrivals(spark, sf, F.expr(LATE), 4), BRUTE, "3 days"), "followed")
     return jobs.latest(found).select("entity", F.col("value").alias("n"), "started_us", "ended_us", "followed_by", F.coalesce("followed_us", F.lit(-1)).alias("followed_us"))
 
 

@@ -108,21 +108,27 @@ class Refresh:
         logins = staged(batch.filter("event_type = 'auth_success' AND src_ip IS NOT NULL").select("src_ip", "ts", F.coalesce("username", "src_ip").alias("username")), "logins")
         together(lambda: self.history.append(number, rows), lambda: self.logins.append(number, logins))
         touched = staged(rows.select(*PAIR, "first").distinct(), "touched")
-        past = staged(self.history.of(touched.select("first"), number).join(touched.select(*PAIR), PAIR, "left_semi"), "past")
+        # of the entities' history, what can share a window with the new events; the log's files are pruned by time
+        ends = rows.agg(F.min("ts").alias("first"), F.max("ts").alias("last")).first()
+        reach = F.expr(f"INTERVAL {2 * max(r.seconds for r in self.rules)} SECONDS")
+        recent = F.col("ts").between(F.lit(ends.first) - reach, F.lit(ends.last) + reach) if ends.first else F.lit(False)
+        near = staged(self.history.of(touched.select("first"), number).filter(recent).join(touched.select(*PAIR), PAIR, "left_semi"), "near")
         old = staged(self.hits.of(touched, number - 1), "old")
         # windows that end in an affected bucket, from the bucket before it on
         width = of_rule(self.rules, lambda r: r.seconds * 1_000_000)
         bucket = F.call_function("div", F.unix_micros("ts"), width)
         around = F.explode(F.array(*(F.struct((bucket + d).alias("span"), F.lit(d >= 0).alias("near")) for d in (-1, 0, 1))))
         spans = rows.filter("ts IS NOT NULL").select(*PAIR, around.alias("s")).groupBy(*PAIR, "s.span").agg(F.bool_or("s.near").alias("near"))
-        context = past.select(*PAIR, "ts", "field", bucket.alias("span")).join(spans, [*PAIR, "span"])
+        context = near.select(*PAIR, "ts", "field", bucket.alias("span")).join(spans, [*PAIR, "span"])
         fresh = rules.best_of(rules.counted(context, self.rules).filter("near"), self.rules)
         both = fresh.withColumn("fresh", F.lit(1)).unionByName(old.filter("ended IS NOT NULL").select(*PAIR, "value", "started", "ended").withColumn("fresh", F.lit(0)))
         best = F.max(F.struct("value", (-F.unix_micros("ended")).alias("early"), "fresh", "started", "ended")).alias("b")
         best = both.groupBy(*PAIR).agg(best).select(*PAIR, "b.value", "b.started", "b.ended", "b.fresh")
         # groups without any time stamp are judged whole
-        untimed = rows.filter("ts IS NULL").select(*PAIR).union(old.filter("ended IS NULL").select(*PAIR)).distinct()
-        whole = rules.timeless_groups(past.join(untimed, PAIR, "left_semi"), self.rules)
+        untimed = rows.filter("ts IS NULL").select(*PAIR, "first").union(old.filter("ended IS NULL").select(*PAIR, "first")).distinct()
+        apart = staged(self.history.of(untimed.select("first"), number).join(untimed.select(*PAIR), PAIR, "left_semi"), "apart")
+        whole = rules.timeless_groups(apart, self.rules)
+        past = near.unionByName(apart.filter("ts IS NULL"))
         hits = staged(best.filter("fresh = 1").drop("fresh").unionByName(whole), "hits")
         hits = staged(rules.evidence_of(hits, past, PAIR), "evident")
         follow = of_rule(self.rules, lambda r: r.then_success)
