@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from threatframe.functions.keyed import KeyedTable
 from threatframe.functions.staging import shared_dir, staged
 from threatframe.operators import alerts, indicators, joins, reports
+from threatframe.operators.model_refresh import ForestRefresh
 from threatframe.operators.postings import TokenIndex
 from threatframe.queries import case_sql, query
 from threatframe.queries.detection import _BEST, BRUTE, BRUTE_WIN, DAYS
@@ -170,3 +171,13 @@ def m01(spark: SparkSession, sf: str) -> DataFrame:
     jobs.run_each(stream, "ingest", each)
     out = spark.read.parquet(f"{path}/events")
     return out.select("event_id", "event_type", "src_ip", F.col("geo_src.country").alias("country"), F.col("geo_dst.kind").alias("target"), F.size("iocs").alias("iocs"), "verdict")
+
+
+@query("h03_model_refresh")
+def h03(spark: SparkSession, sf: str) -> DataFrame:
+    """All events, scored by the newest of three models that were fitted as the events came in; tests hold the samples against
+    one pass over the table."""
+    e, state = security_events(spark, sf), ForestRefresh(spark, f"{shared_dir(spark)}/forest-{uuid.uuid4().hex}")
+    for number in range(3):
+        state.update(number, e.filter(F.col("event_id") % 3 == number))
+    return state.model(2).score_events(e)
