@@ -20,11 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threatframe.llm.common import SMALL_SLICE, buckets_for, per_text, ranked, read, released, slices, small_batches, staged, words_of
+from threatframe.llm.common import buckets_for, per_text, ranked, read, released, slices, small_batches, staged, words_of
 
 CAPACITY = 4096
 END = 1  #: the id that closes a document
-CACHE_WORDS = 150_000  #: distinct words, and pieces of words, that a worker remembers
+CACHE_WORDS = 400_000  #: distinct words, and pieces of words, that a task remembers
+ENCODED_SLICE = 1 << 20  #: text bytes that are encoded at once: a word that a slice repeats is looked up once
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 #: A run of Latin letters and then ASCII punctuation without an apostrophe: exactly one or two pre-tokens.
@@ -88,7 +89,7 @@ class WordEncoder:
 def _pieces(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder(path)
-        for batch in slices(batches, limit=SMALL_SLICE):
+        for batch in slices(batches, limit=ENCODED_SLICE):
             ids, offs = encoder.texts(batch.column(1))
             data, rows = memoryview(ids.astype("<u4").tobytes()), []
             for k in range(batch.num_rows):
