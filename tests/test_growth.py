@@ -2,9 +2,21 @@
 
 from pyspark.sql import functions as F
 
-from threatframe.operators import indicators
+from threatframe.operators import anomaly, indicators, joins
+from threatframe.sources.security import security_events
 
 
 def test_an_address_is_worked_out_once(spark):
     plan = spark.createDataFrame([("from 10.0.0.1",)], "t string").select(indicators.iocs(F.col("t")))._jdf.queryExecution().analyzed().toString()
     assert plan.count("aggregate(") <= 8  # one for each place where numbers are made, not one for each network
+
+
+def test_vectors_do_not_shuffle_the_events(spark, sf):
+    plan = anomaly.vectors(security_events(spark, sf))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+
+
+def test_places_of_both_ends(spark):
+    events = spark.createDataFrame([(1, "8.8.8.8", "10.0.0.1"), (2, "1.1.1.1", None), (3, "x", "8.8.8.8")], "event_id long, src_ip string, dst_ip string")
+    places = {r._ip: (r.country, r.kind) for r in joins.located(joins.both_ends(events), joins.range_table(spark)).collect()}
+    assert places == {"8.8.8.8": ("US", "public"), "10.0.0.1": ("PR", "private"), "1.1.1.1": (None, "public")}

@@ -52,8 +52,9 @@ def vectors(events: DataFrame, fitted: dict[str, DataFrame] | None = None, range
         (F.size(indicators.suspicious(text)) > 0).cast("double").alias("suspicious"),
     )
     known = staged(feed.select(F.col("value").alias("_v")).distinct().withColumn("_hit", F.lit(1.0)), "feed")  # its size is known to the planner
+    places = joins.located(joins.both_ends(events), ranges)
     for c in ("src_ip", "dst_ip"):
-        out = joins.geo_lookup(out, ranges, c).withColumn(f"geo_{c[:3]}_kind", kind(F.col("kind"))).drop("country", "kind")
+        out = joins.geo_lookup(out, ranges, c, places).withColumn(f"geo_{c[:3]}_kind", kind(F.col("kind"))).drop("country", "kind")
         out = out.join(known, out[c] == known["_v"], "left").withColumn(f"_hit_{c}", F.coalesce("_hit", F.lit(0.0))).drop("_v", "_hit")
     out = out.withColumn("intel_match", F.greatest("_hit_src_ip", "_hit_dst_ip"))
     for c, table in (fitted or fitted_codes(events)).items():

@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threatframe.functions.staging import staged
 from threatframe.operators.indicators import MAPPED, iocs, ip_key
 
 #: Address ranges as (first, last, country, kind), not overlapping.
@@ -69,24 +70,36 @@ def _range_blocks(lo: Column, hi: Column) -> Column:
     return F.when(lo.startswith(MAPPED) & hi.startswith(MAPPED), four).when(end > top, wide).otherwise(named(F.sequence(first, last), "n", 8))
 
 
-def geo_lookup(events: DataFrame, ranges: DataFrame, column: str) -> DataFrame:
-    """Adds country and kind of an IPv4 or IPv6 address; kind is `public` outside all ranges. One row for every event.
+def located(addresses: DataFrame, ranges: DataFrame) -> DataFrame:
+    """(_ip, country, kind) of the different IPv4 and IPv6 addresses in a table's only column; kind is `public` outside all ranges.
 
     ranges: lo, hi, country and kind; bounds are keys as `ip_key` makes them, or numbers of IPv4 addresses. Of several ranges
     that hold an address the innermost counts: the one that starts last, of these the one that ends first (ties: by text).
 
-    Ranges are cut into blocks, so that the lookup is an equi-join; only different addresses take part, and the answer goes
-    back to the events by address.
+    Ranges are cut into blocks, so that the lookup is an equi-join. The addresses are read once; the answers are written, so
+    that the planner knows their size and sends few of them to the events instead of shuffling the events to them.
     """
     if ranges.schema["lo"].dataType.typeName() != "string":
         ranges = ranges.withColumns({c: F.concat(F.lit(MAPPED), F.lpad(F.lower(F.hex(c)), 8, "0")) for c in ("lo", "hi")})
     cut = ranges.filter("lo <= hi").select("lo", "hi", "country", "kind", F.explode(F.array_distinct(_range_blocks(F.col("lo"), F.col("hi")))).alias("_block"))
-    ips = events.select(F.col(column).alias("_ip")).distinct().withColumn("_key", ip_key(F.col("_ip"))).filter("_key IS NOT NULL")
+    ips = staged(addresses.toDF("_ip").distinct(), "addresses").withColumn("_key", ip_key(F.col("_ip"))).filter("_key IS NOT NULL")
     hit = ips.withColumn("_block", F.explode(_blocks(F.col("_key")))).join(cut, "_block").filter(F.col("_key").between(F.col("lo"), F.col("hi")))
     inner = F.max(F.struct("lo", F.translate("hi", "0123456789abcdef", "fedcba9876543210").alias("end"), "country", "kind")).alias("_r")
     known = ips.select("_ip").join(hit.groupBy("_ip").agg(inner), "_ip", "left")
-    known = known.select("_ip", F.col("_r.country").alias("country"), F.coalesce("_r.kind", F.lit("public")).alias("kind"))
-    return events.join(known, events[column] == known["_ip"], "left").drop("_ip")
+    return staged(known.select("_ip", F.col("_r.country").alias("country"), F.coalesce("_r.kind", F.lit("public")).alias("kind")), "located")
+
+
+def geo_lookup(events: DataFrame, ranges: DataFrame, column: str, known: DataFrame | None = None) -> DataFrame:
+    """Adds country and kind of an IPv4 or IPv6 address, as `located` finds them; known: its answers, where they are at hand
+    already. One row for every event."""
+    known = located(events.select(column), ranges) if known is None else known
+    known = known.select(F.col("_ip").alias("_at"), "country", "kind")
+    return events.join(known, events[column] == F.col("_at"), "left").drop("_at")
+
+
+def both_ends(events: DataFrame) -> DataFrame:
+    """The source and target addresses of events, as one column."""
+    return events.select(F.explode(F.array("src_ip", "dst_ip")).alias("_ip"))
 
 
 def intel_match(events: DataFrame, feed: DataFrame, candidates: list[str], key: str) -> DataFrame:
