@@ -2,10 +2,17 @@
 
 from pyspark.sql import functions as F
 
+from threatframe.functions.staging import ROWS, spread
 from threatframe.operators import anomaly, indicators, joins
 from threatframe.sources.security import security_events
 
 
+def test_no_task_gets_more_rows_than_the_bound(spark):
+    rows = spark.range(0, 9 * ROWS // 2, 1, 4)
+    sizes = [r["count"] for r in spread(rows).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 9 * ROWS // 2 and max(sizes) <= ROWS
+
+
 def test_an_address_is_worked_out_once(spark):
     plan = spark.createDataFrame([("from 10.0.0.1",)], "t string").select(indicators.iocs(F.col("t")))._jdf.queryExecution().analyzed().toString()
     assert plan.count("aggregate(") <= 8  # one for each place where numbers are made, not one for each network
