@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threatframe.functions.staging import staged, temporary
+from threatframe.functions.staging import spread, staged, temporary
 from threatframe.operators import indicators, joins, normalize
 from threatframe.sources import formats
 
@@ -15,12 +15,13 @@ from threatframe.sources import formats
 def enriched(lines: DataFrame, ranges: DataFrame, feed: DataFrame, reference: Column, line: str = "line") -> DataFrame:
     """Events of lines: parsed and normalized, with iocs, pii_detected (types), geo_src and geo_dst (country, kind), and the
     first of source and target that the feed knows (matched, threat_type, verdict, risk). One row per line."""
-    events = normalize.normalize(formats.parsed(lines, line), reference, line)
+    events = normalize.normalize(formats.parsed(spread(lines), line), reference, line)
     text = F.col(line)
     events = events.withColumns({"iocs": indicators.iocs(text), "pii_detected": F.array_sort(F.array_distinct(F.transform(indicators.personal(text), lambda h: h.type))), "risk": F.lit(0)})
     events = staged(events, "normalized")  # three joins go out from it, which must not parse again
+    places = joins.located(joins.both_ends(events), ranges)
     for c, name in (("src_ip", "geo_src"), ("dst_ip", "geo_dst")):
-        events = joins.geo_lookup(events, ranges, c).withColumn(name, F.struct("country", "kind")).drop("country", "kind")
+        events = joins.geo_lookup(events, ranges, c, places).withColumn(name, F.struct("country", "kind")).drop("country", "kind")
     return joins.intel_match(events, feed, ["src_ip", "dst_ip"], "dedup_event_id")
 
 
