@@ -55,7 +55,7 @@ class KeyedTable:
             if only is None or bucket in only:
                 wanted.setdefault(change, []).append(bucket)
         if not wanted:
-            return self.spark.createDataFrame([], self.schema)
+            return self.spark.range(0).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema))
         found = self.spark.read.schema(_with(self.schema, "change long, bucket int")).parquet(f"{self.path}/data")
         these = reduce(lambda a, b: a | b, ((F.col("change") == c) & F.col("bucket").isin(bs) for c, bs in wanted.items()))
         return found.filter(these).select(*self.schema.names)
@@ -103,8 +103,14 @@ class KeyedLog:
         out = rows.select(*self.schema.names).withColumn("bucket", _bucket(self.by, self.buckets)).hint("rebalance", "bucket")
         out.write.partitionBy("bucket").mode("overwrite").parquet(f"{self.path}/batch={number}")
 
+    def _files(self) -> DataFrame:
+        return self.spark.read.schema(_with(self.schema, "batch long, bucket int")).parquet(self.path)
+
+    def batch(self, number: int) -> DataFrame:
+        """The rows of one batch."""
+        return self._files().filter(F.col("batch") == number).select(*self.schema.names)
+
     def of(self, keys: DataFrame, at: int) -> DataFrame:
         """The rows of keys, of batches up to `at`; other buckets are not read."""
-        found = self.spark.read.schema(_with(self.schema, "batch long, bucket int")).parquet(self.path)
-        found = found.filter((F.col("batch") <= at) & F.col("bucket").isin(_numbers(keys, self.by, self.buckets))).select(*self.schema.names)
+        found = self._files().filter((F.col("batch") <= at) & F.col("bucket").isin(_numbers(keys, self.by, self.buckets))).select(*self.schema.names)
         return found.join(keys.select(*self.by).distinct(), list(self.by), "left_semi")

@@ -74,10 +74,18 @@ def found_indicators(events: DataFrame, feed: DataFrame) -> DataFrame:
 def indicator_facts(events: DataFrame) -> DataFrame:
     """(value, type, threat, related_events, first_seen, last_seen, sure): what events say of each indicator, by their own
     threat type ('' for none); sure is the sum of confidences (decimal, so that any order of adding gives the same). Facts of different events add up."""
-    text = F.concat_ws(" ", "src_ip", "dst_ip", "message")
+    rows = indicators.indicator_table(different_texts(events), "text")
+    sure = F.sum(F.col("confidence").cast("decimal(10,6)") * F.col("related_events")).cast("decimal(28,6)").alias("sure")
+    return rows.groupBy("value", "type", "threat").agg(F.sum("related_events").alias("related_events"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), sure)
+
+
+def different_texts(events: DataFrame) -> DataFrame:
+    """(threat, text, related_events, first_seen, last_seen): the texts in which indicators are looked for, each once. A message
+    that cannot hold any is left empty, so most events differ by their addresses alone."""
+    message = F.when(~F.col("message").rlike(indicators.TELLING), F.lit("")).otherwise(F.col("message"))
     own = F.coalesce("threat_type", F.lit("")) if "threat_type" in events.columns else F.lit("")
-    rows = indicators.indicator_table(events.select("ts", own.alias("threat"), text.alias("text")), "text")
-    return rows.groupBy("value", "type", "threat").agg(F.count(F.lit(1)).alias("related_events"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.sum(F.col("confidence").cast("decimal(10,6)")).cast("decimal(28,6)").alias("sure"))
+    rows = events.select("ts", own.alias("threat"), F.concat_ws(" ", "src_ip", "dst_ip", message).alias("text"))
+    return rows.groupBy("threat", "text").agg(F.count(F.lit(1)).alias("related_events"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
 
 
 def merged_indicator_facts(facts: DataFrame) -> DataFrame:

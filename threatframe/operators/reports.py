@@ -133,10 +133,13 @@ def asset_facts(events: DataFrame) -> DataFrame:
     service = F.element_at(F.create_map(*(F.lit(x) for kv in SERVICES.items() for x in kv)), port)
     own = F.struct(F.coalesce(F.nullif("hostname", F.lit("")), "src_ip").alias("name"), F.lit(None).cast("string").alias("service"), F.coalesce(F.col("hostname") != "", F.lit(False)).alias("named"), F.lit(None).cast("int").alias("port"))
     target = F.when(service.isNotNull(), F.struct(F.col("dst_ip").alias("name"), service.alias("service"), F.lit(False).alias("named"), port.alias("port")))
-    rows = events.withColumn("a", F.explode(F.array_compact(F.array(own, target)))).select("a.*", "ts", "risk").filter("name IS NOT NULL AND name <> ''")
-    return rows.groupBy("name").agg(
+    rows = events.withColumn("a", F.explode(F.array(own, target))).select("a.*", "ts", "risk").filter("name IS NOT NULL AND name <> ''")
+    few = rows.groupBy("name", "service", "port").agg(  # sets are made of these rows, not of events
+        F.bool_or("named").alias("named"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.max("risk").alias("max_risk"), F.count(F.lit(1)).alias("events")
+    )
+    return few.groupBy("name").agg(
         F.array_sort(F.collect_set("service")).alias("services"), F.array_sort(F.collect_set("port")).alias("ports"), F.bool_or("named").alias("named"),
-        F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.max("risk").alias("max_risk"), F.count(F.lit(1)).alias("events"),
+        F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.max("max_risk").alias("max_risk"), F.sum("events").alias("events"),
     )
 
 

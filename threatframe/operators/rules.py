@@ -87,17 +87,21 @@ def condition(rule: Rule) -> Column:
     return reduce(lambda a, b: a & b, parts, F.lit(True))
 
 
+def _parts(rule: Rule) -> list[Column]:
+    return [F.coalesce(F.nullif(F.col(c).cast("string"), F.lit("")), F.lit("-")) for c in rule.group_by]
+
+
 def _entity(rule: Rule) -> Column:
-    return F.array(*(F.coalesce(F.nullif(F.col(c).cast("string"), F.lit("")), F.lit("-")) for c in rule.group_by))
+    return F.array(*_parts(rule))
 
 
-def _known(entity: Column) -> Column:
-    return F.exists(entity, lambda v: v != "-")
+def _known(rule: Rule) -> Column:
+    return reduce(lambda a, b: a | b, (p != "-" for p in _parts(rule)), F.lit(False))
 
 
 def grouped(events: DataFrame, rule: Rule) -> DataFrame:
     """The rule's events with `entity`: an array of key values, '-' for unknown; rows without any are dropped."""
-    return events.filter(condition(rule)).withColumn("entity", _entity(rule)).filter(_known(F.col("entity")))
+    return events.filter(condition(rule)).filter(_known(rule)).withColumn("entity", _entity(rule))
 
 
 def tagged(events: DataFrame, rules: Sequence[Rule]) -> DataFrame:
@@ -108,8 +112,8 @@ def tagged(events: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     tags = []
     for k, r in enumerate(rules):
         field = F.col(r.distinct_field or "dst_port").cast("string") if r.metric == "distinct" else F.lit(None).cast("string")
-        tags.append(F.when(condition(r) & _known(_entity(r)), F.struct(F.lit(k).alias("rule"), _entity(r).alias("entity"), field.alias("field"))))
-    rows = events.withColumn("_tag", F.explode(F.array_compact(F.array(*tags))))
+        tags.append(F.when(condition(r) & _known(r), F.struct(F.lit(k).alias("rule"), _entity(r).alias("entity"), field.alias("field"))))
+    rows = events.withColumn("_tag", F.explode(F.array(*tags))).filter("_tag IS NOT NULL")
     return rows.select("_tag.*", "event_id", "ts", "src_ip", "dst_ip", "hostname", "message")
 
 
@@ -125,6 +129,7 @@ def counted(rows: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     An event adds one at its time and takes it back when the window has passed it; a running sum over both is the
     window's count, in one pass whatever the window holds. For different values an event adds only where its value was
     not in the window, and takes back only where the value does not come again. Windows are closed at both ends.
+    Rows that `merged` made count for as many events as they stand for.
     """
     part = ["rule", "entity", "_bucket"]
     us = F.unix_micros("ts")
@@ -133,23 +138,31 @@ def counted(rows: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     rows = rows.repartition(*part)  # one exchange for the three windows
     by_time = Window.partitionBy(*part).orderBy("_us")
     rows = rows.withColumn("_next", F.lead("_us").over(by_time))
-    fresh = ends = F.lit(1)
+    fresh = ends = many = F.col("_n") if "_n" in rows.columns else F.lit(1)
     if any(r.metric == "distinct" for r in rules):
         same = Window.partitionBy(*part, "field").orderBy("_us")
         before, after = F.col("_us") - F.lag("_us").over(same), F.lead("_us").over(same) - F.col("_us")
         known, distinct = F.col("field").isNotNull(), of_rule(rules, lambda r: r.metric == "distinct")
-        fresh = F.when(~distinct, 1).when(known & (before.isNull() | (before > F.col("_w"))), 1).otherwise(0)
-        ends = F.when(~distinct, 1).when(known & (after.isNull() | (after > F.col("_w"))), 1).otherwise(0)
+        fresh = F.when(~distinct, many).when(known & (before.isNull() | (before > F.col("_w"))), 1).otherwise(0)
+        ends = F.when(~distinct, many).when(known & (after.isNull() | (after > F.col("_w"))), 1).otherwise(0)
     rows = rows.withColumns({"_fresh": fresh, "_ends": ends})
     begin = F.struct((2 * F.col("_us")).alias("at"), F.col("_fresh").alias("step"), F.lit(None).cast("long").alias("left"))
     over = F.struct((2 * (F.col("_us") + F.col("_w")) + 1).alias("at"), (-F.col("_ends")).alias("step"), F.coalesce("_next", F.lit(1 << 62)).alias("left"))
-    rows = rows.withColumn("_s", F.explode(F.array(begin, over)))
+    # no window of its own bucket, which is one length long (the one around 1970 is two), has passed an event
+    stays = (F.col("_own") == F.col("_bucket")) & (F.col("_us") >= 0)
+    rows = rows.withColumn("_s", F.explode(F.when(stays, F.array(begin)).otherwise(F.array(begin, over))))
     so_far = Window.partitionBy(*part).orderBy("_s.at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     first = F.coalesce(F.max("_s.left").over(so_far), F.min("_us").over(so_far))  # what followed the last event that has left
     rows = rows.withColumns({"value": F.sum("_s.step").over(so_far).cast("long"), "started": F.timestamp_micros(first)})
     return rows.filter("_s.left IS NULL AND _own = _bucket").drop("_us", "_w", "_own", "_bucket", "_next", "_fresh", "_ends", "_s")
 
 
+def merged(rows: DataFrame) -> DataFrame:
+    """Timed rows that are alike in all columns (rule, entity, ts, field and so on) as one, with their number `_n`: enough for
+    the best window, and no more than the time stamps of an entity, however many events share one."""
+    return rows.filter("ts IS NOT NULL").groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_n"))
+
+
 def sliding(df: DataFrame, rule: Rule) -> DataFrame:
     """The rule's timed rows with `value` (events, or different values, in the look-back window) and `started`."""
     return counted(_as_rows(df, rule), [rule]).drop("rule", "field")
@@ -157,7 +170,7 @@ def sliding(df: DataFrame, rule: Rule) -> DataFrame:
 
 def _best(rows: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """(rule, entity, value, started, ended): the best look-back window of every firing group, the earliest of equals."""
-    return best_of(counted(rows.select("rule", "entity", "ts", "field"), rules), rules)
+    return best_of(counted(merged(rows.select("rule", "entity", "ts", "field")), rules), rules)
 
 
 def best_of(rows: DataFrame, rules: Sequence[Rule]) -> DataFrame:
@@ -198,8 +211,13 @@ def inside(hits: DataFrame, rows: DataFrame, keys: Sequence[str] = ("entity",))
 
 def evidence_of(hits: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Adds what a hit's window holds: evidence, has_address and targets; see `with_evidence`."""
-    address = F.coalesce(F.col("message").rlike(DOTTED_QUAD), F.lit(False)).alias("_address")
-    both = inside(hits, rows.select(*keys, "event_id", "ts", "dst_ip", F.substring("message", 1, EXCERPT).alias("excerpt"), address), keys)
+    return evidence_in(inside(hits, rows.select(*keys, "event_id", "ts", "dst_ip", "message"), keys), keys)
+
+
+def evidence_in(both: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """`evidence_of`, of hits joined to the rows of their windows."""
+    address = F.coalesce(F.col("message").rlike(DOTTED_QUAD), F.lit(False))
+    both = both.withColumns({"excerpt": F.substring("message", 1, EXCERPT), "_address": address})
     facts = both.groupBy(*keys).agg(F.bool_or("_address").alias("has_address"), F.count_distinct("dst_ip").alias("targets"))
     nth = F.row_number().over(Window.partitionBy(*keys).orderBy("ts", "event_id"))
     first = both.withColumn("nth", nth).filter(F.col("nth") <= EVIDENCE)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threatframe.functions.keyed import KeyedTable
-from threatframe.functions.staging import shared_dir, staged
+from threatframe.functions.staging import ROWS, shared_dir, staged
 from threatframe.operators import alerts, indicators, joins, reports
 from threatframe.operators.model_refresh import ForestRefresh
 from threatframe.operators.postings import TokenIndex
@@ -42,7 +42,9 @@ def refreshed(spark: SparkSession, sf: str, batches: int) -> tuple[Refresh, int]
         state.apply(batch, number)
         last[0] = number
 
-    jobs.run_each(arrivals(spark, sf, F.col("event_id") % batches, batches), "refresh", each)  # every batch has all days and entities
+    rows = spark.read.parquet(f"{sf}/events.parquet").count()
+    files = max(4, -(-rows // (batches * ROWS)))
+    jobs.run_each(arrivals(spark, sf, F.col("event_id") % batches, batches, files), "refresh", each)  # every batch has all days and entities
     return state, last[0]
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threatframe.functions.keyed import KeyedLog, KeyedTable
-from threatframe.functions.staging import staged, temporary, together
+from threatframe.functions.staging import over_cores, staged, temporary, together
 from threatframe.operators import alerts, correlate, reports, rules, scoring
 from threatframe.operators.rules import Rule, of_rule
 
@@ -92,7 +92,7 @@ class Refresh:
     def apply(self, batch: DataFrame, number: int) -> None:
         """Take a batch of events in. A batch that is applied again after a failure gives the same tables."""
         with temporary(self.spark):
-            batch = staged(batch, "batch")
+            batch = staged(over_cores(batch), "batch")
 
             def cases() -> tuple[DataFrame, DataFrame]:
                 changed = staged(self._detect(batch, number), "changed")
@@ -103,16 +103,16 @@ class Refresh:
 
     def _detect(self, batch: DataFrame, number: int) -> DataFrame:
         """Update hits; returns (rule, entity, first, was, now) of hits that changed, was and now their edges."""
-        rows = rules.tagged(batch, self.rules).withColumn("first", F.element_at("entity", 1))
-        rows = staged(rows, "tagged")
-        logins = staged(batch.filter("event_type = 'auth_success' AND src_ip IS NOT NULL").select("src_ip", "ts", F.coalesce("username", "src_ip").alias("username")), "logins")
-        together(lambda: self.history.append(number, rows), lambda: self.logins.append(number, logins))
+        tagged = rules.tagged(batch, self.rules).withColumn("first", F.element_at("entity", 1))
+        success = batch.filter("event_type = 'auth_success' AND src_ip IS NOT NULL").select("src_ip", "ts", F.coalesce("username", "src_ip").alias("username"))
+        together(lambda: self.history.append(number, tagged), lambda: self.logins.append(number, success))
+        rows, logins = self.history.batch(number), self.logins.batch(number)
         touched = staged(rows.select(*PAIR, "first").distinct(), "touched")
         # of the entities' history, what can share a window with the new events; the log's files are pruned by time
         ends = rows.agg(F.min("ts").alias("first"), F.max("ts").alias("last")).first()
         reach = F.expr(f"INTERVAL {2 * max(r.seconds for r in self.rules)} SECONDS")
         recent = F.col("ts").between(F.lit(ends.first) - reach, F.lit(ends.last) + reach) if ends.first else F.lit(False)
-        near = staged(self.history.of(touched.select("first"), number).filter(recent).join(touched.select(*PAIR), PAIR, "left_semi"), "near")
+        near = self.history.of(touched.select("first"), number).filter(recent)
         old = staged(self.hits.of(touched, number - 1), "old")
         # windows that end in an affected bucket, from the bucket before it on
         width = of_rule(self.rules, lambda r: r.seconds * 1_000_000)
@@ -120,7 +120,7 @@ class Refresh:
         around = F.explode(F.array(*(F.struct((bucket + d).alias("span"), F.lit(d >= 0).alias("near")) for d in (-1, 0, 1))))
         spans = rows.filter("ts IS NOT NULL").select(*PAIR, around.alias("s")).groupBy(*PAIR, "s.span").agg(F.bool_or("s.near").alias("near"))
         context = near.select(*PAIR, "ts", "field", bucket.alias("span")).join(spans, [*PAIR, "span"])
-        fresh = rules.best_of(rules.counted(context, self.rules).filter("near"), self.rules)
+        fresh = rules.best_of(rules.counted(rules.merged(context), self.rules).filter("near"), self.rules)
         both = fresh.withColumn("fresh", F.lit(1)).unionByName(old.filter("ended IS NOT NULL").select(*PAIR, "value", "started", "ended").withColumn("fresh", F.lit(0)))
         best = F.max(F.struct("value", (-F.unix_micros("ended")).alias("early"), "fresh", "started", "ended")).alias("b")
         best = both.groupBy(*PAIR).agg(best).select(*PAIR, "b.value", "b.started", "b.ended", "b.fresh")
@@ -128,9 +128,11 @@ class Refresh:
         untimed = rows.filter("ts IS NULL").select(*PAIR, "first").union(old.filter("ended IS NULL").select(*PAIR, "first")).distinct()
         apart = staged(self.history.of(untimed.select("first"), number).join(untimed.select(*PAIR), PAIR, "left_semi"), "apart")
         whole = rules.timeless_groups(apart, self.rules)
-        past = near.unionByName(apart.filter("ts IS NULL"))
         hits = staged(best.filter("fresh = 1").drop("fresh").unionByName(whole), "hits")
-        hits = staged(rules.evidence_of(hits, past, PAIR), "evident")
+        past = self.history.of(hits.select(F.element_at("entity", 1).alias("first")), number).filter(recent | F.col("ts").isNull())
+        past = past.select(*PAIR, "event_id", "ts", "src_ip", "dst_ip", "hostname", "message")
+        held = staged(rules.inside(hits, past, PAIR), "held")  # of the history, only what lies in windows that changed is written
+        hits = staged(rules.evidence_in(held, PAIR), "evident")
         follow = of_rule(self.rules, lambda r: r.then_success)
         events = self.logins.of(hits.filter(follow).select(F.element_at("entity", 1).alias("src_ip")), number).withColumn("event_type", F.lit("auth_success"))
         none = {"followed_by": F.lit(None).cast("string"), "followed_at": F.lit(None).cast("timestamp")}
@@ -140,15 +142,14 @@ class Refresh:
         sources = logins.select(F.col("src_ip").alias("first")).distinct()
         stay = self.hits.of(sources, number - 1).filter(follow).join(new.select(*PAIR), PAIR, "left_anti")
         after = stay.join(logins.toDF("first", "at", "who"), "first").filter("at >= ended").groupBy(*PAIR).agg(F.min(F.struct("at", "who")).alias("f"))
-        held = F.when(F.col("followed_at").isNotNull(), F.struct(F.col("followed_at").alias("at"), F.col("followed_by").alias("who")))
-        moved = stay.join(after, PAIR).withColumn("f", F.least("f", held)).filter(~F.col("f").eqNullSafe(held))
+        known = F.when(F.col("followed_at").isNotNull(), F.struct(F.col("followed_at").alias("at"), F.col("followed_by").alias("who")))
+        moved = stay.join(after, PAIR).withColumn("f", F.least("f", known)).filter(~F.col("f").eqNullSafe(known))
         moved = moved.withColumns({"followed_by": F.col("f.who"), "followed_at": F.col("f.at")}).drop("f")
         rows_now = staged(new.unionByName(moved.select(*new.columns)), "now")
         lost = old.filter("ended IS NULL").join(rows_now.select(*PAIR), PAIR, "left_anti")
         gone = rows_now.select(*PAIR, "first").unionByName(lost.select(*PAIR, "first")).distinct()
         before = staged(self.hits.of(gone, number - 1), "before")
-        seen = rules.inside(new.select(*PAIR, "first", "started", "ended"), past.select(*PAIR, "ts", "src_ip", "dst_ip", "hostname"), PAIR)
-        seen = seen.select(*PAIR, "first", F.explode(F.array("src_ip", "dst_ip", "hostname")).alias("name")).withColumn("name", F.lower(F.trim("name")))
+        seen = held.select(*PAIR, F.element_at("entity", 1).alias("first"), F.explode(F.array("src_ip", "dst_ip", "hostname")).alias("name")).withColumn("name", F.lower(F.trim("name")))
         together(
             lambda: self.hits.replace(number, rows_now, gone),
             lambda: self.names.replace(number, seen.filter("name <> ''").distinct(), new.select(*PAIR, "first").unionByName(lost.select(*PAIR, "first"))),
